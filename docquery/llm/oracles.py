@@ -28,3 +28,35 @@ SELECT p.page_id, p.host, p.path, fit.rule,
   coalesce(fit.action, CASE WHEN EXISTS (SELECT 1 FROM l WHERE p.host = l.host OR ends_with(p.host, '.' || l.host)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN fit USING (page_id)
 """
+
+
+SOURCE_MIX = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat_ws(':', 'mix-1', CAST(doc_id AS VARCHAR))) AS key
+  FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+    (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM d GROUP BY source),
+r AS (
+  SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS ratio FROM s),
+l AS (
+  SELECT *,
+    CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+      / sum(weight) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM r),
+t AS (
+  SELECT source, source_size,
+    least(weight * (SELECT min_by(level, ratio) FROM l WHERE ratio >= level), CAST(3 * source_size AS DOUBLE)) AS target
+  FROM l),
+w AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+c AS (
+  SELECT d.doc_id, d.size, w.source_size, w.target, w.whole, w.target - CAST(w.whole * w.source_size AS DOUBLE) AS rest,
+    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(size * (whole + CASE WHEN before + size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM c
+"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docquery.llm import oracles
 from docquery.llm.common import table
+from docquery.llm.mixing import mix_sources
 from docquery.llm.url_filter import filter_urls
 
 #: The rules of the contract and the block list of the method.
@@ -32,9 +33,21 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of all sources takes."""
+    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", *(f"mix.{c}" for c in ("size", "source_size", "target", "taken")))
+
+
 def queries() -> dict:
-    return {"op6_url_filter": op6_url_filter}
+    return {
+        "op6_url_filter": op6_url_filter,
+        "op10_source_mix": op10_source_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": oracles.url_filter(URL_RULES, URL_LISTED)}
+    return {
+        "op6_url_filter": oracles.url_filter(URL_RULES, URL_LISTED),
+        "op10_source_mix": oracles.SOURCE_MIX,
+    }

@@ -25,6 +25,7 @@ from docquery.llm.common import ASCII_LOWER
 
 ALLOW, BLOCK, LISTED = 0, 1, 2
 VERDICTS = ("allow", "block")
+_sent: set[tuple[str, str]] = set()
 RESULT = "host string, path string, rule string, listed string, verdict string"
 
 
@@ -170,8 +171,10 @@ def _published(spark: SparkSession, entries: dict[str, int]) -> str:
     DigestArray.build(entries, path)
     with open(path, "rb") as f:
         name = f"urls-{hashlib.file_digest(f, 'sha256').hexdigest()[:24]}"
-    os.rename(path, os.path.join(folder, name))
-    spark.sparkContext.addFile(os.path.join(folder, name))
+    if (sent := (spark.sparkContext.applicationId, name)) not in _sent:
+        os.rename(path, os.path.join(folder, name))
+        spark.sparkContext.addFile(os.path.join(folder, name))
+        _sent.add(sent)
     return name
 
 
