@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docquery.llm import oracles
 from docquery.llm.common import table
 from docquery.llm.mixing import mix_sources
+from docquery.llm.private_data import BASE, KINDS, find_private
 from docquery.llm.url_filter import filter_urls
 
 #: The rules of the contract and the block list of the method.
@@ -33,6 +35,23 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def _spans(found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and spans of personal data in every text."""
+    found = find_private(table(spark, sf_dir, "documents"))
+    of = lambda *kinds: F.filter("found", lambda x: x["kind"].isin(*kinds))
+    base = [k for k in KINDS if k in BASE]
+    return found.select(
+        "doc_id",
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in base),
+        F.sha2(_spans(of(*base)), 256).alias("base_sha256"),
+        _spans(F.col("found")).alias("spans"),
+    )
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document a mix of all sources takes."""
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -42,6 +61,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op6_url_filter": op6_url_filter,
+        "op7_private_data": op7_private_data,
         "op10_source_mix": op10_source_mix,
     }
 

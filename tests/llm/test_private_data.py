@@ -1,0 +1,99 @@
+import hashlib
+import re
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from docquery.llm.private_data import BASE, KINDS, find_private, find_spans, luhn, redact, redact_private
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def passes(kind, s):
+    digits = re.sub("[^0-9]", "", s)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in s.split("."))
+    if kind == "card":
+        total = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
+        return 13 <= len(digits) <= 19 and total % 10 == 0
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def brute(text):
+    return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, text) if passes(k, m[0])]
+
+
+def base(text):
+    return [s for s in find_spans(text) if s[0] in BASE]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.text(st.sampled_from("a.@+-1203 9()%_é:/\n"), max_size=60))
+def test_base_spans_equal_the_patterns(text):
+    assert base(text) == brute(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["4111 1111 1111 1111", "+1 (017) 555-7713", "10.0.0.256", "1.2.3.4", "a.b@c.d-e.f", "@", "55.6@mail.example.com", " ", ".", "token = ", "4736962573099581", "日本"])))
+def test_base_spans_of_joined_pieces(parts):
+    text = "".join(parts)
+    assert base(text) == brute(text)
+
+
+@pytest.mark.parametrize(
+    "text, kind, value",
+    [
+        ('x token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" y', "account", "04dbebab91ab85687d33eeaaf9ac699e1188f962"),
+        ("IBAN: GB82 WEST 1234 5698 7654 32.", "account", "GB82 WEST 1234 5698 7654 32"),
+        ("Account no: 00123-456.", "account", "00123-456"),
+        ("see (https://a.example.com/x?y=1).", "url", "https://a.example.com/x?y=1"),
+    ],
+)
+def test_added_kinds(text, kind, value):
+    assert (kind, value) in [(k, text[a:b]) for k, a, b in find_spans(text)]
+
+
+@pytest.mark.parametrize("text", ["a token of thanks", "IBAN GB82 WEST 1234 5698 7654 33", "password is unknown", "://", "my account: none here", "tokens = 12345678", ""])
+def test_what_is_left_alone(text):
+    assert [s for s in find_spans(text) if s[0] not in BASE] == []
+
+
+def test_luhn():
+    assert luhn("4736962573099581") == passes("card", "4736962573099581") and luhn("4111111111111111") and not luhn("4111111111111112")
+
+
+def test_redaction_and_odd_rows(spark):
+    texts = ["mail a@b.cd or +1 (017) 555-7713", None, "", "nothing", "x" * 200000 + " a@b.cd", "éü 1.2.3.4 " * 3]
+    rows = [(i if i != 3 else None, t, "k", 5) for i, t in enumerate(texts)] + [(0, texts[0], "k", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, found string, n_chars long")
+    got = find_private(df).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = {i if i != 3 else None: t for i, t in enumerate(texts)}[r.doc_id]
+        assert [(f.kind, f.start, f.end) for f in r.found] == find_spans(text) and all(f.value == text[f.start : f.end] for f in r.found)
+    new = redact_private(df, length_col="n_chars")
+    assert new.columns == df.columns
+    for r in new.collect():
+        assert r.text is None and r.n_chars is None or r.n_chars == len(r.text) and not base(r.text)
+    assert find_private(df.limit(0)).collect() == [] and redact_private(df.limit(0)).collect() == []
+    assert redact("a b@c.de", find_spans("a b@c.de")) == "a [email]"
+
+
+def test_query_columns(spark, tmp_path):
+    from docquery.llm.queries import op7_private_data
+
+    texts = ["a@b.cd 1.2.3.4 a@b.ef token = abc123def", None, "x"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in op7_private_data(spark, str(tmp_path)).collect():
+        spans = find_spans(texts[r.doc_id])
+        said = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(texts[r.doc_id] or ""))
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        for k in KINDS[:4]:
+            assert r[f"n_{k}"] == sum(s[0] == k for s in spans)
