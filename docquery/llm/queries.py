@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquery.llm import oracles
 from docquery.llm.common import table
+from docquery.llm.fingerprint import fingerprint_edits
 from docquery.llm.mixing import mix_sources
 from docquery.llm.private_data import BASE, KINDS, find_private
 from docquery.llm.url_filter import filter_urls
@@ -29,6 +30,11 @@ URL_LISTED = (
 )
 
 
+def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited version."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL."""
     found = filter_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_LISTED)
@@ -60,6 +66,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_fingerprint": op2_fingerprint,
         "op6_url_filter": op6_url_filter,
         "op7_private_data": op7_private_data,
         "op10_source_mix": op10_source_mix,
