@@ -10,6 +10,8 @@ from docquery.llm.common import table
 from docquery.llm.fingerprint import fingerprint_edits
 from docquery.llm.mixing import mix_sources
 from docquery.llm.private_data import BASE, KINDS, find_private
+from docquery.llm.segmentation import survey
+from docquery.llm.token_counts import count_tokens
 from docquery.llm.url_filter import filter_urls
 
 #: The rules of the contract and the block list of the method.
@@ -30,11 +32,21 @@ URL_LISTED = (
 )
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of every text."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited version."""
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op3_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best segmentations of every text, and the way back."""
+    return survey(table(spark, sf_dir, "documents"), n_best=3)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL."""
     found = filter_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_LISTED)
@@ -66,7 +78,9 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_fingerprint": op2_fingerprint,
+        "op3_segmentation": op3_segmentation,
         "op6_url_filter": op6_url_filter,
         "op7_private_data": op7_private_data,
         "op10_source_mix": op10_source_mix,
