@@ -9,6 +9,7 @@ from docquery.llm import oracles
 from docquery.llm.common import table
 from docquery.llm.fingerprint import fingerprint_edits
 from docquery.llm.mixing import mix_sources
+from docquery.llm.ngram_join import near_duplicates
 from docquery.llm.private_data import BASE, KINDS, find_private
 from docquery.llm.segmentation import survey
 from docquery.llm.token_counts import count_tokens
@@ -47,6 +48,12 @@ def op3_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey(table(spark, sf_dir, "documents"), n_best=3)
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every text, on three-word shingles at 0.9."""
+    found = near_duplicates(table(spark, sf_dir, "documents"), n_words=3, threshold=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL."""
     found = filter_urls(table(spark, sf_dir, "pages"), URL_RULES, URL_LISTED)
@@ -81,6 +88,7 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_fingerprint": op2_fingerprint,
         "op3_segmentation": op3_segmentation,
+        "op5_ngram_join": op5_ngram_join,
         "op6_url_filter": op6_url_filter,
         "op7_private_data": op7_private_data,
         "op10_source_mix": op10_source_mix,
