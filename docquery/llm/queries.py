@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquery.llm import oracles
 from docquery.llm.common import table
 from docquery.llm.fingerprint import fingerprint_edits
+from docquery.llm.language_id import held_out, identify, train
 from docquery.llm.mixing import mix_sources
 from docquery.llm.ngram_join import near_duplicates
 from docquery.llm.private_data import BASE, KINDS, find_private
@@ -77,6 +78,15 @@ def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every text; a quarter of the documents is held out
+    of training."""
+    docs = table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"))
+    found = identify(docs, train(docs.where(~out)), spans=False)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document a mix of all sources takes."""
     mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -91,6 +101,7 @@ def queries() -> dict:
         "op5_ngram_join": op5_ngram_join,
         "op6_url_filter": op6_url_filter,
         "op7_private_data": op7_private_data,
+        "op9_language_id": op9_language_id,
         "op10_source_mix": op10_source_mix,
     }
 
