@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.llm import oracles
+from docquery.llm import oracles, quality
 from docquery.llm.common import table
 from docquery.llm.fingerprint import fingerprint_edits
 from docquery.llm.language_id import held_out, identify, train
@@ -78,6 +78,12 @@ def op7_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every text."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every text; a quarter of the documents is held out
     of training."""
@@ -101,6 +107,7 @@ def queries() -> dict:
         "op5_ngram_join": op5_ngram_join,
         "op6_url_filter": op6_url_filter,
         "op7_private_data": op7_private_data,
+        "op8_quality": op8_quality,
         "op9_language_id": op9_language_id,
         "op10_source_mix": op10_source_mix,
     }
