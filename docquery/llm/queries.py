@@ -9,6 +9,7 @@ from docquery.llm import oracles, quality
 from docquery.llm.common import table
 from docquery.llm.fingerprint import fingerprint_edits
 from docquery.llm.language_id import held_out, identify, train
+from docquery.llm.license_scan import scan_licenses
 from docquery.llm.mixing import mix_sources
 from docquery.llm.ngram_join import near_duplicates
 from docquery.llm.private_data import BASE, KINDS, find_private
@@ -49,6 +50,17 @@ def op3_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey(table(spark, sf_dir, "documents"), n_best=3)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License paragraphs of every text."""
+    found = scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_sort(F.array_distinct(F.transform(F.filter("licenses", lambda x: x["confirmed"]), lambda x: x["family"]))).alias("families"),
+        F.col("licenses"),
+    )
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every text, on three-word shingles at 0.9."""
     found = near_duplicates(table(spark, sf_dir, "documents"), n_words=3, threshold=90)
@@ -104,6 +116,7 @@ def queries() -> dict:
         "op1_token_counts": op1_token_counts,
         "op2_fingerprint": op2_fingerprint,
         "op3_segmentation": op3_segmentation,
+        "op4_license_scan": op4_license_scan,
         "op5_ngram_join": op5_ngram_join,
         "op6_url_filter": op6_url_filter,
         "op7_private_data": op7_private_data,
