@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +112,11 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *(f"mix.{c}" for c in ("size", "source_size", "target", "taken")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
@@ -123,11 +129,12 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_language_id": op9_language_id,
         "op10_source_mix": op10_source_mix,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
         "op6_url_filter": oracles.url_filter(URL_RULES, URL_LISTED),
         "op10_source_mix": oracles.SOURCE_MIX,
     }
