@@ -93,7 +93,7 @@ def fit(variations: int = 24, rounds: int = 150, rate: float = 1.0, decay: float
             samples.append((grams_of(words), families.index(f), i % 4 == 3))
     for i in range(400):
         samples.append((grams_of(rng.choices(filler, k=rng.randrange(1, 30))), len(families) - 1, i % 4 == 3))
-    cues = {w for _, x in lines for w in words_of(x)} - STOPS
+    cues = {w for f, x in lines if f != UNKNOWN for w in words_of(x)} - STOPS
     base = {g for _, x in lines for g in grams_of(words_of(x)) if cues.intersection(g.split(" "))}
     grams = tuple(sorted(base))
     at = {g: i for i, g in enumerate(grams)}
