@@ -78,6 +78,7 @@ class Lattice:
         self.raw = {i: p.replace(SPACE, " ").encode() for p, i, _ in vocabulary.pieces}
         self.raw |= {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
         self.raw.setdefault(vocabulary.unknown_id, " ⁇ ".encode())
+        self.raw = [self.raw.get(i, b"") for i in range(max(self.raw) + 1)]
 
     def edges(self, chunk: str):
         """(start, end, score, id) in the order of the ends, longer pieces
@@ -112,6 +113,26 @@ class Lattice:
         return text[1:] if text.startswith(" ") else text
 
 
+class Memo(dict):
+    """What make returns for a chunk, remembered for up to twice `most` short
+    chunks: when full, the newer half takes the place of the older."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, chunk: str):
+        found = self.older.get(chunk)
+        if found is None:
+            found = self.make(chunk)
+        if len(chunk) < 64:  # long chunks hardly repeat
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[chunk] = found
+        return found
+
+
 @lru_cache(2)
 def lattice(vocabulary: Vocabulary) -> Lattice:
     """Built once per worker process."""

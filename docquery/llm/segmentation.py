@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator, Sequence
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docquery.llm.pieces import DEFAULT_MODEL, SPACE, Lattice, Vocabulary, lattice, load, normalized
+from docquery.llm.pieces import DEFAULT_MODEL, SPACE, Lattice, Memo, Vocabulary, lattice, load, normalized
 from docquery.llm.token_counts import MEMORY
 
 
@@ -53,21 +54,56 @@ def n_best_paths(lat: Lattice, chunk: str, n: int) -> list[tuple[int, list[int]]
     return found
 
 
-class Paths(dict):
-    """Chunk to (best score, losses of its n best paths against it, their ids),
-    filled as chunks are met."""
+def best_path(lat: Lattice, chunk: str) -> tuple[int, int | None, bytes]:
+    """The forward pass: (best score, loss of the second-best segmentation or
+    None, ids of the best one as 32-bit little-endian numbers). Among equal sums
+    the longest last piece wins."""
+    size = len(chunk)
+    best: list = [None] * (size + 1)
+    second: list = [None] * (size + 1)
+    back: list = [None] * (size + 1)
+    best[0] = 0
+    for a, b, score, i in lat.edges(chunk):
+        total, other = best[a] + score, second[a]
+        if best[b] is None:
+            best[b], back[b] = total, (a, i)
+            second[b] = None if other is None else other + score
+            continue
+        if total > best[b]:
+            next_, best[b], back[b] = best[b], total, (a, i)
+            if other is not None and other + score > next_:
+                next_ = other + score
+        else:
+            next_ = total
+        if second[b] is None or next_ > second[b]:
+            second[b] = next_
+    path, at = [], size
+    while at:
+        a, i = back[at]
+        path.append((a, at, i))
+        at = a
+    ids = lat.ids_of(chunk, path[::-1])
+    return best[size], None if second[size] is None else best[size] - second[size], struct.pack(f"<{len(ids)}i", *ids)
+
+
+class Paths:
+    """What is remembered of chunks: their best paths, and the n best of those
+    that took part in a choice."""
 
     def __init__(self, lat: Lattice, n: int):
         self.lat, self.n = lat, n
+        self.best = Memo(lambda c: best_path(lat, c), MEMORY // 2)
+        self.several = Memo(self._several, MEMORY // 20)
 
-    def __missing__(self, chunk: str):
+    def _several(self, chunk: str) -> list[tuple[int, bytes]]:
         found = n_best_paths(self.lat, chunk, self.n)
-        out = found[0][0], [found[0][0] - s for s, _ in found], [ids for _, ids in found]
-        if len(chunk) < 64:  # long chunks hardly repeat
-            if len(self) >= MEMORY // 4:
-                self.clear()
-            self[chunk] = out
-        return out
+        return [(found[0][0] - s, struct.pack(f"<{len(ids)}i", *ids)) for s, ids in found]
+
+
+@lru_cache(2)
+def paths_of(vocabulary: Vocabulary, n: int) -> Paths:
+    """A worker process keeps what it remembers for its next tasks."""
+    return Paths(lattice(vocabulary), n)
 
 
 def n_best_choices(losses: Sequence[Sequence[int]], n: int) -> list[tuple[int, dict[int, int]]]:
@@ -98,19 +134,24 @@ def n_best_choices(losses: Sequence[Sequence[int]], n: int) -> list[tuple[int, d
     return found
 
 
-def segment(paths: Paths, text: str | None) -> list[tuple[int, list[int]]]:
-    """The n best (score, ids) of a text, best first."""
-    own = [paths[c] for c in paths.lat.chunks(normalized(text))]
-    top = sum(p[0] for p in own)
-    ids = [p[2][0] for p in own]
-    out = [(top, list(chain.from_iterable(ids)))]
+def segment(paths: Paths, text: str | None) -> list[tuple[int, bytes]]:
+    """The n best (score, ids) of a text, best first. Only the n - 1 chunks
+    whose second-best segmentations lose least can differ, so only these are
+    searched for more."""
+    chunks = paths.lat.chunks(normalized(text))
+    own = list(map(paths.best.__getitem__, chunks))
+    ids = [p[2] for p in own]
+    top = sum([p[0] for p in own])
+    out = [(top, b"".join(ids))]
     if paths.n > 1:
-        for loss, changed in n_best_choices([p[1] for p in own], paths.n)[1:]:
-            for k, j in changed.items():
-                ids[k] = own[k][2][j]
-            out.append((top - loss, list(chain.from_iterable(ids))))
-            for k in changed:
-                ids[k] = own[k][2][0]
+        near = heapq.nsmallest(paths.n - 1, [(p[1], k) for k, p in enumerate(own) if p[1] is not None])
+        several = [paths.several[chunks[k]] for _, k in near]
+        for loss, changed in n_best_choices([[x for x, _ in s] for s in several], paths.n)[1:]:
+            for j, turn in changed.items():
+                ids[near[j][1]] = several[j][turn][1]
+            out.append((top - loss, b"".join(ids)))
+            for j in changed:
+                ids[near[j][1]] = own[near[j][1]][2]
     return out
 
 
@@ -134,7 +175,7 @@ def encode(
     item = pa.list_(pa.struct([("score", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = Paths(lattice(vocabulary.value), n_best)
+        paths = paths_of(vocabulary.value, n_best)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -156,14 +197,15 @@ def survey(docs: DataFrame, n_best: int, id_col: str = "doc_id", text_col: str =
     names = ["n_pieces", "scores", "ids_sha256", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = Paths(lattice(vocabulary.value), n_best)
+        paths = paths_of(vocabulary.value, n_best)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
                 found = segment(paths, text)
                 plain = (text or "").replace(SPACE, " ")
-                sums = [hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for _, i in found]
-                rows.append((len(found[0][1]), [s for s, _ in found], sums, all(paths.lat.decode(i) == plain for _, i in found)))
+                sums = [hashlib.sha256(i).hexdigest() for _, i in found]
+                back = all(paths.lat.decode(np.frombuffer(i, "<i4").tolist()) == plain for _, i in found)
+                rows.append((len(found[0][1]) // 4, [s for s, _ in found], sums, back))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -171,14 +213,14 @@ def survey(docs: DataFrame, n_best: int, id_col: str = "doc_id", text_col: str =
 
 
 def _packed(rows: list, item: pa.DataType) -> pa.Array:
-    """The nested array, built from flat numpy buffers."""
+    """The nested array, built from flat buffers."""
     flat = [x for r in rows for x in r]
-    ends = lambda parts: np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    ids = pa.array(np.fromiter(chain.from_iterable(i for _, i in flat), np.int32, sum(len(i) for _, i in flat)))
-    lists = pa.ListArray.from_arrays(pa.array(ends([i for _, i in flat])), ids)
+    ends = lambda sizes: pa.array(np.cumsum([0, *sizes]).astype(np.int32))
+    ids = pa.array(np.frombuffer(b"".join(i for _, i in flat), "<i4"))
+    lists = pa.ListArray.from_arrays(ends(len(i) // 4 for _, i in flat), ids)
     scores = pa.array([s for s, _ in flat], pa.int64())
     structs = pa.StructArray.from_arrays([scores, lists], fields=list(item.value_type))
-    return pa.ListArray.from_arrays(pa.array(ends(rows)), structs).cast(item)
+    return pa.ListArray.from_arrays(ends(map(len, rows)), structs).cast(item)
 
 
 def decode(encoded: DataFrame, id_col: str, ids_col: str, into: str = "text", model: str | Vocabulary = DEFAULT_MODEL) -> DataFrame:

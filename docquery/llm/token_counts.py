@@ -9,13 +9,14 @@ tokenizer: it extends from the left and replaces only by something better.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docquery.llm.pieces import DEFAULT_MODEL, Lattice, Vocabulary, lattice, load, normalized
+from docquery.llm.pieces import DEFAULT_MODEL, Lattice, Memo, Vocabulary, lattice, load, normalized
 
-#: Chunks remembered in a task before the memory is emptied.
+#: Chunks remembered in a task, half as many at least.
 MEMORY = 400_000
 
 
@@ -33,19 +34,10 @@ def best_count(lat: Lattice, chunk: str) -> tuple[int, int]:
     return best[n], count[n]
 
 
-class Counts(dict):
-    """Chunk to number of pieces, filled as chunks are met."""
-
-    def __init__(self, lat: Lattice):
-        self.lat = lat
-
-    def __missing__(self, chunk: str) -> int:
-        n = best_count(self.lat, chunk)[1]
-        if len(chunk) < 64:  # long chunks hardly repeat
-            if len(self) >= MEMORY:
-                self.clear()
-            self[chunk] = n
-        return n
+@lru_cache(2)
+def counts(lat: Lattice) -> Memo:
+    """Chunk to number of pieces; a worker process keeps it for its next tasks."""
+    return Memo(lambda chunk: best_count(lat, chunk)[1], MEMORY)
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "n_tokens", model: str | Vocabulary = DEFAULT_MODEL) -> DataFrame:
@@ -60,10 +52,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat = lattice(vocabulary.value)
-        of = Counts(lat).__getitem__
+        of = counts(lat).__getitem__
         for batch in batches:
-            counts = [sum(map(of, lat.chunks(normalized(t)))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], [id_col, into])
+            found = [sum(map(of, lat.chunks(normalized(t)))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], [id_col, into])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, `{into}` bigint")

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -8,8 +9,8 @@ from hypothesis import strategies as st
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from docquery.llm.pieces import DEFAULT_MODEL, SPACE, Lattice, Vocabulary, lattice, load, normalized
-from docquery.llm.segmentation import Paths, decode, encode, n_best_choices, n_best_paths, segment, survey
-from docquery.llm.token_counts import Counts, best_count, count_tokens
+from docquery.llm.segmentation import Paths, best_path, decode, encode, n_best_choices, n_best_paths, segment, survey
+from docquery.llm.token_counts import best_count, count_tokens, counts as counts_of
 
 #: A small vocabulary with many ties: pieces with scores, then the 256 bytes.
 SMALL = {"▁": -3, "a": -2, "b": -2, "ab": -4, "ba": -4, "▁a": -5, "aba": -6, "bb": -3, "▁▁": -5, "é": -2}
@@ -41,6 +42,8 @@ def test_n_best_of_a_chunk_equals_all_segmentations(chunk):
     got = n_best_paths(lat, chunk, 6)
     assert [s for s, _ in got] == [s for s, _ in want[:6]]
     assert len({tuple(i) for _, i in got}) == len(got) and all(x in want for x in got)
+    best, loss, ids = best_path(lat, chunk)
+    assert (best, np.frombuffer(ids, "<i4").tolist()) == got[0] and loss == (got[0][0] - got[1][0] if len(got) > 1 else None)
     score, count = best_count(lat, chunk)
     assert (score, count) == (got[0][0], len(got[0][1]))
 
@@ -86,10 +89,10 @@ def texts():
 
 def test_counts_and_ids_equal_the_library(library):
     lat = lattice(load())
-    counts, paths = Counts(lat), Paths(lat, 1)
+    counts, paths = counts_of(lat), Paths(lat, 1)
     for t in texts():
         want = library.encode(t)
-        assert segment(paths, t)[0][1] == want, t
+        assert np.frombuffer(segment(paths, t)[0][1], '<i4').tolist() == want, t
         assert sum(map(counts.__getitem__, lat.chunks(normalized(t)))) == len(want)
         assert lat.decode(want) == t
 
