@@ -28,6 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,77 +124,87 @@ def _shared(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, owners, np.stack([~(first & last), first | last]) if len(keys) else np.zeros((2, 0), bool)
 
 
-_SETS = "kind int, id {0}, text_hash bigint, n bigint, owner bigint, data binary"
+def _documents(docs: DataFrame, n_words: int) -> DataFrame:
+    """(id, text_hash, n, owner): size and digest of each document's set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Words()
+        for batch in batches:
+            found = []
+            for text in batch.column(2).to_pylist():
+                grams = shingles(text, n_words, memory)
+                found.append((len(grams), set_digest(grams)))
+            columns = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "text_hash", "n", "owner"])
 
-def _sets_and_keys(docs: DataFrame, n_words: int, t: int, n_parts: int) -> DataFrame:
-    """Per document a row of kind -1 (id, text_hash, n, owner: digest of its
-    set); packed (key, owner) pairs by kind = part of the key; and rows of kind
-    -2, (owner, n): so many keys shared within the task. The lowest bit of an
-    owner in keys is its role."""
-    spec = np.dtype([("k", "<u4"), ("o", "<i8")])
-    id_type = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, text_hash bigint, n bigint, owner bigint")
+
+
+def _pack(keys: np.ndarray, owners: np.ndarray) -> bytes:
+    """Pairs in the order of their owners: number of owners, the owners, how
+    many keys each has, the low halves of the keys. (What the part of a key says
+    of its high half is enough: a wrong match only makes a candidate more.)"""
+    who, many = np.unique(owners, return_counts=True)
+    return np.uint32(len(who)).tobytes() + who.tobytes() + many.astype(np.uint32).tobytes() + keys.astype(np.uint32).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, held_k, held_o, size = Words(), [], [], 0
-        seen: set[int] = set()
 
-        def rows(kind, ids, hashes, n, owner, data, like):
-            m = len(kind)
-            none = lambda x, t: pa.nulls(m, t) if x is None else pa.array(x, t)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(kind, pa.int32()), pa.nulls(m, like) if ids is None else ids, pa.nulls(m, pa.int64()) if hashes is None else hashes,
-                 none(n, pa.int64()), none(owner, pa.int64()), none(data, pa.binary())],
-                ["kind", "id", "text_hash", "n", "owner", "data"],
-            )
-
-        def send(like):
-            keys, owners, (common, sent) = _shared(np.concatenate(held_k), np.concatenate(held_o))
-            if common.any():
-                who, many = np.unique(owners[common], return_counts=True)
-                yield rows(np.full(len(who), -2, np.int32), None, None, many, who, None, like)
-            keys, owners = keys[sent], owners[sent]
-            part = (keys >> np.uint64(32)) % np.uint64(n_parts)
-            order = np.argsort(part, kind="stable")
-            packed = np.empty(len(keys), spec)
-            packed["k"], packed["o"] = keys[order] & np.uint64(0xFFFFFFFF), owners[order]
-            ends = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
-            some = np.flatnonzero(np.diff(ends))
-            yield rows(some.astype(np.int32), None, None, None, None, [packed[ends[p] : ends[p + 1]].tobytes() for p in some], like)
+def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = int(np.frombuffer(raw, np.uint32, 1)[0])
+    who, many = np.frombuffer(raw, np.int64, m, 4), np.frombuffer(raw, np.uint32, m, 4 + 8 * m)
+    return np.frombuffer(raw, np.uint32, -1, 4 + 12 * m), np.repeat(who, many)
 
+
+def _shared_keys(docs: DataFrame, n_words: int, t: int, n_parts: int) -> DataFrame:
+    """(owner, n): how many of an owner's fragment keys others have as well; the
+    lowest bit of an owner is its role. Keys go packed to the task of their
+    part, each at most twice from one block of a task: what a block shares
+    within itself is counted there and goes along."""
+    schema = pa.schema([("part", pa.int32()), ("owner", pa.int64()), ("n", pa.int64()), ("data", pa.binary())])
+
+    def send(keys: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys, owners, (common, sent) = _shared(keys, owners)
+        who, many = np.unique(owners[common], return_counts=True)
+        keys, owners = keys[sent], owners[sent]
+        part = ((keys >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int32)
+        order = np.lexsort((owners, part))
+        keys, owners, part = keys[order], owners[order], part[order]
+        ends = np.searchsorted(part, np.arange(n_parts + 1))
+        some = np.flatnonzero(np.diff(ends))
+        data = [_pack(keys[ends[p] : ends[p + 1]], owners[ends[p] : ends[p + 1]]) for p in some]
+        yield pa.RecordBatch.from_arrays([pa.array(who % n_parts, pa.int32()), pa.array(who), pa.array(many), pa.nulls(len(who), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(data, pa.binary())], schema=schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory, held_k, held_o, size = Words(), [], [], 0
+        seen: set[int] = set()
         for batch in batches:
-            sizes, owners = [], []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(0).to_pylist():
                 grams = shingles(text, n_words, memory)
                 owner = set_digest(grams)
-                sizes.append(len(grams)), owners.append(owner)
                 if len(grams) and owner not in seen:
                     seen.add(owner)
                     for role, keys in fragment_keys(grams, t):
                         held_k.append(keys), held_o.append(np.full(len(keys), owner & -2 | role, np.int64))
                         size += len(keys)
-            yield rows(np.full(batch.num_rows, -1, np.int32), batch.column(0), batch.column(1), sizes, owners, None, batch.schema.field(0).type)
             if size >= KEYS_AT_ONCE:
-                yield from send(batch.schema.field(0).type)
+                yield from send(np.concatenate(held_k), np.concatenate(held_o))
                 held_k, held_o, size = [], [], 0
                 seen.clear()
         if size:
-            yield from send(batch.schema.field(0).type)
-
-    return docs.mapInArrow(run, _SETS.format(id_type))
-
-
-def _shared_keys(parts: DataFrame) -> DataFrame:
-    """(owner, n): keys of the owner that others have as well, by part."""
-    spec = np.dtype([("k", "<u4"), ("o", "<i8")])
-
-    def run(table: pa.Table) -> pa.Table:
-        packed = np.concatenate([np.frombuffer(x, spec) for x in table.column("data").to_pylist()])
-        _, owners, (common, _) = _shared(packed["k"], packed["o"])
+            yield from send(np.concatenate(held_k), np.concatenate(held_o))
+
+    def meet(table: pa.Table) -> pa.Table:
+        packed = [_unpack(x) for x in table.column("data").to_pylist() if x is not None]
+        counted = table.filter(pc.is_valid(table.column("owner")))
+        keys = np.concatenate([np.zeros(0, np.uint32), *(k for k, _ in packed)])
+        owners = np.concatenate([np.zeros(0, np.int64), *(o for _, o in packed)])
+        _, owners, (common, _) = _shared(keys, owners)
         who, many = np.unique(owners[common], return_counts=True)
-        return pa.table({"owner": pa.array(who, pa.int64()), "n": pa.array(many, pa.int64())})
+        both = [np.concatenate([counted.column(c).to_numpy(), x]) for c, x in (("owner", who), ("n", many))]
+        return pa.table({"owner": pa.array(both[0], pa.int64()), "n": pa.array(both[1], pa.int64())})
 
-    return parts.groupBy("kind").applyInArrow(run, "owner bigint, n bigint")
+    parts = docs.select("text").mapInArrow(cut, "part int, owner bigint, n bigint, data binary")
+    return parts.groupBy("part").applyInArrow(meet, "owner bigint, n bigint")
 
 
 def _sets(docs: DataFrame, n_words: int) -> DataFrame:
@@ -221,16 +232,17 @@ def _prefixes(sets: DataFrame, t: int) -> DataFrame:
     as far as the prefix of a set goes; lesser: within the shorter prefix that
     is enough against sets of the same size or larger ones. N-grams of one set
     come first in the order, so place counts from their number."""
-    grams = sets.select("owner", "n", F.explode("grams").alias("gram"))
-    common = grams.groupBy("gram").agg(F.count("*").alias("sets")).where("sets > 1")
+    grams = sets.select("owner", F.explode("grams").alias("gram"))
+    common = grams.groupBy("gram").agg(F.count("*").cast("int").alias("sets")).where("sets > 1")
     ordered = (
-        grams.join(common, "gram").groupBy("owner", "n")
+        grams.join(common, "gram").groupBy("owner")
         .agg(F.sort_array(F.collect_list(F.struct("sets", "gram"))).alias("common"))
+        .join(sets.select("owner", "n"), "owner")
         .withColumn("alone", F.col("n") - F.size("common"))
         .withColumn("long", F.col("n") - _ceil(F.col("n") * t, 100) + 1)
         .withColumn("short", F.col("n") - _ceil(F.col("n") * 2 * t, 100 + t) + 1)
         .where("long > alone")
-        .withColumn("common", F.slice("common", F.lit(1), (F.col("long") - F.col("alone")).cast("int")))
+        .withColumn("common", F.slice("common", F.lit(1), F.greatest(F.lit(0), F.col("long") - F.col("alone")).cast("int")))
     )
     return ordered.select("owner", "n", "alone", "short", F.posexplode("common").alias("k", "c")).select(
         F.col("c.gram").alias("gram"), "owner", "n", (F.col("alone") + F.col("k")).alias("place"), (F.col("alone") + F.col("k") < F.col("short")).alias("lesser")
@@ -276,10 +288,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = written(_sets_and_keys(slim, n_words, t, n_parts), "sets")
-    rows = both.where("kind = -1").select("id", "text_hash", "n", "owner")
-    shared = _shared_keys(both.where("kind >= 0").select("kind", "data")).unionByName(both.where("kind = -2").select("owner", "n"))
-    survivors = shared.groupBy("owner").agg(F.sum("n").alias("n")).where(F.col("n") > SPARE).select((F.col("owner").bitwiseAND(F.lit(-2))).alias("even")).distinct()
+    rows = written(_documents(slim, n_words), "sets")
+    survivors = _shared_keys(slim, n_words, t, n_parts).groupBy("owner").agg(F.sum("n").alias("n")).where(F.col("n") > SPARE).select((F.col("owner").bitwiseAND(F.lit(-2))).alias("even")).distinct()
     classes = rows.where("n > 0").groupBy("owner", "n").agg(F.min(F.struct("id", "text_hash")).alias("pick"), F.min("id").alias("least"))
     chosen = written(
         classes.withColumn("even", F.col("owner").bitwiseAND(F.lit(-2))).join(survivors, "even").select("owner", "pick.id", "pick.text_hash"), "chosen"
