@@ -59,7 +59,7 @@ def pieces_at(c: Column, pattern: str, key_group: int) -> Column:
         F.array(F.lit(0)),
         lambda a, p: F.array_append(a, F.element_at(a, -1) + F.length(body(p))),
     )
-    found = F.transform(marked, lambda p, i: F.struct(F.substring_index(p, END, 1).alias("key"), body(p).alias("body"), F.element_at(starts, i + 1).alias("start")))
+    found = F.zip_with(marked, F.slice(starts, F.lit(1), F.size(marked)), lambda p, s: F.struct(F.substring_index(p, END, 1).alias("key"), body(p).alias("body"), s.alias("start")))
     return F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))
 
 

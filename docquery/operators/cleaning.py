@@ -20,21 +20,26 @@ def split_pages(docs: DataFrame, doc: str = "doc_id", text: str = "text", profil
     return docs.select(doc, F.posexplode(pages).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
-def _zone(lines: Column) -> Column:
-    """Indices of the first and last three lines that aren't blank."""
-    at = F.filter(F.transform(lines, lambda x, i: F.when(strip(x) != "", i)), lambda i: i.isNotNull())
-    return F.array_union(F.slice(at, 1, ZONE_LINES), F.slice(F.reverse(at), 1, ZONE_LINES))
+def _lines(pages: DataFrame, text: str) -> DataFrame:
+    """pages with lines_, the (place, mask) of those that aren't blank (at_),
+    and the places at which the zone of the first and last three ends (zone_).
+    Each is used more than once further on, so it is computed once per page."""
+    pages = pages.withColumn("lines_", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    masked = F.transform("lines_", lambda x, i: F.struct(i.alias("i"), mask_line(x).alias("mask")))
+    pages = pages.withColumn("at_", F.filter(masked, lambda x: x["mask"] != ""))
+    k = F.least(F.lit(ZONE_LINES), F.size("at_"))
+    ends = F.struct(F.element_at("at_", k)["i"].alias("top"), F.element_at("at_", -k)["i"].alias("bottom"))
+    return pages.withColumn("zone_", F.when(k > 0, ends))
 
 
 def line_frequencies(pages: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, mask, zone_pages, all_pages): on how many pages of a document a
     masked line stands in the zone, and anywhere. A page counts a mask once."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    numbered = F.transform(lines, lambda x, i: F.struct(mask_line(x).alias("mask"), F.array_contains("zone", i).alias("zone")))
-    rows = pages.withColumn("zone", _zone(lines)).select(doc, F.filter(numbered, lambda x: x["mask"] != "").alias("lines"))
+    rows = _lines(pages, text).select(doc, "at_")
     masks = lambda c: F.array_distinct(F.transform(c, lambda x: x["mask"]))
-    seen = rows.select(doc, F.explode(masks(F.col("lines"))).alias("mask"), masks(F.filter("lines", lambda x: x["zone"])).alias("zone"))
-    return seen.groupBy(doc, "mask").agg(F.sum(F.array_contains("zone", F.col("mask")).cast("long")).alias("zone_pages"), F.count("*").alias("all_pages"))
+    zone = masks(F.concat(F.slice("at_", 1, ZONE_LINES), F.slice(F.reverse("at_"), 1, ZONE_LINES)))
+    once = rows.select(doc, zone.alias("zone"), F.explode(masks(F.col("at_"))).alias("mask"))
+    return once.groupBy(doc, "mask").agg(F.sum(F.array_contains("zone", F.col("mask")).cast("long")).alias("zone_pages"), F.count("*").alias("all_pages"))
 
 
 def repeating_masks(
@@ -56,16 +61,12 @@ def strip_repeating_lines(pages: DataFrame, masks: DataFrame, doc: str = "doc_id
     blank lines stay. The masks of a document are few by their thresholds, so
     they travel as one array."""
     own = masks.groupBy(doc).agg(F.collect_set("mask").alias("masks_"))
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    kept = F.filter(
-        F.col("lines_"),
-        lambda x, i: (strip(x) == "") | x.rlike(profile.guard) | ~F.array_contains("zone_", i) | ~F.array_contains("masks_", mask_line(x)),
-    )
-    return (
-        pages.join(own, doc, "left").withColumn("masks_", F.coalesce("masks_", F.array().cast("array<string>")))
-        .withColumn("lines_", lines).withColumn("zone_", _zone(F.col("lines_")))
-        .withColumn(text, F.array_join(kept, "\n")).drop("masks_", "lines_", "zone_")
-    )
+    rows = _lines(pages, text).join(own, doc, "left")
+    inside = lambda i: (i <= F.col("zone_.top")) | (i >= F.col("zone_.bottom"))
+    gone = lambda x, i: inside(i) & F.array_contains("masks_", mask_line(x)) & ~x.rlike(profile.guard)
+    kept = F.filter("lines_", lambda x, i: (strip(x) == "") | ~F.coalesce(gone(x, i), F.lit(False)))
+    text_ = F.when(F.col("masks_").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    return rows.withColumn(text, text_).drop("masks_", "lines_", "at_", "zone_")
 
 
 def merge_continuations(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text", profile: Profile = INDONESIAN_LAW) -> DataFrame:

@@ -14,6 +14,12 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x))
 
 
+def unit(v: Column) -> Column:
+    """To length one; a zero vector stays. The length is an argument of
+    zip_with and so computed once, not once per component."""
+    return F.zip_with(v, F.array_repeat(norm(v), F.size(v)), lambda x, n: x / F.when(n == 0, 1.0).otherwise(n))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Summed in double precision, in the order of the elements."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
@@ -33,8 +39,7 @@ def quantize(vector: Column, scale: Column) -> Column:
 
 def dequantize(codes: Column, scale: Column) -> Column:
     """Components * scale, to length one; a zero vector stays."""
-    raw = F.transform(codes, lambda x: x * scale)
-    return F.transform(raw, lambda x: x / F.when(norm(raw) == 0, 1.0).otherwise(norm(raw)))
+    return unit(F.transform(codes, lambda x: x * scale))
 
 
 def to_base64(codes: Column) -> Column:
@@ -56,7 +61,7 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(
         words, F.lit(0.0), lambda a, w: a + F.when(F.pmod(F.xxhash64(w), F.lit(dim)) == i, F.when(F.crc32(w.cast("binary")) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)
     ))
-    return F.transform(counts, lambda x: (x / F.when(norm(counts) == 0, 1.0).otherwise(norm(counts))).cast("float"))
+    return F.transform(unit(counts), lambda x: x.cast("float"))
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", qvec: str = "vector", key: str = "vec_id", vector: str = "embedding", max_queries: int = 4096) -> DataFrame:
