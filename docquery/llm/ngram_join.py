@@ -6,10 +6,12 @@ joined instead of documents.
 1. Sets that are equal form one class (equal texts cost nothing after that).
 2. First order: the hash. Two sets of sizes a and b that reach the threshold
    differ in at most D = (a + b)(100 - t) / (100 + t) n-grams. Cut into
-   F = D + 1 + SPARE fragments of the order, they have at least 1 + SPARE equal
+   F = D + 1 + spare fragments of the order, they have at least 1 + spare equal
    fragments. A class in which fewer fragments occur in any other class has no
-   partner. F depends on a size class; a set plays two roles, in its own size
-   class and as the larger set in the one below.
+   partner. spare grows with D, so that fragments which are equal because they
+   are empty or have one frequent n-gram don't suffice. F depends on a size
+   class; a set plays two roles, in its own size class and as the larger set in
+   the one below.
 3. Second order, for the classes that remain: by number of sets that have the
    n-gram. A pair shares an n-gram in the first few of both (prefix filter) at
    places that leave enough behind (positional filter).
@@ -36,8 +38,9 @@ from pyspark.sql import functions as F
 from docquery.llm.common import written
 from docquery.llm.components import components
 
-#: Equal fragments required of a pair, less one.
-SPARE = 2
+#: Equal fragments required of a pair, less one: so many, and one more for so
+#: many differences.
+SPARE, SPARE_PER = 2, 8
 #: Fragments of a set in which partial overlaps are counted.
 PARTS = 4
 #: Keys that a task holds before it sends them.
@@ -85,22 +88,23 @@ def set_digest(grams: np.ndarray) -> int:
 
 
 @lru_cache(4)
-def _size_classes(t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least size and number of fragments of every size class. A set of one
+def _size_classes(t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least size, number of fragments and spare of every size class. A set of one
     class and a larger similar one lie in the same class or the next. Without
     room for a difference there are no fragments: equal sets are found already."""
-    lows, pieces = [1], []
+    lows, pieces, spares = [1], [], []
     while lows[-1] < 2**40:
         lows.append(max(lows[-1] + 1, (lows[-1] - 1) * 100 // t + 1))
         a = lows[-1] - 1
         d = (a + a * 100 // t) * (100 - t) // (100 + t)
-        pieces.append(d + 1 + SPARE if d else 0)
-    return np.array(lows), np.array(pieces)
+        spares.append(SPARE + d // SPARE_PER)
+        pieces.append(d + 1 + spares[-1] if d else 0)
+    return np.array(lows), np.array(pieces), np.array(spares)
 
 
 def fragment_keys(grams: np.ndarray, t: int) -> Iterator[tuple[int, np.ndarray]]:
     """(role, keys of the fragments) for both roles of a set."""
-    lows, pieces = _size_classes(t)
+    lows, pieces, _ = _size_classes(t)
     own = int(np.searchsorted(lows, len(grams), "right")) - 1
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(grams + np.uint64(1)))])
     for role, c in enumerate((own, own - 1)):
@@ -289,11 +293,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = written(_documents(slim, n_words), "sets")
-    survivors = _shared_keys(slim, n_words, t, n_parts).groupBy("owner").agg(F.sum("n").alias("n")).where(F.col("n") > SPARE).select((F.col("owner").bitwiseAND(F.lit(-2))).alias("even")).distinct()
+    shared = _shared_keys(slim, n_words, t, n_parts).groupBy("owner").agg(F.sum("n").alias("shared"))
+    shared = shared.select(F.col("owner").bitwiseAND(F.lit(-2)).alias("even"), F.col("owner").bitwiseAND(F.lit(1)).cast("int").alias("role"), "shared")
     classes = rows.where("n > 0").groupBy("owner", "n").agg(F.min(F.struct("id", "text_hash")).alias("pick"), F.min("id").alias("least"))
-    chosen = written(
-        classes.withColumn("even", F.col("owner").bitwiseAND(F.lit(-2))).join(survivors, "even").select("owner", "pick.id", "pick.text_hash"), "chosen"
-    )
+    lows, _, spares = (F.array(*(F.lit(int(x)) for x in c)) for c in _size_classes(t))
+    size_class = F.size(F.filter(lows, lambda x: x <= F.col("n")))
+    may = classes.withColumn("even", F.col("owner").bitwiseAND(F.lit(-2))).join(shared, "even").where(F.col("shared") > F.try_element_at(spares, size_class - F.col("role")))
+    chosen = written(may.select("owner", "pick.id", "pick.text_hash").distinct(), "chosen")
     listed = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     picked = slim.alias("s").join(
         listed.select(F.col("id").alias("pick_id"), F.col("text_hash").alias("pick_hash")).distinct(),
