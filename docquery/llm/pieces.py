@@ -72,6 +72,7 @@ class Lattice:
             if len(piece) > 1:
                 inner.update(piece)
         self.automaton.make_automaton()
+        self.singles = frozenset(p for p, _, _ in vocabulary.pieces if len(p) == 1)
         inner.discard(SPACE)
         word = f"[{''.join(map(re.escape, sorted(inner)))}]" if inner else "(?!)"
         self.chunks = re.compile(f"{SPACE}+{word}*|{word}+|[^{SPACE}]").findall
@@ -83,6 +84,11 @@ class Lattice:
     def edges(self, chunk: str):
         """(start, end, score, id) in the order of the ends, longer pieces
         first; a character that is no piece gets an unknown edge."""
+        if self.singles.issuperset(chunk):
+            return [(last + 1 - length, last + 1, score, i) for last, (length, score, i) in self.automaton.iter(chunk)]
+        return self._with_unknown(chunk)
+
+    def _with_unknown(self, chunk: str):
         at = 0
         single = True
         for last, (length, score, i) in self.automaton.iter(chunk):
