@@ -129,10 +129,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _tables(spark: SparkSession, m: Model) -> tuple[DataFrame, DataFrame]:
-    """Weights per n-gram; n-grams of three words per template line. Both are as
-    large as the fixed texts (about 3,000 and 100 rows)."""
+    """Weights per n-gram, 0 for those that only serve the comparison; n-grams
+    of three words per template line. Both are as large as the fixed texts
+    (about 1,500 and 50 rows)."""
     quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    rows = ", ".join(f"({quoted(g)}, '{' '.join(map(str, r))}')" for g, r in zip(m.grams, m.weights))
+    triples = {g for t in TEMPLATES.values() for x in t.strip().split("\n") for g in _triples(words_of(x))}
+    own = list(zip(m.grams, m.weights)) + [(g, np.zeros(len(m.families))) for g in sorted(triples - set(m.grams))]
+    rows = ", ".join(f"({quoted(g)}, '{' '.join(map(str, r))}')" for g, r in own)
     weights = spark.sql(f"SELECT gram, transform(split(w, ' '), x -> double(x)) AS w FROM VALUES {rows} AS t(gram, w)")
     lines = ", ".join(
         f"({quoted(f)}, {quoted(x)}, {quoted('|'.join(sorted(_triples(words_of(x)))))})" for f, t in TEMPLATES.items() for x in t.strip().split("\n")
@@ -172,12 +175,14 @@ def scan_licenses(
         F.transform("lines", lambda x, i: F.struct(i.alias("paragraph"), _words(x).alias("words"))), lambda s: F.arrays_overlap(s["words"], cues)
     )
     some = rows.select("id", "row", F.explode_outer(lines).alias("p")).select("id", "row", "p.paragraph", "p.words")
-    grams = some.select("id", "row", "paragraph", F.explode_outer(_grams(F.col("words"))).alias("gram"))
+    # One null stands for the paragraph itself; of its n-grams only those of the table go on.
+    own = F.coalesce(_grams(F.col("words")), F.array().cast("array<string>"))
+    grams = some.select("id", "row", "paragraph", F.explode(F.array_append(own, F.lit(None).cast("string"))).alias("gram"))
     k = len(m.families)
     sums = [F.sum(F.col("w")[i]) for i in range(k)]
     scored = (
-        grams.join(F.broadcast(weights), "gram", "left").groupBy("id", "row", "paragraph")
-        .agg(*(F.coalesce(s, F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(sums)), F.array_distinct(F.collect_list(F.when(F.size(F.split("gram", " ")) == N_GRAM, F.col("gram")))).alias("triples"), F.collect_list("gram").alias("all"))
+        grams.join(F.broadcast(weights), "gram", "left").where("gram is null or w is not null").groupBy("id", "row", "paragraph")
+        .agg(*(F.coalesce(s, F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(sums)), F.collect_set(F.when(F.size(F.split("gram", " ")) == N_GRAM, F.col("gram"))).alias("triples"))
         .withColumn("z", F.array(*((F.col(f"s{i}") + float(m.bias[i])) * m.temperature for i in range(k))))
         .withColumn("top", F.array_max("z"))
         .withColumn("total", F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top"))))
@@ -187,7 +192,6 @@ def scan_licenses(
         .withColumn("probability", F.round(F.exp(F.col("best") - F.col("top")) / F.col("total"), 9))
         .withColumn("called", F.col("paragraph").isNotNull() & (F.col("probability") >= m.threshold))
         .withColumn("family", F.when(F.col("called"), F.col("family")))
-        .withColumn("triples", F.when(F.size("triples") > 0, F.col("triples")).otherwise(F.col("all")))
     )
     alike = F.size(F.array_intersect(F.col("s.triples"), F.col("t.triples"))) / F.size(F.col("t.triples"))
     compared = (
