@@ -40,7 +40,7 @@ NAMES = sorted({s for _, s in SCRIPTS})
 BITS = 16
 #: A language has a script if so much of its training letters are in it.
 SCRIPT_SHARE = 0.001
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 UNDETERMINED = "und"
 
 
@@ -106,10 +106,11 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict = defaultdict(lambda: np.zeros(2**BITS + len(NAMES), np.int64))
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                texts, langs = (c.to_pylist() for c in batch.slice(k, 256).columns)
-                for lang in set(langs):
-                    b = block_of([t for t, own in zip(texts, langs) if own == lang])
+            texts, langs = (c.to_pylist() for c in batch.columns)
+            for lang in set(langs):
+                own = [t for t, x in zip(texts, langs) if x == lang]
+                for a, z in _blocks(own):
+                    b = block_of(own[a:z])
                     found[lang] += np.bincount(np.concatenate([b.feature, b.script + 2**BITS]), minlength=2**BITS + len(NAMES))
         for lang, counts in found.items():
             some = np.flatnonzero(counts)
