@@ -298,7 +298,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = rows.where("n > 0").groupBy("owner", "n").agg(F.min(F.struct("id", "text_hash")).alias("pick"), F.min("id").alias("least"))
     lows, _, spares = (F.array(*(F.lit(int(x)) for x in c)) for c in _size_classes(t))
     size_class = F.size(F.filter(lows, lambda x: x <= F.col("n")))
-    may = classes.withColumn("even", F.col("owner").bitwiseAND(F.lit(-2))).join(shared, "even").where(F.col("shared") > F.try_element_at(spares, size_class - F.col("role")))
+    may = classes.withColumn("even", F.col("owner").bitwiseAND(F.lit(-2))).join(shared, "even").where(F.col("shared") > F.element_at(spares, F.greatest(F.lit(1), size_class - F.col("role"))))
     chosen = written(may.select("owner", "pick.id", "pick.text_hash").distinct(), "chosen")
     listed = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
     picked = slim.alias("s").join(
