@@ -44,9 +44,9 @@ SPARE, SPARE_PER = 2, 8
 #: Fragments of a set in which partial overlaps are counted.
 PARTS = 4
 #: Keys that a task holds before it sends them.
-KEYS_AT_ONCE = 2_000_000
+KEYS_AT_ONCE = 1_000_000
 #: Word hashes that a task remembers.
-MEMORY = 1_000_000
+MEMORY = 400_000
 #: Ids that are broadcast at most (24 bytes each); above, they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15

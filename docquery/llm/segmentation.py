@@ -175,7 +175,7 @@ def encode(
     item = pa.list_(pa.struct([("score", pa.int64()), ("ids", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = paths_of(vocabulary.value, n_best)
+        paths = Paths(lattice(vocabulary.value), n_best)  # let go after the task: other operators may follow in this process
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
