@@ -20,6 +20,9 @@ joined instead of documents.
 5. Components don't need every pair. In the first round each prefix n-gram
    compares its sets with one leader. In the second, all pairs whose sets are
    then still in different components are compared.
+6. Links lie within components, so they are counted there: a component is cut
+   into blocks of classes, every two blocks meet once, and only the counts of
+   their classes leave the task.
 """
 
 from __future__ import annotations
@@ -45,6 +48,8 @@ SPARE, SPARE_PER = 2, 8
 PARTS = 4
 #: Keys that a task holds before it sends them.
 KEYS_AT_ONCE = 1_000_000
+#: N-grams and classes of a block in which links are counted, about.
+GRAMS_AT_ONCE, CLASSES_AT_ONCE = 1_000_000, 1024
 #: Word hashes that a task remembers.
 MEMORY = 400_000
 #: Ids that are broadcast at most (24 bytes each); above, they are joined by shuffling.
@@ -272,17 +277,73 @@ def _links(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return sums.where((100 + t) * F.col("both") >= t * (F.col("n_x") + F.col("n_y"))).select("x", "y")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: int = 80) -> DataFrame:
-    """One row per document: (id, text_hash, n_shingles, component, component_id).
+def _linked(one: list[np.ndarray], two: list[np.ndarray], t: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of one its place, and the places of the sets of two that
+    reach the threshold with it."""
+    sizes = np.array([len(g) for g in two])
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    starts = np.r_[0, np.cumsum(sizes)]
+    all_, ids = np.unique(np.concatenate([two[k] for k in order]), return_inverse=True)
+    has = np.zeros(len(all_), np.int32)
+    for k, grams in enumerate(one):
+        low, high = np.searchsorted(100 * sizes, t * len(grams)), np.searchsorted(t * sizes, 100 * len(grams), "right")
+        if low < high:
+            at = np.searchsorted(all_, grams)
+            at = at[at < len(all_)]
+            at = at[np.isin(all_[at], grams)]
+            has[at] = 1
+            both = np.add.reduceat(has[ids[starts[low] : starts[high]]], starts[low:high] - starts[low])
+            has[at] = 0
+            yield k, order[low:high][(100 + t) * both >= t * (sizes[low:high] + len(grams))]
+
+
+def _link_counts(sets: DataFrame, members: DataFrame, t: int) -> DataFrame:
+    """(owner, linked): the number of documents in the other classes that each
+    class links with. members: (owner, root, members) of the classes of
+    components with more than one; sets: (owner, n, grams)."""
+    own = sets.join(members, "owner")
+    blocks = own.groupBy("root").agg(F.greatest(_ceil(F.sum("n"), GRAMS_AT_ONCE), _ceil(F.count("*"), CLASSES_AT_ONCE)).cast("int").alias("blocks"))
+    dealt = (
+        own.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("owner"), F.col("blocks")).cast("int"))
+        .select("root", "owner", "members", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("second"), "owner", "members", "grams")
+    )
+
+    def meet(table: pa.Table) -> pa.Table:
+        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+        second = table.column("second").to_numpy()
+        owners, members = table.column("owner").to_numpy(), table.column("members").to_numpy()
+        grams = [g.values.to_numpy() for g in table.column("grams")]
+        one = np.flatnonzero(~second)
+        two = one if i == j else np.flatnonzero(second)
+        count = np.zeros(len(owners), np.int64)
+        if len(one) and len(two):
+            for k, found in _linked([grams[x] for x in one], [grams[x] for x in two], t):
+                found = two[found]
+                found = found[found != one[k]]
+                count[one[k]] += members[found].sum()
+                if i != j:
+                    count[found] += members[one[k]]
+        return pa.table({"owner": pa.array(owners, pa.int64()), "linked": pa.array(count)})
+
+    return dealt.groupBy("root", "i", "j").applyInArrow(meet, "owner bigint, linked bigint").groupBy("owner").agg(F.sum("linked").alias("linked"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: int = 80, links: bool = True) -> DataFrame:
+    """One row per document: (id, text_hash, n_shingles, component, component_id,
+    n_links); n_links only if links are asked for.
 
     Two documents link when 100 * |A and B| >= threshold * |A or B| for their
     sets of n_words-word shingles; component_id is the smallest id reachable by
     links. component is the component's own key: equal for the documents of a
-    component, also where ids are null or repeated.
+    component, also where ids are null or repeated. n_links is the number of
+    other documents that the document links with, those with an equal set
+    included.
 
     Only the two columns are read, so others may have any name. A null or empty
     text, or one without words, has an empty set, which links with nothing: its
-    component_id is its own id and its component null. A null id never is a
+    component_id is its own id, its component null and n_links 0. A null id never is a
     component_id unless all ids of the component are null. Repeated rows are
     documents of their own with equal sets, so they are linked. An empty table
     gives an empty result. Sets are compared by 64-bit hashes of shingles, and
@@ -295,7 +356,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(_documents(slim, n_words), "sets")
     shared = _shared_keys(slim, n_words, t, n_parts).groupBy("owner").agg(F.sum("n").alias("shared"))
     shared = shared.select(F.col("owner").bitwiseAND(F.lit(-2)).alias("even"), F.col("owner").bitwiseAND(F.lit(1)).cast("int").alias("role"), "shared")
-    classes = rows.where("n > 0").groupBy("owner", "n").agg(F.min(F.struct("id", "text_hash")).alias("pick"), F.min("id").alias("least"))
+    classes = rows.where("n > 0").groupBy("owner", "n").agg(F.min(F.struct("id", "text_hash")).alias("pick"), F.min("id").alias("least"), F.count("*").alias("members"))
     lows, _, spares = (F.array(*(F.lit(int(x)) for x in c)) for c in _size_classes(t))
     size_class = F.size(F.filter(lows, lambda x: x <= F.col("n")))
     may = classes.withColumn("even", F.col("owner").bitwiseAND(F.lit(-2))).join(shared, "even").where(F.col("shared") > F.element_at(spares, F.greatest(F.lit(1), size_class - F.col("role"))))
@@ -324,11 +385,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rooted_classes = classes.join(found.withColumnRenamed("node", "owner"), "owner", "left").withColumn("root", F.coalesce("root", "owner"))
     least = rooted_classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted_classes.join(least, "root").select("owner", F.col("root").alias("component"), "component_id")
+    named = rooted_classes.join(least, "root").select("owner", F.col("root").alias("component"), "component_id", (F.col("members") - 1).alias("n_links"))
+    if links:
+        nodes = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "owner")
+        counts = written(_link_counts(sets, nodes.join(classes.select("owner", "members"), "owner"), t), "counts")
+        named = named.join(counts, "owner", "left").withColumn("n_links", F.col("n_links") + F.coalesce("linked", F.lit(0))).drop("linked")
     out = rows.where("n > 0").join(named, "owner").unionByName(
-        rows.where("n = 0").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("id")), allowMissingColumns=True
+        rows.where("n = 0").withColumn("component", F.lit(None).cast("long")).withColumn("component_id", F.col("id")).withColumn("n_links", F.lit(0).cast("long")), allowMissingColumns=True
     )
-    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), "component", "component_id")
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), "component", "component_id", *["n_links"] * links)
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -63,9 +63,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Set size and component of every text, on three-word shingles at 0.9."""
+    """Set size, component and number of links of every text, on three-word
+    shingles at 0.9."""
     found = near_duplicates(table(spark, sf_dir, "documents"), n_words=3, threshold=90)
-    return found.select("doc_id", "n_shingles", "component_id")
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

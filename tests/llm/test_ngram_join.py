@@ -123,3 +123,18 @@ def test_components_of_chains_and_stars(spark):
     for group in (nodes[:151], nodes[200:260], [1000, 1001]):
         assert {got.get(x, x) for x in group} == {min(group)}
     assert components(spark.createDataFrame([], "x long, y long")).collect() == []
+
+
+@pytest.mark.parametrize("seed, n, t, at_once", [(1, 3, 90, 1024), (3, 5, 80, 7)])
+def test_links_equal_those_of_all_pairs(spark, monkeypatch, seed, n, t, at_once):
+    monkeypatch.setattr(nj, "CLASSES_AT_ONCE", at_once)
+    rows = corpus(seed)
+    sets = []
+    for _, text in rows:
+        w = [x.translate({i: i + 32 for i in range(65, 91)}) for x in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set())
+    fits = lambda a, b: bool(a & b) and 100 * len(a & b) >= t * len(a | b)
+    want = {k: sum(fits(a, b) for j, b in enumerate(sets) if i != j) for i, ((k, _), a) in enumerate(zip(rows, sets))}
+    assert max(want.values()) > 8
+    got = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n_words=n, threshold=t).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
