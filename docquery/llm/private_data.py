@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import ahocorasick
 import pyarrow as pa
@@ -29,7 +30,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[A-Za-z0-9\[][^\s<>\"'`{}|\\^]*")
 _IBAN = re.compile(r"\W{0,3}(?P<v>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-_VALUE = re.compile(r"(?:[ _-](?:no\.?|number|id|key))?[ \t]{0,3}(?:[:=#]|is )[ \t]{0,3}[\"']?(?P<v>[A-Za-z0-9][A-Za-z0-9_/+=.-]{4,254}[A-Za-z0-9=])(?![A-Za-z0-9])")
+_VALUE = re.compile(r"(?i:[ _-](?:no\.?|number|id|key))?[ \t]{0,3}(?:[:=#]|(?i:is) )[ \t]{0,3}[\"']?(?P<v>[A-Za-z0-9][A-Za-z0-9_/+=.-]{4,}[A-Za-z0-9=])(?![A-Za-z0-9])")
 _AFTER_URL = ".,;:!?)]"
 
 FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
@@ -42,8 +43,8 @@ def _automaton() -> ahocorasick.Automaton:
     for s in ("@", "+", "://", *"0123456789"):
         a.add_word(s, (s if not s.isdigit() else "0", len(s)))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, ("cue", len(form)))
+        for form in product(*({c, c.upper()} for c in cue)):  # at most 512 a cue
+            a.add_word("".join(form), ("cue", len(form)))
     a.make_automaton()
     return a
 
@@ -117,7 +118,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             if start < at and (m := _URL_REST.match(text, at + 3)):
                 stop = at + 3 + len(m[0].rstrip(_AFTER_URL))
                 take("url", start, stop, stop > at + 3)
-        elif at >= end["account"] and not (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
+        elif at >= end["account"] and not (at and text[at - 1].isalnum()):
             if (m := _IBAN.match(text, last + 1)) and _is_iban(m["v"]):
                 take("account", m.start("v"), m.end("v"), True)
             elif m := _VALUE.match(text, last + 1):

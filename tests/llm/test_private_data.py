@@ -97,3 +97,25 @@ def test_query_columns(spark, tmp_path):
         assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         for k in KINDS[:4]:
             assert r[f"n_{k}"] == sum(s[0] == k for s in spans)
+
+
+JWT = "e1" * 100 + "." + "f2" * 100 + "." + "a3" * 20
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("token = " + "a1" * 150, "a1" * 150),
+        (f"token = {JWT}. Next", JWT),
+        ("DB_PASSWORD=abc123def", "abc123def"),
+        ("GITHUB_TOKEN=ghp_0123456789", "ghp_0123456789"),
+        ("AWS_SECRET_ACCESS_KEY=abcd/1234+efg", "abcd/1234+efg"),
+        ("x-api-Key: k12345678", "k12345678"),
+        ("API-Key: k12345678", "k12345678"),
+        ("Api-Key: k12345678", "k12345678"),
+        ("ACCOUNT NO: 00123-456.", "00123-456"),
+    ],
+)
+def test_whole_values_after_any_cue(text, value):
+    assert [text[a:b] for k, a, b in find_spans(text) if k == "account"] == [value]
+    assert value not in redact(text, find_spans(text)) and value[-9:] not in redact(text, find_spans(text))
