@@ -204,7 +204,7 @@ def corrected_documents(spark, sf_dir):
 
 @query()
 def sentence_split(spark, sf_dir):
-    return sm.explode_units(table(spark, sf_dir, "documents"), ["doc_id"], "text", 800)
+    return sm.explode_units(table(spark, sf_dir, "documents"), ["doc_id"], "text")
 
 
 @query(r"""

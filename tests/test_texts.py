@@ -144,3 +144,12 @@ def test_model_chunks(spark):
     answer = "---\nSumber: UU 1\nStruktur: BAB I, Pasal 7 x\n---\nIsi\n===CHUNK_BOUNDARY===\n\n===CHUNK_BOUNDARY===\ntanpa kepala"
     got = chunking.parse_model_chunks(spark.createDataFrame([(1, answer)], "k int, a string"), "k", "a").orderBy("position").collect()
     assert [(r.source, r.label, r.body) for r in got] == [("UU 1", "7", "Isi"), ("", "", "tanpa kepala")]
+
+
+def test_sentence_split_keeps_long_units(spark, tmp_path):
+    from docquery.plans.texts import sentence_split
+
+    texts = ["w" * 900, "word " * 400 + "end. " + "Next sentence of more than sixty characters, so that it stays a unit.", "Short of all but sixty characters, so that this is a unit too."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.unit_no, len(r.unit)) for r in sentence_split(spark, str(tmp_path)).collect())
+    assert got == [(0, 0, 900), (1, 0, 2004), (1, 1, 69), (2, 0, len(texts[2]))]
