@@ -7,7 +7,8 @@ vocabulary are cut into n-grams, joined with the table, and the weights are
 summed per paragraph; softmax and the calibrated threshold follow as columns. A
 prediction is confirmed by comparing the paragraph with the family's templates.
 Paragraphs without such a word have no n-gram with a weight, so leaving them out
-changes nothing.
+changes nothing. A paragraph is a line; besides, lines between blank ones are
+scored joined, for texts that are wrapped.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ STOPS = frozenset("a an and any are as at be by can for from has have if in is i
 #: What separates words besides space: everything but letters, digits, dots inside numbers and bytes of other scripts.
 PUNCTUATION = "\t\n\v\f\r,;:!?()[]{}<>\"'`“”’/\\|*#$%&_=+@~^-"
 
+#: A line break, and lines without words after it.
+BLANK = r"\n[\x00-\x20.,;:!?()\[\]{}<>\"'`“”’/\\|*#$%&_=+@~^-]*\n"
+
 
 def words_of(text: str) -> list[str]:
     """Lower-case words; the same as _words for columns."""
@@ -154,15 +158,18 @@ def scan_licenses(
     likeness: float = 0.6,
     model: Model | None = None,
 ) -> DataFrame:
-    """(id, licenses) for every row of docs; licenses: array of (paragraph,
+    """(id, licenses, passages) for every row of docs; licenses: array of (paragraph,
     family, probability, template, likeness, confirmed), by paragraph (the
     number of the \\n-separated line, from 0), for the paragraphs whose most
     probable family reaches the model's threshold. likeness is the share of a
     template's word triples that the paragraph has, for the family's template
     that is most alike; at `likeness` or more it confirms the prediction.
+    passages: the same of the confirmed passages (lines joined up to one without
+    words, numbered from 0; only those of several lines) whose family no line
+    of the text confirms.
 
     Only the two columns are read, so others may have any name. A text without
-    such paragraphs, empty or null, has an empty array; a null id stays null;
+    such paragraphs, empty or null, has empty arrays; a null id stays null;
     repeated rows are scanned one by one; an empty table gives an empty result.
     Among equal probabilities the family named first in the fixed texts wins,
     among equal likeness the first template in code point order.
@@ -170,18 +177,22 @@ def scan_licenses(
     m = model or fit()
     weights, templates = _tables(docs.sparkSession, m)
     cues = F.array(*map(F.lit, m.cues))
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("lines"))
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("lines"), F.coalesce(text_col, F.lit("")).alias("whole"))
     lines = F.filter(
-        F.transform("lines", lambda x, i: F.struct(i.alias("paragraph"), _words(x).alias("words"))), lambda s: F.arrays_overlap(s["words"], cues)
+        F.transform("lines", lambda x, i: F.struct(F.lit(False).alias("joined"), i.alias("paragraph"), _words(x).alias("words"))), lambda s: F.arrays_overlap(s["words"], cues)
     )
-    some = rows.select("id", "row", F.explode_outer(lines).alias("p")).select("id", "row", "p.paragraph", "p.words")
+    passages = F.transform(F.split("whole", BLANK), lambda x, i: F.struct(F.lit(True).alias("joined"), i.alias("paragraph"), F.when(F.contains(F.trim(x, F.lit("\n")), F.lit("\n")), _words(x)).alias("words")))
+    passages = F.filter(passages, lambda s: F.coalesce(F.arrays_overlap(s["words"], cues), F.lit(False)))
+    # A text without such a line has no such passage; the lines are named once, so that they are cut once.
+    both = F.transform(F.array(lines), lambda x: F.when(F.size(x) > 0, F.concat(x, passages)).otherwise(x))[0]
+    some = rows.select("id", "row", F.explode_outer(both).alias("p")).select("id", "row", F.coalesce("p.joined", F.lit(False)).alias("joined"), "p.paragraph", "p.words")
     # One null stands for the paragraph itself; of its n-grams only those of the table go on.
     own = F.coalesce(_grams(F.col("words")), F.array().cast("array<string>"))
-    grams = some.select("id", "row", "paragraph", F.explode(F.array_append(own, F.lit(None).cast("string"))).alias("gram"))
+    grams = some.select("id", "row", "joined", "paragraph", F.explode(F.array_append(own, F.lit(None).cast("string"))).alias("gram"))
     k = len(m.families)
     sums = [F.sum(F.col("w")[i]) for i in range(k)]
     scored = (
-        grams.join(F.broadcast(weights), "gram", "left").where("gram is null or w is not null").groupBy("id", "row", "paragraph")
+        grams.join(F.broadcast(weights), "gram", "left").where("gram is null or w is not null").groupBy("id", "row", "joined", "paragraph")
         .agg(*(F.coalesce(s, F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(sums)), F.collect_set(F.when(F.size(F.split("gram", " ")) == N_GRAM, F.col("gram"))).alias("triples"))
         .withColumn("z", F.array(*((F.col(f"s{i}") + float(m.bias[i])) * m.temperature for i in range(k))))
         .withColumn("top", F.array_max("z"))
@@ -195,16 +206,19 @@ def scan_licenses(
     )
     alike = F.size(F.array_intersect(F.col("s.triples"), F.col("t.triples"))) / F.size(F.col("t.triples"))
     compared = (
-        scored.select("id", "row", "paragraph", "family", "probability", "triples").alias("s")
+        scored.select("id", "row", "joined", "paragraph", "family", "probability", "triples").alias("s")
         .join(F.broadcast(templates.alias("t")), F.col("s.family") == F.col("t.family"), "left")
-        .select("id", "row", "paragraph", "s.family", "probability", "template", F.coalesce(alike, F.lit(0.0)).alias("alike"))
+        .select("id", "row", "joined", "paragraph", "s.family", "probability", "template", F.coalesce(alike, F.lit(0.0)).alias("alike"))
     )
-    found = compared.groupBy("id", "row", "paragraph").agg(
+    found = compared.groupBy("id", "row", "joined", "paragraph").agg(
         F.first("family").alias("family"), F.first("probability").alias("probability"), F.max("alike").alias("likeness"),
         F.min(F.struct(-F.col("alike"), "template"))["template"].alias("template"),
     )
     hit = F.struct("paragraph", "family", "probability", "template", "likeness", (F.col("likeness") >= likeness).alias("confirmed"))
-    return found.groupBy("id", "row").agg(F.sort_array(F.collect_list(F.when(F.col("family").isNotNull(), hit))).alias("licenses")).select(F.col("id").alias(id_col), "licenses")
+    hits = lambda which: F.sort_array(F.collect_list(F.when(which & F.col("family").isNotNull(), hit)))
+    kept = found.groupBy("id", "row").agg(hits(~F.col("joined")).alias("licenses"), hits(F.col("joined") & (F.col("likeness") >= likeness)).alias("passages"))
+    sure = F.transform(F.filter("licenses", lambda x: x["confirmed"]), lambda x: x["family"])
+    return kept.select(F.col("id").alias(id_col), "licenses", F.filter("passages", lambda x: ~F.array_contains(sure, x["family"])).alias("passages"))
 
 
 def predict(m: Model, paragraph: str) -> tuple[str, float]:

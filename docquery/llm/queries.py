@@ -56,9 +56,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id",
-        F.size("licenses").cast("long").alias("n_licenses"),
-        F.array_sort(F.array_distinct(F.transform(F.filter("licenses", lambda x: x["confirmed"]), lambda x: x["family"]))).alias("families"),
+        (F.size("licenses") + F.size("passages")).cast("long").alias("n_licenses"),
+        F.array_sort(F.array_distinct(F.transform(F.filter(F.concat("licenses", "passages"), lambda x: x["confirmed"]), lambda x: x["family"]))).alias("families"),
         F.col("licenses"),
+        F.col("passages"),
     )
 
 

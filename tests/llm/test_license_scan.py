@@ -56,3 +56,38 @@ def test_scan_equals_scoring_each_paragraph(spark):
     assert [x for x in found if x not in wanted] == [x for x in wanted if x not in found] == []
     assert sum(len(r.licenses) for r in got) > 60
     assert ls.scan_licenses(df.limit(0)).collect() == []
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer."""
+GPL = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,"""
+
+
+def test_wrapped_texts(spark, tmp_path):
+    from docquery.llm.queries import op4_license_scan
+
+    texts = [MIT, BSD, GPL, "thernd\n\n" + MIT + "\n\n" + BSD, "She holds a license\nto drive, free of charge", "\n" * 5000 + "x\nfree", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.families for r in op4_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {0: ["mit"], 1: ["bsd"], 2: ["gpl"], 3: ["bsd", "mit"], 4: [], 5: [], 6: []}
