@@ -58,9 +58,10 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     """A deterministic stand-in for a model: words hashed to signed components,
     to length one. Queries and documents must use the same one."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(
-        words, F.lit(0.0), lambda a, w: a + F.when(F.pmod(F.xxhash64(w), F.lit(dim)) == i, F.when(F.crc32(w.cast("binary")) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(0.0)
-    ))
+    # From 1, with its sign; named once, so that a text is cut once and not once per component.
+    codes = F.transform(words, lambda w: ((F.pmod(F.xxhash64(w), F.lit(dim)) + 1) * F.when(F.crc32(w.cast("binary")) % 2 == 0, 1).otherwise(-1)).cast("int"))
+    times = lambda c, i: F.size(c) - F.size(F.array_remove(c, i))
+    counts = F.transform(F.array(codes), lambda c: F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: (times(c, i) - times(c, -i)).cast("double")))[0]
     return F.transform(unit(counts), lambda x: x.cast("float"))
 
 
@@ -81,11 +82,19 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid"
             part = part.dropna()
             if not len(part) or not len(ids):
                 continue
-            scores = np.stack(part[vector].to_numpy()).astype(float) @ sent.value.T
+            rows = np.stack(part[vector].to_numpy()).astype(float)
+            scores_of = lambda at: rows @ sent.value[at : at + 256].T  # noqa: E731, B023
             keys = part[key].to_numpy()
-            for j, q in enumerate(ids):
-                top = np.lexsort((keys, -np.round(scores[:, j], 12)))[:k]
-                yield pd.DataFrame({qid: [q] * len(top), key: keys[top], "score": scores[top, j]})
+            for at in range(0, len(ids), 256):
+                some = scores_of(at)
+                near = np.round(some, 12)
+                least = np.partition(near, max(0, len(near) - k), axis=0)[max(0, len(near) - k)]
+                j, row = np.nonzero((near >= least).T)
+                order = np.lexsort((keys[row], -near[row, j], j))
+                j, row = j[order], row[order]
+                top = np.arange(len(j)) - np.searchsorted(j, j) < k
+                j, row = j[top], row[top]
+                yield pd.DataFrame({qid: [ids[at + x] for x in j], key: keys[row], "score": some[row, j]})
 
     found = vectors.select(key, vector).mapInPandas(best, f"{qid} {kinds[0]}, {key} {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.round("score", 12).desc(), key))

@@ -155,10 +155,10 @@ def uncertain_answer(spark, sf_dir):
 @query()
 def best_sentence(spark, sf_dir):
     """The best quote of each document for a stated question, by hashed words."""
-    units = sm.explode_units(table(spark, sf_dir, "benchmark"), ["item_id"], "text", 800)
+    units = sm.explode_units(table(spark, sf_dir, "documents"), ["doc_id"], "text", 800)
     asked = v.hash_embedding(F.lit("the thing that rents"), 32)
     scored = units.withColumn("score", v.dot(v.hash_embedding(F.col("unit"), 32), asked))
-    return sm.best_units(scored, ["item_id"], "score", 1).select("item_id", "unit_no", F.round("score", 6).alias("score"))
+    return sm.best_units(scored, ["doc_id"], "score", 1).select("doc_id", "unit_no", F.round("score", 6).alias("score"))
 
 
 @query("SELECT qid, valid FROM (VALUES (1, true), (2, false), (3, false), (4, false)) AS t(qid, valid)")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquery.operators import vectors as v
 from docquery.plans.registry import query, table
 
+#: Queries that are sent to the tasks at once.
+QUERIES_AT_ONCE = 4000
+
 
 @query("""
 SELECT e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
@@ -70,6 +76,10 @@ def base64_codec(spark, sf_dir):
 
 @query()
 def hash_embedding_topk(spark, sf_dir):
-    docs = table(spark, sf_dir, "benchmark").select("item_id", v.hash_embedding(F.col("text"), 32).alias("vector"))
-    q = docs.where("item_id < 5").select(F.col("item_id").alias("qid"), "vector")
-    return v.dense_top_k(q, docs, 3, key="item_id", vector="vector").select("qid", "item_id", F.round("score", 6).alias("score"), "rank")
+    """The stated queries are the documents whose ids 20 divides, in blocks, against all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", v.hash_embedding(F.col("text"), 32).alias("vector")).persist()
+    q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vector")
+    ends = [r[0] for r in q.select("qid").distinct().orderBy("qid").collect()][::QUERIES_AT_ONCE]
+    within = [(F.col("qid") >= a) & (F.col("qid") < b if b is not None else F.lit(True)) for a, b in zip(ends, [*ends[1:], None])]
+    found = [v.dense_top_k(q.where(w), docs, 3, key="doc_id", vector="vector") for w in within or [F.lit(True)]]
+    return reduce(DataFrame.unionByName, found).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")

@@ -204,3 +204,43 @@ def test_incremental_ingest(spark, tmp_path):
     spark.createDataFrame([(2, "B"), (3, "c")], "doc_id long, text string").write.mode("append").parquet(src)
     ingest.ingest_stream(spark, src, "doc_id long, text string", out, mark).awaitTermination()
     assert sorted(map(tuple, ingest.current(spark, out).collect())) == [(1, "a"), (2, "B"), (3, "c")]
+
+
+def test_quotes_and_search_take_all_documents(spark, tmp_path, monkeypatch):
+    import re
+    import zlib
+
+    from docquery.plans import rankings
+    from docquery.plans import vectors as plans
+
+    monkeypatch.setattr(plans, "QUERIES_AT_ONCE", 2)
+    rng = random.Random(3)
+    words = ["thing", "rents", "the", "that", "water", "trash", "a", "zero"]
+    texts = [". ".join(" ".join(rng.choices(words, k=20)).capitalize() for _ in range(rng.randrange(1, 5))) + "." for _ in range(90)] + ["w" * 900, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def embed(text):
+        out = np.zeros(32)
+        for w in re.findall(r"[^\W_]+", (text or "").lower()):
+            out[codes[w][0]] += codes[w][1]
+        return (out / (np.linalg.norm(out) or 1)).astype(np.float32).astype(float)
+
+    seen = spark.createDataFrame([(w,) for w in [*words, "w" * 900]], "w string")
+    codes = {r.w: (r.i, 1 if zlib.crc32(r.w.encode()) % 2 == 0 else -1) for r in seen.select("w", F.expr("pmod(xxhash64(w), 32)").alias("i")).collect()}
+    vectors = [embed(t) for t in texts]
+    got = {}
+    for r in plans.hash_embedding_topk(spark, str(tmp_path)).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.doc_id, r.score))
+    assert sorted(got) == [0, 20, 40, 60, 80]
+    for q, found in got.items():
+        scores = [vectors[q] @ x for x in vectors]
+        want = sorted(range(len(texts)), key=lambda i: (-round(scores[i], 12), i))[:3]
+        assert [x[:2] for x in sorted(found)] == [(n + 1, i) for n, i in enumerate(want)] and all(abs(scores[i] - s) < 1e-5 for _, i, s in found)
+    asked = embed("the thing that rents")
+    quotes = {r.doc_id: (r.unit_no, r.score) for r in rankings.best_sentence(spark, str(tmp_path)).collect()}
+    units = {}
+    for r in sm.explode_units(df, ["doc_id"], "text", 800).collect():
+        units.setdefault(r.doc_id, []).append((-round(float(embed(r.unit) @ asked), 9), r.unit_no))
+    assert set(quotes) == set(units) and len(quotes) > 80
+    assert all(quotes[i][0] == min(u)[1] and abs(quotes[i][1] + min(u)[0]) < 1e-5 for i, u in units.items())
