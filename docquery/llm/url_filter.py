@@ -13,6 +13,7 @@ import hashlib
 import os
 import tempfile
 from collections.abc import Iterator, Sequence
+from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -97,11 +98,14 @@ def candidates(host: str, path: str, labels: int, lengths: Sequence[int]) -> lis
 
 
 def _entries(rules, listed) -> dict[str, int]:
-    found = {k.translate(ASCII_LOWER): LISTED for k in listed}
-    for action, key in rules:
-        host, slash, rest = key.partition("/")
-        found[host.translate(ASCII_LOWER) + slash + rest] = VERDICTS.index(action)
-    return found
+    found = {_key(k): LISTED for k in listed}
+    return found | {_key(k): VERDICTS.index(action) for action, k in rules}
+
+
+def _key(key: str) -> str:
+    """An entry with A-Z lower-cased in its host; paths stay as they are."""
+    host, slash, rest = key.partition("/")
+    return host.translate(ASCII_LOWER) + slash + rest
 
 
 def filter_urls(
@@ -127,10 +131,14 @@ def filter_urls(
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
     if isinstance(listed, DataFrame):
-        keys = listed.select(F.lower(listed.columns[0]).alias("k")).where("k is not null").distinct()
+        raw = F.col(f"`{listed.columns[0]}`")
+        host = F.substring_index(raw, "/", 1)
+        lower = F.translate(host, ascii_uppercase, ascii_lowercase)
+        keys = listed.select(F.concat(lower, F.substring(raw, F.length(host) + 1, F.length(raw))).alias("k")).where("k is not null").distinct()
         some = [r.k for r in keys.limit(max_keys + 1).collect()]
         if len(some) > max_keys:
-            return _by_join(filter_urls(pages, rules, (), id_col, url_col), keys, id_col)
+            own = [_key(k) for _, k in rules]  # a rule takes the place of an equal key
+            return _by_join(filter_urls(pages, rules, (), id_col, url_col), keys.where(~F.col("k").isin(own)) if own else keys, id_col)
         listed = some
     entries = _entries(rules, listed)
     name = _published(spark, entries)
@@ -179,20 +187,19 @@ def _published(spark: SparkSession, entries: dict[str, int]) -> str:
 
 
 def _by_join(judged: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
-    """For block lists beyond the bound: all parent domains and all path
-    prefixes that end in a slash are joined with the keys. (Keys of such lists
-    therefore name a host, a folder or a whole path.)"""
+    """For block lists beyond the bound: all parent domains, with every path
+    prefix of a length that a key has, are joined with the keys. Only the
+    distinct lengths come to the driver."""
+    n = F.length("k") - F.length(F.substring_index("k", "/", 1))
+    lengths = F.array(*(F.lit(r[0]) for r in keys.select(n.alias("n")).distinct().orderBy("n").collect())).cast("array<int>")
     parts = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    steps = F.split("path", "/")
-    folders = F.transform(
-        F.sequence(F.lit(1), F.size(steps)), lambda i: F.concat(F.array_join(F.slice(steps, 1, i), "/"), F.when(i < F.size(steps), "/").otherwise(""))
-    )
-    tries = F.array_distinct(F.flatten(F.transform(ends, lambda h: F.transform(F.array_append(folders, F.lit("")), lambda p: F.concat(h, p)))))
+    heads = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    tries = F.flatten(F.transform(F.filter(ends, lambda h: h != ""), lambda h: F.transform(heads, lambda p: F.struct(F.concat(h, p).alias("k"), F.length(h).alias("n")))))
     rows = judged.withColumn("row_", F.monotonically_increasing_id())
     hits = (
-        rows.where("rule is null and host <> ''").select("row_", F.explode(tries).alias("k"))
-        .join(keys, "k").groupBy("row_").agg(F.max_by("k", F.length("k")).alias("hit_"))
+        rows.where("host <> ''").select("row_", F.explode(tries).alias("t")).select("row_", "t.k", "t.n")
+        .join(keys, "k").groupBy("row_").agg(F.max_by("k", F.struct(F.length("k"), "n")).alias("hit_"))
     )
     return rows.join(hits, "row_", "left").select(
         id_col, "host", "path", "rule", F.coalesce("hit_", "listed").alias("listed"),

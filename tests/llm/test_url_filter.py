@@ -59,3 +59,15 @@ def test_equal_digests_are_told_apart(tmp_path):
 @pytest.mark.parametrize("url, want", [("HTTP://A.B/C?d", ("a.b", "/C")), ("x", ("", "")), ("a://b#c", ("b", ""))])
 def test_split(url, want):
     assert split_url(url) == want
+
+
+def test_path_keys_fit_alike_on_both_ways(spark):
+    urls = ["http://example.com/adverts", "http://a.example.com/adv", "http://example.com/ad", "http://example.org/Ad/x", "http://EXAMPLE.org/ad/x", "http://b.net/x", "http://b.net/x/y?z", "http://www.b.net./x", "http://c.com/en/1", None]
+    keys = ["example.com/adv", "Example.ORG/Ad", "b.net/x/", "c.com/en/1", "d.com", None]
+    rules = (("allow", "c.com/en/"), ("block", "b.net/x"))
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([(k,) for k in keys], "k string")
+    want = [("example.com/adv", "block"), ("example.com/adv", "block"), (None, "allow"), ("example.org/Ad", "block"), (None, "allow"), (None, "block"), ("b.net/x/", "block"), (None, "allow"), ("c.com/en/1", "allow"), (None, "allow")]
+    for way in ({}, {"max_keys": 2}):
+        got = filter_urls(df, rules, listed, **way).orderBy("page_id").collect()
+        assert [(r.listed, r.verdict) for r in got] == want, way
