@@ -4,8 +4,11 @@ The public vocabulary is a byte-pair one whose scores are minus the rank of a
 merge. Here it is read as a unigram model with these scores (that is, the same
 file with the model type changed): the best segmentation has the largest sum.
 Placeholder scores (below -1e8, of runs of the space mark) become the worst
-ordinary score, since sums with them would lose all others in rounding. Scores
-are integers, so sums are exact.
+ordinary score, since sums with them would lose all others in rounding. A file
+of a unigram model is read as it is. Scores are single-precision numbers, summed
+in double precision per chunk: exact for ranks, and for log probabilities as far
+as 29 more bits go (sums that differ less than the tokenizer's own single
+precision shows may be ordered differently there).
 
 No piece has a space mark after another character, so every segmentation breaks
 before each run of space marks; and a character that no piece of two characters
@@ -24,33 +27,49 @@ import ahocorasick
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10
+#: Scores below this only say that a piece comes last.
+PLACEHOLDER = -1e8
 
 
 class Vocabulary(NamedTuple):
-    pieces: tuple[tuple[str, int, int], ...]  # piece, id, score
+    pieces: tuple[tuple[str, int, float], ...]  # piece, id, score
     byte_ids: tuple[int, ...]  # ids of the pieces of the 256 bytes
     unknown_id: int
-    unknown_score: int
+    unknown_score: float
 
     @classmethod
     def of(cls, names: list[str], scores: list[float], special: set[int], byte_ids: dict[int, int], unknown_id: int) -> Vocabulary:
-        normal = [i for i in range(len(names)) if i not in special and i not in byte_ids.values()]
-        worst = min((int(scores[i]) for i in normal if scores[i] > -1e8), default=0)
-        pieces = tuple((names[i], i, max(int(scores[i]), worst)) for i in normal)
+        if missing := set(range(256)) - set(byte_ids):
+            raise ValueError(f"{len(missing)} bytes have no piece; unknown characters can't be spelt")
+        bytes_ = set(byte_ids.values())
+        normal = [i for i in range(len(names)) if i not in special and i not in bytes_]
+        worst = min((float(scores[i]) for i in normal if scores[i] > PLACEHOLDER), default=0.0)
+        pieces = tuple((names[i], i, max(float(scores[i]), worst)) for i in normal)
         return cls(pieces, tuple(byte_ids[b] for b in range(256)), unknown_id, worst - UNKNOWN_PENALTY)
 
 
 @lru_cache(4)
 def load(path: str = DEFAULT_MODEL) -> Vocabulary:
     """Reads the file on the driver; operators send the vocabulary (about
-    1 MB) to the tasks, so executors need no such file."""
-    import sentencepiece
-
-    m = sentencepiece.SentencePieceProcessor(model_file=path)
-    ids = range(m.get_piece_size())
-    byte_ids = {int(m.id_to_piece(i)[3:5], 16): i for i in ids if m.is_byte(i)}
-    special = {i for i in ids if m.is_control(i) or m.is_unknown(i) or m.is_unused(i)}
-    return Vocabulary.of([m.id_to_piece(i) for i in ids], [m.get_score(i) for i in ids], special, byte_ids, m.unk_id())
+    1 MB) to the tasks, so executors need no such file. Files whose texts are
+    normalised otherwise than here, with pieces defined by the user or without
+    pieces of bytes are refused."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(path, "rb") as f:
+        m = sentencepiece_model_pb2.ModelProto.FromString(f.read())
+    n, kind = m.normalizer_spec, m.SentencePiece.Type
+    refused = {
+        "a normaliser": bool(n.precompiled_charsmap or n.normalization_rule_tsv), "no mark put first": not n.add_dummy_prefix, "spaces removed": n.remove_extra_whitespaces,
+        "spaces not marked": not n.escape_whitespaces, "marks put last": m.trainer_spec.treat_whitespace_as_suffix,
+        "pieces defined by the user": any(p.type == kind.USER_DEFINED for p in m.pieces),
+    }
+    if any(refused.values()):
+        raise ValueError(f"{path} has what isn't supported: {', '.join(k for k, v in refused.items() if v)}")
+    of = lambda *kinds: {i for i, p in enumerate(m.pieces) if p.type in kinds}
+    byte_ids = {int(m.pieces[i].piece[3:5], 16): i for i in of(kind.BYTE)}
+    special = of(kind.CONTROL, kind.UNKNOWN, kind.UNUSED)
+    return Vocabulary.of([p.piece for p in m.pieces], [p.score for p in m.pieces], special, byte_ids, min(of(kind.UNKNOWN)))
 
 
 def normalized(text: str | None) -> str:

@@ -23,7 +23,7 @@ from docquery.llm.pieces import DEFAULT_MODEL, SPACE, Lattice, Memo, Vocabulary,
 from docquery.llm.token_counts import MEMORY
 
 
-def n_best_paths(lat: Lattice, chunk: str, n: int) -> list[tuple[int, list[int]]]:
+def n_best_paths(lat: Lattice, chunk: str, n: int) -> list[tuple[float, list[int]]]:
     """Up to n (score, ids), best first. The first is the one that Viterbi
     takes: among equals, the longest last piece. Later ones of equal score come
     in the order of the search: nearer to the start first, then longer pieces."""
@@ -35,7 +35,7 @@ def n_best_paths(lat: Lattice, chunk: str, n: int) -> list[tuple[int, list[int]]
         into[b].append((a, score, i))  # longer pieces first
         if best[b] is None or best[a] + score > best[b]:
             best[b] = best[a] + score
-    found: list[tuple[int, list[int]]] = []
+    found: list[tuple[float, list[int]]] = []
     # (-(score of the path so far + forward score), start, order, score so far, path)
     queue: list = [(-best[size], size, 0, 0, None)]
     pushed = 0
@@ -54,7 +54,7 @@ def n_best_paths(lat: Lattice, chunk: str, n: int) -> list[tuple[int, list[int]]
     return found
 
 
-def best_path(lat: Lattice, chunk: str) -> tuple[int, int | None, bytes]:
+def best_path(lat: Lattice, chunk: str) -> tuple[float, float | None, bytes]:
     """The forward pass: (best score, loss of the second-best segmentation or
     None, ids of the best one as 32-bit little-endian numbers). Among equal sums
     the longest last piece wins."""
@@ -95,7 +95,7 @@ class Paths:
         self.best = Memo(lambda c: best_path(lat, c), MEMORY // 2)
         self.several = Memo(self._several, MEMORY // 20)
 
-    def _several(self, chunk: str) -> list[tuple[int, bytes]]:
+    def _several(self, chunk: str) -> list[tuple[float, bytes]]:
         found = n_best_paths(self.lat, chunk, self.n)
         return [(found[0][0] - s, struct.pack(f"<{len(ids)}i", *ids)) for s, ids in found]
 
@@ -106,7 +106,7 @@ def paths_of(vocabulary: Vocabulary, n: int) -> Paths:
     return Paths(lattice(vocabulary), n)
 
 
-def n_best_choices(losses: Sequence[Sequence[int]], n: int) -> list[tuple[int, dict[int, int]]]:
+def n_best_choices(losses: Sequence[Sequence[float]], n: int) -> list[tuple[float, dict[int, int]]]:
     """losses: per chunk the losses of its paths against its best, rising, from
     0. Returns up to n (loss, {chunk: path other than the first}), least first.
 
@@ -134,7 +134,7 @@ def n_best_choices(losses: Sequence[Sequence[int]], n: int) -> list[tuple[int, d
     return found
 
 
-def segment(paths: Paths, text: str | None) -> list[tuple[int, bytes]]:
+def segment(paths: Paths, text: str | None) -> list[tuple[float, bytes]]:
     """The n best (score, ids) of a text, best first. Only the n - 1 chunks
     whose second-best segmentations lose least can differ, so only these are
     searched for more."""
@@ -172,7 +172,7 @@ def encode(
     result. Among equal scores the order is that of n_best_paths.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Vocabulary) else load(model))
-    item = pa.list_(pa.struct([("score", pa.int64()), ("ids", pa.list_(pa.int32()))]))
+    item = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = Paths(lattice(vocabulary.value), n_best)  # let go after the task: other operators may follow in this process
@@ -183,7 +183,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([part.column(0), _packed(rows, item)], [id_col, "segmentations"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, segmentations array<struct<score: bigint, ids: array<int>>>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, segmentations array<struct<score: double, ids: array<int>>>")
 
 
 def survey(docs: DataFrame, n_best: int, id_col: str = "doc_id", text_col: str = "text", model: str | Vocabulary = DEFAULT_MODEL) -> DataFrame:
@@ -193,7 +193,7 @@ def survey(docs: DataFrame, n_best: int, id_col: str = "doc_id", text_col: str =
     32-bit little-endian numbers; n_pieces is of the best one; round_trip holds
     if all of them decode to the text. Odd rows as in encode."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(model if isinstance(model, Vocabulary) else load(model))
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.bool_()]
+    kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.bool_()]
     names = ["n_pieces", "scores", "ids_sha256", "round_trip"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def survey(docs: DataFrame, n_best: int, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_pieces bigint, scores array<bigint>, ids_sha256 array<string>, round_trip boolean")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_pieces bigint, scores array<double>, ids_sha256 array<string>, round_trip boolean")
 
 
 def _packed(rows: list, item: pa.DataType) -> pa.Array:
@@ -218,7 +218,7 @@ def _packed(rows: list, item: pa.DataType) -> pa.Array:
     ends = lambda sizes: pa.array(np.cumsum([0, *sizes]).astype(np.int32))
     ids = pa.array(np.frombuffer(b"".join(i for _, i in flat), "<i4"))
     lists = pa.ListArray.from_arrays(ends(len(i) // 4 for _, i in flat), ids)
-    scores = pa.array([s for s, _ in flat], pa.int64())
+    scores = pa.array([s for s, _ in flat], pa.float64())
     structs = pa.StructArray.from_arrays([scores, lists], fields=list(item.value_type))
     return pa.ListArray.from_arrays(ends(map(len, rows)), structs).cast(item)
 

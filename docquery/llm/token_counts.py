@@ -20,7 +20,7 @@ from docquery.llm.pieces import DEFAULT_MODEL, Lattice, Memo, Vocabulary, lattic
 MEMORY = 400_000
 
 
-def best_count(lat: Lattice, chunk: str) -> tuple[int, int]:
+def best_count(lat: Lattice, chunk: str) -> tuple[float, int]:
     """(score, pieces) of the best segmentation of a chunk."""
     n = len(chunk)
     best: list = [None] * (n + 1)

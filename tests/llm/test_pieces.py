@@ -1,4 +1,6 @@
+import hashlib
 import itertools
+import os
 import random
 
 import numpy as np
@@ -9,9 +11,11 @@ from hypothesis import strategies as st
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from docquery.llm.pieces import DEFAULT_MODEL, SPACE, Lattice, Vocabulary, lattice, load, normalized
+from docquery.llm.queries import op1_token_counts, op3_segmentation
 from docquery.llm.segmentation import Paths, best_path, decode, encode, n_best_choices, n_best_paths, segment, survey
 from docquery.llm.token_counts import best_count, count_tokens, counts as counts_of
 
+DATA = "/root/testdata/sf0.01"
 #: A small vocabulary with many ties: pieces with scores, then the 256 bytes.
 SMALL = {"▁": -3, "a": -2, "b": -2, "ab": -4, "ba": -4, "▁a": -5, "aba": -6, "bb": -3, "▁▁": -5, "é": -2}
 
@@ -121,6 +125,78 @@ def test_odd_rows(spark):
     assert count_tokens(df.limit(0)).collect() == [] and encode(df.limit(0)).collect() == []
 
 
+def as_unigram(path, change=lambda m: None):
+    """The public pieces as a unigram model with log probabilities that aren't
+    whole numbers (from the ranks), in a file of its own."""
+    m = proto.ModelProto()
+    with open(DEFAULT_MODEL, "rb") as f:
+        m.ParseFromString(f.read())
+    m.trainer_spec.model_type = 1
+    for i, p in enumerate(m.pieces):
+        if p.type == p.NORMAL:
+            p.score = -2.37 - np.log1p(i) - 0.61 * (len(p.piece) == 1)
+    change(m)
+    with open(path, "wb") as f:
+        f.write(m.SerializeToString())
+    return path
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_table_documents_on_a_unigram_file_equal_the_library(spark, tmp_path):
+    """Counts, ids and three best scores of all documents, real scores kept."""
+    path = as_unigram(str(tmp_path / "unigram.model"))
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").where("length(text) < 12000").orderBy("doc_id").select("doc_id", "text").collect()
+    docs = spark.createDataFrame(rows).repartition(4)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    counts = {r.doc_id: r.n_tokens for r in count_tokens(docs, model=path).collect()}
+    found = {r.doc_id: r.segmentations for r in encode(docs, n_best=3, model=path).collect()}
+    scores = {i: s for _, i, s in load(path).pieces}
+    assert len(rows) > 900
+    same = 0
+    total = lambda ids: sum(scores.get(i, 0) for i in ids)  # noqa: E731  bytes of unknown characters are the same in both
+    for r in rows:
+        want, own = library.encode(r.text), found[r.doc_id]
+        assert counts[r.doc_id] == len(own[0].ids)
+        same += own[0].ids == want
+        # The library sums a whole text in single precision: where two choices differ by less than it shows, it may take the worse one.
+        assert total(want) <= total(own[0].ids) + 1e-6 and total(own[0].ids) - total(want) <= 1e-6 * abs(total(want)) + 1e-6, r.doc_id
+        assert [s.score for s in own] == sorted((s.score for s in own), reverse=True)
+    assert same > 0.96 * len(rows)
+    short = [r for r in rows if r.text.isascii() and r.text.isprintable() and len(r.text) < 300]
+    for r in short:
+        want = [total(ids) for ids in library.nbest_encode_as_ids(r.text, 3)]
+        assert [s.score for s in found[r.doc_id]] == pytest.approx(want, abs=1e-3)
+    assert len(short) > 20
+
+
+def test_fractions_of_scores_decide():
+    names = ["▁", "a", "b", "ab"] + [f"<0x{b:02X}>" for b in range(256)] + ["<unk>"]
+    v = Vocabulary.of(names, [-1.0, -1.6, -1.7, -3.1] + [0.0] * 257, {260}, {b: 4 + b for b in range(256)}, 260)
+    assert best_count(lattice(v), "ab")[1] == 1
+
+
+@pytest.mark.parametrize("change", [
+    lambda m: setattr(m.normalizer_spec, "add_dummy_prefix", False), lambda m: setattr(m.normalizer_spec, "remove_extra_whitespaces", True),
+    lambda m: setattr(m.normalizer_spec, "precompiled_charsmap", b"x"), lambda m: setattr(m.pieces[500], "type", 4), lambda m: setattr(m.pieces[50], "type", 5),
+])
+def test_unsupported_files_are_refused(tmp_path, change):
+    with pytest.raises(ValueError):
+        load(as_unigram(str(tmp_path / f"other-{id(change)}.model"), change))
+
+
+def test_registered_queries(spark, tmp_path):
+    rows = [(i, t) for i, t in enumerate(texts())] + [(900, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    lat = lattice(load())
+    n = {r.doc_id: r.n_tokens for r in op1_token_counts(spark, str(tmp_path)).collect()}
+    best = {r.doc_id: r for r in op3_segmentation(spark, str(tmp_path)).collect()}
+    paths = Paths(lat, 3)
+    for i, t in rows:
+        found = segment(paths, t)
+        assert n[i] == len(found[0][1]) // 4 == best[i].n_pieces and best[i].round_trip
+        assert best[i].scores == [s for s, _ in found] and best[i].ids_sha256 == [hashlib.sha256(x).hexdigest() for _, x in found]
+
+
 def test_marks_inside_pieces_are_refused():
     with pytest.raises(ValueError):
         Lattice(small()._replace(pieces=(("a" + SPACE, 0, -1),)))
