@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from string import ascii_lowercase, ascii_uppercase
 
@@ -26,22 +27,31 @@ from docquery.llm.common import ASCII_LOWER
 
 ALLOW, BLOCK, LISTED = 0, 1, 2
 VERDICTS = ("allow", "block")
+#: Bytes of a block list that is mapped at most, and what a key takes besides its string.
+MAPPED_BYTES, KEY_BYTES = 64 * 2**20, 33
 _sent: set[tuple[str, str]] = set()
 RESULT = "host string, path string, rule string, listed string, verdict string"
 
 
 class DigestArray:
-    """Sorted digests with their strings, in one file that is mapped."""
+    """Sorted digests with their strings, in one file that is mapped: keys, and
+    the hosts of the keys with the lengths of the paths that each has, so that a
+    URL is probed with the prefixes that its own hosts ask for. Opening reads
+    the head only; its time doesn't depend on the number of keys."""
 
     def __init__(self, path: str):
-        head = np.fromfile(path, np.uint64, 4)
-        n, blob, self.labels, _ = (int(x) for x in head)
-        view = lambda kind, count, at: np.memmap(path, kind, "r", at, (count,))
-        self.digests = view(np.uint64, n, 32) if n else np.zeros(0, np.uint64)
-        self.offsets = view(np.uint64, n + 1, 32 + 8 * n)
-        self.codes = view(np.uint8, n, 40 + 16 * n) if n else np.zeros(0, np.uint8)
-        self.blob = view(np.uint8, blob, 40 + 17 * n) if blob else np.zeros(0, np.uint8)
-        self.lengths = sorted({len(k) - len(k.split("/", 1)[0]) for k in map(self.key, range(n))})
+        n, blob, hosts, paths, self.labels = (int(x) for x in np.fromfile(path, np.uint64, 5))
+        at = 40
+
+        def view(kind, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.memmap(path, kind, "r", at, (count,)) if count else np.zeros(0, kind)
+            at += count * np.dtype(kind).itemsize
+            return out
+
+        self.digests, self.offsets = view(np.uint64, n), view(np.uint64, n + 1)
+        self.hosts, self.path_ends = view(np.uint64, hosts), view(np.uint64, hosts + 1)
+        self.paths, self.codes, self.blob = view(np.uint32, paths), view(np.uint8, n), view(np.uint8, blob)
 
     def key(self, i: int) -> str:
         return self.blob[int(self.offsets[i]) : int(self.offsets[i + 1])].tobytes().decode()
@@ -50,11 +60,21 @@ class DigestArray:
     def build(entries: dict[str, int], path: str, digest=xxhash.xxh64_intdigest) -> None:
         order = sorted((digest(k.encode()), k) for k in entries)
         raw = [k.encode() for _, k in order]
-        labels = max((k.split("/", 1)[0].count(".") + 1 for k in entries), default=0)
+        lengths: dict[int, set[int]] = defaultdict(set)
+        labels = 0
+        for k in entries:
+            host = k.split("/", 1)[0]
+            labels = max(labels, host.count(".") + 1)
+            lengths[digest(host.encode())].add(len(k) - len(host))  # hosts of one digest share their lengths: a prefix too many finds no key
+        hosts = sorted(lengths)
+        per_host = [sorted(lengths[h]) for h in hosts]
         with open(path, "wb") as f:
-            f.write(np.array([len(order), sum(map(len, raw)), labels, 0], np.uint64).tobytes())
+            f.write(np.array([len(order), sum(map(len, raw)), len(hosts), sum(map(len, per_host)), labels], np.uint64).tobytes())
             f.write(np.array([d for d, _ in order], np.uint64).tobytes())
             f.write(np.cumsum([0, *map(len, raw)]).astype(np.uint64).tobytes())
+            f.write(np.array(hosts, np.uint64).tobytes())
+            f.write(np.cumsum([0, *map(len, per_host)]).astype(np.uint64).tobytes())
+            f.write(np.array([n for x in per_host for n in x], np.uint32).tobytes())
             f.write(np.array([entries[k] for _, k in order], np.uint8).tobytes())
             f.write(b"".join(raw))
 
@@ -73,6 +93,28 @@ class DigestArray:
             open_ = open_[at[open_] < len(self.digests)]
         return found
 
+    def candidates(self, split: Sequence[tuple[str, str]], digest=xxhash.xxh64_intdigest) -> tuple[list[str], list[int]]:
+        """Every string of an entry that could fit, and the (host, path) it is
+        from: the host and its parent domains, of as many labels as any entry
+        has, with the path prefixes of the lengths that this host's entries have."""
+        ends, owner = [], []
+        for i, (host, _) in enumerate(split):
+            parts = host.split(".")
+            for k in range(max(0, len(parts) - self.labels), len(parts)):
+                if end := ".".join(parts[k:]):
+                    ends.append(end), owner.append(i)
+        asked = np.fromiter((digest(e.encode()) for e in ends), np.uint64, len(ends))
+        at = np.searchsorted(self.hosts, asked)
+        known = np.flatnonzero(at < len(self.hosts))
+        known = known[self.hosts[at[known]] == asked[known]]
+        out, whose = [], []
+        for j in known:
+            path = split[owner[j]][1]
+            for n in self.paths[int(self.path_ends[at[j]]) : int(self.path_ends[at[j] + 1])]:
+                if n <= len(path):
+                    out.append(ends[j] + path[:n]), whose.append(owner[j])
+        return out, whose
+
 
 def split_url(url: str | None) -> tuple[str, str]:
     """Host with A-Z lower-cased and path; both empty without `://`."""
@@ -87,16 +129,6 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(ASCII_LOWER), path
 
 
-def candidates(host: str, path: str, labels: int, lengths: Sequence[int]) -> list[str]:
-    """Every string of an entry that could fit: the host and its parent domains
-    of as many labels as any entry has, with every path prefix of a length that
-    an entry has."""
-    parts = host.split(".")
-    ends = [".".join(parts[i:]) for i in range(max(0, len(parts) - labels), len(parts))]
-    heads = [path[:n] for n in lengths if n <= len(path)]
-    return [h + p for h in ends for p in heads if h]
-
-
 def _entries(rules, listed) -> dict[str, int]:
     found = {_key(k): LISTED for k in listed}
     return found | {_key(k): VERDICTS.index(action) for action, k in rules}
@@ -114,19 +146,19 @@ def filter_urls(
     listed: Sequence[str] | DataFrame = (),
     id_col: str = "page_id",
     url_col: str = "url",
-    max_keys: int = 20_000_000,
+    max_bytes: int = MAPPED_BYTES,
 ) -> DataFrame:
     """Judges every URL: the longest fitting rule decides; without one, an
     entry of the block list (`listed`) that fits blocks; the rest is allowed.
 
     pages: any DataFrame; only id_col and url_col are read, so other columns
     may have any name. rules: (allow or block, `host/path prefix`). listed: the
-    block list as strings, or a DataFrame whose first column has them; its
-    distinct keys are counted first, and above max_keys they are joined instead
-    of mapped (see _by_join). Nulls: a null URL has empty host and path and is
-    allowed; a null id stays null. Repeated rows are judged one by one; an
-    empty table gives an empty result. Ties between rules of one length go to
-    the longer host.
+    block list as strings, or a DataFrame whose first column has them; the size
+    of its distinct keys is summed first, and above max_bytes they are joined
+    instead of mapped (see _by_join), with the same result. Nulls: a null URL
+    has empty host and path and is allowed; a null id stays null. Repeated rows
+    are judged one by one; an empty table gives an empty result. Ties between
+    rules of one length go to the longer host.
     """
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
@@ -135,11 +167,11 @@ def filter_urls(
         host = F.substring_index(raw, "/", 1)
         lower = F.translate(host, ascii_uppercase, ascii_lowercase)
         keys = listed.select(F.concat(lower, F.substring(raw, F.length(host) + 1, F.length(raw))).alias("k")).where("k is not null").distinct()
-        some = [r.k for r in keys.limit(max_keys + 1).collect()]
-        if len(some) > max_keys:
+        size = keys.agg(F.coalesce(F.sum(F.octet_length("k") + KEY_BYTES), F.lit(0)).alias("n")).first().n
+        if size > max_bytes:
             own = [_key(k) for _, k in rules]  # a rule takes the place of an equal key
             return _by_join(filter_urls(pages, rules, (), id_col, url_col), keys.where(~F.col("k").isin(own)) if own else keys, id_col)
-        listed = some
+        listed = keys.toArrow().column("k").to_pylist()
     entries = _entries(rules, listed)
     name = _published(spark, entries)
 
@@ -148,11 +180,7 @@ def filter_urls(
         for batch in batches:
             ids, urls = batch.columns
             split = [split_url(u) for u in urls.to_pylist()]
-            asked, owner = [], []
-            for i, (host, path) in enumerate(split):
-                mine = candidates(host, path, array.labels, array.lengths)
-                asked += mine
-                owner += [i] * len(mine)
+            asked, owner = array.candidates(split)
             best: list = [None] * len(split)
             hit: list = [None] * len(split)
             found = array.probe(asked)
@@ -187,18 +215,18 @@ def _published(spark: SparkSession, entries: dict[str, int]) -> str:
 
 
 def _by_join(judged: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
-    """For block lists beyond the bound: all parent domains, with every path
-    prefix of a length that a key has, are joined with the keys. Only the
-    distinct lengths come to the driver."""
-    n = F.length("k") - F.length(F.substring_index("k", "/", 1))
-    lengths = F.array(*(F.lit(r[0]) for r in keys.select(n.alias("n")).distinct().orderBy("n").collect())).cast("array<int>")
+    """For block lists beyond the bound: the parent domains of a URL are joined
+    with the hosts of the keys, which have the path lengths of their keys, and
+    the prefixes of these lengths with the keys."""
+    host = F.substring_index("k", "/", 1)
+    hosts = keys.groupBy(host.alias("end")).agg(F.collect_set((F.length("k") - F.length(host)).cast("int")).alias("lengths"))
     parts = F.split("host", r"\.")
     ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    heads = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    tries = F.flatten(F.transform(F.filter(ends, lambda h: h != ""), lambda h: F.transform(heads, lambda p: F.struct(F.concat(h, p).alias("k"), F.length(h).alias("n")))))
     rows = judged.withColumn("row_", F.monotonically_increasing_id())
+    asked = rows.where("host <> ''").select("row_", "path", F.explode(F.filter(ends, lambda h: h != "")).alias("end")).join(hosts, "end")
+    heads = F.transform(F.filter("lengths", lambda n: n <= F.length("path")), lambda n: F.concat("end", F.substring(F.col("path"), F.lit(1), n)))
     hits = (
-        rows.where("host <> ''").select("row_", F.explode(tries).alias("t")).select("row_", "t.k", "t.n")
+        asked.select("row_", F.length("end").alias("n"), F.explode(heads).alias("k"))
         .join(keys, "k").groupBy("row_").agg(F.max_by("k", F.struct(F.length("k"), "n")).alias("hit_"))
     )
     return rows.join(hits, "row_", "left").select(

@@ -1,3 +1,6 @@
+import random
+import time
+
 import numpy as np
 import pytest
 
@@ -35,7 +38,7 @@ def test_long_lists_are_joined(spark):
     df = spark.createDataFrame(list(enumerate(URLS[7:])), "page_id long, url string")
     listed = spark.createDataFrame([(h,) for h in URL_LISTED], "k string")
     a = filter_urls(df, URL_RULES, listed).orderBy("page_id").collect()
-    b = filter_urls(df, URL_RULES, listed, max_keys=2).orderBy("page_id").collect()
+    b = filter_urls(df, URL_RULES, listed, max_bytes=2).orderBy("page_id").collect()
     assert a == b and any(r.listed for r in a)
 
 
@@ -68,6 +71,37 @@ def test_path_keys_fit_alike_on_both_ways(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     listed = spark.createDataFrame([(k,) for k in keys], "k string")
     want = [("example.com/adv", "block"), ("example.com/adv", "block"), (None, "allow"), ("example.org/Ad", "block"), (None, "allow"), (None, "block"), ("b.net/x/", "block"), (None, "allow"), ("c.com/en/1", "allow"), (None, "allow")]
-    for way in ({}, {"max_keys": 2}):
+    for way in ({}, {"max_bytes": 2}):
         got = filter_urls(df, rules, listed, **way).orderBy("page_id").collect()
         assert [(r.listed, r.verdict) for r in got] == want, way
+
+
+def test_random_lists_mapped_joined_and_by_brute_force(spark):
+    rng = random.Random(8)
+    hosts = ["a.com", "b.a.com", "c.org", "x.c.org", "com", "d.net"]
+    paths = ["", "/", "/a", "/ab", "/ab/", "/ab/c", "/Ab", "/é/x", "/z?q"]
+    urls = [f"http://{rng.choice(['', 'w.', 'W.B.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', 'c', '/ü', '#x'])}" for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for _ in range(3):
+        keys = list({rng.choice(hosts) + rng.choice(paths[:-1]) for _ in range(12)})
+        rules = tuple({k: (rng.choice(["allow", "block"]), k) for k in (rng.choice(hosts) + rng.choice(paths[:-1]) for _ in range(3))}.values())
+        listed = spark.createDataFrame([(k,) for k in keys], "k string")
+        fits = lambda u, k: (lambda h, p, kh, kp: (h == kh or h.endswith("." + kh)) and p.startswith(kp))(*split_url(u), k.split("/", 1)[0], k[len(k.split("/", 1)[0]) :])
+        longest = lambda found: max(found, key=lambda k: (len(k), len(k.split("/", 1)[0])), default=None)
+        want = []
+        for u in urls:
+            rule = longest([k for _, k in rules if fits(u, k)])
+            hit = longest([k for k in keys if fits(u, k) and k not in {r for _, r in rules}])
+            want.append((rule, hit, dict((k, a) for a, k in rules)[rule] if rule else "block" if hit else "allow"))
+        for way in ({}, {"max_bytes": 1}):
+            got = filter_urls(df, rules, listed, **way).orderBy("page_id").collect()
+            assert [(r.rule, r.listed, r.verdict) for r in got] == want, way
+
+
+def test_opening_takes_no_time_by_the_number_of_keys(tmp_path):
+    DigestArray.build({f"h{i % 5000}.com/p{i}": 2 for i in range(200_000)}, str(tmp_path / "many"))
+    began = time.perf_counter()
+    array = DigestArray(str(tmp_path / "many"))
+    assert time.perf_counter() - began < 0.1
+    asked, owner = array.candidates([("w.h7.com", "/p7/x"), ("h7.com", "/q"), ("none.org", "/p7")])  # no key of this host is as short as /q
+    assert [array.key(i) for i in array.probe(asked) if i >= 0] == ["h7.com/p7"] and set(owner) == {0}
