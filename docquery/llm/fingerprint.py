@@ -1,42 +1,69 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs.
 
 A text is cut into paragraph pieces; each piece (with its number among equal
-pieces) has a 64-bit digest. A sketch has m cells of (count, xor of digests, xor
-of check sums); a digest goes to one cell in each third. The cells of two
-versions subtract; peeling the cells that hold a single digest recovers the
-digests in which the versions differ. Where peeling gets stuck, the pair is
-tried again with twice as many cells. All pairs of a batch are peeled together.
+pieces) has a 64-bit digest. A sketch has three rows of r cells of (count, xor of
+digests, xor of check sums), r a power of two; a digest goes to one cell of each
+row. The cells of two versions subtract; peeling the cells that hold a single
+digest recovers the digests in which the versions differ. A sketch folds to half
+its cells, so that fingerprints of different sizes can be compared as stored
+(see compare). Where peeling gets stuck, the pair is tried again with larger
+sketches of its texts, hashed anew.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Cells of the sketch that a fingerprint carries, and of the first try.
-CELLS = 24
-_BREAK = re.compile(r"\n+|(?<=[.,;:!?|])[ \t]+")
+#: Cells of a row of the smallest sketch; a fingerprint has a third of a cell of a row per digest at least.
+LEAST_ROW, PER_CELL = 8, 3
+#: Cells that are subtracted and peeled at once, about.
+CELLS_AT_ONCE = 2_000_000
+_BREAK = re.compile(r"\n+|(?<=[.,;:!?|])[ \t]+|(?<=[。．，、；：！？])\s*")
 _LONG = 240
-_RUN = re.compile(r"(?:\S+\s*){1,12}")
+_RUN = re.compile(r"\S+\s*")
+#: One in so many words, or characters of a run without spaces, ends a piece of a long line.
+_WORDS, _CHARS = 12, 24
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_CELL = np.dtype([("n", "<i4"), ("k", "<u8"), ("c", "<u4")])
+
+
+def _cut(line: str) -> Iterator[str]:
+    """A long line, cut after words that end a piece by their own hash; a run of
+    more than 240 characters, after characters that do so by theirs and the one
+    before. What is put in before a place doesn't move the cuts after it."""
+    start = 0
+    for m in _RUN.finditer(line):
+        if m.end() - m.start() > _LONG:
+            codes = np.frombuffer(m[0].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            ends = np.flatnonzero(_mix(codes[1:] + (codes[:-1] << np.uint64(32)), 1) % np.uint64(_CHARS) == 0) + 2 + m.start()
+            for e in ends.tolist():
+                yield line[start:e]
+                start = e
+        elif zlib.crc32(m[0].strip().encode("utf-8", "surrogatepass")) % _WORDS == 0:
+            yield line[start : m.end()]
+            start = m.end()
+    yield line[start:]
 
 
 def paragraphs(text: str) -> list[str]:
     """Lines, cut further after punctuation; what is still longer than 240
-    characters is cut every twelve words."""
+    characters is cut by its content."""
     out = []
     for p in _BREAK.split(text):
-        out += (x.strip() for x in _RUN.findall(p)) if len(p) > _LONG else [p.strip()]
+        out += (x.strip() for x in _cut(p)) if len(p) > _LONG else [p.strip()]
     return [p for p in out if p]
 
 
@@ -60,91 +87,157 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _cells(keys: np.ndarray, m: int) -> list[np.ndarray]:
-    """The three cells of each digest; they depend on m, so a larger sketch is
-    a fresh try."""
-    third = np.uint64(m // 3)
-    return [(_mix(keys, 3 * m + k) % third + third * np.uint64(k)).astype(np.int64) for k in range(3)]
+class Sketches(NamedTuple):
+    """n sketches of three rows of r cells each, one after the other."""
 
+    count: np.ndarray
+    key: np.ndarray
+    check: np.ndarray
+    r: int
 
-def _sketches(keys: np.ndarray, owner: np.ndarray, n: int, m: int, sign: np.ndarray):
-    """Counts, xor of digests and xor of check sums of n sketches of m cells."""
+
+def _cells(keys: np.ndarray, r: int, seed: int) -> list[np.ndarray]:
+    """The cell of each digest in each row; half of r gives half the number, so
+    that the two halves of a row add up to the row of the smaller sketch."""
+    return [(_mix(keys, 3 * seed + k + 1) & np.uint64(r - 1)).astype(np.int64) + r * k for k in range(3)]
+
+
+def sketches(sets: Sequence[np.ndarray], r: int, seed: int = 0) -> Sketches:
+    n, m = len(sets), 3 * r
+    keys = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     count, key, check = np.zeros(n * m, np.int32), np.zeros(n * m, np.uint64), np.zeros(n * m, np.uint64)
     sums = _mix(keys, 0) >> np.uint64(32)
-    for cell in _cells(keys, m):
+    for cell in _cells(keys, r, seed):
         at = owner * m + cell
-        np.add.at(count, at, sign)
+        np.add.at(count, at, 1)
         np.bitwise_xor.at(key, at, keys)
         np.bitwise_xor.at(check, at, sums)
-    return count, key, check
+    return Sketches(count, key, check, r)
 
 
-def encode(sets: Sequence[np.ndarray], m: int = CELLS) -> list[str]:
-    """The fingerprints: number of digests, then the cells in base64."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    keys = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    count, key, check = _sketches(keys, owner, len(sets), m, np.ones(len(keys), np.int32))
-    rows = np.empty(len(sets) * m, np.dtype([("n", "<i4"), ("k", "<u8"), ("c", "<u4")]))
-    rows["n"], rows["k"], rows["c"] = count, key, check
-    return [f"{n}:{base64.b64encode(r.tobytes()).decode()}" for n, r in zip(sizes, rows.reshape(len(sets), m))]
+def _subtract(a: Sketches, b: Sketches) -> Sketches:
+    return Sketches(a.count - b.count, a.key ^ b.key, a.check ^ b.check, a.r)
+
+
+def _fold(s: Sketches, r: int) -> Sketches:
+    """The same sketches with r cells a row."""
+    while s.r > r:
+        halves = [x.reshape(-1, 2, s.r // 2) for x in s[:3]]
+        s = Sketches(halves[0].sum(axis=1, dtype=np.int32).ravel(), *(np.bitwise_xor.reduce(x, axis=1).ravel() for x in halves[1:]), s.r // 2)
+    return s
+
+
+def row_of(n_digests: int) -> int:
+    """Cells of a row of the fingerprint of so many digests."""
+    return max(LEAST_ROW, 1 << max(0, (n_digests // PER_CELL) - 1).bit_length())
+
+
+def encode(sets: Sequence[np.ndarray]) -> list[str]:
+    """The fingerprints: number of digests, cells of a row, the cells in base64."""
+    out: list = [""] * len(sets)
+    for r, places in _grouped(np.array([row_of(len(s)) for s in sets], np.int64)):
+        s = sketches([sets[i] for i in places], r)
+        rows = np.empty(len(places) * 3 * r, _CELL)
+        rows["n"], rows["k"], rows["c"] = s.count, s.key, s.check
+        for i, raw in zip(places, rows.reshape(len(places), 3 * r)):
+            out[i] = f"{len(sets[i])}:{r}:{base64.b64encode(raw.tobytes()).decode()}"
+    return out
+
+
+def decode(fingerprint: str) -> tuple[int, Sketches]:
+    """Number of digests and sketch of a fingerprint."""
+    n, r, cells = fingerprint.split(":")
+    raw = np.frombuffer(base64.b64decode(cells), _CELL)
+    return int(n), Sketches(raw["n"].astype(np.int32), raw["k"].astype(np.uint64), raw["c"].astype(np.uint64), int(r))
+
+
+def compare(one: str, two: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The digests only in one and only in two, from two stored fingerprints
+    alone; None where they differ in more than their cells can tell, so that
+    larger sketches of the texts are needed."""
+    (_, a), (_, b) = decode(one), decode(two)
+    r = min(a.r, b.r)
+    [found], _ = _peeled(_subtract(_fold(a, r), _fold(b, r)), 1, 0)
+    return found
+
 
+def _grouped(rows: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+    """(r, places) of the sketches with r cells a row, so many at once as their
+    cells allow."""
+    for r in np.unique(rows).tolist():
+        places = np.flatnonzero(rows == r).tolist()
+        step = max(1, CELLS_AT_ONCE // (3 * r))
+        for k in range(0, len(places), step):
+            yield r, places[k : k + step]
 
-def _peel(count, key, check, n: int, m: int):
-    """Peels n subtracted sketches. Returns (owner, digest, sign) of what came
-    out and which sketches emptied."""
+
+def _peeled(s: Sketches, n: int, seed: int) -> tuple[list, np.ndarray]:
+    """Peels n subtracted sketches: for each the digests of either side, or None
+    where it got stuck; and the cells of a row that its difference needs, about."""
+    count, key, check, m = s.count.copy(), s.key.copy(), s.check.copy(), 3 * s.r
+    free = ((count == 0) & (key == 0)).reshape(n, m).mean(axis=1)
+    needed = np.where(free > 0, -np.log(np.maximum(free, 1e-9)) * s.r / 2, 4.0 * s.r)
     owners, keys, signs = [], [], []
     todo = np.flatnonzero(np.abs(count) == 1)
     while len(todo):
         todo = np.unique(todo)
         pure = todo[(np.abs(count[todo]) == 1) & (check[todo] == _mix(key[todo], 0) >> np.uint64(32))]
-        pair = np.stack([(pure // m).astype(np.uint64), key[pure]], 1)
-        _, first = np.unique(pair, axis=0, return_index=True)
-        pure = pure[first]
+        order = np.lexsort((key[pure], pure // m))
+        pure = pure[order]
+        new = np.r_[True, (np.diff(pure // m) != 0) | (np.diff(key[pure]) != 0)][: len(pure)]
+        pure = pure[new]
         if not len(pure):
             break
-        k, s, o = key[pure], count[pure], pure // m
-        owners.append(o), keys.append(k), signs.append(s)
+        k, sign, o = key[pure], count[pure], pure // m
+        owners.append(o), keys.append(k), signs.append(sign)
         sums, touched = _mix(k, 0) >> np.uint64(32), []
-        for cell in _cells(k, m):
+        for cell in _cells(k, s.r, seed):
             at = o * m + cell
-            np.subtract.at(count, at, s)
+            np.subtract.at(count, at, sign)
             np.bitwise_xor.at(key, at, k)
             np.bitwise_xor.at(check, at, sums)
             touched.append(at)
         todo = np.concatenate(touched)
     empty = ~((count != 0) | (key != 0) | (check != 0)).reshape(n, m).any(axis=1)
     join = lambda x, kind: np.concatenate([*x, np.zeros(0, kind)])
-    return join(owners, np.int64), join(keys, np.uint64), join(signs, np.int64), empty
-
-
-def differences(left: Sequence[np.ndarray], right: Sequence[np.ndarray], m: int = CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For every pair the digests only in left and only in right, recovered
-    from the subtracted cells; a pair that can't be peeled is retried with twice
-    as many cells. Sketches too small for the difference in size are skipped."""
+    o, k, sign = join(owners, np.int64), join(keys, np.uint64), join(signs, np.int64)
+    order = np.argsort(o, kind="stable")
+    k, sign, ends = k[order], sign[order], np.searchsorted(o[order], np.arange(n + 1))
+    out: list = [None] * n
+    for j in np.flatnonzero(empty):
+        kk, ss = k[ends[j] : ends[j + 1]], sign[ends[j] : ends[j + 1]]
+        out[j] = kk[ss > 0], kk[ss < 0]
+    return out, needed
+
+
+def differences(left: Sequence[np.ndarray], right: Sequence[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For every pair the digests only in left and only in right. The first try
+    subtracts the sketches that the fingerprints hold, folded to the smaller of
+    the two. Where it gets stuck, new sketches are as large as the share of
+    cells that stayed free says, twice as large at least, and hashed anew, until
+    all digests come out; sketches that the difference in size alone would fill
+    aren't tried."""
     out: list = [None] * len(left)
-    least = np.array([abs(len(a) - len(b)) for a, b in zip(left, right)], np.int64)
-    open_ = np.arange(len(left))
+    apart = np.array([abs(len(a) - len(b)) for a, b in zip(left, right)], np.int64)
+    row = np.array([min(row_of(len(a)), row_of(len(b))) for a, b in zip(left, right)], np.int64)
+    open_, seed = np.arange(len(left)), 0
     while len(open_):
-        now = open_[least[open_] <= m]
-        a, b = [left[i] for i in now], [right[i] for i in now]
-        sizes = np.array([len(x) for x in (*a, *b)], np.int64)
-        keys = np.concatenate([*a, *b, np.zeros(0, np.uint64)])
-        owner = np.repeat(np.concatenate([np.arange(len(a)), np.arange(len(b))]), sizes)
-        sign = np.repeat(np.repeat(np.array([1, -1], np.int32), len(a)), sizes)
-        o, k, s, empty = _peel(*_sketches(keys, owner, len(now), m, sign), len(now), m)
-        order = np.argsort(o, kind="stable")
-        o, k, s = o[order], k[order], s[order]
-        ends = np.searchsorted(o, np.arange(len(now) + 1))
-        for j in np.flatnonzero(empty):
-            kk, ss = k[ends[j] : ends[j + 1]], s[ends[j] : ends[j + 1]]
-            out[now[j]] = kk[ss > 0], kk[ss < 0]
+        if not seed:
+            tried = open_[apart[open_] <= 3 * row[open_]]
+        else:
+            row[open_] = np.maximum(row[open_], apart[open_] // 2 + 1)
+            row[open_] = 1 << np.ceil(np.log2(row[open_])).astype(np.int64)
+            tried = open_
+        for r, places in _grouped(row[tried]):
+            pairs = tried[places]
+            sides = [sketches([side[i] for i in pairs], r, seed) for side in (left, right)]
+            found, needed = _peeled(_subtract(*sides), len(pairs), seed)
+            for i, f, x in zip(pairs, found, needed):
+                out[i] = f
+                row[i] = max(2 * r, int(0.6 * x)) if f is None else r
         open_ = np.array([i for i in open_ if out[i] is None], np.int64)
-        m *= 2
-        if m > 2**20 and len(open_):  # no pair gets here but by an accident of the hashes
-            for i in open_[m > 64 * np.array([len(left[i]) + len(right[i]) for i in open_])]:
-                out[i] = np.setdiff1d(left[i], right[i]), np.setdiff1d(right[i], left[i])
-            open_ = np.array([i for i in open_ if out[i] is None], np.int64)
+        seed += 1
     return out
 
 
@@ -160,33 +253,46 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(bucket, copy, id, text) ranges of ids in descending order, in each of
-    which the last row (copy true) repeats the first of the next range.
+def _least(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(at, text): at is what the rows are ordered by, downwards: the id, then
+    a hash of the text."""
+    text = F.coalesce(text_col, F.lit(""))
+    return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("hash")).alias("at"), text.alias("text"))
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_range: int = 10) -> DataFrame:
+    """(bucket, copy, at, text) ranges of rows in descending order of id, in each
+    of which the last row (copy true) repeats the first of the next range.
 
-    The bounds are ids that occur (percentile_approx returns such), so the first
-    row of every range is known beforehand and goes to two ranges while the rows
-    are dealt out: whole texts are shuffled once. Null ids come last; after the
-    last range comes the first again. Rows of one id are ordered by their text.
+    The first rows of the ranges are taken from a sample of the ids, about
+    per_range of them for each range (what comes to the driver grows with the
+    number of tasks only), so they are known beforehand and go to two ranges
+    while the rows are dealt out: whole texts are shuffled once. The sample says
+    where the ranges begin, nothing else. Null ids come last; after the last
+    range comes the first again. Rows of one id are ordered by a hash of their
+    text, so that ranges divide them too; ids may be of any type with an order.
     """
     spark = docs.sparkSession
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    row = slim.agg(F.percentile_approx("id", [(i + 1) / n for i in range(n - 1)], 10 * n).alias("q"), F.max("id").alias("top")).first()
-    # Descending heads of the ranges; range i holds heads[i] >= id > heads[i + 1].
-    heads = sorted({*(row.q or []), row.top} - {None}, reverse=True) or [0]
-    step = math.isqrt(len(heads)) + 1  # found in two steps: among every step-th head, then between two of these
+    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim = _least(docs, id_col, text_col)
+    share = per_range * n / max(1, docs.count())
+    drawn = slim.select("at", F.rand(7).alias("draw")).agg(F.max("at").alias("top"), F.collect_set(F.when(F.col("draw") < share, F.col("at"))).alias("some"))
+    row = drawn.select("top", F.sort_array("some", asc=False).alias("some")).first()
+    # Descending heads of the ranges; range i holds heads[i] >= at > heads[i + 1].
+    heads = list(dict.fromkeys(map(tuple, [row.top, *row.some[::per_range]]))) if row.top is not None else []
+    kind = slim.schema["at"].dataType
+    step = max(1, round(len(heads) ** 0.5))  # found in two steps: among every step-th head, then between two of these
     groups = [heads[i : i + step] for i in range(0, len(heads), step)]
-    array = lambda x: f"array({','.join(f'{h}L' for h in x)})"
-    slim = slim.withColumn("group", F.expr(f"greatest(1, size(filter({array(g[0] for g in groups)}, h -> h >= id)))"))
-    inner = F.expr(f"size(filter(element_at(array({','.join(map(array, groups))}), group), h -> h >= id))")
-    slim = slim.withColumn("bucket", F.when(F.col("id").isNull(), len(heads) - 1).otherwise((F.col("group") - 1) * step + inner - 1).cast("int"))
-    is_head = F.expr(f"element_at(element_at(array({','.join(map(array, groups))}), group), cast(bucket % {step} as int) + 1) = id") if row.top is not None else F.lit(True)
-    is_head = F.coalesce(is_head, F.lit(False))
-    before = F.struct(((F.col("bucket") + len(heads) - 1) % len(heads)).alias("bucket"), F.lit(True).alias("copy"))
+    firsts = F.array(*(F.struct(F.lit(g[0][0]).cast(kind["id"].dataType).alias("id"), F.lit(g[0][1]).cast("long").alias("hash")) for g in groups)).cast(T.ArrayType(kind))
+    within = spark.createDataFrame(list(enumerate(groups, 1)), T.StructType([T.StructField("group", T.IntegerType()), T.StructField("heads", T.ArrayType(kind))]))
+    below = lambda c: F.size(F.filter(c, lambda h: h >= F.col("at"))).cast("int")
+    dealt = slim.withColumn("group", below(firsts)).join(F.broadcast(within), "group").withColumn("inner", below("heads"))  # as large as the heads
+    dealt = dealt.withColumn("bucket", (F.col("group") - 1) * step + F.col("inner") - 1)
+    is_head = F.element_at("heads", F.col("inner")).eqNullSafe(F.col("at"))
+    before = F.struct(F.pmod(F.col("bucket") - 1, F.lit(max(1, len(heads)))).alias("bucket"), F.lit(True).alias("copy"))
     here = F.struct("bucket", F.lit(False).alias("copy"))
-    dealt = slim.withColumn("to", F.explode(F.when(is_head, F.array(here, before)).otherwise(F.array(here))))
-    return dealt.select("to.bucket", "to.copy", "id", "text")
+    dealt = dealt.withColumn("to", F.explode(F.when(is_head, F.array(here, before)).otherwise(F.array(here))))
+    return dealt.select("to.bucket", "to.copy", "at", "text")
 
 
 RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_recovered bigint"
@@ -215,16 +321,19 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """Fingerprints of every text and of its edited version (see edited; the
     other text is the next document's, by descending id), and how like they are.
 
-    n_recovered counts the digests that peeling recovered between the two
-    versions. Equal texts have equal fingerprints. Only the two columns are
-    read, so others may have any name. A null text is empty; null ids come last
-    in the order; repeated rows follow each other; an empty table gives an empty
-    result. Work in a task is cut into blocks of rows_at_once rows or
-    chars_at_once characters.
+    near_edited and near_next are the likeness of the fingerprints: what compare
+    finds from the stored ones, or, where their cells don't suffice, what larger
+    sketches of the two texts give. n_recovered counts the digests that peeling
+    recovered between the two versions. Equal texts have equal fingerprints.
+    Only the two columns are read, so others may have any name. A null text is
+    empty; null ids come last in the order; repeated rows follow each other (row
+    by row in one task, if they repeat both id and text); an empty table gives
+    an empty result. Work in a task is cut into blocks of rows_at_once rows or
+    chars_at_once characters, so it holds these and one text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = with_next(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
-    sorted_ = dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket", "copy", F.col("id").desc_nulls_last(), F.xxhash64("text"), "text")
+    dealt = with_next(docs, id_col, text_col)
+    sorted_ = dealt.repartition(F.col("bucket")).sortWithinPartitions("bucket", "copy", F.col("at").desc(), "text").select("bucket", "copy", "at.id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, texts, following, size = None, [], [], [], 0
@@ -234,19 +343,20 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     ids.append(held[2]), texts.append(held[3]), following.append(text)
                     size += len(text) + len(held[3])
                     if len(ids) >= rows_at_once or size >= chars_at_once:
-                        yield _compare(ids, texts, following, pa.int64())
+                        yield _compare(ids, texts, following, batch.schema.field("id").type)
                         ids, texts, following, size = [], [], [], 0
                 held = bucket, copy, i, text
         if ids:
-            yield _compare(ids, texts, following, pa.int64())
+            yield _compare(ids, texts, following, batch.schema.field("id").type)
 
-    done = sorted_.mapInArrow(run, f"id bigint, {RESULT}")
-    return done.select(F.col("id").cast(kind).alias(id_col), *_OUT.names)
+    return sorted_.mapInArrow(run, f"id {kind}, {RESULT}").select(F.col("id").alias(id_col), *_OUT.names)
 
 
 def changed_paragraphs(pairs: DataFrame, id_col: str, left_col: str, right_col: str) -> DataFrame:
     """For pairs of versions: (id, only_left, only_right, likeness), the
-    paragraph pieces recovered by their digests. Null versions are empty."""
+    paragraph pieces recovered by their digests, in the order of the text. Null
+    versions are empty; a null id stays null; repeated rows are compared one by
+    one; an empty table gives an empty result; other columns aren't read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import random
 
@@ -6,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docquery.llm import fingerprint as fp
+from docquery.llm.queries import op2_fingerprint
 
 
 def test_peeling_recovers_the_difference():
@@ -14,7 +16,7 @@ def test_peeling_recovers_the_difference():
     for n, d in [(0, 0), (1, 0), (1, 1), (40, 3), (40, 40), (2000, 5), (3000, 900), (0, 70)]:
         both, a, b = (rng.integers(1, 2**63, k, dtype=np.uint64) for k in (n, d, d // 2))
         left.append(np.concatenate([both, a])), right.append(np.concatenate([both, b]))
-    for a, b, (x, y) in zip(left, right, fp.differences(left, right, 6)):
+    for a, b, (x, y) in zip(left, right, fp.differences(left, right)):
         assert set(x) == set(a) - set(b) and set(y) == set(b) - set(a)
 
 
@@ -28,6 +30,54 @@ def test_likeness_is_that_of_the_digest_sets(a, b):
     assert fp.encode([x]) == fp.encode([fp.digests("".join(a))])
 
 
+def test_stored_fingerprints_compare():
+    """From the strings alone: the difference as sets have it, or None; and what
+    differences finds for the same pair."""
+    rng = np.random.default_rng(4)
+    told = 0
+    for n, d, e in [(0, 0, 0), (1, 1, 0), (30, 5, 4), (30, 0, 3), (200, 30, 30), (1000, 20, 1), (900, 100, 100), (5, 3000, 0), (0, 40, 40)]:
+        both, a, b = (rng.integers(1, 2**63, k, dtype=np.uint64) for k in (n, d, e))
+        x, y = np.concatenate([both, a]), np.concatenate([both, b])
+        found = fp.compare(*fp.encode([x, y]))
+        [(p, q)] = fp.differences([x], [y])
+        assert (set(p), set(q)) == (set(a), set(b))
+        if found is not None:
+            told += 1
+            assert (set(found[0]), set(found[1])) == (set(a), set(b))
+    assert told >= 6 and fp.compare(*fp.encode([x[:0], np.arange(5, 4000, dtype=np.uint64)])) is None
+
+
+def test_texts_keep_their_pieces_when_something_is_put_in():  # a third replaced leaves a half at best
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghi", k=rng.randrange(2, 8))) for _ in range(900)]
+    long = " ".join(rng.choices(words, k=3000))
+    chinese = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(3000))
+    stops = "".join(chr(0x4E00 + rng.randrange(2000)) + ("。" if i % 17 == 0 else "") for i in range(3000))
+    for text, other, least in [(long, "new " + long, 0.95), (long, long[:5000] + " x " + long[5000:], 0.95), (chinese, chinese[:2000] + chinese[:1000][::-1], 0.45), (chinese, "新" + chinese, 0.9), (stops, stops[:2000] + stops[:1000], 0.45)]:
+        x, y = fp.digests(text), fp.digests(other)
+        assert len(x) > 50
+        [(p, q)] = fp.differences([x], [y])
+        assert fp.likeness(len(x), len(y), len(p) + len(q)) > least
+
+
+def test_the_registered_query_gives_the_likeness_of_stored_fingerprints(spark, tmp_path):
+    rng = random.Random(3)
+    sentence = lambda: " ".join(rng.choices(["alpha", "béta", "gamma", "delta"], k=6)) + f" {rng.random()}.\n"
+    rows = [(i, "".join(sentence() for _ in range(rng.randrange(40)))) for i in range(80)]
+    rows = [(i, rows[i + 1][1] + "End." if i % 4 == 0 else t) for i, t in rows] + [(1000, None), (1001, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(op2_fingerprint(spark, str(tmp_path)).collect(), key=lambda r: -r.doc_id)
+    assert [(r.doc_id, r.n_chars, r.edited_sha256) for r in got] == list(brute(sorted(rows, reverse=True)))
+    told = [0, 0]
+    for r, following in zip(got, got[1:] + got[:1]):
+        for k, (other, near) in enumerate(((r.edited_fingerprint, r.near_edited), (following.fingerprint, r.near_next))):
+            found = fp.compare(r.fingerprint, other)
+            if found is not None:
+                told[k] += 1
+                assert near == fp.likeness(fp.decode(r.fingerprint)[0], fp.decode(other)[0], sum(map(len, found)))
+    assert told[0] > 40 and told[1] > 15
+
+
 def brute(rows):
     """rows: (id, text) in the order of the operator."""
     rows = [(i, t or "") for i, t in rows]
@@ -66,3 +116,21 @@ def test_changed_paragraphs(spark):
     df = spark.createDataFrame([(1, "A one.\nB two.\nC", "A one.\nB three.\nC"), (2, None, "x"), (3, "a\na\na", "a\na")], "k long, x string, y string")
     got = {r.k: (r.only_left, r.only_right) for r in fp.changed_paragraphs(df, "k", "x", "y").collect()}
     assert got == {1: (["B two."], ["B three."]), 2: ([], ["x"]), 3: (["a"], [])}
+
+
+def test_ids_of_any_type_and_many_rows_of_one_id(spark):
+    rng = random.Random(5)
+    texts = [f"row {i}. " * rng.randrange(1, 4) for i in range(200)]
+    for kind, ids in (("string", [f"k{rng.randrange(50)}" for _ in texts]), ("long", [None] * 150 + [7] * 50), ("date", [datetime.date(2020, 1, 1 + i % 28) for i in range(200)])):
+        got = fp.fingerprint_edits(spark.createDataFrame(list(zip(ids, texts)), f"doc_id {kind}, text string").repartition(6)).collect()
+        assert sorted(map(repr, ((r.doc_id, r.n_chars) for r in got))) == sorted(map(repr, ((i, len(t)) for i, t in zip(ids, texts))))
+        # The rows form one ring in descending order of ids: each is followed by a row of its own id or of the next one.
+        order = sorted({i for i in ids if i is not None}, reverse=True) + [None] * (None in ids)
+        after = dict(zip(order, order[1:] + order[:1]))
+        known = {}
+        for r in got:
+            options = {o for i, o in zip(ids, texts) if i in (r.doc_id, after[r.doc_id])}
+            known.setdefault(r.doc_id, set()).add(any(hashlib.sha256((t[: len(t) - len(t) // 3] + o[: len(t) // 3]).encode()).hexdigest() == r.edited_sha256 for t in texts if len(t) == r.n_chars for o in options))
+        assert all(v == {True} for v in known.values())
+    buckets = fp.with_next(spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")).where("not copy").select("bucket").distinct().count()
+    assert buckets >= 4
