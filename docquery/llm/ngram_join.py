@@ -15,8 +15,8 @@ joined instead of documents.
 3. Second order, for the classes that remain: by number of sets that have the
    n-gram. A pair shares an n-gram in the first few of both (prefix filter) at
    places that leave enough behind (positional filter).
-4. Overlaps are exact: both sets are cut into fragments, the partial overlaps
-   are counted for each, and summed per pair.
+4. Overlaps are exact: the first order is cut into fragments, the partial
+   overlaps of both sets are counted in each, and summed per pair.
 5. Components don't need every pair. In the first round each prefix n-gram
    compares its sets with one leader. In the second, all pairs whose sets are
    then still in different components are compared.
@@ -44,9 +44,9 @@ from docquery.llm.components import components
 #: Equal fragments required of a pair, less one: so many, and one more for so
 #: many differences.
 SPARE, SPARE_PER = 2, 8
-#: Fragments of a set in which partial overlaps are counted.
-PARTS = 4
-#: Keys that a task holds before it sends them.
+#: Fragments of the first order in which partial overlaps are counted: a power of two of its leading bits.
+PART_BITS = 2
+#: Keys that a task holds before it sends them, and that come together to be compared, about.
 KEYS_AT_ONCE = 1_000_000
 #: N-grams and classes of a block in which links are counted, about.
 GRAMS_AT_ONCE, CLASSES_AT_ONCE = 1_000_000, 1024
@@ -242,7 +242,8 @@ def _prefixes(sets: DataFrame, t: int) -> DataFrame:
     is enough against sets of the same size or larger ones. N-grams of one set
     come first in the order, so place counts from their number."""
     grams = sets.select("owner", F.explode("grams").alias("gram"))
-    common = grams.groupBy("gram").agg(F.count("*").cast("int").alias("sets")).where("sets > 1")
+    # Written, so that the join sees the sizes of both sides and divides the n-grams that many sets have.
+    common = written(grams.groupBy("gram").agg(F.count("*").cast("int").alias("sets")).where("sets > 1"), "common")
     ordered = (
         grams.join(common, "gram").groupBy("owner")
         .agg(F.sort_array(F.collect_list(F.struct("sets", "gram"))).alias("common"))
@@ -266,10 +267,11 @@ def _possible(a: str, b: str, t: int) -> Column:
 
 
 def _links(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """Those of pairs (x, y) that reach the threshold. Partial overlaps are
-    counted for each fragment of the order and summed per pair."""
-    part = lambda g, p: F.filter("grams", lambda x: F.pmod(F.shiftright(x, 20), F.lit(PARTS)) == p)
-    cut = sets.select("owner", "n", F.posexplode(F.array(*(part("grams", p) for p in range(PARTS)))).alias("part", "grams"))
+    """Those of pairs (x, y) that reach the threshold. The sets' n-grams, ordered
+    by hash, are cut where the leading bits change; partial overlaps are counted
+    for each fragment and summed per pair."""
+    part = lambda g, p: F.filter(g, lambda x: F.shiftrightunsigned(x, 64 - PART_BITS) == p)
+    cut = sets.select("owner", "n", F.posexplode(F.array(*(part("grams", p) for p in range(2**PART_BITS)))).alias("part", "grams"))
     one = cut.select(F.col("owner").alias("x"), F.col("n").alias("n_x"), "part", F.col("grams").alias("g_x"))
     two = cut.select(F.col("owner").alias("y"), F.col("n").alias("n_y"), "part", F.col("grams").alias("g_y"))
     overlap = F.size(F.array_intersect("g_x", "g_y"))
@@ -352,12 +354,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     t = threshold
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = written(_documents(slim, n_words), "sets")
+    lows, _, spares = _size_classes(t)
+    keys = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n * 4 * (100 - t) // 100  # at most: two roles, 2 (1 - t) n fragments
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // KEYS_AT_ONCE)
     shared = _shared_keys(slim, n_words, t, n_parts).groupBy("owner").agg(F.sum("n").alias("shared"))
     shared = shared.select(F.col("owner").bitwiseAND(F.lit(-2)).alias("even"), F.col("owner").bitwiseAND(F.lit(1)).cast("int").alias("role"), "shared")
     classes = rows.where("n > 0").groupBy("owner", "n").agg(F.min(F.struct("id", "text_hash")).alias("pick"), F.min("id").alias("least"), F.count("*").alias("members"))
-    lows, _, spares = (F.array(*(F.lit(int(x)) for x in c)) for c in _size_classes(t))
+    lows, spares = (F.array(*(F.lit(int(x)) for x in c)) for c in (lows, spares))
     size_class = F.size(F.filter(lows, lambda x: x <= F.col("n")))
     may = classes.withColumn("even", F.col("owner").bitwiseAND(F.lit(-2))).join(shared, "even").where(F.col("shared") > F.element_at(spares, F.greatest(F.lit(1), size_class - F.col("role"))))
     chosen = written(may.select("owner", "pick.id", "pick.text_hash").distinct(), "chosen")
@@ -369,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(_sets(picked.select("text"), n_words).groupBy("owner", "n").agg(F.first("grams").alias("grams")), "grams")
     prefixes = written(_prefixes(sets, t), "prefixes")
 
-    leaders = prefixes.groupBy("gram").agg(F.min(F.struct("place", "n", "owner")).alias("l")).select("gram", "l.*")
+    leaders = written(prefixes.groupBy("gram").agg(F.min(F.struct("place", "n", "owner")).alias("l")).select("gram", "l.*"), "leaders")
     met = leaders.alias("a").join(prefixes.alias("b"), (F.col("a.gram") == F.col("b.gram")) & (F.col("a.owner") != F.col("b.owner")) & _possible("a", "b", t))
     first = met.select(F.least("a.owner", "b.owner").alias("x"), F.greatest("a.owner", "b.owner").alias("y")).distinct()
     tried = written(first, "pairs")
@@ -401,12 +405,14 @@ def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_
     of near_duplicates over docs): the one with the smallest id stays, of equal
     ids the one with the smallest hash of its text, of rows that repeat one of
     them. Documents without words stay. All columns stay as they are."""
-    rows = found.select(F.col(id_col).alias("id"), "text_hash", "component").where("component is not null")
-    counted = rows.groupBy("component", "id", "text_hash").agg(F.count("*").alias("times"))
-    kept = counted.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("keep"))
-    judged = counted.join(kept, "component")
-    stays = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("text_hash") == F.col("keep.text_hash"))
-    marked = written(judged.where(~stays | (F.col("times") > 1)).select("id", "text_hash", stays.alias("stays")), "dropped")
+    rows = found.select(F.col(id_col).alias("id"), "text_hash", "component", "component_id").where("component is not null")
+    # The smallest id is named in each row, so only rows that have it are compared, mostly one of a component.
+    least = F.col("id").eqNullSafe(F.col("component_id"))
+    first = written(rows.where(least).groupBy("component", "id", "text_hash").agg(F.count("*").alias("times")), "first")
+    kept = first.groupBy("component").agg(F.min("text_hash").alias("keep")).withColumnRenamed("component", "of")
+    judged = first.join(kept, F.col("component") == F.col("of")).withColumn("stays", F.col("text_hash") == F.col("keep"))
+    marked = judged.where(~F.col("stays") | (F.col("times") > 1)).select("id", "text_hash", "stays")
+    marked = written(marked.unionByName(rows.where(~least).select("id", "text_hash").distinct().withColumn("stays", F.lit(False))), "dropped")
     listed = F.broadcast(marked) if marked.count() <= BROADCAST_IDS else marked
     match = lambda m: F.col(f"d.{id_col}").eqNullSafe(F.col(f"{m}.id")) & (F.xxhash64(f"d.{text_col}") == F.col(f"{m}.text_hash"))
     single = docs.alias("d").join(listed.alias("m"), match("m"), "left_anti")
