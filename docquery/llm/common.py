@@ -19,27 +19,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where
-    the setting is absent (single-machine tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder named by spark.checkpoint.dir. Where the setting is absent, a
+    temporary one on a single machine; on a cluster that is an error, since the
+    executors couldn't read it."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
         found = tempfile.mkdtemp(prefix="docquery-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def written(df: DataFrame, label: str = "stage", partition_by: str | None = None) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet to the shared folder and reads it
-    back, so that a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.mode("error")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/docquery-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Cuts the lineage: writes df as Parquet to the application's own folder
+    within the shared one and reads it back, so that a lost executor costs no
+    recomputation of what came before. The table stays until erased or clear."""
+    path = f"{_own_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def erase(df: DataFrame) -> None:
+    """Deletes a table of written that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that written has left for this application; for when
+    its results have been stored elsewhere."""
+    _delete(spark, _own_dir(spark))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquery.llm.common import written
+from docquery.llm.common import erase, written
 
 
 def _stars(links: DataFrame, small: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     now = written(links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct(), "links")
     before = None
     for _ in range(max_rounds):
-        now = written(_stars(_stars(now, small=False), small=True), "links")
+        last, now = now, written(_stars(_stars(now, small=False), small=True), "links")
+        erase(last)
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
         if mark == before:
             return now.select(F.col("x").alias("node"), F.col("y").alias("root"))

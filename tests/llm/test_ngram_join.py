@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -138,3 +139,24 @@ def test_links_equal_those_of_all_pairs(spark, monkeypatch, seed, n, t, at_once)
     assert max(want.values()) > 8
     got = nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), n_words=n, threshold=t).collect()
     assert {r.doc_id: r.n_links for r in got} == want
+
+
+def test_what_is_written_can_be_erased(spark):
+    from docquery.llm import common
+
+    a, b = common.written(spark.range(5), "a"), common.written(spark.range(3), "b")
+    assert a.count() == 5
+    common.erase(a)
+    assert b.count() == 3
+    folder = common._own_dir(spark).removeprefix("file:")
+    assert not [x for x in os.listdir(folder) if x.startswith("a-")] and [x for x in os.listdir(folder) if x.startswith("b-")]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as S
+
+    from docquery.llm import common
+
+    none = S(conf=S(get=lambda k, d: d), sparkContext=S(getCheckpointDir=lambda: None, master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.shared_dir(none)
