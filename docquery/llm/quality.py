@@ -16,15 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The white space of the word pattern and the counted symbols.
+#: The white space of the word pattern, the counted symbols, what ends a sentence.
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
+ENDS = ".!?:;\"'”)]。！？"
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Each statistic with its constraint: -1 where more must not raise the score.
 FEATURES = {
     "log_words": 0, "word_length": 0, "symbols": -1, "dup_lines": -1, "repeats": -1, "distinct_words": 0,
-    "upper": -1, "digits": 0, "exclaims": -1, "stops": 0, "other_bytes": 0, "line_words": 0,
+    "upper": -1, "digits": 0, "exclaims": -1, "stops": 0, "other_bytes": 0, "line_words": 0, "entropy": 0, "letters": 0, "ended_lines": 0,
 }
 _WIDTH = 21  # bits of a word's number in a window key
 
@@ -67,9 +68,13 @@ def statistics(text: str | None, numbers: dict[bytes, int]) -> tuple[list[int],
     by = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     upper, lower, digits, other = by[65:91].sum(), by[97:123].sum(), by[48:58].sum(), by[128:].sum()
     w = max(n, 1)
+    times = np.fromiter(Counter(words).values(), float)
+    entropy = (np.log(n) - (times * np.log(times)).sum() / n) / np.log(n) if n > 1 else 1.0
+    ended = sum(line.rstrip(SPACES)[-1] in ENDS for line in lines)
     features = [
-        np.log1p(n), chars / w, symbols / w, dup / max(len(lines), 1), repeat / w, len(set(words)) / w,
+        np.log1p(n), chars / w, symbols / w, dup / max(len(lines), 1), repeat / w, len(times) / w,
         upper / max(upper + lower, 1), digits / max(chars, 1), (by[33] + by[63]) / w, (by[46] + by[44]) / w, other / max(len(raw), 1), n / max(len(lines), 1),
+        entropy, (upper + lower + other) / max(len(raw), 1), ended / max(len(lines), 1),
     ]
     return [n, chars, symbols, dup, repeat], features
 
@@ -110,7 +115,7 @@ def grow(
     rate: float = 0.25,
     n_bins: int = 48,
     smoothing: float = 1.0,
-    least: float = 5.0,
+    least: float = 1.0,
 ) -> Trees:
     """Boosts trees with logistic loss on quantile bins. Where signs has 1 or
     -1, a split may only raise or lower the score along its feature, and the
@@ -180,8 +185,9 @@ def train(
 ) -> Trees:
     """Fits the trees to labels (1 good, 0 bad). At most max_labelled labelled
     ids, the first by hash, are used; of those only the statistics come to the
-    driver (12 numbers each). Null ids and labels are left out; a label that is
-    repeated counts as its least value."""
+    driver (one row of 15 numbers each). Null ids and labels are left out; a
+    label that is repeated counts as its least value, an id that is repeated in
+    docs as its row with the least statistics."""
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     some = own.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
@@ -190,9 +196,11 @@ def train(
         numbers: dict[bytes, int] = {}
         for batch in batches:
             found = [statistics(t, numbers)[1] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", "y", "id"])
 
-    rows = sorted((list(r.x), r.y) for r in texts.select("text", "y").mapInArrow(run, "x array<double>, y int").collect())
+    kind = labels.schema[id_col].dataType.simpleString()
+    found = texts.select("text", "y", "id").mapInArrow(run, f"x array<double>, y int, id {kind}").groupBy("id").agg(F.min(F.struct("x", "y")).alias("s"))
+    rows = sorted((list(r.s.x), r.s.y) for r in found.select("s").collect())
     return grow(np.array([x for x, _ in rows]).reshape(-1, len(FEATURES)), np.array([float(y > 0) for _, y in rows]))
 
 

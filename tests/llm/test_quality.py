@@ -1,13 +1,18 @@
+import os
 import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from docquery.llm import quality as q
+from docquery.llm.queries import op8_quality
+
+DATA = "/root/testdata/sf0.01"
 
 
 def brute(text):
@@ -97,3 +102,34 @@ def test_held_out_documents_and_odd_rows(spark):
     none = q.train(docs, labels.limit(0))
     assert {r.kept for r in q.judge_quality(df, none).collect() if r.doc_id == 3} == {True}
     assert q.judge_quality(df.limit(0), none).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_held_out_labels_of_the_tables(spark):
+    """Trained on the labels of even ids, judged on those of odd ones that pass
+    the base rules."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
+    trees = q.train(docs, labels.where("doc_id % 2 = 0"))
+    held = labels.where("doc_id % 2 = 1").groupBy("doc_id").min("quality").withColumnRenamed("min(quality)", "y")
+    rows = q.judge_quality(docs, trees).where("not base_failed").join(held, "doc_id").select("probability", "kept", "y").collect()
+    p, y = np.array([r.probability for r in rows]), np.array([r.y for r in rows])
+    above = (p[y == 1][:, None] > p[y == 0]).mean() + (p[y == 1][:, None] == p[y == 0]).mean() / 2
+    assert (y == 0).sum() > 10 and above > 0.98
+    assert np.mean([not r.kept for r in rows if not r.y]) > 0.9 and np.mean([r.kept for r in rows if r.y]) > 0.98
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_base_columns_of_the_registered_query_in_sql(spark):
+    got = op8_quality(spark, DATA).toPandas().sort_values("doc_id")
+    want = duckdb.sql(rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM '{DATA}/documents.parquet'),
+        l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+        u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+        t AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) > 2),
+        g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM t),
+        m AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g, range(3) AS r(k) WHERE n > 1 GROUP BY doc_id)
+        SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+        FROM d LEFT JOIN u USING (doc_id) LEFT JOIN m USING (doc_id) ORDER BY doc_id""").df()
+    assert got[["doc_id", *q.BASE]].to_numpy().tolist() == want[["doc_id", *q.BASE]].to_numpy().tolist()
+    assert (got.base_failed == ((want.n_words < 50) | (100 * want.n_repeat_words > 50 * want.n_words)).to_numpy()).all() and not (got.kept & got.base_failed).any()
