@@ -1,7 +1,7 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds at-signs, plus signs, digits, URL schemes and
-identifier cues in one pass over a text. A local parser of each kind expands an
+An Aho-Corasick automaton finds at-signs, plus signs, digits, URL schemes,
+identifier cues and the prefixes of known keys in one pass over a text. A local parser of each kind expands an
 anchor to its boundaries and validates what it finds. Offsets are code points.
 """
 
@@ -21,6 +21,11 @@ KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = frozenset(KINDS[:4])
 #: What announces an identifier.
 CUES = ("iban", "account", "acct", "ssn", "passport", "token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key")
+#: How keys of well-known services begin, and how many characters must follow at least.
+KEY_PREFIXES = (
+    ("AKIA", 16), ("ASIA", 16), ("ghp_", 30), ("gho_", 30), ("ghu_", 30), ("ghs_", 30), ("ghr_", 30), ("github_pat_", 30), ("glpat-", 18), ("xoxb-", 20), ("xoxp-", 20),
+    ("xoxa-", 20), ("sk_live_", 16), ("rk_live_", 16), ("AIza", 30), ("npm_", 30), ("eyJ", 30),
+)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -29,8 +34,10 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[A-Za-z0-9\[][^\s<>\"'`{}|\\^]*")
+_KEY_REST = re.compile(r"[A-Za-z0-9_.-]*[A-Za-z0-9_-]")
 _IBAN = re.compile(r"\W{0,3}(?P<v>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
 _VALUE = re.compile(r"(?i:[ _-](?:no\.?|number|id|key))?[ \t]{0,3}(?:[:=#]|(?i:is) )[ \t]{0,3}[\"']?(?P<v>[A-Za-z0-9][A-Za-z0-9_/+=.-]{4,}[A-Za-z0-9=])(?![A-Za-z0-9])")
+_NUMBER = re.compile(r"(?i:[ _-](?:no\.?|number|id))?[ \t]{1,3}(?P<v>[0-9](?:[ -]?[0-9]){5,})(?![A-Za-z0-9])")
 _AFTER_URL = ".,;:!?)]"
 
 FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
@@ -45,6 +52,8 @@ def _automaton() -> ahocorasick.Automaton:
     for cue in CUES:
         for form in product(*({c, c.upper()} for c in cue)):  # at most 512 a cue
             a.add_word("".join(form), ("cue", len(form)))
+    for prefix, least in KEY_PREFIXES:
+        a.add_word(prefix, (f"key{least}", len(prefix)))
     a.make_automaton()
     return a
 
@@ -100,6 +109,8 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         if what == "0":
             if at and "0" <= text[at - 1] <= "9":
                 continue  # inside a run: its start has been tried
+            if at >= end["account"] + 2 and text[at - 2 : at].isupper() and text[at - 2 : at].isascii() and not (at > 2 and text[at - 3].isalnum()) and (m := _IBAN.match(text, at - 2)) and _is_iban(m["v"]):
+                take("account", m.start("v"), m.end("v"), True)
             if at >= end["ip"] and (m := _IP.match(text, at)):
                 take("ip", at, m.end(), _is_ip(m[0]))
             if at >= end["card"] and (m := _CARD.match(text, at)):
@@ -118,11 +129,16 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
             if start < at and (m := _URL_REST.match(text, at + 3)):
                 stop = at + 3 + len(m[0].rstrip(_AFTER_URL))
                 take("url", start, stop, stop > at + 3)
+        elif what[:3] == "key":
+            if at >= end["account"] and not (at and text[at - 1].isalnum()) and (m := _KEY_REST.match(text, last + 1)) and len(m[0]) >= int(what[3:]):
+                take("account", at, m.end(), True)
         elif at >= end["account"] and not (at and text[at - 1].isalnum()):
             if (m := _IBAN.match(text, last + 1)) and _is_iban(m["v"]):
                 take("account", m.start("v"), m.end("v"), True)
             elif m := _VALUE.match(text, last + 1):
                 take("account", m.start("v"), m.end("v"), any(c.isdigit() for c in m["v"]))
+            elif m := _NUMBER.match(text, last + 1):
+                take("account", m.start("v"), m.end("v"), True)
     return [s for k in KINDS for s in found[k]]
 
 
