@@ -1,8 +1,9 @@
 """License scans: a paragraph classifier in DataFrame operations.
 
-A multinomial logistic regression on word n-grams is fitted on the driver to
-variations of the license texts (and of texts that only sound alike). Its
-weights become a table of one row per n-gram. Paragraphs that have a word of the
+A sparse multinomial logistic regression on word n-grams is fitted on the driver
+to variations of the license texts (and of texts that only sound alike); what is
+called a license is calibrated on other texts, held out of the fit. Its weights
+become a table of one row per n-gram. Paragraphs that have a word of the
 vocabulary are cut into n-grams, joined with the table, and the weights are
 summed per paragraph; softmax and the calibrated threshold follow as columns. A
 prediction is confirmed by comparing the paragraph with the family's templates.
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.llm.license_texts import TEMPLATES, UNLIKE
+from docquery.llm.license_texts import HELD_OUT, TEMPLATES, UNLIKE
 
 UNKNOWN = "unknown"
 N_GRAM = 3
@@ -70,61 +71,106 @@ class Model(NamedTuple):
 
 
 def _variations(line: str, rng: random.Random, filler: list[str], n: int) -> list[list[str]]:
-    """A line's words as they are, and with words left out or put in."""
+    """A line's words as they are, and with words left out or put in; of a long
+    one every other variation is a run of its words, as lines of wrapped texts
+    are. (What families have in common then speaks for none of them.)"""
     own = words_of(line)
     out = [own]
-    for _ in range(n - 1):
-        new = [w for w in own if rng.random() > 0.08] or own
-        for _ in range(rng.randrange(0, 6)):
+    for k in range(n - 1):
+        part = own
+        if len(own) > 16 and k % 2:
+            start = rng.randrange(len(own) - 8)
+            part = own[start : start + rng.randrange(8, 17)]
+        new = [w for w in part if rng.random() > 0.06] or part
+        for _ in range(rng.randrange(0, 5)):
             new.insert(rng.choice([0, len(new), rng.randrange(len(new) + 1)]), rng.choice(filler))
         out.append(new)
     return out
 
 
+class Samples(NamedTuple):
+    """Sparse rows: the features of all rows, one after the other (each row has
+    the constant feature, the last), where they begin, and the classes."""
+
+    feature: np.ndarray
+    begins: np.ndarray
+    y: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[tuple[set[str], int]], at: dict[str, int]) -> Samples:
+        own = [sorted(at[g] for g in grams if g in at) + [len(at)] for grams, _ in rows]
+        return cls(np.concatenate([np.array(x) for x in own]), np.cumsum([0, *map(len, own)])[:-1], np.array([y for _, y in rows]))
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(w[self.feature], self.begins, axis=0)
+
+
+def _lines() -> list[tuple[int, str]]:
+    """(class, text) of the texts that the model is fitted to."""
+    groups = [*TEMPLATES.values(), UNLIKE]
+    return [(k, x) for k, g in enumerate(groups) for x in g.strip().split("\n")]
+
+
+def _descend(rows: list[tuple[set[str], int]], at: dict[str, int], n_classes: int, rounds: int, rate: float, sparsity: float) -> np.ndarray:
+    """Weights (features and the constant, classes) by gradient steps, each
+    followed by a step of size sparsity towards zero."""
+    s = Samples.of(rows, at)
+    w = np.zeros((len(at) + 1, n_classes), np.float32)
+    by_feature = np.argsort(s.feature, kind="stable")
+    row = np.repeat(np.arange(len(rows)), np.diff(np.r_[s.begins, len(s.feature)]))[by_feature]
+    begins = np.searchsorted(s.feature[by_feature], np.arange(len(at) + 1))
+    goal = np.eye(n_classes, dtype=np.float32)[s.y]
+    for _ in range(rounds):
+        step = (_softmax(s.scores(w)) - goal).astype(np.float32) / len(rows)
+        w -= 8 * rate * np.add.reduceat(step[row], begins, axis=0)
+        w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - rate * sparsity)
+    return w
+
+
+def _training(rng: random.Random, lines: list[tuple[int, str]], unknown: int, variations: int) -> tuple[list[tuple[set[str], int]], dict[str, int], tuple[str, ...]]:
+    """Samples of the lines and of noise, the features (n-grams that have a cue)
+    and the cues."""
+    noise = ["".join(rng.choices("abdeilnorst", k=rng.randrange(2, 9))) for _ in range(400)]
+    filler = sorted({w for _, x in lines for w in words_of(x) if w in STOPS} | set(noise))
+    rows = [(grams_of(words), k) for k, x in lines for words in _variations(x, rng, filler, variations * (2 if k == unknown else 1))]
+    rows += [(grams_of(rng.choices(filler, k=rng.randrange(1, 30))), unknown) for _ in range(300)]
+    cues = {w for k, x in lines if k != unknown for w in words_of(x)} - STOPS
+    base = {g for _, x in lines for g in grams_of(words_of(x)) if cues.intersection(g.split(" "))}
+    return rows, {g: i for i, g in enumerate(sorted(base))}, tuple(sorted(cues))
+
+
 @lru_cache(2)
-def fit(variations: int = 24, rounds: int = 150, rate: float = 1.0, decay: float = 1e-3, precision: float = 0.98, seed: int = 7) -> Model:
-    """Fits on three quarters of the variations; the rest calibrate: a
-    temperature (least log loss), then the lowest probability above which
-    `precision` of what is called a license is one, of the right family.
-    All data are the fixed texts, about 2,000 short paragraphs."""
-    rng = random.Random(seed)
+def fit(variations: int = 24, rounds: int = 150, rate: float = 8.0, sparsity: float = 5e-5, precision: float = 0.98, seed: int = 7) -> Model:
+    """Fits to variations of the fixed texts, some 4,000 short paragraphs. Texts
+    of their own, none of which is fitted to, calibrate: a temperature (least
+    log loss), then the lowest probability above which `precision` of what is
+    called a license is one, of the right family."""
     families = (*TEMPLATES, UNKNOWN)
-    lines = [(f, x) for f, t in TEMPLATES.items() for x in t.strip().split("\n")] + [(UNKNOWN, x) for x in UNLIKE.strip().split("\n")]
-    filler = sorted({w for _, x in lines for w in words_of(x) if w in STOPS} | {"".join(rng.choices("abdeilnorst", k=rng.randrange(2, 9))) for _ in range(400)})
-    samples = []
-    for f, x in lines:
-        for i, words in enumerate(_variations(x, rng, filler, variations * (2 if f == UNKNOWN else 1))):
-            samples.append((grams_of(words), families.index(f), i % 4 == 3))
-    for i in range(400):
-        samples.append((grams_of(rng.choices(filler, k=rng.randrange(1, 30))), len(families) - 1, i % 4 == 3))
-    cues = {w for f, x in lines if f != UNKNOWN for w in words_of(x)} - STOPS
-    base = {g for _, x in lines for g in grams_of(words_of(x)) if cues.intersection(g.split(" "))}
-    grams = tuple(sorted(base))
-    at = {g: i for i, g in enumerate(grams)}
-    x = np.zeros((len(samples), len(grams)), np.float32)
-    for i, (g, _, _) in enumerate(samples):
-        x[i, [at[k] for k in g if k in at]] = 1
-    y = np.array([f for _, f, _ in samples])
-    held = np.array([h for _, _, h in samples])
-    w, b = np.zeros((len(grams), len(families)), np.float32), np.zeros(len(families), np.float32)
-    xt, goal = x[~held], np.eye(len(families), dtype=np.float32)[y[~held]]
-    for _ in range(rounds):
-        p = _softmax(xt @ w + b)
-        step = (p - goal) / len(xt)
-        w -= rate * (xt.T @ step * 8 + decay * w)
-        b -= rate * step.sum(axis=0) * 8
-    z = x[held] @ w + b
-    loss = lambda s: -np.log(_softmax(z * s)[np.arange(len(z)), y[held]] + 1e-12).mean()
-    scale = min((k / 4 for k in range(1, 25)), key=loss)
+    rows, at, cues = _training(random.Random(seed), _lines(), len(TEMPLATES), variations)
+    w = np.round(_descend(rows, at, len(families), rounds, rate, sparsity).astype(float), 4)
+    kept = [i for i in range(len(at)) if w[i].any()]
+    grams = list(at)
+    fitted = Model(families, tuple(grams[i] for i in kept), w[kept], w[-1], 1.0, 0.5, cues)
+    z, y = held_out_scores(fitted)
+    loss = lambda s: -np.log(_softmax(z * s)[np.arange(len(z)), y] + 1e-12).mean()
+    scale = min((k / 8 for k in range(1, 33)), key=loss)
     p = _softmax(z * scale)
     p_license, best = p[:, :-1].max(axis=1), p[:, :-1].argmax(axis=1)
     threshold = 0.5
-    for t in np.arange(0.5, 1, 0.01):
+    for t in np.arange(0.3, 1, 0.01):
         called = p_license >= t
         threshold = float(t)
-        if called.any() and (best[called] == y[held][called]).mean() >= precision:
+        if called.any() and (best[called] == y[called]).mean() >= precision:
             break
-    return Model(families, grams, np.round(w.astype(float), 6), np.round(b.astype(float), 6), float(scale), round(threshold, 2), tuple(sorted(cues)))
+    return fitted._replace(temperature=float(scale), threshold=round(threshold, 2))
+
+
+def held_out_scores(m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, classes) of the held-out texts, before the temperature."""
+    lines = [x.split("|", 1) for x in HELD_OUT.strip().split("\n")]
+    at = {g: i for i, g in enumerate(m.grams)}
+    s = Samples.of([(grams_of(words_of(x)), m.families.index(f)) for f, x in lines], at)
+    return s.scores(np.vstack([m.weights, m.bias])), s.y
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -135,16 +181,25 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _tables(spark: SparkSession, m: Model) -> tuple[DataFrame, DataFrame]:
     """Weights per n-gram, 0 for those that only serve the comparison; n-grams
     of three words per template line. Both are as large as the fixed texts
-    (about 1,500 and 50 rows)."""
+    (some thousand and 120 rows)."""
     quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     triples = {g for t in TEMPLATES.values() for x in t.strip().split("\n") for g in _triples(words_of(x))}
     own = list(zip(m.grams, m.weights)) + [(g, np.zeros(len(m.families))) for g in sorted(triples - set(m.grams))]
-    rows = ", ".join(f"({quoted(g)}, '{' '.join(map(str, r))}')" for g, r in own)
-    weights = spark.sql(f"SELECT gram, transform(split(w, ' '), x -> double(x)) AS w FROM VALUES {rows} AS t(gram, w)")
+    rows = ", ".join(f"({quoted(g)}, '{' '.join(f'{x:g}' for x in r) if r.any() else ''}')" for g, r in own)
+    weights = spark.sql(f"SELECT gram, IF(w = '', array_repeat(0D, {len(m.families)}), transform(split(w, ' '), x -> double(x))) AS w FROM VALUES {rows} AS t(gram, w)")
+    joined = lambda x: quoted("|".join(sorted(x)))
+    sure = own_triples()
     lines = ", ".join(
-        f"({quoted(f)}, {quoted(x)}, {quoted('|'.join(sorted(_triples(words_of(x)))))})" for f, t in TEMPLATES.items() for x in t.strip().split("\n")
+        f"({quoted(f)}, {quoted(x)}, {joined(_triples(words_of(x)))}, {joined(_triples(words_of(x)) & sure[f])})" for f, t in TEMPLATES.items() for x in t.strip().split("\n")
     )
-    return weights, spark.sql(f"SELECT family, template, split(triples, '[|]') AS triples FROM VALUES {lines} AS t(family, template, triples)")
+    cut = "split({0}, '[|]') AS {0}"
+    return weights, spark.sql(f"SELECT family, template, {cut.format('triples')}, {cut.format('sure')} FROM VALUES {lines} AS t(family, template, triples, sure)")
+
+
+def own_triples() -> dict[str, set[str]]:
+    """Word triples that the templates of one family only have."""
+    all_ = {f: {g for x in t.strip().split("\n") for g in _triples(words_of(x))} for f, t in TEMPLATES.items()}
+    return {f: own.difference(*(x for k, x in all_.items() if k != f)) for f, own in all_.items()}
 
 
 def _triples(words: list[str]) -> set[str]:
@@ -156,14 +211,17 @@ def scan_licenses(
     id_col: str = "doc_id",
     text_col: str = "text",
     likeness: float = 0.6,
+    least_triples: int = 8,
     model: Model | None = None,
 ) -> DataFrame:
     """(id, licenses, passages) for every row of docs; licenses: array of (paragraph,
     family, probability, template, likeness, confirmed), by paragraph (the
     number of the \\n-separated line, from 0), for the paragraphs whose most
     probable family reaches the model's threshold. likeness is the share of a
-    template's word triples that the paragraph has, for the family's template
-    that is most alike; at `likeness` or more it confirms the prediction.
+    template's word triples that the paragraph has, or, if it has least_triples
+    or more and one that only templates of this family have, the share of its
+    own that the template has, whichever is greater, for the family's template that is most alike; at `likeness` or more it
+    confirms the prediction. (So a line of a wrapped paragraph is confirmed.)
     passages: the same of the confirmed passages (lines joined up to one without
     words, numbered from 0; only those of several lines) whose family no line
     of the text confirms.
@@ -184,16 +242,17 @@ def scan_licenses(
     passages = F.transform(F.split("whole", BLANK), lambda x, i: F.struct(F.lit(True).alias("joined"), i.alias("paragraph"), F.when(F.contains(F.trim(x, F.lit("\n")), F.lit("\n")), _words(x)).alias("words")))
     passages = F.filter(passages, lambda s: F.coalesce(F.arrays_overlap(s["words"], cues), F.lit(False)))
     # A text without such a line has no such passage; the lines are named once, so that they are cut once.
-    both = F.transform(F.array(lines), lambda x: F.when(F.size(x) > 0, F.concat(x, passages)).otherwise(x))[0]
-    some = rows.select("id", "row", F.explode_outer(both).alias("p")).select("id", "row", F.coalesce("p.joined", F.lit(False)).alias("joined"), "p.paragraph", "p.words")
+    named = F.transform(F.array(lines), lambda x: F.when(F.size(x) > 0, F.concat(x, passages)).otherwise(x))[0]
+    some = rows.select("id", "row", F.explode_outer(named).alias("p")).select("id", "row", F.coalesce("p.joined", F.lit(False)).alias("joined"), "p.paragraph", "p.words")
+    some = some.withColumn("own", F.size("words") - (N_GRAM - 1))
     # One null stands for the paragraph itself; of its n-grams only those of the table go on.
     own = F.coalesce(_grams(F.col("words")), F.array().cast("array<string>"))
-    grams = some.select("id", "row", "joined", "paragraph", F.explode(F.array_append(own, F.lit(None).cast("string"))).alias("gram"))
+    grams = some.select("id", "row", "joined", "paragraph", "own", F.explode(F.array_append(own, F.lit(None).cast("string"))).alias("gram"))
     k = len(m.families)
     sums = [F.sum(F.col("w")[i]) for i in range(k)]
     scored = (
         grams.join(F.broadcast(weights), "gram", "left").where("gram is null or w is not null").groupBy("id", "row", "joined", "paragraph")
-        .agg(*(F.coalesce(s, F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(sums)), F.collect_set(F.when(F.size(F.split("gram", " ")) == N_GRAM, F.col("gram"))).alias("triples"))
+        .agg(F.max("own").alias("n_own"), *(F.coalesce(s, F.lit(0.0)).alias(f"s{i}") for i, s in enumerate(sums)), F.collect_set(F.when(F.size(F.split("gram", " ")) == N_GRAM, F.col("gram"))).alias("triples"))
         .withColumn("z", F.array(*((F.col(f"s{i}") + float(m.bias[i])) * m.temperature for i in range(k))))
         .withColumn("top", F.array_max("z"))
         .withColumn("total", F.aggregate("z", F.lit(0.0), lambda a, z: a + F.exp(z - F.col("top"))))
@@ -204,9 +263,10 @@ def scan_licenses(
         .withColumn("called", F.col("paragraph").isNotNull() & (F.col("probability") >= m.threshold))
         .withColumn("family", F.when(F.col("called"), F.col("family")))
     )
-    alike = F.size(F.array_intersect(F.col("s.triples"), F.col("t.triples"))) / F.size(F.col("t.triples"))
+    both = F.size(F.array_intersect(F.col("s.triples"), F.col("t.triples")))
+    alike = F.greatest(both / F.size(F.col("t.triples")), F.when((F.col("n_own") >= least_triples) & F.arrays_overlap("s.triples", "t.sure"), both / F.col("n_own")))
     compared = (
-        scored.select("id", "row", "joined", "paragraph", "family", "probability", "triples").alias("s")
+        scored.select("id", "row", "joined", "paragraph", "family", "probability", "triples", "n_own").alias("s")
         .join(F.broadcast(templates.alias("t")), F.col("s.family") == F.col("t.family"), "left")
         .select("id", "row", "joined", "paragraph", "s.family", "probability", "template", F.coalesce(alike, F.lit(0.0)).alias("alike"))
     )

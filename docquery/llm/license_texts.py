@@ -9,6 +9,12 @@ You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2
 This project is released under the Apache 2.0 license.
 SPDX-License-Identifier: Apache-2.0
 Apache License Version 2.0, January 2004
+you may not use this file except in compliance with the License. You may obtain a copy of the License at
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.
+Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership.
+The ASF licenses this file to you under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.
+Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable patent license to make, have made, use, offer to sell, sell, import, and otherwise transfer the Work.
 """,
     "mit": """
 Released under the MIT License.
@@ -17,6 +23,10 @@ Licensed under the MIT license.
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.
 SPDX-License-Identifier: MIT
 The MIT License (MIT)
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at https://opensource.org/licenses/MIT.
 """,
     "gpl": """
 This work is licensed under the GNU General Public License, version 3.
@@ -25,18 +35,34 @@ Licensed under the GPL, version 2 or later.
 Released under the GNU GPL v3.
 SPDX-License-Identifier: GPL-3.0-or-later
 You should have received a copy of the GNU General Public License along with this program.
+This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.
+You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301, USA.
+The GNU General Public License is a free, copyleft license for software and other kinds of works.
+GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007
+GNU GENERAL PUBLIC LICENSE Version 2, June 1991
+Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.
 """,
     "lgpl": """
 This library is licensed under the GNU Lesser General Public License, version 2.1.
 This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.
 Licensed under the LGPL, version 3.
 SPDX-License-Identifier: LGPL-2.1-or-later
+This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.
+This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation.
+GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007
 """,
     "agpl": """
 This work is licensed under the GNU Affero General Public License, version 3.
 This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License.
 Licensed under the AGPL, version 3.
 SPDX-License-Identifier: AGPL-3.0-only
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; see the GNU Affero General Public License for more details.
+You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/.
+GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007
 """,
     "bsd": """
 Released under the BSD License.
@@ -44,39 +70,83 @@ Licensed under the BSD 3-Clause License.
 Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.
 Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 SPDX-License-Identifier: BSD-3-Clause
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.
+All advertising materials mentioning features or use of this software must display the following acknowledgement.
 """,
     "mpl": """
 This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
 Licensed under the Mozilla Public License, version 2.0.
 If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.
 SPDX-License-Identifier: MPL-2.0
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.
+This Source Code Form is "Incompatible With Secondary Licenses", as defined by the Mozilla Public License, v. 2.0.
+Mozilla Public License Version 2.0
 """,
     "cc-by": """
 Licensed under CC BY 4.0.
 This work is licensed under a Creative Commons Attribution 4.0 International License.
 This article is distributed under the terms of the Creative Commons Attribution License.
 SPDX-License-Identifier: CC-BY-4.0
+You are free to share and adapt the material for any purpose, even commercially, as long as you give appropriate credit, provide a link to the license, and indicate if changes were made.
+This is an open access article distributed under the terms of the Creative Commons Attribution License, which permits unrestricted use, distribution, and reproduction in any medium, provided the original work is properly cited.
+Creative Commons Attribution 4.0 International Public License
 """,
     "cc-by-sa": """
 Licensed under CC BY-SA 4.0.
 This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.
 Text is available under the Creative Commons Attribution-ShareAlike License.
 SPDX-License-Identifier: CC-BY-SA-4.0
+If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original.
+Creative Commons Attribution-ShareAlike 4.0 International Public License
+Content is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.
 """,
     "cc-by-nc": """
 Licensed under CC BY-NC 4.0.
 This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.
 Released under CC BY-NC-SA 4.0.
 SPDX-License-Identifier: CC-BY-NC-4.0
+You may not use the material for commercial purposes.
+Creative Commons Attribution-NonCommercial 4.0 International Public License
+This is an open access article under the Creative Commons Attribution-NonCommercial-NoDerivs License, which permits use and distribution in any medium, provided the use is non-commercial.
 """,
     "public-domain": """
 This is free and unencumbered software released into the public domain.
 To the extent possible under law, the author has waived all copyright and related rights to this work under CC0 1.0.
 This work is dedicated to the public domain.
 SPDX-License-Identifier: CC0-1.0
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.
+The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.
+CC0 1.0 Universal
+""",
+    "isc": """
+Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+Licensed under the ISC License.
+SPDX-License-Identifier: ISC
+ISC License
+""",
+    "zlib": """
+This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+This notice may not be removed or altered from any source distribution.
+SPDX-License-Identifier: Zlib
+""",
+    "eupl": """
+Licensed under the EUPL, Version 1.2 or, as soon they will be approved by the European Commission, subsequent versions of the EUPL (the "Licence").
+You may not use this work except in compliance with the Licence. You may obtain a copy of the Licence at https://joinup.ec.europa.eu/software/page/eupl
+Unless required by applicable law or agreed to in writing, software distributed under the Licence is distributed on an "AS IS" basis, without warranties or conditions of any kind, either express or implied.
+European Union Public Licence v. 1.2
+SPDX-License-Identifier: EUPL-1.2
 """,
     "proprietary": """
 All rights reserved.
+All rights reserved. Unauthorized copying, distribution or use of this material is prohibited.
 No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.
 This software is proprietary and confidential; unauthorized copying of this file is strictly prohibited.
 """,
@@ -110,4 +180,77 @@ Released under the Example License.
 This work is licensed under the Example Public License, version 1.
 This software is released under a license of its own.
 Licensed under the terms of another license, version 5.
+He released the album under the MIT press in version 2.0.
+The band released the record under the Apollo label.
+The ship was distributed in parts, in the hope that it would be useful to the navy.
+A copy of the letter was obtained by a person who dealt in antiques.
+The warranty of the car is limited to three years and covers the engine only.
+In no event will the match be held before Sunday.
+The event was held in the hall, and the organisers were liable for the damages.
+The claim arose from the use of the building without permission.
+The above list of names is included in all copies of the programme.
+The university press published the first edition without any changes.
+The committee shall include the following conditions in the notice.
+The court granted the holder of the patent damages for loss of profits.
+Version 3 of the report was published by the foundation in June.
+The public may use the park for any purpose, free of charge.
+"""
+
+#: Notices as they are met, none of them a template; the model isn't fitted to them, they calibrate it. Family, then the text.
+HELD_OUT = """
+apache-2.0|Distributed under the Apache License 2.0, see the file LICENSE.
+apache-2.0|The code is available under the Apache License (version 2.0).
+apache-2.0|Copyright 2019 The Authors. Licensed under the Apache License, Version 2.0.
+apache-2.0|License: Apache 2.0
+mit|Distributed under the terms of the MIT license.
+mit|This project is MIT licensed; the MIT License is in the file LICENSE.
+mit|Copyright (c) 2015 Someone, released under the MIT license
+mit|The software is provided as is, without warranty of any kind, express or implied.
+gpl|This package is distributed under the terms of the GNU General Public License, version 2 or later.
+gpl|It is free software under the GNU GPL version 3.
+gpl|you can redistribute it and/or modify it under the terms of the GNU General Public License
+gpl|See the GNU General Public License for more details.
+lgpl|The library may be used under the GNU Lesser General Public License version 3.
+lgpl|Licensed under LGPL 2.1 or later, see COPYING.LESSER
+agpl|The server is free software under the GNU Affero General Public License version 3.
+agpl|Released under the AGPL, version 3 or any later version.
+bsd|Distributed under the 3-clause BSD license.
+bsd|This code is released under the BSD 2-Clause License, see LICENSE.
+bsd|Redistribution and use in source and binary forms are permitted provided that the above copyright notice is kept.
+mpl|The source code is subject to the Mozilla Public License 2.0.
+mpl|Licensed under the MPL 2.0, a copy of which is at mozilla.org/MPL/2.0
+cc-by|The text is licensed under a Creative Commons Attribution 4.0 license.
+cc-by|Published as open access under CC BY 4.0.
+cc-by-sa|This page is available under the Creative Commons Attribution-ShareAlike License 4.0.
+cc-by-sa|Images are licensed under CC BY-SA 3.0.
+cc-by-nc|The data are licensed under Creative Commons Attribution-NonCommercial 4.0.
+cc-by-nc|Photos under CC BY-NC 2.0.
+public-domain|This file has been released into the public domain by its author.
+public-domain|The author waives all copyright under CC0 1.0.
+isc|This module is distributed under the ISC license.
+isc|Permission to use, copy, modify and distribute this software for any purpose is hereby granted.
+zlib|Permission is granted to anyone to use this software for any purpose and to redistribute it freely.
+zlib|The origin of this software must not be misrepresented.
+eupl|Available under the European Union Public Licence v. 1.2.
+eupl|Licensed under the EUPL 1.2 or later.
+proprietary|Copyright 2020 Some Company. All rights reserved.
+proprietary|This document is confidential; copying without written permission of the publisher is prohibited.
+unknown|He holds a pilot license and a degree from MIT.
+unknown|The new version is released next week in all shops.
+unknown|Licensed under the Sample License.
+unknown|This work is under review by the public prosecutor.
+unknown|The general opinion of the public was divided on the matter.
+unknown|A copy of the contract was sent to the authors and the publisher.
+unknown|The file was distributed to all members in source and in print.
+unknown|The guarantee is void without the receipt.
+unknown|They gave permission to use the hall for the concert.
+unknown|The Mozilla browser was the first program that he installed.
+unknown|Creative writing is taught in the international school.
+unknown|All rights and duties are written down in the law.
+unknown|The Berkeley campus is larger than the others.
+unknown|The terms of the agreement were modified after the meeting.
+unknown|A driver must keep the notice in the car.
+unknown|The foundation supports free schools in the union.
+unknown|You may obtain the book in any library.
+unknown|Damages of this kind are not covered by the insurance.
 """

@@ -17,8 +17,14 @@ FAMILY = [
 
 
 def triples_likeness(paragraph, family):
-    own = ls._triples(ls.words_of(paragraph))
-    return max(len(own & ls._triples(ls.words_of(x))) / len(ls._triples(ls.words_of(x))) for x in TEMPLATES[family].strip().split("\n"))
+    words = ls.words_of(paragraph)
+    n, own, sure = len(words) - 2, ls._triples(words), ls.own_triples()[family]
+
+    def alike(template):
+        both = len(own & template)
+        return max(both / len(template), both / n if n >= 8 and own & template & sure else 0)
+
+    return max(alike(ls._triples(ls.words_of(x))) for x in TEMPLATES[family].strip().split("\n"))
 
 
 @pytest.mark.parametrize("paragraph, family", FAMILY)
@@ -91,3 +97,28 @@ def test_wrapped_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.families for r in op4_license_scan(spark, str(tmp_path)).collect()}
     assert got == {0: ["mit"], 1: ["bsd"], 2: ["gpl"], 3: ["bsd", "mit"], 4: [], 5: [], 6: []}
+
+
+def test_held_out_templates():
+    """Texts that the model isn't fitted to: what is called a license is one, of
+    the right family, in 95 of 100 cases at least."""
+    m = ls.fit()
+    z, y = ls.held_out_scores(m)
+    p = ls._softmax(z * m.temperature)
+    best, called = p[:, :-1].argmax(axis=1), p[:, :-1].max(axis=1) >= m.threshold
+    assert (best[called] == y[called]).mean() >= 0.95 and called[y == len(TEMPLATES)].mean() <= 0.05
+    assert (called & (best == y))[y < len(TEMPLATES)].mean() > 0.85
+    assert (m.weights == 0).mean() > 0.6
+
+
+@pytest.mark.parametrize("line, family", [
+    ("of this software and associated documentation files (the \"Software\"), to deal", "mit"), ("MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE", "mit"),
+    ("Grant of Patent License. Subject to the terms and conditions of this License, each Contributor hereby grants", "apache-2.0"),
+    ("it under the terms of the GNU General Public License as published by the Free Software", "gpl"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee", "isc"),
+    ("Altered source versions must be plainly marked as such, and must not be misrepresented", "zlib"),
+    ("He released the album under the MIT press in version 2.0, and it sold well in all shops", None), ("The law allows any person to use the beach free of charge for the whole of the summer", None),
+])
+def test_lines_of_wrapped_paragraphs(spark, line, family):
+    [r] = ls.scan_licenses(spark.createDataFrame([(1, "x\n" + line)], "doc_id long, text string")).collect()
+    assert [x.family for x in r.licenses if x.confirmed] == ([family] if family else [])
