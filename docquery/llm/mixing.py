@@ -78,6 +78,7 @@ def mix_sources(
     weights: tuple[int, ...] = (1, 2, 3),
     max_epochs: int = 3,
     seed: str = "mix-1",
+    size_col: str | None = None,
 ) -> DataFrame:
     """Adds to every row of docs a struct `into`: size (words of the text),
     source_size, target (words that the source should give), copies (how often
@@ -88,7 +89,8 @@ def mix_sources(
     repetitions are the same for all rows of a source. The fractional one takes
     rows in a seeded order (md5 of seed and id, then id, then size) while the
     middle of the row lies within what the target leaves, so a source misses its
-    target by half a document at most, and reruns agree.
+    target by half a document at most, and reruns agree. With size_col, sizes
+    are taken from there (null: 0), and texts aren't read.
 
     Nulls: a null text has size 0; null sources are one source, ordered last; a
     null id is hashed like an empty one. Repeated rows count each. A source
@@ -97,7 +99,8 @@ def mix_sources(
     """
     at = fresh(docs, "mixing")
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
-    own = F.struct(n_words(F.col(text_col)).alias("size"), key.alias("key"), F.col(source_col).alias("source"), F.col(id_col).alias("id"))
+    size = F.coalesce(F.col(size_col), F.lit(0)).cast("long") if size_col else n_words(F.col(text_col))
+    own = F.struct(size.alias("size"), key.alias("key"), F.col(source_col).alias("source"), F.col(id_col).alias("id"))
     rows = docs.withColumn(at, own).withColumn(at, F.col(at).withField("bucket", F.substring(f"{at}.key", 1, BUCKET_DIGITS)))
     sizes = rows.groupBy(f"{at}.source", f"{at}.bucket").agg(F.sum(f"{at}.size").alias("size"))
     plan = written(water_fill(written(sizes, "mix-sizes"), weights, max_epochs), "mix-plan")
@@ -125,5 +128,7 @@ def mix_sources(
 
 
 def repeated(mixed: DataFrame, into: str = "mix") -> DataFrame:
-    """The mixed corpus: every row as often as the mix takes it."""
+    """The mixed corpus: every row as often as the mix takes it (rows that it
+    doesn't take go), without the struct. Null ids and texts, repeated rows and
+    columns of any name are kept as they are; an empty table stays empty."""
     return mixed.withColumn(into, F.explode(F.array_repeat(F.lit(0), F.col(into)["copies"].cast("int")))).drop(into)

@@ -7,11 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.llm import oracles, quality
-from docquery.llm.common import table
+from docquery.llm.common import table, written
 from docquery.llm.fingerprint import fingerprint_edits
 from docquery.llm.language_id import held_out, identify, train
 from docquery.llm.license_scan import scan_licenses
-from docquery.llm.mixing import mix_sources
+from docquery.llm.mixing import mix_sources, n_words
 from docquery.llm.ngram_join import near_duplicates
 from docquery.llm.private_data import BASE, KINDS, find_private
 from docquery.llm.segmentation import survey
@@ -110,7 +110,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document a mix of all sources takes."""
-    mixed = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, sf_dir, "documents")
+    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sized")  # texts are read once
+    mixed = mix_sources(sized, size_col="size")
     return mixed.select("doc_id", *(f"mix.{c}" for c in ("size", "source_size", "target", "taken")))
 
 
