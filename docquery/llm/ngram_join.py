@@ -49,7 +49,7 @@ PART_BITS = 2
 #: Keys that a task holds before it sends them, and that come together to be compared, about.
 KEYS_AT_ONCE = 1_000_000
 #: N-grams and classes of a block in which links are counted, about.
-GRAMS_AT_ONCE, CLASSES_AT_ONCE = 1_000_000, 1024
+GRAMS_AT_ONCE, CLASSES_AT_ONCE = 1_000_000, 512
 #: Word hashes that a task remembers.
 MEMORY = 400_000
 #: Ids that are broadcast at most (24 bytes each); above, they are joined by shuffling.
@@ -329,7 +329,8 @@ def _link_counts(sets: DataFrame, members: DataFrame, t: int) -> DataFrame:
                     count[found] += members[one[k]]
         return pa.table({"owner": pa.array(owners, pa.int64()), "linked": pa.array(count)})
 
-    return dealt.groupBy("root", "i", "j").applyInArrow(meet, "owner bigint, linked bigint").groupBy("owner").agg(F.sum("linked").alias("linked"))
+    # Dealt out by block: what is there by component already would leave all blocks of a large one in one task.
+    return dealt.repartition("root", "i", "j").groupBy("root", "i", "j").applyInArrow(meet, "owner bigint, linked bigint").groupBy("owner").agg(F.sum("linked").alias("linked"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: int = 80, links: bool = True) -> DataFrame:
