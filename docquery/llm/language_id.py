@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docquery.llm.common import written
+
 #: First code point of each range and its script; letters elsewhere are "other".
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -40,7 +42,9 @@ NAMES = sorted({s for _, s in SCRIPTS})
 BITS = 16
 #: A language has a script if so much of its training letters are in it.
 SCRIPT_SHARE = 0.001
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 300_000
+#: Letters times languages whose log probabilities a task holds at once.
+CELLS_AT_ONCE = 4_000_000
 UNDETERMINED = "und"
 
 
@@ -98,10 +102,10 @@ class Model(NamedTuple):
     allowed: np.ndarray  # (scripts, languages)
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5, max_languages: int = 500) -> Model:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5, max_languages: int = 200) -> Model:
     """Counts the features of all rows with text and language. What comes to the
     driver is one count per language and feature, at most max_languages * 65,568
-    rows whatever the input; more languages are an error."""
+    rows of some 25 bytes whatever the input; more languages are an error."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict = defaultdict(lambda: np.zeros(2**BITS + len(NAMES), np.int64))
@@ -118,14 +122,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
 
     given = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     sums = given.mapInArrow(count, "lang string, feature bigint, n bigint").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    rows = sums.limit(max_languages * (2**BITS + len(NAMES)) + 1).collect()
-    languages = tuple(sorted({r.lang for r in rows}))
+    sums = written(sums, "features")
+    languages = tuple(sorted(r.lang for r in sums.select("lang").distinct().limit(max_languages + 1).collect()))
     if len(languages) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     counts = np.zeros((len(languages), 2**BITS + len(NAMES)))
-    at = {x: i for i, x in enumerate(languages)}
-    for r in rows:
-        counts[at[r.lang], r.feature] = r.n
+    found = sums.toArrow()
+    names = found.column("lang").combine_chunks().dictionary_encode()
+    if languages:
+        at = np.array([languages.index(x) for x in names.dictionary.to_pylist()])
+        counts[at[names.indices.to_numpy()], found.column("feature").to_numpy()] = found.column("n").to_numpy()
     own, scripts = counts[:, : 2**BITS], counts[:, 2**BITS :]
     seen = max(1, int((own.sum(axis=0) > 0).sum()))
     log_prob = np.log((own + smoothing) / (own.sum(axis=1, keepdims=True) + smoothing * seen)) if languages else np.zeros((0, 2**BITS))
@@ -133,6 +139,68 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
     return Model(languages, log_prob.T.astype(np.float32).copy(), allowed.T.copy())
 
 
+def word_scores(model: Model, b: Block) -> np.ndarray:
+    """(words, languages): sums of log probabilities, some words at a time."""
+    n_lang = len(model.languages)
+    ends = np.r_[b.word_first[1:], len(b.feature)]
+    out = np.empty((len(b.word_first), n_lang))
+    at = 0
+    while at < len(out):
+        to = max(at + 1, int(np.searchsorted(ends, b.word_first[at] + CELLS_AT_ONCE // max(1, n_lang), "right")))
+        first = b.word_first[at]
+        out[at:to] = np.add.reduceat(model.log_prob[b.feature[first : ends[to - 1]]], b.word_first[at:to] - first, axis=0)
+        at = to
+    fits = model.allowed[b.script[b.word_first]]
+    fits = fits | ~fits.any(axis=1, keepdims=True)
+    return np.where(fits, out, -1e3 * (ends - b.word_first)[:, None])
+
+
+def _parts(text: str) -> Iterator[tuple[int, str]]:
+    """(offset, part) of a long text, cut after characters that aren't letters,
+    so that words and their features stay whole."""
+    letter, at = _tables().letter, 0
+    while at < len(text):
+        to = at + BLOCK_CHARS
+        if to < len(text):
+            ends = lambda places: next((i + 1 for i in places if not letter[ord(text[i])]), None)
+            to = ends(range(to - 1, at - 1, -1)) or ends(range(to, len(text))) or len(text)  # back to the last gap, or on to the next
+        yield at, text[at:to]
+        at = to
+
+
+def label_long(model: Model, text: str, penalty: float) -> Iterator[tuple[int, Block, np.ndarray]]:
+    """(offset, block, labels) of the parts of a long text: the labels are those
+    of the whole text, as the state goes from part to part and only back
+    pointers are kept."""
+    own = np.arange(len(model.languages), dtype=np.int16)
+    value, backs, parts = None, [], []
+    for at, part in _parts(text):
+        scores = word_scores(model, block_of([part]))
+        back = np.empty(scores.shape, np.int16)
+        for i, row in enumerate(scores):
+            if value is None:
+                value = row.copy()
+                continue
+            top = int(value.argmax())
+            switched = value[top] - penalty
+            stay = value >= switched
+            back[i] = np.where(stay, own, top)
+            value = np.where(stay, value, switched) + row
+        parts.append((at, part)), backs.append(back)
+    now = -1 if value is None else int(value.argmax())
+    labels: list = [None] * len(parts)
+    left = sum(map(len, backs))
+    for k in range(len(parts) - 1, -1, -1):
+        labels[k] = np.empty(len(backs[k]), np.int64)
+        for i in range(len(backs[k]) - 1, -1, -1):
+            labels[k][i] = now
+            left -= 1
+            if left:
+                now = int(backs[k][i, now])
+    for (at, part), found in zip(parts, labels):
+        yield at, block_of([part]), found
+
+
 def label_words(model: Model, b: Block, penalty: float) -> np.ndarray:
     """The language (index) of every word: per text the path with the best sum
     of word scores less penalty per switch. Among equals, staying wins, then the
@@ -140,11 +208,7 @@ def label_words(model: Model, b: Block, penalty: float) -> np.ndarray:
     n_words, n_lang = len(b.word_first), len(model.languages)
     if not n_words:
         return np.zeros(0, np.int64)
-    scores = np.add.reduceat(model.log_prob[b.feature], b.word_first, axis=0).astype(np.float64)
-    fits = model.allowed[b.script[b.word_first]]
-    fits = fits | ~fits.any(axis=1, keepdims=True)
-    length = np.diff(np.r_[b.word_first, len(b.feature)])
-    scores = np.where(fits, scores, -1e3 * length[:, None])
+    scores = word_scores(model, b)
     begins = np.flatnonzero(np.r_[True, b.word_text[1:] != b.word_text[:-1]])
     sizes = np.diff(np.r_[begins, n_words])
     order = np.argsort(-sizes, kind="stable")
@@ -187,6 +251,36 @@ def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def tally(m: Model, texts: list[str], penalty: float, spans: bool) -> tuple[np.ndarray, list[list[dict]]]:
+    """(letters per text and language, runs of words with one label per text) of
+    a block: some texts, or a long one."""
+    n_lang = max(1, len(m.languages))
+    letters = np.zeros((len(texts), n_lang))
+    runs: list = [[] for _ in texts]
+    if not m.languages:
+        return letters, runs
+    if len(texts) == 1 and len(texts[0]) > BLOCK_CHARS:
+        labelled = label_long(m, texts[0], penalty)
+    else:
+        b = block_of(texts)
+        labelled = [(0, b, label_words(m, b, penalty))]
+    for at, b, labels in labelled:
+        if not len(labels):
+            continue
+        ends = np.r_[b.word_first[1:], len(b.feature)]
+        letters += np.bincount(b.word_text * n_lang + labels, ends - b.word_first, len(texts) * n_lang).reshape(len(texts), -1)
+        if spans:
+            new = np.flatnonzero(np.r_[True, (labels[1:] != labels[:-1]) | (b.word_text[1:] != b.word_text[:-1])])
+            for w, e in zip(new, ends[np.r_[new[1:], len(labels)] - 1] - 1):
+                own, lang = runs[b.word_text[w]], m.languages[labels[w]]
+                start, end = at + int(b.place[b.word_first[w]]), at + int(b.place[e]) + 1
+                if own and own[-1]["lang"] == lang:  # goes on from the part before
+                    own[-1]["end"] = end
+                else:
+                    own.append({"start": start, "end": end, "lang": lang})
+    return letters, runs
+
+
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
 
 
@@ -207,17 +301,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         m = sent.value
         if not m.languages:
             return [(UNDETERMINED, 0.0, [])] * len(texts)
-        b = block_of(texts)
-        labels = label_words(m, b, penalty)
-        length = np.diff(np.r_[b.word_first, len(b.feature)])
-        letters = np.bincount(b.word_text * len(m.languages) + labels, length, len(texts) * len(m.languages)).reshape(len(texts), -1)
+        letters, runs = tally(m, texts, penalty, spans)
         best, total = letters.argmax(axis=1), letters.sum(axis=1)
-        runs: list = [[] for _ in texts]
-        if spans and len(labels):
-            new = np.flatnonzero(np.r_[True, (labels[1:] != labels[:-1]) | (b.word_text[1:] != b.word_text[:-1])])
-            last = b.word_first[np.r_[new[1:], len(labels)] - 1] + length[np.r_[new[1:], len(labels)] - 1] - 1
-            for w, e in zip(new, last):
-                runs[b.word_text[w]].append({"start": int(b.place[b.word_first[w]]), "end": int(b.place[e]) + 1, "lang": m.languages[labels[w]]})
         return [
             (m.languages[k], float(row[k] / n), r) if n else (UNDETERMINED, 0.0, [])
             for k, n, row, r in zip(best, total, letters, runs)
@@ -240,7 +325,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5, penalty: float = 12.0) -> DataFrame:
     """The rows of docs with a language that has at least `least` of the
-    letters; all columns as they are. Null texts and texts without letters go."""
+    letters (of equal ones too); all columns, whatever their names, as they are.
+    Null and empty texts and texts without letters go, and so do all if the
+    model has no language; repeated rows are judged one by one, a null id
+    doesn't matter; an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -249,13 +337,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, z in _blocks(texts):
-                b = block_of(texts[a:z])
-                labels = label_words(m, b, penalty) if m.languages else np.zeros(0, np.int64)
-                n = max(1, len(m.languages))
-                letters = np.zeros((z - a) * n)
-                if len(labels):
-                    letters = np.bincount(b.word_text * n + labels, np.diff(np.r_[b.word_first, len(b.feature)]), (z - a) * n)
-                letters = letters.reshape(z - a, n)
+                letters, _ = tally(m, texts[a:z], penalty, False)
                 keep = (letters.max(axis=1) >= least * letters.sum(axis=1)) & (letters.sum(axis=1) > 0)
                 yield batch.slice(a, z - a).filter(pa.array(keep))
 

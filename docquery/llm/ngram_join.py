@@ -47,11 +47,13 @@ SPARE, SPARE_PER = 2, 8
 #: Fragments of the first order in which partial overlaps are counted: a power of two of its leading bits.
 PART_BITS = 2
 #: Keys that a task holds before it sends them, and that come together to be compared, about.
-KEYS_AT_ONCE = 1_000_000
+KEYS_AT_ONCE, KEYS_TO_COMPARE = 500_000, 1_000_000
+#: Texts that a task holds as Python objects.
+TEXTS_AT_ONCE = 250
 #: N-grams and classes of a block in which links are counted, about.
 GRAMS_AT_ONCE, CLASSES_AT_ONCE = 1_000_000, 512
 #: Word hashes that a task remembers.
-MEMORY = 400_000
+MEMORY = 150_000
 #: Ids that are broadcast at most (24 bytes each); above, they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
@@ -133,12 +135,18 @@ def _shared(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, owners, np.stack([~(first & last), first | last]) if len(keys) else np.zeros((2, 0), bool)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            yield batch.slice(k, TEXTS_AT_ONCE)
+
+
 def _documents(docs: DataFrame, n_words: int) -> DataFrame:
     """(id, text_hash, n, owner): size and digest of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Words()
-        for batch in batches:
+        for batch in _slices(batches):
             found = []
             for text in batch.column(2).to_pylist():
                 grams = shingles(text, n_words, memory)
@@ -186,7 +194,7 @@ def _shared_keys(docs: DataFrame, n_words: int, t: int, n_parts: int) -> DataFra
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, held_k, held_o, size = Words(), [], [], 0
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             for text in batch.column(0).to_pylist():
                 grams = shingles(text, n_words, memory)
                 owner = set_digest(grams)
@@ -221,13 +229,12 @@ def _sets(docs: DataFrame, n_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Words()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                found = [shingles(t, n_words, memory) for t in batch.column(0).slice(k, 500).to_pylist()]
-                grams = pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
-                ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
-                owners = pa.array([set_digest(g) for g in found], pa.int64())
-                yield pa.RecordBatch.from_arrays([owners, pa.array([len(g) for g in found], pa.int64()), pa.ListArray.from_arrays(ends, grams)], ["owner", "n", "grams"])
+        for batch in _slices(batches):
+            found = [shingles(t, n_words, memory) for t in batch.column(0).to_pylist()]
+            grams = pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
+            ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+            owners = pa.array([set_digest(g) for g in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([owners, pa.array([len(g) for g in found], pa.int64()), pa.ListArray.from_arrays(ends, grams)], ["owner", "n", "grams"])
 
     return docs.mapInArrow(run, "owner bigint, n bigint, grams array<bigint>")
 
@@ -358,7 +365,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(_documents(slim, n_words), "sets")
     lows, _, spares = _size_classes(t)
     keys = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n * 4 * (100 - t) // 100  # at most: two roles, 2 (1 - t) n fragments
-    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // KEYS_AT_ONCE)
+    n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys // KEYS_TO_COMPARE)
     shared = _shared_keys(slim, n_words, t, n_parts).groupBy("owner").agg(F.sum("n").alias("shared"))
     shared = shared.select(F.col("owner").bitwiseAND(F.lit(-2)).alias("even"), F.col("owner").bitwiseAND(F.lit(1)).cast("int").alias("role"), "shared")
     classes = rows.where("n > 0").groupBy("owner", "n").agg(F.min(F.struct("id", "text_hash")).alias("pick"), F.min("id").alias("least"), F.count("*").alias("members"))

@@ -1,10 +1,15 @@
 import itertools
+import os
 import random
+import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from docquery.llm import language_id as li
 
+DATA = "/root/testdata/sf0.01"
 EN = "the of and to in is that was with for this from thing nothing water other house".split()
 DE = "der die und das nicht ein ist zu von mit sich auch schön über wasser haus straße".split()
 RU = "и в не на что он как это вода дом".split()
@@ -78,3 +83,38 @@ def test_odd_rows(spark):
     none = li.train(df.limit(0))
     assert none.languages == () and {r.lang_pred for r in li.identify(df, none).collect()} == {"und"}
     assert li.identify(df.limit(0), model).collect() == [] and li.keep_identified(df, none).collect() == []
+
+
+def test_long_texts_are_labelled_in_parts_as_a_whole(spark, monkeypatch):
+    from docquery.llm import language_id as li
+
+    rng = random.Random(4)
+    text = " ".join(" ".join(rng.choices(rng.choice([EN, DE]), k=rng.randrange(1, 15))) + rng.choice([".", "", ", 12 "]) for _ in range(400)) + "x" * 900 + " und " + "日本" * 300
+    docs = spark.createDataFrame([(" ".join(EN * 4), "en"), (" ".join(DE * 4), "de")], "text string, lang string")
+    model = li.train(docs)
+    whole = li.tally(model, [text], 12.0, True)
+    for size in (50, 333, 2000):
+        monkeypatch.setattr(li, "BLOCK_CHARS", size)
+        parts = list(li._parts(text))
+        assert "".join(p for _, p in parts) == text and [a for a, _ in parts] == [sum(len(p) for _, p in parts[:k]) for k in range(len(parts))]
+        letters, runs = li.tally(model, [text], 12.0, True)
+        assert (letters == whole[0]).all() and runs == whole[1] and len(runs[0]) > 20
+    monkeypatch.setattr(li, "CELLS_AT_ONCE", 40)
+    assert (li.tally(model, [text], 12.0, True)[0] == whole[0]).all()
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_registered_query_on_held_out_documents(spark, tmp_path):
+    """The wiring: who is held out, that held-out labels don't matter, and the
+    accuracy on them."""
+    from docquery.llm.queries import op9_language_id
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = docs.select("doc_id", "lang", "text").collect()
+    out = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    got = {r.doc_id: r for r in op9_language_id(spark, DATA).collect()}
+    assert {i: r.held_out for i, r in got.items()} == out
+    judged = [r for r in rows if out[r.doc_id] and r.lang and any(c.isalpha() for c in r.text or "")]
+    assert len(judged) > 200 and sum(got[r.doc_id].lang_pred == r.lang for r in judged) > 0.98 * len(judged)
+    docs.withColumn("lang", F.when(li.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang"))).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r for r in op9_language_id(spark, str(tmp_path)).collect()} == got
