@@ -234,13 +234,13 @@ def scan_licenses(
     """
     m = model or fit()
     weights, templates = _tables(docs.sparkSession, m)
-    cues = F.array(*map(F.lit, m.cues))
+    cued = lambda s: F.exists(s["words"], lambda w: w.isin(list(m.cues)))  # noqa: E731  a look into a set per word
     rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("lines"), F.coalesce(text_col, F.lit("")).alias("whole"))
     lines = F.filter(
-        F.transform("lines", lambda x, i: F.struct(F.lit(False).alias("joined"), i.alias("paragraph"), _words(x).alias("words"))), lambda s: F.arrays_overlap(s["words"], cues)
+        F.transform("lines", lambda x, i: F.struct(F.lit(False).alias("joined"), i.alias("paragraph"), _words(x).alias("words"))), cued
     )
     passages = F.transform(F.split("whole", BLANK), lambda x, i: F.struct(F.lit(True).alias("joined"), i.alias("paragraph"), F.when(F.contains(F.trim(x, F.lit("\n")), F.lit("\n")), _words(x)).alias("words")))
-    passages = F.filter(passages, lambda s: F.coalesce(F.arrays_overlap(s["words"], cues), F.lit(False)))
+    passages = F.filter(passages, lambda s: F.coalesce(cued(s), F.lit(False)))
     # A text without such a line has no such passage; the lines are named once, so that they are cut once.
     named = F.transform(F.array(lines), lambda x: F.when(F.size(x) > 0, F.concat(x, passages)).otherwise(x))[0]
     some = rows.select("id", "row", F.explode_outer(named).alias("p")).select("id", "row", F.coalesce("p.joined", F.lit(False)).alias("joined"), "p.paragraph", "p.words")
