@@ -7,17 +7,16 @@ back to the documents.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.profile import GLYPHS, PAIRS
-
-TOKEN = r"[A-Za-zÀ-ÿ€£§†‡¶©®<>|ℓ¥]+"
-ROMAN = r"^[ivxlcdm]+$"
-PLAIN = r"^[a-zà-ÿ]+$"
-CAPITAL = r"^[A-ZÀ-Þ][a-zà-ÿ]+$"
+from docquery.functions.text import replace_matches
+from docquery.profile import CAPITAL, GLYPHS, PAIRS, PLAIN, ROMAN, SPLIT_HEAD, SPLIT_TAIL, TOKEN
+from docquery.storage import stored
+from docquery.words import CURATED, TERMS
 
 
 def tokens_of(c: Column) -> Column:
@@ -72,24 +71,20 @@ def mirrored(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return back.join(dictionary.select("word").distinct(), "word", "left_semi").select("token", F.col("word").alias("fix"))
 
 
-def substituted(words: DataFrame, dictionary: DataFrame, pairs=PAIRS) -> DataFrame:
+def substituted(words: DataFrame, dictionary: DataFrame, pairs: dict[str, list[str]] = PAIRS) -> DataFrame:
     """(token, fix): the first known word that replacing one misread pair gives,
     by place, then by the order of pairs."""
     low = F.lower("token")
-    frames = []
-    for k, (a, b) in enumerate(pairs):
-        at = F.filter(F.sequence(F.lit(1), F.length(low)), _starts(low, a))
-        frames.append(words.where(F.length("token") >= 5).select("token", F.explode(at).alias("place"), F.lit(k).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b")))
-    rows = reduce(DataFrame.unionByName, frames)
+    flat = [(a, b) for a, bs in pairs.items() for b in bs]
+    tries = F.explode(F.array(*(F.struct(F.lit(k).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(flat)))).alias("p")
+    rows = words.where((F.length("token") >= 5) & low.rlike("|".join(re.escape(a) for a in pairs))).select("token", tries).select("token", "p.*")
+    rows = rows.where(F.contains(low, F.col("a")))
+    rows = rows.withColumn("place", F.explode(F.filter(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i, F.length("a")) == F.col("a"))))
     made = F.concat(F.substring(low, F.lit(1), F.col("place") - 1), F.col("b"), F.substring(low, F.col("place") + F.length("a"), F.length(low)))
     known = rows.withColumn("word", made).join(dictionary.select("word").distinct(), "word", "left_semi")
     return known.groupBy("token").agg(F.min_by("word", F.struct("place", "pair")).alias("fix"))
 
 
-def _starts(c: Column, a: str):
-    return lambda i: F.substring(c, i, F.lit(len(a))) == a
-
-
 def split_merged(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(token, fix): a token of nine letters or more as two known words of four
     letters or more; the first such place."""
@@ -106,20 +101,33 @@ def match_case(token: Column, fix: Column) -> Column:
     return F.when((F.upper(token) == token) & (F.lower(token) != token), F.upper(fix)).when((F.upper(start) == start) & (F.lower(start) != start), first).otherwise(fix)
 
 
+def curated_words(spark: SparkSession) -> DataFrame:
+    """(word, fix) of the profile's list of misread words."""
+    return spark.createDataFrame(list(CURATED.items()), "word string, fix string")
+
+
+def special_terms(spark: SparkSession) -> DataFrame:
+    """(word) of sound words that a general dictionary lacks."""
+    return spark.createDataFrame([(w,) for w in TERMS], "word string")
+
+
 def corrections(tokens: DataFrame, dictionary: DataFrame, curated: DataFrame | None = None, terms: DataFrame | None = None, fix_glyphs: bool = False) -> DataFrame:
-    """(token, fix) by priority: curated (word, fix); mirrored; the only word at
-    edit distance one; misread pairs; merged words. Tokens under five letters
-    stop after mirrored. fix_glyphs adds single glyphs before the pairs."""
-    unknown = unknown_tokens(tokens.select("token").distinct(), dictionary, terms)
+    """(token, fix) of unknown tokens by priority: curated (word, fix), for any
+    form of three letters or more; mirrored; the only word at edit distance one;
+    misread pairs; merged words. Tokens under five letters stop after mirrored.
+    fix_glyphs adds single glyphs before the pairs. What each step starts from
+    is written once."""
+    dictionary = stored(dictionary.select("word").distinct())
+    unknown = stored(unknown_tokens(tokens.select("token").distinct(), dictionary, terms))
     words = correctable(unknown)
     long = words.where(F.length("token") >= 5)
-    known = dictionary if terms is None else dictionary.select("word").unionByName(terms.select("word"))
+    known = dictionary if terms is None else dictionary.unionByName(terms.select("word"))
     steps = [mirrored(words, known), unique_edit_one(long, dictionary), substituted(long, known), split_merged(long, known)]
     if fix_glyphs:
-        glyphs = tuple((g, x) for g, xs in GLYPHS for x in xs)
-        steps.insert(2, substituted(unknown, known, glyphs))
+        steps.insert(2, substituted(unknown, known, GLYPHS))
     if curated is not None:
-        steps.insert(0, tokens.select("token").distinct().join(curated.select(F.col("word").alias("low"), "fix"), F.lower("token") == F.col("low")).select("token", "fix"))
+        low = unknown.where(F.length("token") >= 3).select("token", F.lower("token").alias("low"))
+        steps.insert(0, low.join(curated.select(F.col("word").alias("low"), "fix"), "low").select("token", "fix"))
     ranked = reduce(DataFrame.unionByName, (s.withColumn("rank", F.lit(k)) for k, s in enumerate(steps)))
     best = ranked.groupBy("token").agg(F.min_by("fix", "rank").alias("fix"))
     return best.withColumn("fix", match_case(F.col("token"), F.col("fix"))).where("fix <> token")
@@ -135,18 +143,33 @@ def apply_corrections(docs: DataFrame, fixes: DataFrame, doc: str = "doc_id", te
     return docs.join(maps, doc, "left").withColumn(text, F.when(F.col("fixes_").isNotNull(), put).otherwise(F.col(text))).drop("fixes_")
 
 
-def rejoin_letters(docs: DataFrame, dictionary: DataFrame, doc: str = "doc_id", text: str = "text", rounds: int = 3) -> DataFrame:
+def _rejoined(docs: DataFrame, known: DataFrame, doc: str, text: str, pattern: str, piece: int) -> DataFrame:
+    """docs with the matches of one pattern joined where that makes a known word
+    of an unknown piece (the group so numbered)."""
+    found = F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)))
+    own = docs.select(doc, F.explode(found).alias("pair"))
+    own = own.withColumn("word", F.lower(F.regexp_replace("pair", r"(?U)\s+", "")))
+    parts = F.split("pair", r"(?U)\s+")
+    own = own.withColumn("piece", F.lower(F.element_at(parts, 2 if piece == 2 else 1)))
+    good = own.join(known, "word", "left_semi").join(known.withColumnRenamed("word", "piece"), "piece", "left_anti")
+    lists = good.groupBy(doc).agg(F.collect_set("pair").alias("pairs_"))
+    joined = replace_matches(F.col(text), pattern, lambda m: F.when(F.array_contains("pairs_", m), F.regexp_replace(m, r"(?U)\s+", "")).otherwise(m))
+    return docs.join(lists, doc, "left").withColumn(text, F.when(F.col("pairs_").isNotNull(), joined).otherwise(F.col(text))).drop("pairs_")
+
+
+def rejoin_letters(docs: DataFrame, dictionary: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Joins a single letter with the unknown word beside it where the two make
-    a known word; again until nothing changes, rounds times at most."""
-    for _ in range(rounds):
-        found = F.regexp_extract_all(text, F.lit(r"(?<![\w/.-])([a-zA-ZÀ-ÿ]\s+[a-zà-ÿ]{3,}|[a-zà-ÿ]{3,}\s+[a-zA-ZÀ-ÿ])(?![\w/-])"), F.lit(1))
-        pairs = docs.select(F.explode(F.coalesce(found, F.array().cast("array<string>"))).alias("pair")).distinct()
-        piece = F.when(F.regexp_extract("pair", r"^(\S+)", 1).rlike("^.$"), F.regexp_extract("pair", r"(\S+)$", 1)).otherwise(F.regexp_extract("pair", r"^(\S+)", 1))
-        pairs = pairs.withColumn("word", F.lower(F.regexp_replace("pair", r"\s+", ""))).withColumn("piece", F.lower(piece))
-        known = dictionary.select("word").distinct()
-        good = pairs.join(known, "word", "left_semi").join(known.withColumnRenamed("word", "piece"), "piece", "left_anti").select("pair", F.regexp_replace("pair", r"\s+", "").alias("joined"))
-        own = docs.select(doc, F.explode(F.array_distinct(F.coalesce(found, F.array().cast("array<string>")))).alias("pair")).join(good, "pair")
-        lists = own.groupBy(doc).agg(F.sort_array(F.collect_set(F.struct("pair", "joined"))).alias("pairs_"))
-        joined = F.aggregate("pairs_", F.col(text), lambda t, p: F.replace(t, p["pair"], p["joined"]))
-        docs = docs.join(lists, doc, "left").withColumn(text, F.when(F.col("pairs_").isNotNull(), joined).otherwise(F.col(text))).drop("pairs_")
-    return docs
+    a known word: letters before words, then behind them, and again until no
+    text changes. Only texts that changed go on to the next round; a round joins
+    one letter of a text at least, so there is an end."""
+    known = stored(dictionary.select("word").distinct())
+    open_ = docs
+    done: list[DataFrame] = []
+    while True:
+        new = _rejoined(_rejoined(open_.withColumn("before_", F.col(text)), known, doc, text, SPLIT_HEAD, 2), known, doc, text, SPLIT_TAIL, 1)
+        new = stored(new)
+        changed = ~F.col("before_").eqNullSafe(F.col(text))
+        done.append(new.where(~changed).drop("before_"))
+        open_ = new.where(changed).drop("before_")
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)

@@ -9,6 +9,7 @@ from docquery.operators import answers, chunking, cleaning, ocr
 from docquery.operators import summaries as sm
 from docquery.plans.registry import query, table
 from docquery.profile import GENERIC
+from docquery.storage import stored
 
 #: DuckDB: a line's mask.
 _MASK = r"regexp_replace(regexp_replace(trim(line, E' \t\n\r\x0b\x0c'), '[0-9]', '#', 'g'), '\s+', ' ', 'g')"
@@ -131,11 +132,12 @@ c AS (SELECT token FROM u WHERE length(token) >= 3 AND upper(token) <> token AND
 
 
 def _words(spark, sf_dir):
-    """(vocabulary, dictionary): words of documents with even ids are known."""
-    docs = table(spark, sf_dir, "documents")
-    vocabulary = ocr.vocabulary(docs)
-    known = ocr.vocabulary(docs.where("doc_id % 2 = 0")).where(F.col("token").rlike("^[A-Za-zÀ-ÿ]+$")).select(F.lower("token").alias("word")).distinct()
-    return vocabulary, known
+    """(vocabulary, dictionary): words of documents with even ids are known.
+    The documents are read once for both."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 2 == 0).alias("known"), F.explode(ocr.tokens_of(F.col("text"))).alias("token"))
+    words = stored(docs.groupBy("token").agg(F.count("*").alias("times"), F.max("known").alias("known")))
+    known = words.where(F.col("known") & F.col("token").rlike("^[A-Za-zÀ-ÿ]+$")).select(F.lower("token").alias("word")).distinct()
+    return words.select("token", "times"), known
 
 
 @query(_TOKENS + " SELECT token, times FROM v")
@@ -155,14 +157,26 @@ def correctable_tokens(spark, sf_dir):
     return ocr.correctable(ocr.unknown_tokens(v.select("token"), d))
 
 
-@query(_TOKENS + """
+_EDIT1 = """
 , a AS (SELECT token, lower(token) AS w, unnest(list_append(list_transform(range(1, length(token) + 1), lambda i: substr(lower(token), 1, i - 1) || substr(lower(token), i + 1)), lower(token))) AS form
   FROM c WHERE length(token) >= 5),
 b AS (SELECT word, unnest(list_append(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)), word)) AS form FROM d),
 e AS (SELECT DISTINCT token, word FROM a JOIN b USING (form)
   WHERE CASE WHEN length(w) = length(word) THEN len(list_filter(range(1, length(w) + 1), lambda i: substr(w, i, 1) <> substr(word, i, 1))) = 1
-    ELSE abs(length(w) - length(word)) = 1 AND form IN (w, word) END)
-SELECT token, min(word) AS fix FROM e GROUP BY token HAVING count(*) = 1""")
+    ELSE abs(length(w) - length(word)) = 1 AND form IN (w, word) END),
+edit1 AS (SELECT token, min(word) AS fix FROM e GROUP BY token HAVING count(*) = 1)"""
+_SPLIT = """
+, k AS (SELECT token, unnest(range(4, length(token) - 3)) AS cut FROM c WHERE length(token) >= 9),
+s AS (SELECT token, cut, substr(lower(token), 1, cut) AS a, substr(lower(token), cut + 1) AS b FROM k),
+split AS (SELECT token, arg_min(a || ' ' || b, cut) AS fix FROM s WHERE a IN (SELECT word FROM d) AND b IN (SELECT word FROM d) GROUP BY token)"""
+_PAIRS = """
+, p(pair, a, b) AS (VALUES (0, 'rn', 'm'), (1, 'rn', 'n'), (2, 'cl', 'd'), (3, 'vv', 'w'), (4, 'lh', 'k'), (5, 'tl', 't'), (6, 'hn', 'm'), (7, 'nh', 'm')),
+pk AS (SELECT token, unnest(range(1, length(token) + 1)) AS place FROM c WHERE length(token) >= 5),
+ps AS (SELECT token, place, pair, substr(lower(token), 1, place - 1) || b || substr(lower(token), place + 2) AS word FROM pk JOIN p ON substr(lower(token), place, 2) = a),
+pairs AS (SELECT token, arg_min(word, place * 100 + pair) AS fix FROM ps WHERE word IN (SELECT word FROM d) GROUP BY token)"""
+
+
+@query(_TOKENS + _EDIT1 + " SELECT token, fix FROM edit1")
 def edit1_unique(spark, sf_dir):
     v, d = _words(spark, sf_dir)
     words = ocr.correctable(ocr.unknown_tokens(v.select("token"), d)).where(F.length("token") >= 5)
@@ -175,31 +189,31 @@ def mirrored_words(spark, sf_dir):
     return ocr.mirrored(v, d)
 
 
-@query(_TOKENS + """
-, k AS (SELECT token, unnest(range(4, length(token) - 3)) AS cut FROM c WHERE length(token) >= 9),
-s AS (SELECT token, cut, substr(lower(token), 1, cut) AS a, substr(lower(token), cut + 1) AS b FROM k)
-SELECT token, arg_min(a || ' ' || b, cut) AS fix FROM s WHERE a IN (SELECT word FROM d) AND b IN (SELECT word FROM d) GROUP BY token""")
+@query(_TOKENS + _SPLIT + " SELECT token, fix FROM split")
 def split_merged_tokens(spark, sf_dir):
     v, d = _words(spark, sf_dir)
     return ocr.split_merged(ocr.correctable(ocr.unknown_tokens(v.select("token"), d)), d)
 
 
-@query(_TOKENS + """
-, p(pair, a, b) AS (VALUES (0, 'rn', 'm'), (1, 'rn', 'n'), (2, 'cl', 'd'), (3, 'vv', 'w'), (4, 'lh', 'k'), (5, 'tl', 't'), (6, 'hn', 'm'), (7, 'nh', 'm')),
-k AS (SELECT token, unnest(range(1, length(token) + 1)) AS place FROM c WHERE length(token) >= 5),
-s AS (SELECT token, place, pair, substr(lower(token), 1, place - 1) || b || substr(lower(token), place + 2) AS word FROM k JOIN p ON substr(lower(token), place, 2) = a)
-SELECT token, arg_min(word, place * 100 + pair) AS fix FROM s WHERE word IN (SELECT word FROM d) GROUP BY token""")
+@query(_TOKENS + _PAIRS + " SELECT token, fix FROM pairs")
 def pair_substitution(spark, sf_dir):
     v, d = _words(spark, sf_dir)
     return ocr.substituted(ocr.correctable(ocr.unknown_tokens(v.select("token"), d)), d)
 
 
-@query()
+@query(_TOKENS + _EDIT1 + _SPLIT + _PAIRS + r"""
+, steps AS (SELECT 0 AS rank, token, reverse(lower(token)) AS fix FROM c WHERE length(token) >= 4 AND reverse(lower(token)) IN (SELECT word FROM d)
+  UNION ALL SELECT 1, token, fix FROM edit1 UNION ALL SELECT 2, token, fix FROM pairs UNION ALL SELECT 3, token, fix FROM split),
+best AS (SELECT token, arg_min(fix, rank) AS fix FROM steps GROUP BY token),
+cased AS (SELECT token, CASE WHEN upper(token) = token AND lower(token) <> token THEN upper(fix)
+  WHEN upper(token[1]) = token[1] AND lower(token[1]) <> token[1] THEN upper(fix[1]) || lower(substr(fix, 2)) ELSE fix END AS fix FROM best),
+parts AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-zÀ-ÿ€£§†‡¶©®<>|ℓ¥]+') AS tokens, string_split_regex(text, '[A-Za-zÀ-ÿ€£§†‡¶©®<>|ℓ¥]+') AS gaps FROM documents),
+places AS (SELECT doc_id, unnest(gaps) AS gap, unnest(tokens) AS token, generate_subscripts(gaps, 1) AS i FROM parts)
+SELECT doc_id, string_agg(gap || coalesce(fix, places.token, ''), '' ORDER BY i) AS text FROM places LEFT JOIN cased ON places.token = cased.token GROUP BY doc_id""")
 def corrected_documents(spark, sf_dir):
     v, d = _words(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = ocr.apply_corrections(docs, ocr.corrections(v.select("token"), d))
-    return done.select("doc_id", F.length("text").alias("n"))
+    return ocr.apply_corrections(docs, ocr.corrections(v.select("token"), d)).select("doc_id", "text")
 
 
 @query()

@@ -134,7 +134,7 @@ STOPWORDS = (
 ).split()
 
 #: Parts of phrases too common to stand alone.
-GENERIC_PARTS = "sama jenis lain orang dengan kepada dalam untuk perkara kata segala hal yang suatu".split()
+GENERIC_PARTS = ["sama", "jenis", "lain", "orang", "dengan", "kepada", "dalam", "untuk", "perkara", "kata", "segala", "hal", "yang", "suatu"]
 
 #: Repealed document and what replaces it.
 SUPERSEDED = {"1-1946": "UU No. 1 Tahun 2023", "8-1981": "UU No. 20 Tahun 2025", "36-2009": "UU No. 17 Tahun 2023", "6-2018": "UU No. 17 Tahun 2023"}
@@ -143,18 +143,27 @@ SUPERSEDED = {"1-1946": "UU No. 1 Tahun 2023", "8-1981": "UU No. 20 Tahun 2025",
 MARKERS = (("dipidana", 10), ("denda", 8), ("dilarang", 7), ("wajib", 6), ("dikenakan", 5), ("berhak", 4), ("kewajiban", 3), ("hak", 1))
 
 #: Misread letter pairs and what they may stand for, in order.
-PAIRS = (("rn", "m"), ("rn", "n"), ("cl", "d"), ("vv", "w"), ("lh", "k"), ("tl", "t"), ("hn", "m"), ("nh", "m"))
+PAIRS = {"rn": ["m", "n"], "cl": ["d"], "vv": ["w"], "lh": ["k"], "tl": ["t"], "hn": ["m"], "nh": ["m"]}
 
 #: Misread glyphs and what they may stand for.
-GLYPHS = (
-    ("€", "eao"), ("£", "e"), ("¥", "y"), ("§", "s"), ("†", "t"), ("‡", "t"), ("¶", "p"), ("©", "c"), ("®", "r"), ("<", "kc"), (">", "j"),
-    ("|", "li"), ("ℓ", "l"), ("0", "o"), ("1", "li"), ("4", "a"), ("5", "s"), ("6", "gb"), ("7", "t"), ("8", "b"), ("9", "g"), ("3", "e"),
-)
+GLYPHS = {
+    "€": ["e", "a", "o"], "£": ["e"], "¥": ["y"], "§": ["s"], "†": ["t"], "‡": ["t"], "¶": ["p"], "©": ["c"], "®": ["r"], "<": ["k", "c"], ">": ["j"],
+    "|": ["l", "i"], "ℓ": ["l"], "0": ["o"], "1": ["l", "i"], "4": ["a"], "5": ["s"], "6": ["g", "b"], "7": ["t"], "8": ["b"], "9": ["g"], "3": ["e"],
+}
+
+#: A token; forms of tokens that are Roman numerals, in small letters, capitalised; a letter split off before or behind a word.
+TOKEN = r"[A-Za-zÀ-ÿ€£§†‡¶©®<>|ℓ¥]+"
+ROMAN = r"^[ivxlcdm]+$"
+PLAIN = r"^[a-zà-ÿ]+$"
+CAPITAL = r"^[A-ZÀ-Þ][a-zà-ÿ]+$"
+SPLIT_HEAD = r"(?U)(?<![\w/.-])([a-zA-ZÀ-ÿ])\s+([a-zà-ÿ]{3,})(?![\w/-])"
+SPLIT_TAIL = r"(?U)(?<![\w/-])([a-zà-ÿ]{3,})\s+([a-zA-ZÀ-ÿ])(?![\w.-])"
 
 
 @dataclass(frozen=True)
 class Profile:
-    """Patterns are in the dialect of Java (and mostly of Python)."""
+    """Patterns are in the dialect of Java (and mostly of Python). The defaults
+    are fixed values."""
 
     page_mark: str = r"(?m)^\s*<<<PAGE\s+(\d+)>>>\s*$"
     guard: str = r"^\s*(Pasal|Ayat\s*\(|BAB\b|Bagian\b|Paragraf\b|PENJELASAN|MENIMBANG|MENGINGAT|MEMUTUSKAN|Menetapkan|KETENTUAN\s+UMUM|LAMPIRAN)\b"

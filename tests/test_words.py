@@ -60,3 +60,21 @@ def test_documents(spark):
     assert got == {1: "Yang d alam hukum, hukum!", 2: None, 3: ""}
     joined = {r.doc_id: r.text for r in ocr.rejoin_letters(docs, frame(spark, DICTIONARY, "word")).collect()}
     assert joined[1] == "Gnay dalam hukun, hukun!" and joined[2] is None
+
+
+def test_rejoining_goes_on_and_keeps_to_words(spark):
+    d = frame(spark, ["satu", "gas", "perkara", "hukum", "pasal"], "word")
+    texts = {1: "s atu gas atu x", 2: "p erkar a", 3: "huku m, x pasal", 4: "h ukum h ukum", 5: None, 6: "s-atu s atu-x", 7: "S atu\nhuku m"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    got = {r.doc_id: r.text for r in ocr.rejoin_letters(docs, d).collect()}
+    assert got == {1: "satu gas atu x", 2: "p erkar a", 3: "hukum, x pasal", 4: "hukum hukum", 5: None, 6: "s-atu s atu-x", 7: "Satu\nhukum"}
+    more = frame(spark, ["erkara", "perkara"], "word")
+    assert [r.text for r in ocr.rejoin_letters(docs.where("doc_id = 2"), more).collect()] == ["p erkara"]
+    chain = frame(spark, ["satux", "satuxy"], "word")
+    assert [r.text for r in ocr.rejoin_letters(spark.createDataFrame([(1, "s atux"), (2, "s atu x y")], "doc_id int, text string"), chain).orderBy("doc_id").collect()] == ["satux", "s atu x y"]
+
+
+def test_the_lists_of_statutes(spark):
+    fixes = ocr.corrections(frame(spark, ["Unhrk", "DALARN", "tersangka", "hurufa", "abc"]), frame(spark, DICTIONARY, "word"), ocr.curated_words(spark), ocr.special_terms(spark))
+    assert {r.token: r.fix for r in fixes.collect()} == {"Unhrk": "Untuk", "DALARN": "DALAM", "hurufa": "huruf a"}
+    assert ocr.unknown_tokens(frame(spark, ["Tersangka", "hoc"]), frame(spark, DICTIONARY, "word"), ocr.special_terms(spark)).count() == 0
