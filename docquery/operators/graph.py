@@ -57,6 +57,25 @@ def citation_edges(articles: DataFrame, docs: DataFrame, doc: str = "doc", label
     return across.unionByName(inside).distinct()
 
 
+def contained(docs: DataFrame, items: DataFrame, doc: str, item: str, text: str = "text", item_text: str = "text") -> DataFrame:
+    """(doc, item): whose text contains the item's. Three words of an item that
+    have others on both sides stand whole in any text that contains it, so items
+    are joined on them and confirmed; only items of fewer than five words meet
+    every text. Items that are null or empty are contained in nothing."""
+    words = F.split(F.col("text_"), r"\s+")
+    triples = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - 2), lambda i: F.xxhash64(t[i - 1], t[i], t[i + 1]))
+    # The words are named once, so that a text is cut once.
+    keys = F.transform(F.array(words), lambda t: F.when(F.size(t) >= 3, F.array_distinct(triples(t))))[0]
+    texts = docs.select(F.col(doc).alias("doc_"), F.col(text).alias("text_"))
+    named = items.select(F.col(item).alias("item_"), F.col(item_text).alias("text_")).where("text_ <> ''").withColumn("words_", words)
+    own = named.where(F.size("words_") >= 5).select("item_", F.col("text_").alias("wanted_"), F.xxhash64(*(F.col("words_")[i] for i in (1, 2, 3))).alias("key_"))
+    hits = texts.select("doc_", "text_", F.explode(keys).alias("key_")).join(own, "key_").where(F.contains("text_", "wanted_")).select("doc_", "item_")
+    short = named.where(F.size("words_") < 5).select("item_", F.col("text_").alias("wanted_"))
+    if not short.isEmpty():
+        hits = hits.unionByName(texts.join(short, F.contains("text_", "wanted_")).select("doc_", "item_"))
+    return hits.select(F.col("doc_").alias(doc), F.col("item_").alias(item)).distinct()
+
+
 def nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docquery.operators import graph, store
 from docquery.plans.registry import query, table
+from docquery.storage import stored
 
 #: A document cites a benchmark item when it contains its text.
 _EDGES = """
@@ -14,9 +15,7 @@ WITH e AS (SELECT DISTINCT 'doc-' || doc_id AS src, 'item-' || item_id AS dst, C
 
 
 def _edges(spark, sf_dir):
-    """The benchmark is a stated set of items, met by each text in its task."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    hits = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(items), F.contains("text", "item"))
+    hits = graph.contained(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
     return hits.select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("src"), F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("dst"),
         F.when(F.col("item_id") % 2 == 0, "internal").otherwise("lintas").alias("kind"),
@@ -35,7 +34,7 @@ def edge_stats(spark, sf_dir):
 
 @query(_EDGES + " SELECT src AS node FROM e UNION SELECT dst FROM e")
 def graph_nodes(spark, sf_dir):
-    return graph.nodes(_edges(spark, sf_dir))
+    return graph.nodes(stored(_edges(spark, sf_dir)))
 
 
 _HITS = _EDGES + """
@@ -55,7 +54,7 @@ UNION ALL SELECT qid, node, CAST((SELECT max(rank) FROM s) + turn AS INTEGER), r
 def graph_expand(spark, sf_dir):
     """The three items that most documents cite, and up to three documents that
     cite them."""
-    edges = _edges(spark, sf_dir).withColumn("position", F.concat_ws(" ", "src", "dst"))
+    edges = stored(_edges(spark, sf_dir)).withColumn("position", F.concat_ws(" ", "src", "dst"))
     cited = edges.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "dst").limit(3)
     ranked = cited.agg(F.sort_array(F.collect_list(F.struct(-F.col("n"), "dst"))).alias("top")).select(F.posexplode("top").alias("k", "x"))
     hits = ranked.select(F.lit(1).alias("qid"), F.col("x.dst").alias("node"), (F.col("k") + 1).alias("rank"), (1.0 / (F.col("k") + 1)).alias("score"))
@@ -80,3 +79,28 @@ def node_first_turn(spark, sf_dir):
 @query(r"SELECT conv_id, role, string_agg(text, E'\n' ORDER BY turn) AS text FROM conversations WHERE text <> '' GROUP BY conv_id, role")
 def article_texts(spark, sf_dir):
     return graph.article_texts(table(spark, sf_dir, "conversations").where("text <> ''"), "conv_id", "role", "turn", "text")
+
+
+#: Articles made of the tables: a law per source, an article per document, whose text cites what its number says.
+_ARTICLES = """
+WITH a AS (SELECT 'uu-' || CAST(replace(source, 'src', '') AS INTEGER) || '-2001' AS doc, CAST(doc_id AS VARCHAR) AS label, doc_id, text FROM documents),
+t AS (SELECT doc, label, doc_id, 'Pasal ' || (doc_id + 1) || ' UU Nomor ' || (doc_id % 23) || ' Tahun 2001. ' || substr(text, 1, 200) || repeat(' x', 70) || ' lihat Pasal ' || (doc_id % 7) || '. ' AS text FROM a),
+d AS (SELECT DISTINCT doc FROM a),
+e AS (
+  SELECT doc || '#' || label AS src, 'uu-' || (doc_id % 23) || '-2001#' || (doc_id + 1) AS dst, 'lintas' AS kind FROM t
+  WHERE 'uu-' || (doc_id % 23) || '-2001' <> doc AND 'uu-' || (doc_id % 23) || '-2001' IN (SELECT doc FROM d)
+  UNION SELECT doc || '#' || label, doc || '#' || (doc_id + 1), 'internal' FROM t
+  UNION SELECT doc || '#' || label, doc || '#' || (doc_id % 7), 'internal' FROM t WHERE doc_id % 7 <> doc_id)"""
+
+
+@query(_ARTICLES + " SELECT src, dst, kind FROM e")
+def citation_edges(spark, sf_dir):
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents")
+    doc = F.concat(F.lit("uu-"), F.replace("source", F.lit("src"), F.lit("")).cast("int").cast("string"), F.lit("-2001"))
+    text = F.concat(
+        F.lit("Pasal "), (i + 1).cast("string"), F.lit(" UU Nomor "), (i % 23).cast("string"), F.lit(" Tahun 2001. "), F.substring("text", 1, 200),
+        F.lit(" x" * 70 + " lihat Pasal "), (i % 7).cast("string"), F.lit(". "),
+    )
+    articles = d.select(doc.alias("doc"), i.cast("string").alias("label"), text.alias("text"))
+    return graph.citation_edges(articles, articles.select("doc").distinct())
