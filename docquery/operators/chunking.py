@@ -68,7 +68,7 @@ def chunk_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", pr
     """(doc, position, label, section, paragraph, body): all of the above, then
     the lines of structure taken out of the bodies; empty chunks go."""
     rows = as_of(split_by_heading(docs, doc, text, None, profile), structure_marks(docs, doc, text, profile).withColumnRenamed("label", "section"), [doc], "start", "section")
-    rows = rows.withColumn("body", strip(delete_all(F.col("body"), profile.structure_lines[:1]))).where("body <> ''")
+    rows = rows.withColumn("body", strip(delete_all(F.col("body"), profile.structure_lines))).where("body <> ''")
     return split_long(rows, "body", profile).select(doc, "position", "label", "section", "paragraph", "body")
 
 

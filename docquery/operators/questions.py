@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from docquery.profile import INDONESIAN_LAW, Profile
 
-_PREFIXES = (("meng", "k"), ("meny", "s"), ("men", "t"), ("mem", "p"), ("me", ""), ("peng", "k"), ("peny", "s"), ("pen", "t"), ("pem", "p"), ("pe", ""))
-_PLAIN = (("ber", "be", "bel"), ("ter", "te", "tel"), ("di", "ke", "per", "pel"))
+#: Prefixes by family, the first that fits is taken off; and what a nasal prefix may have swallowed, by how the word begins.
+PREFIXES = (("meng", "meny", "men", "mem", "me"), ("peng", "peny", "pen", "pem", "pe"), ("ber", "be", "bel"), ("ter", "te", "tel"), ("di", "ke", "per", "pel"))
+SWALLOWED = (("meny", "s"), ("mem", "p"), ("pem", "p"), ("meng", "k"), ("peng", "k"), ("men", "t"), ("pen", "t"))
 
 
 class Question(NamedTuple):
@@ -34,16 +35,15 @@ def without_suffixes(word: str) -> list[str]:
 
 def stem_variants(word: str) -> list[str]:
     """The word and what may be its stems: without suffixes, without one prefix
-    of each family, with the letter that a nasal prefix swallows; of four
-    letters or more, each once."""
+    of each family, with each letter that the beginning may have swallowed; of
+    four letters or more, each once."""
     found = [word]
     for form in [word, *without_suffixes(word)]:
-        nasal = [next(((p, x) for p, x in _PREFIXES[i : i + 5] if form.startswith(p)), None) for i in (0, 5)]
-        plain = [next(((p, "") for p in family if form.startswith(p)), None) for family in _PLAIN]
-        for hit in filter(None, [*nasal, *plain]):
-            root = form[len(hit[0]) :]
-            if len(root) >= 4:
-                found += [root, *([hit[1] + root] if hit[1] else []), *without_suffixes(root)]
+        for family in PREFIXES:
+            prefix = next((p for p in family if form.startswith(p)), None)
+            if prefix and len(form) - len(prefix) >= 4:
+                root = form[len(prefix) :]
+                found += [root, *(x + root for p, x in SWALLOWED if form.startswith(p)), *without_suffixes(root)]
     return list(dict.fromkeys(v for v in found if len(v) >= 4))
 
 

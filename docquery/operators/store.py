@@ -10,10 +10,13 @@ def chunk_id(number: Column, year: Column, label: Column, position: Column) -> C
     return F.format_string("%s-%s-pasal-%s-%d", number, year, label, position.cast("long"))
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def upsert(stored: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """Rows of new replace those of stored with the same key; nothing is
-    deleted. Of rows in new that share a key, one stays."""
-    fresh = new.dropDuplicates([key])
+    deleted. Of rows in new that share a key, the last by order stays (and by
+    all columns where order says nothing), so that reruns agree."""
+    rest = [c for c in new.columns if c not in (key, order)]
+    last = Window.partitionBy(key).orderBy(*([F.col(order).desc_nulls_last()] if order else []), F.xxhash64(*rest) if rest else F.lit(0))
+    fresh = new.withColumn("nth_", F.row_number().over(last)).where("nth_ = 1").drop("nth_")
     return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
 
@@ -43,6 +46,13 @@ def verified(files: DataFrame, expected: DataFrame, key: str, content: Column) -
     return files.join(expected.select(key, "sha256"), key).where(checked).drop("sha256")
 
 
+def split_verified(files: DataFrame, expected: DataFrame, key: str, content: Column) -> tuple[DataFrame, DataFrame]:
+    """(files whose bytes have the digest that the manifest says, files whose
+    bytes have another); for callers who go on with the good ones."""
+    both = files.join(expected.select(key, F.col("sha256").alias("wanted_")), key).withColumn("same_", F.sha2(content.cast("binary"), 256).eqNullSafe(F.col("wanted_")))
+    return both.where("same_").drop("wanted_", "same_"), both.where("not same_").drop("wanted_", "same_")
+
+
 def delta_plan(cached: DataFrame, expected: DataFrame, key: str, digest: str = "sha256") -> DataFrame:
     """(key, action): delete what the manifest lacks, fetch what is missing or
     differs, keep the rest."""
@@ -63,8 +73,8 @@ def remaining(planned: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def shard(key: Column, n: int) -> Column:
-    """The same shard in every process."""
-    return F.pmod(F.xxhash64(key), F.lit(n))
+    """The same shard in every process, by the first 60 bits of MD5."""
+    return F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 15), 16, 10).cast("long") % n
 
 
 def first_per(rows: DataFrame, node: str, order: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -43,8 +44,8 @@ def dequantize(codes: Column, scale: Column) -> Column:
 
 
 def to_base64(codes: Column) -> Column:
-    """Signed bytes as base64 text."""
-    return F.base64(F.unhex(F.array_join(F.transform(codes, lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")), "")))
+    """Signed bytes as base64 text in one line (Spark's own breaks lines)."""
+    return F.translate(F.base64(F.unhex(F.array_join(F.transform(codes, lambda x: F.lpad(F.hex(F.pmod(x.cast("int"), F.lit(256))), 2, "0")), ""))), "\r\n", "")
 
 
 def from_base64(text: Column) -> Column:
@@ -67,9 +68,10 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", qvec: str = "vector", key: str = "vec_id", vector: str = "embedding", max_queries: int = 4096) -> DataFrame:
     """(qid, key, score, rank): the k rows with the largest dot product for each
-    query, ties by key. queries: a stated set of at most max_queries; each block
-    of vectors is multiplied with all of them at once and keeps its own k best,
-    so what is shuffled is k rows per query and block."""
+    query, ties by key. queries: a stated set of at most max_queries (for more,
+    see dense_top_k_blocks); each block of vectors is multiplied with all of
+    them at once and keeps its own k best, so what is shuffled is k rows per
+    query and block."""
     stated = queries.select(qid, qvec).orderBy(qid).limit(max_queries + 1).collect()
     if len(stated) > max_queries:
         raise ValueError(f"more than {max_queries} queries; call for parts of them")
@@ -99,3 +101,13 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid"
     found = vectors.select(key, vector).mapInPandas(best, f"{qid} {kinds[0]}, {key} {kinds[1]}, score double")
     rank = F.row_number().over(Window.partitionBy(qid).orderBy(F.round("score", 12).desc(), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def dense_top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int, qid: str = "qid", qvec: str = "vector", key: str = "vec_id", vector: str = "embedding", at_once: int = 4000) -> DataFrame:
+    """dense_top_k of any number of queries with ids of their own, at_once at a
+    time. Only the first id of each block comes to the driver."""
+    nth = F.row_number().over(Window.orderBy(qid)) - 1
+    heads = [r[0] for r in queries.select(qid).withColumn("nth_", nth).where(F.col("nth_") % at_once == 0).orderBy(qid).select(qid).collect()]
+    within = [(F.col(qid) >= a) & (F.col(qid) < b if b is not None else F.lit(True)) for a, b in zip(heads, [*heads[1:], None])]
+    found = [dense_top_k(queries.where(w), vectors, k, qid, qvec, key, vector, at_once) for w in within or [F.lit(True)]]
+    return reduce(DataFrame.unionByName, found)

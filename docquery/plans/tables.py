@@ -26,17 +26,19 @@ def sha_manifest(spark, sf_dir):
 
 
 _CACHED = """
-WITH wants AS (SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 2 = 0),
-had AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE sha256(text) END AS sha256 FROM documents WHERE doc_id % 3 = 0),
+WITH wants AS (SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 7 <> 0),
+had AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE sha256(text) END AS sha256 FROM documents WHERE doc_id % 3 <> 1 OR doc_id % 7 = 0),
 plan AS (SELECT coalesce(w.doc_id, h.doc_id) AS doc_id,
   CASE WHEN w.doc_id IS NULL THEN 'delete' WHEN h.doc_id IS NULL OR h.sha256 IS DISTINCT FROM w.sha256 THEN 'fetch' ELSE 'keep' END AS action
   FROM wants w FULL JOIN had h ON w.doc_id = h.doc_id)"""
 
 
 def _cached(spark, sf_dir):
+    """Two states of the cache that hold every document between them: some have
+    gone, some are new, some have changed."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
-    had = d.where("doc_id % 3 = 0").withColumn("sha256", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("sha256")))
-    return had, d.where("doc_id % 2 = 0")
+    had = d.where("doc_id % 3 <> 1 OR doc_id % 7 = 0").withColumn("sha256", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("sha256")))
+    return had, d.where("doc_id % 7 <> 0")
 
 
 @query(_CACHED + " SELECT doc_id, action FROM plan")
@@ -50,20 +52,25 @@ def delta_apply(spark, sf_dir):
     return store.apply_delta(had, store.delta_plan(had, wants, "doc_id"), wants, "doc_id")
 
 
-@query("SELECT doc_id, sha256 FROM (SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE doc_id % 4 = 0)")
+@query("""
+WITH d AS (SELECT doc_id, text, sha256(text) AS sha256, sha256(source || lang || text) AS other FROM documents)
+SELECT doc_id, sha256, CASE WHEN doc_id % 5 = 0 THEN 'differs' ELSE 'same' END AS state FROM d""")
 def verified_fetch(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select("doc_id", "text")
-    m = store.manifest(d, "doc_id", F.col("text"))
-    return store.verified(d, m, "doc_id", F.col("text")).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    """All documents against a manifest in which every fifth has another digest."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("own"))
+    wanted = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.sha2(F.concat("source", "lang", "text").cast("binary"), 256)).otherwise(F.sha2(F.col("text").cast("binary"), 256)).alias("sha256"))
+    good, bad = store.split_verified(d, wanted, "doc_id", F.col("text"))
+    state = lambda df, x: df.select("doc_id", F.col("own").alias("sha256"), F.lit(x).alias("state"))
+    return state(good, "same").unionByName(state(bad, "differs"))
 
 
 @query("""
 SELECT doc_id, source, n_chars FROM (
   SELECT doc_id, 'new' AS source, n_chars FROM documents WHERE doc_id % 3 = 0
-  UNION ALL SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0)""")
+  UNION ALL SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 3 <> 0)""")
 def upsert_merge(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return store.upsert(d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0").withColumn("source", F.lit("new")), "doc_id")
+    return store.upsert(d, d.where("doc_id % 3 = 0").withColumn("source", F.lit("new")), "doc_id")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -149,7 +156,8 @@ def ingest_summary(spark, sf_dir):
     return st.ingest_summary(rows, "conv_id", "error")
 
 
-@query()
+@query("""
+SELECT shard, count(*) AS n, min(doc_id) AS first FROM (SELECT doc_id, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15) AS BIGINT) % 4 AS shard FROM documents) GROUP BY shard""")
 def shard_assignment(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", store.shard(F.col("doc_id"), 4).alias("shard"))
     return d.groupBy("shard").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docquery.operators import vectors as v
 from docquery.plans.registry import query, table
+from docquery.storage import stored
 
 #: Queries that are sent to the tasks at once.
 QUERIES_AT_ONCE = 4000
 
-
 @query("""
 SELECT e.vec_id, round(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q
@@ -61,25 +58,24 @@ def quantize_int8_values(spark, sf_dir):
 @query(_SCALES + """
 , d AS (SELECT vec_id, list_transform(codes, lambda x: x * scale) AS raw FROM q)
 SELECT vec_id, round(raw[1] / sqrt(list_sum(list_transform(raw, lambda x: x * x))), 6) AS first,
-  round(list_sum(list_transform(raw, lambda x: x * x)) / list_sum(list_transform(raw, lambda x: x * x)), 6) AS length FROM d""")
+  round(sqrt(list_sum(list_transform(list_transform(raw, lambda x: x / sqrt(list_sum(list_transform(raw, lambda y: y * y)))), lambda x: x * x))), 6) AS length FROM d""")
 def dequantize_norm(spark, sf_dir):
     d = _coded(spark, sf_dir).withColumn("unit", v.dequantize(F.col("codes"), F.col("scale")))
     return d.select("vec_id", F.round(F.element_at("unit", 1), 6).alias("first"), F.round(v.norm(F.col("unit")), 6).alias("length"))
 
 
-@query(_SCALES + " SELECT vec_id, true AS same, CAST(len(codes) AS INTEGER) AS dim FROM q")
+@query(_SCALES + """
+SELECT vec_id, to_base64(unhex(list_aggregate(list_transform(codes, lambda x: printf('%02X', (x::INTEGER + 256) % 256)), 'string_agg', ''))) AS text, true AS same, CAST(len(codes) AS INTEGER) AS dim FROM q""")
 def base64_codec(spark, sf_dir):
-    d = _coded(spark, sf_dir)
-    back = v.from_base64(v.to_base64(F.col("codes")))
-    return d.select("vec_id", (back == F.col("codes")).alias("same"), F.size(back).alias("dim"))
+    """The text itself is compared, and that it leads back to the codes."""
+    d = _coded(spark, sf_dir).withColumn("text", v.to_base64(F.col("codes")))
+    back = v.from_base64(F.col("text"))
+    return d.select("vec_id", "text", (back == F.col("codes")).alias("same"), F.size(back).alias("dim"))
 
 
 @query()
 def hash_embedding_topk(spark, sf_dir):
     """The stated queries are the documents whose ids 20 divides, in blocks, against all."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", v.hash_embedding(F.col("text"), 32).alias("vector")).persist()
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", v.hash_embedding(F.col("text"), 32).alias("vector")))
     q = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vector")
-    ends = [r[0] for r in q.select("qid").distinct().orderBy("qid").collect()][::QUERIES_AT_ONCE]
-    within = [(F.col("qid") >= a) & (F.col("qid") < b if b is not None else F.lit(True)) for a, b in zip(ends, [*ends[1:], None])]
-    found = [v.dense_top_k(q.where(w), docs, 3, key="doc_id", vector="vector") for w in within or [F.lit(True)]]
-    return reduce(DataFrame.unionByName, found).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return v.dense_top_k_blocks(q, docs, 3, key="doc_id", vector="vector", at_once=QUERIES_AT_ONCE).select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
