@@ -23,6 +23,17 @@ def article_texts(chunks: DataFrame, doc: str = "doc", label: str = "label", ord
     return parts.select(doc, label, F.array_join(F.transform("parts", lambda p: p[body]), "\n").alias("text")).where("text <> ''")
 
 
+def summary_texts(chunks: DataFrame, doc: str = "doc", label: str = "label", order: str = "position", body: str = "body", paragraph: str = "paragraph", section: str = "section", most: int | None = None, profile: Profile = INDONESIAN_LAW) -> DataFrame:
+    """(doc, label, text): what a summary of an article is made from: its chunks
+    in order, each after its paragraph's number in brackets if it has one, by
+    spaces; without chunks of the explanation; its first most characters."""
+    own = chunks.where(~F.contains(F.upper(F.coalesce(section, F.lit(""))), F.lit(profile.explanation)))
+    part = F.concat(F.when(F.coalesce(paragraph, F.lit(0)) != 0, F.concat(F.lit("("), F.col(paragraph).cast("string"), F.lit(") "))).otherwise(""), F.coalesce(body, F.lit("")))
+    parts = own.groupBy(doc, label).agg(F.sort_array(F.collect_list(F.struct(F.col(order), part.alias("part")))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["part"]), " ")
+    return parts.select(doc, label, (F.substring(text, 1, most) if most else text).alias("text"))
+
+
 def citation_edges(articles: DataFrame, docs: DataFrame, doc: str = "doc", label: str = "label", text: str = "text", nearest: bool = True, profile: Profile = INDONESIAN_LAW) -> DataFrame:
     """(src, dst, kind) of article texts. A citation of another document of docs
     (doc) points to the article named within the window around it (the nearest

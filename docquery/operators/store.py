@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquery.operators.vectors import quantize, to_base64
+
 
 def chunk_id(number: Column, year: Column, label: Column, position: Column) -> Column:
     return F.format_string("%s-%s-pasal-%s-%d", number, year, label, position.cast("long"))
@@ -26,6 +28,34 @@ def export_documents(chunks: DataFrame, doc: list[str], order: str, fields: list
     return chunks.groupBy(*doc).agg(rows.alias("chunks"), F.count("*").alias("n_chunks"))
 
 
+def export_payloads(chunks: DataFrame, vector: str = "embedding") -> DataFrame:
+    """(key, nomor_uu, tahun_uu, n_chunks, payload): the exported file of each
+    document as JSON text. chunks: nomor_uu, tahun_uu, tentang, position, id,
+    pasal, ayat, bab, text and the vector. A document has one scale (its largest
+    absolute component / 127, 1 where that is 0) and one base64 text of all its
+    8-bit vectors in the order of its chunks. One document is one row."""
+    fields = [F.col(c) for c in ("id", "pasal", "ayat", "bab", "text")]
+    rows = F.sort_array(F.collect_list(F.struct("position", F.struct(*fields).alias("chunk"), F.col(vector).alias("v"))))
+    docs = chunks.groupBy("nomor_uu", "tahun_uu").agg(F.min_by("tentang", "position").alias("tentang"), rows.alias("rows"))
+    flat = F.flatten(F.transform("rows", lambda r: r["v"]))
+    docs = docs.withColumn("flat", flat).withColumn("top", F.array_max(F.transform("flat", lambda x: F.abs(x.cast("double")))))
+    docs = docs.withColumn("vec_scale", F.when(F.col("top") > 0, F.col("top") / 127).otherwise(1.0))
+    out = docs.select(
+        "nomor_uu", "tahun_uu", "tentang", "vec_scale", to_base64(quantize(F.col("flat"), F.col("vec_scale"))).alias("vec_b64"), F.transform("rows", lambda r: r["chunk"]).alias("chunks")
+    )
+    payload = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    return out.select(F.concat_ws("-", F.lit("uu"), "nomor_uu", "tahun_uu").alias("key"), "nomor_uu", "tahun_uu", F.size("chunks").alias("n_chunks"), payload.alias("payload"))
+
+
+def export_manifest(payloads: DataFrame, version: str, dim: int, model: str) -> DataFrame:
+    """(version, dim, model, key, file, chunks, bytes, sha256), a row per file."""
+    rows = payloads.withColumn("file", F.concat("key", F.lit(".json")))
+    return rows.select(
+        F.lit(version).alias("version"), F.lit(dim).alias("dim"), F.lit(model).alias("model"), "key", "file", F.col("n_chunks").alias("chunks"),
+        F.octet_length("payload").cast("long").alias("bytes"), F.sha2(F.col("payload").cast("binary"), 256).alias("sha256"),
+    )
+
+
 def checked_export(chunks: DataFrame, vector: str, dim: int) -> DataFrame:
     """Refuses chunks without a vector of dim components, when they are read."""
     good = F.coalesce(F.size(vector) == dim, F.lit(False))

@@ -104,3 +104,12 @@ def citation_edges(spark, sf_dir):
     )
     articles = d.select(doc.alias("doc"), i.cast("string").alias("label"), text.alias("text"))
     return graph.citation_edges(articles, articles.select("doc").distinct())
+
+
+@query(r"""
+SELECT conv_id, role, substr(string_agg(CASE WHEN turn % 3 > 0 THEN '(' || (turn % 3) || ') ' ELSE '' END || coalesce(text, ''), ' ' ORDER BY turn), 1, 1500) AS text
+FROM conversations WHERE turn % 5 <> 4 GROUP BY conv_id, role""")
+def summary_sources(spark, sf_dir):
+    """Texts that summaries are made from; every fifth turn is an explanation."""
+    c = table(spark, sf_dir, "conversations").withColumn("paragraph", (F.col("turn") % 3).cast("int")).withColumn("section", F.when(F.col("turn") % 5 == 4, "Penjelasan"))
+    return graph.summary_texts(c, "conv_id", "role", "turn", "text", most=1500)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from docquery.operators import store
+from docquery.operators import store, vectors
 from docquery.operators import stats as st
 from docquery.operators import summaries as sm
 from docquery.plans.registry import query, table
 from docquery.sources import files
+from docquery.storage import shared_dir
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents")
@@ -166,3 +169,41 @@ def shard_assignment(spark, sf_dir):
 @query("SELECT doc_id, source || '-' || lang || '-pasal-' || doc_id || '-' || (doc_id % 9) AS id FROM documents")
 def chunk_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", store.chunk_id(F.col("source"), F.col("lang"), F.col("doc_id").cast("string"), F.col("doc_id") % 9).alias("id"))
+
+
+_CHUNKS = """
+WITH c AS (SELECT replace(source, 'src', '') AS nomor_uu, '2001' AS tahun_uu, source AS tentang, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position, doc_id, text, embedding
+  FROM documents JOIN embeddings ON doc_id = vec_id),
+s AS (SELECT nomor_uu, max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))) / 127 AS vec_scale FROM c GROUP BY nomor_uu)"""
+
+
+def _payloads(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    i = F.col("doc_id")
+    chunks = d.select(
+        F.replace("source", F.lit("src"), F.lit("")).alias("nomor_uu"), F.lit("2001").alias("tahun_uu"), F.col("source").alias("tentang"), i.alias("position"),
+        F.concat(F.lit("id-"), i.cast("string")).alias("id"), (i % 40).cast("string").alias("pasal"), F.when(i % 2 == 0, i % 6).cast("int").alias("ayat"),
+        F.when(i % 11 == 0, "PENJELASAN").alias("bab"), "text", "embedding",
+    )
+    return store.export_payloads(store.checked_export(chunks, "embedding", 64))
+
+
+@query(_CHUNKS + """
+SELECT c.nomor_uu, tahun_uu, tentang, CAST(position AS INTEGER) AS position, 'id-' || doc_id AS id, CAST(doc_id % 40 AS VARCHAR) AS pasal,
+  CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 6 AS INTEGER) END AS ayat, CASE WHEN doc_id % 11 = 0 THEN 'PENJELASAN' END AS bab, text, round(vec_scale, 9) AS vec_scale,
+  list_transform(embedding, lambda x: CAST(greatest(-127, least(127, round_even(x::DOUBLE / vec_scale, 0))) AS TINYINT))[1] AS first
+FROM c JOIN s USING (nomor_uu)""")
+def export_round_trip(spark, sf_dir):
+    """Chunks and vectors, written as exported files and read again."""
+    path = f"{shared_dir(spark)}/docquery-{spark.sparkContext.applicationId}/exports-{uuid.uuid4().hex}"
+    files.write_exports(_payloads(spark, sf_dir), path)
+    back = files.read_exports(spark, path, lines=True)
+    first = F.element_at(vectors.from_base64(F.col("vec_b64")), F.col("position") * 64 + 1)
+    return back.select("nomor_uu", "tahun_uu", "tentang", "position", "id", "pasal", "ayat", "bab", "text", F.round("vec_scale", 9).alias("vec_scale"), first.alias("first"))
+
+
+@query(_CHUNKS + """
+SELECT 'v1' AS version, 64 AS dim, 'hash' AS model, 'uu-' || nomor_uu || '-2001' AS key, 'uu-' || nomor_uu || '-2001.json' AS file, CAST(count(*) AS INTEGER) AS chunks FROM c GROUP BY nomor_uu""")
+def export_manifest(spark, sf_dir):
+    m = store.export_manifest(_payloads(spark, sf_dir), "v1", 64, "hash")
+    return m.select("version", "dim", "model", "key", "file", "chunks")

@@ -116,11 +116,11 @@ def section_asof(spark, sf_dir):
 WITH d AS (SELECT doc_id, text, len(string_split_regex(trim(text, E' \t\n\r\x0b\x0c'), '\s+')) > 800 AND strpos(text, E'\n') > 0 AS long FROM documents),
 p AS (SELECT doc_id, string_split(text, E'\n') AS parts FROM d WHERE long),
 u AS (SELECT doc_id, trim(parts[1], E' \t\n\r\x0b\x0c') AS head, unnest(parts[2:]) AS part, generate_subscripts(parts[2:], 1) AS paragraph FROM p)
-SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, CAST(length(concat_ws(E'\n', CASE WHEN head <> '' THEN head END, trim(part, E' \t\n\r\x0b\x0c'))) AS INTEGER) AS n FROM u
-UNION ALL SELECT doc_id, NULL, CAST(length(text) AS INTEGER) FROM d WHERE NOT long""")
+SELECT doc_id, CAST(paragraph AS INTEGER) AS paragraph, concat_ws(E'\n', CASE WHEN head <> '' THEN head END, trim(part, E' \t\n\r\x0b\x0c')) AS body FROM u
+UNION ALL SELECT doc_id, NULL, text FROM d WHERE NOT long""")
 def split_long(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
-    return chunking.split_long(d, "body", GENERIC, r"(\n)").select("doc_id", "paragraph", F.length("body").alias("n"))
+    return chunking.split_long(d, "body", GENERIC, r"(\n)").select("doc_id", "paragraph", "body")
 
 
 _TOKENS = r"""
@@ -269,3 +269,34 @@ def citations(spark, sf_dir):
 @query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
 def flattened_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", flatten_space(F.col("text")).alias("text"))
+
+
+_STATUTES = r"""
+WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS flat FROM documents)"""
+
+
+@query(_STATUTES + r"""
+SELECT doc_id, 0 AS position, CAST(doc_id % 40 + 1 AS VARCHAR) AS label, NULL AS section, CAST(NULL AS INTEGER) AS paragraph, 'Pasal ' || (doc_id % 40 + 1) || E'\n' || flat AS body FROM f
+UNION ALL SELECT doc_id, 1, '77', 'BAB II UMUM', NULL, 'Pasal 77' || E'\n' || trim(substr(flat, 1, 50)) FROM f""")
+def chunk_statutes(spark, sf_dir):
+    """Statutes made of the documents: two articles, a chapter between them and
+    a mark that a page break has left alone."""
+    flat = flatten_space(F.col("text"))
+    text = F.concat(F.lit("Preamble\nPasal "), (F.col("doc_id") % 40 + 1).cast("string"), F.lit("\n"), flat, F.lit("\nPasal\nBAB II\nUMUM\nPasal 77\n"), F.substring(flat, 1, 50))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return chunking.chunk_documents(docs)
+
+
+@query(_STATUTES + r""", p AS (SELECT doc_id, 'Awal ' || flat AS a FROM f)
+SELECT doc_id, 'Pasal 5' || E'\n' || trim(a) || CASE WHEN regexp_matches(trim(a), '[.:;!?"'')\]]$') THEN E'\n' ELSE ' ' END || 'lanjut' || E'\n' || 'Begini:' || E'\n\n' || 'Pasal 210 dan Pasal 19' || E'\n' || 'Akhir.' AS text FROM p""")
+def clean_statutes(spark, sf_dir):
+    """Five marked pages of each document: a head that repeats, a mark broken by
+    a page, a sentence that goes on over a page, misread and Roman numbers."""
+    flat = flatten_space(F.col("text"))
+    head = "UU TENTANG CONTOH\n"
+    text = F.concat(
+        F.lit(f"<<<PAGE 1>>>\n{head}Pasal\n5\n<<<PAGE 2>>>\n{head}Awal "), flat, F.lit(f" \n<<<PAGE 3>>>\n{head}"), F.lit("lanjut\n"),
+        F.lit(f"<<<PAGE 4>>>\n{head}Begini:\n- 4 -\nPasa1 21O dan Pasal XIX\n<<<PAGE 5>>>\n{head}Akhir."),
+    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    return cleaning.clean_documents(docs)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,19 +60,58 @@ def file_metadata(path: Column, profile: Profile = INDONESIAN_LAW) -> list[Colum
     return [part(1).alias("number"), part(2).alias("year"), F.when(fits, F.trim(F.translate(part(3), "-_", "  "))).otherwise(stem).alias("title")]
 
 
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
-    """One row per chunk of the exported files, with the document's fields."""
-    docs = spark.read.schema(EXPORT).option("multiLine", True).option("pathGlobFilter", "uu-*.json").json(path)
+def read_exports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per chunk of the exported files, with the document's fields: a
+    file per document, or with lines a line per document (see write_exports)."""
+    reader = spark.read.schema(EXPORT)
+    docs = reader.json(path) if lines else reader.option("multiLine", True).option("pathGlobFilter", "uu-*.json").json(path)
     rows = docs.select("nomor_uu", "tahun_uu", "tentang", "vec_scale", "vec_b64", F.posexplode("chunks").alias("position", "c"))
     return rows.select("nomor_uu", "tahun_uu", "tentang", "vec_scale", "vec_b64", "position", "c.*")
 
 
 def write_exports(documents: DataFrame, path: str) -> None:
-    """One JSON line per document; what was there before goes."""
-    documents.write.mode("overwrite").json(path)
-
-
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of a manifest."""
+    """One JSON line per document, by year and number; what was there before
+    goes. documents: payloads (see store.export_payloads), or any rows."""
+    if "payload" in documents.columns:
+        documents.orderBy("tahun_uu", "nomor_uu").select("payload").write.mode("overwrite").text(path)
+    else:
+        documents.write.mode("overwrite").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per document of a manifest: one object with a list, or with lines
+    an object per document (see write_manifest)."""
+    fields = T.StructType([*MANIFEST.fields[:3], *MANIFEST["docs"].dataType.elementType.fields])
+    if lines:
+        return spark.read.schema(fields).json(path)
     m = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
     return m.select("version", "dim", "model", F.explode("docs").alias("d")).select("version", "dim", "model", "d.*")
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """A line per document (see store.export_manifest)."""
+    manifest.write.mode("overwrite").json(path)
+
+
+def write_graph(edges: DataFrame, nodes: DataFrame, path: str) -> None:
+    """Folders nodes and edges of JSON lines; what was there before goes."""
+    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of write_graph."""
+    return spark.read.schema("src string, dst string, kind string").json(f"{path}/edges"), spark.read.schema("node string").json(f"{path}/nodes")
+
+
+def add_summaries(planned: DataFrame, path: str, make: Callable[[DataFrame], DataFrame], key: str = "node") -> None:
+    """Appends to the table at path what make gives for the rows of planned
+    whose key isn't there yet; a job that stopped goes on where it was. Each
+    call adds one batch, whole or not at all."""
+    done = planned.sparkSession.createDataFrame([], planned.select(key).schema)
+    try:
+        done = planned.sparkSession.read.parquet(path).select(key)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    make(planned.join(done, key, "left_anti")).write.mode("append").parquet(path)
