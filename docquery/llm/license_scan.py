@@ -8,8 +8,8 @@ vocabulary are cut into n-grams, joined with the table, and the weights are
 summed per paragraph; softmax and the calibrated threshold follow as columns. A
 prediction is confirmed by comparing the paragraph with the family's templates.
 Paragraphs without such a word have no n-gram with a weight, so leaving them out
-changes nothing. A paragraph is a line; besides, lines between blank ones are
-scored joined, for texts that are wrapped.
+changes nothing. A paragraph is a line; besides, runs of lines with such a word
+are scored joined, for texts that are wrapped.
 """
 
 from __future__ import annotations
@@ -31,9 +31,6 @@ STOPS = frozenset("a an and any are as at be by can for from has have if in is i
 #: What separates words besides space: everything but letters, digits, dots inside numbers and bytes of other scripts.
 PUNCTUATION = "\t\n\v\f\r,;:!?()[]{}<>\"'`“”’/\\|*#$%&_=+@~^-"
 
-#: A line break, and lines without words after it.
-BLANK = r"\n[\x00-\x20.,;:!?()\[\]{}<>\"'`“”’/\\|*#$%&_=+@~^-]*\n"
-
 
 def words_of(text: str) -> list[str]:
     """Lower-case words; the same as _words for columns."""
@@ -222,9 +219,9 @@ def scan_licenses(
     or more and one that only templates of this family have, the share of its
     own that the template has, whichever is greater, for the family's template that is most alike; at `likeness` or more it
     confirms the prediction. (So a line of a wrapped paragraph is confirmed.)
-    passages: the same of the confirmed passages (lines joined up to one without
-    words, numbered from 0; only those of several lines) whose family no line
-    of the text confirms.
+    passages: the same of the confirmed passages (runs of several lines that
+    have a word of the license texts each, joined; paragraph is the number of
+    the first) whose family no line of the text confirms.
 
     Only the two columns are read, so others may have any name. A text without
     such paragraphs, empty or null, has empty arrays; a null id stays null;
@@ -235,14 +232,19 @@ def scan_licenses(
     m = model or fit()
     weights, templates = _tables(docs.sparkSession, m)
     cued = lambda s: F.exists(s["words"], lambda w: w.isin(list(m.cues)))  # noqa: E731  a look into a set per word
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("lines"), F.coalesce(text_col, F.lit("")).alias("whole"))
-    lines = F.filter(
-        F.transform("lines", lambda x, i: F.struct(F.lit(False).alias("joined"), i.alias("paragraph"), _words(x).alias("words"))), cued
-    )
-    passages = F.transform(F.split("whole", BLANK), lambda x, i: F.struct(F.lit(True).alias("joined"), i.alias("paragraph"), F.when(F.contains(F.trim(x, F.lit("\n")), F.lit("\n")), _words(x)).alias("words")))
-    passages = F.filter(passages, lambda s: F.coalesce(cued(s), F.lit(False)))
-    # A text without such a line has no such passage; the lines are named once, so that they are cut once.
-    named = F.transform(F.array(lines), lambda x: F.when(F.size(x) > 0, F.concat(x, passages)).otherwise(x))[0]
+    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.split(F.coalesce(text_col, F.lit("")), "\n").alias("lines"))
+    hits = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("paragraph"), _words(x).alias("words"))), cued)
+
+    def shaped(x: Column) -> Column:
+        """Lines with a cue, and passages: runs of several such lines."""
+        single = F.transform(x, lambda s: F.struct(F.lit(False).alias("joined"), s["paragraph"].alias("paragraph"), s["words"].alias("words")))
+        starts = F.filter(F.sequence(F.lit(1), F.size(x)), lambda k: (k == 1) | (x[k - 1]["paragraph"] != x[F.greatest(k - 2, F.lit(0))]["paragraph"] + 1))
+        runs = F.transform(F.array(starts), lambda s: F.transform(s, lambda b, j: F.slice(x, b, F.coalesce(F.get(s, j + 1), F.size(x) + 1) - b)))[0]
+        joined = lambda r: F.struct(F.lit(True).alias("joined"), r[0]["paragraph"].alias("paragraph"), F.flatten(F.transform(r, lambda s: s["words"])).alias("words"))
+        return F.concat(single, F.transform(F.filter(runs, lambda r: F.size(r) > 1), joined))
+
+    # The lines are named once, so that they are cut once.
+    named = F.transform(F.array(hits), lambda x: F.when(F.size(x) > 0, shaped(x)))[0]
     some = rows.select("id", "row", F.explode_outer(named).alias("p")).select("id", "row", F.coalesce("p.joined", F.lit(False)).alias("joined"), "p.paragraph", "p.words")
     some = some.withColumn("own", F.size("words") - (N_GRAM - 1))
     # One null stands for the paragraph itself; of its n-grams only those of the table go on.
