@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import struct
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ def n_best_paths(lat: Lattice, chunk: str, n: int) -> list[tuple[float, list[int
     size = len(chunk)
     into: list[list] = [[] for _ in range(size + 1)]
     best: list = [None] * (size + 1)
-    best[0] = 0
+    best[0] = 0.0
     for a, b, score, i in lat.edges(chunk):
         into[b].append((a, score, i))  # longer pieces first
         if best[b] is None or best[a] + score > best[b]:
@@ -56,34 +57,33 @@ def n_best_paths(lat: Lattice, chunk: str, n: int) -> list[tuple[float, list[int
 
 def best_path(lat: Lattice, chunk: str) -> tuple[float, float | None, bytes]:
     """The forward pass: (best score, loss of the second-best segmentation or
-    None, ids of the best one as 32-bit little-endian numbers). Among equal sums
+    None, ids of the best one as 32-bit numbers). Among equal sums
     the longest last piece wins."""
+    if not lat.singles.issuperset(chunk):  # the search has edges for unknown characters
+        found = n_best_paths(lat, chunk, 2)
+        (score, ids), loss = found[0], found[0][0] - found[1][0] if len(found) > 1 else None
+        return score, loss, array("i", ids).tobytes()
     size = len(chunk)
-    best: list = [None] * (size + 1)
-    second: list = [None] * (size + 1)
-    back: list = [None] * (size + 1)
-    best[0] = 0
-    for a, b, score, i in lat.edges(chunk):
-        total, other = best[a] + score, second[a]
-        if best[b] is None:
-            best[b], back[b] = total, (a, i)
-            second[b] = None if other is None else other + score
-            continue
+    best, second, back = [-inf] * (size + 1), [-inf] * (size + 1), [None] * (size + 1)
+    best[0] = 0.0
+    for last, (length, score, i) in lat.automaton.iter(chunk):
+        b = last + 1
+        a = b - length
+        total = best[a] + score
         if total > best[b]:
             next_, best[b], back[b] = best[b], total, (a, i)
-            if other is not None and other + score > next_:
-                next_ = other + score
-        else:
-            next_ = total
-        if second[b] is None or next_ > second[b]:
-            second[b] = next_
-    path, at = [], size
+            if (other := second[a] + score) > next_:
+                next_ = other
+            if next_ > second[b]:
+                second[b] = next_
+        elif total > second[b]:
+            second[b] = total
+    ids, at = [], size
     while at:
-        a, i = back[at]
-        path.append((a, at, i))
-        at = a
-    ids = lat.ids_of(chunk, path[::-1])
-    return best[size], None if second[size] is None else best[size] - second[size], struct.pack(f"<{len(ids)}i", *ids)
+        at, i = back[at]
+        ids.append(i)
+    ids.reverse()
+    return best[size], None if second[size] == -inf else best[size] - second[size], array("i", ids).tobytes()
 
 
 class Paths:
@@ -97,7 +97,7 @@ class Paths:
 
     def _several(self, chunk: str) -> list[tuple[float, bytes]]:
         found = n_best_paths(self.lat, chunk, self.n)
-        return [(found[0][0] - s, struct.pack(f"<{len(ids)}i", *ids)) for s, ids in found]
+        return [(found[0][0] - s, array("i", ids).tobytes()) for s, ids in found]
 
 
 @lru_cache(2)

@@ -25,7 +25,7 @@ def best_count(lat: Lattice, chunk: str) -> tuple[float, int]:
     n = len(chunk)
     best: list = [None] * (n + 1)
     count = [0] * (n + 1)
-    best[0] = 0
+    best[0] = 0.0
     for a, b, score, i in lat.edges(chunk):
         total = best[a] + score
         if best[b] is None or total > best[b]:
