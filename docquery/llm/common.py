@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word of the query contracts: a run without space, tab and line breaks.
@@ -62,6 +64,13 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, _own_dir(spark))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """Batches in smaller ones, so that few texts are Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, made from name."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquery.llm.common import written
+from docquery.llm.common import slices, written
 
 #: First code point of each range and its script; letters elsewhere are "other".
 SCRIPTS = (
@@ -42,7 +42,7 @@ NAMES = sorted({s for _, s in SCRIPTS})
 BITS = 16
 #: A language has a script if so much of its training letters are in it.
 SCRIPT_SHARE = 0.001
-BLOCK_CHARS = 500_000
+BLOCK_CHARS = 300_000
 #: Letters times languages whose log probabilities a task holds at once.
 CELLS_AT_ONCE = 4_000_000
 UNDETERMINED = "und"
@@ -109,7 +109,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", smoot
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict = defaultdict(lambda: np.zeros(2**BITS + len(NAMES), np.int64))
-        for batch in batches:
+        for batch in slices(batches, 500):
             texts, langs = (c.to_pylist() for c in batch.columns)
             for lang in set(langs):
                 own = [t for t, x in zip(texts, langs) if x == lang]
@@ -309,7 +309,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, z in _blocks(texts):
                 found = judge(texts[a:z])
@@ -334,7 +334,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in slices(batches, 500):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, z in _blocks(texts):
                 letters, _ = tally(m, texts[a:z], penalty, False)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquery.llm.common import written
+from docquery.llm.common import slices, written
 from docquery.llm.components import components
 
 #: Equal fragments required of a pair, less one: so many, and one more for so
@@ -48,12 +48,10 @@ SPARE, SPARE_PER = 2, 8
 PART_BITS = 2
 #: Keys that a task holds before it sends them, and that come together to be compared, about.
 KEYS_AT_ONCE, KEYS_TO_COMPARE = 500_000, 1_000_000
-#: Texts that a task holds as Python objects.
-TEXTS_AT_ONCE = 250
 #: N-grams and classes of a block in which links are counted, about.
 GRAMS_AT_ONCE, CLASSES_AT_ONCE = 1_000_000, 512
 #: Word hashes that a task remembers.
-MEMORY = 150_000
+MEMORY = 100_000
 #: Ids that are broadcast at most (24 bytes each); above, they are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 _A, _B, _C = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), 0x9E3779B97F4A7C15
@@ -135,18 +133,12 @@ def _shared(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys, owners, np.stack([~(first & last), first | last]) if len(keys) else np.zeros((2, 0), bool)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
-            yield batch.slice(k, TEXTS_AT_ONCE)
-
-
 def _documents(docs: DataFrame, n_words: int) -> DataFrame:
     """(id, text_hash, n, owner): size and digest of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Words()
-        for batch in _slices(batches):
+        for batch in slices(batches):
             found = []
             for text in batch.column(2).to_pylist():
                 grams = shingles(text, n_words, memory)
@@ -194,7 +186,7 @@ def _shared_keys(docs: DataFrame, n_words: int, t: int, n_parts: int) -> DataFra
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, held_k, held_o, size = Words(), [], [], 0
         seen: set[int] = set()
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 grams = shingles(text, n_words, memory)
                 owner = set_digest(grams)
@@ -229,7 +221,7 @@ def _sets(docs: DataFrame, n_words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Words()
-        for batch in _slices(batches):
+        for batch in slices(batches):
             found = [shingles(t, n_words, memory) for t in batch.column(0).to_pylist()]
             grams = pa.array(np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64))
             ends = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))

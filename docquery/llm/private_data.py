@@ -16,6 +16,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docquery.llm.common import slices
+
 #: In the order of the results; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = frozenset(KINDS[:4])
@@ -163,7 +165,7 @@ def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = batch.columns
             rows = [
                 [{"kind": k, "start": a, "end": b, "value": t[a:b]} for k, a, b in find_spans(t)] for t in texts.to_pylist()
@@ -181,7 +183,7 @@ def redact_private(docs: DataFrame, text_col: str = "text", length_col: str | No
     at = docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             new = [redact(t, find_spans(t)) for t in batch.column(at).to_pylist()]
             batch = batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
             if length_col:
