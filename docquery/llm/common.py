@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word of the query contracts: a run without space, tab and line breaks.
@@ -71,6 +73,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.Re
             yield batch.slice(k, rows)
 
 
+def text_blocks(batches: Iterator[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about `limit` bytes of text; a text that is longer
+    than that comes with what precedes it, at most `limit` bytes."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, made from name."""
     taken = {c.lower() for c in df.columns}

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from docquery.llm import oracles, quality
 from docquery.llm.common import table, written
+from docquery.llm.collocations import collocations, first_of_each
 from docquery.llm.fingerprint import fingerprint_edits
+from docquery.llm.infilling import fill_in_middle, restored
 from docquery.llm.language_id import held_out, identify, train
 from docquery.llm.license_scan import scan_licenses
 from docquery.llm.mixing import mix_sources, n_words
@@ -16,6 +18,7 @@ from docquery.llm.ngram_join import near_duplicates
 from docquery.llm.private_data import BASE, KINDS, find_private
 from docquery.llm.segmentation import survey
 from docquery.llm.token_counts import count_tokens
+from docquery.llm.token_files import read_tokens, write_tokens
 from docquery.llm.url_filter import filter_urls
 
 #: The rules of the contract and the block list of the method.
@@ -116,6 +119,29 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", *(f"mix.{c}" for c in ("size", "source_size", "target", "taken")))
 
 
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text cut and reordered for infilling, and of the text
+    rebuilt from that."""
+    found = fill_in_middle(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored(F.col("form"), F.col("output")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of every language."""
+    found = first_of_each(collocations(table(spark, sf_dir, "documents")), most=2000)
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of the ids of every text, from the files."""
+    found = read_tokens(write_tokens(table(spark, sf_dir, "documents")), packed=True)
+    return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -133,6 +159,9 @@ def queries() -> dict:
         "op8_quality": op8_quality,
         "op9_language_id": op9_language_id,
         "op10_source_mix": op10_source_mix,
+        "op11_infilling": op11_infilling,
+        "op12_collocations": op12_collocations,
+        "op13_token_files": op13_token_files,
         "pipeline": pipeline,
     }
 
@@ -141,4 +170,6 @@ def oracle_sql() -> dict[str, str]:
     return ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}) | {
         "op6_url_filter": oracles.url_filter(URL_RULES, URL_LISTED),
         "op10_source_mix": oracles.SOURCE_MIX,
+        "op11_infilling": oracles.INFILLING,
+        "op12_collocations": oracles.COLLOCATIONS,
     }
