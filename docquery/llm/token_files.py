@@ -23,9 +23,11 @@ import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -46,7 +48,7 @@ _LANES = 32
 _HEAD = struct.Struct("<IBH")
 _FOOT = struct.Struct("<qqq8s")
 #: Bytes of text encoded together, and blocks packed together.
-SLICE = 1_000_000
+SLICE = 4_000_000
 GROUP = 256
 #: Bytes of words (and as many words / 16) that an encoder knows before it forgets them.
 KNOWN = 16_000_000
@@ -116,12 +118,17 @@ def decode_blocks(blocks: list[memoryview]) -> np.ndarray:
     return out.reshape(-1)
 
 
+#: Marks after a letter of ASCII or Latin-1 and before white space: the tokenizer
+#: separates them from the word, so both are encoded once and not in every pair.
+_MARKS = r"([A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?&$*%]+[ \n])"
+
+
 class Encoder:
     """Texts to ids by the tokenizers library, each distinct word once.
 
-    Holds for tokenizers whose pieces never cross white space and that drop it:
-    the file at hand splits at it before its merges. Texts are cut at ASCII white
-    space only; whatever else is white space for the library stays in a word.
+    Holds for tokenizers that split at white space and between letters and marks
+    before their merges and drop white space. Texts are cut at ASCII white space
+    only; what else is white space for the library stays in a word.
     """
 
     def __init__(self, tokenizer: str, end_id: int):
@@ -132,43 +139,34 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.number, self.starts, self.sizes, self.flat, self.bytes = _Numbers(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Starts anew; word 0 is the end of a text."""
+        self.words, self.bytes = {}, 0
+        self.starts, self.sizes, self.flat = np.array([0]), np.array([1]), np.array(self.end, np.uint32)
+
+    def _learn(self, new: list[bytes]) -> None:
+        ids = [x.ids for x in self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.words.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+        self.bytes += sum(map(len, new))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; how many each text has)."""
-        if self.bytes > KNOWN or len(self.number) > KNOWN // 16:
+        if self.bytes > KNOWN or len(self.words) > KNOWN // 16:
             self.forget()
-        words = b" \xff ".join(texts).split()
-        words.append(b"\xff")
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        if new := self.number.new:
-            self.bytes += sum(map(len, new))
-            known = [w.decode() for w in new if w != b"\xff"]
-            found = iter(self.library.encode_batch_fast(known, add_special_tokens=False))
-            ids = [self.end if w == b"\xff" else next(found).ids for w in new]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, *(np.array(x, np.uint32) for x in ids)])
-            self.number.new = []
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, _MARKS, r"\1 \2"))
+        found = split.flatten().dictionary_encode()
+        distinct = found.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        if new := [w for w in distinct if w not in self.words]:
+            self._learn(new)
+        number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))
+        at = np.insert(number[found.indices.to_numpy(zero_copy_only=False)], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False)), 0)
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
-        last = ends[np.flatnonzero(at == self.number[b"\xff"])]
-        return ids, np.diff(last, prepend=0)
-
-
-class _Numbers(dict):
-    """Word to number; new words wait in `new` to be encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        self.new.append(word)
-        return k
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
+        return ids, np.diff(ends[at == 0], prepend=0)
 
 
 @lru_cache(2)
@@ -292,7 +290,7 @@ def write_tokens(
 
         def parts():
             for block in text_blocks(batches, 1, SLICE):
-                yield (block.column(0), *tokens.encode(block.column(1).cast(pa.binary()).to_pylist()))
+                yield (block.column(0), *tokens.encode(block.column(1)))
 
         segment = TaskContext.get().partitionId()
         path = f"{folder}/part-{segment:06d}-{uuid.uuid4().hex}.ids"
