@@ -48,8 +48,7 @@ def stem_variants(word: str) -> list[str]:
 
 
 def parse_question(text: str, profile: Profile = INDONESIAN_LAW) -> Question:
-    """A question is short and few are asked at once, so this is plain Python;
-    what it finds becomes the rows of small frames (see frames)."""
+    """One question in plain Python; tables of them are for parse."""
     low = f" {text.lower()} "
     article = re.search(r"\bpasal\s+(\d+[a-z]?)\b", low)
     law = re.search(r"\b(?:uu|undang[\s-]?undang)\s*(?:no\.?\s*|nomor\s*)?(\d+)\s*(?:tahun\s*(\d{4}))?", low)
@@ -82,21 +81,89 @@ def parse_question(text: str, profile: Profile = INDONESIAN_LAW) -> Question:
     )
 
 
-def frames(spark: SparkSession, questions: dict[int, str], profile: Profile = INDONESIAN_LAW) -> tuple[DataFrame, DataFrame]:
-    """(questions, terms). questions: (qid, article, law, year, titles, old,
-    words). terms: (qid, kind, place, members) with kind group, phrase or
-    intent; an intent's weight stands in weight."""
-    parsed = {q: parse_question(t, profile) for q, t in questions.items()}
-    rows = [(q, p.article, p.law, p.year, list(p.titles), p.old, list(p.words)) for q, p in parsed.items()]
-    terms = []
-    for q, p in parsed.items():
-        terms += [(q, "group", i, list(g), None) for i, g in enumerate(p.groups)]
-        terms += [(q, "phrase", i, [x], None) for i, x in enumerate(p.phrases)]
-        terms += [(q, "intent", i, list(profile.intents[k][1]), float(profile.intents[k][2])) for i, k in enumerate(p.intents)]
-    return (
-        spark.createDataFrame(rows, "qid int, article string, law string, year string, titles array<string>, old boolean, words array<string>"),
-        spark.createDataFrame(terms, "qid int, kind string, place int, members array<string>, weight double"),
+def suffix_stripped(word: Column) -> Column:
+    """Array of what is left without a particle and without particle and
+    suffix, where either leaves something else; the latter of four letters or
+    more."""
+    base = F.regexp_replace(word, r"(nya|lah|kah|pun)$", "")
+    pair = F.array(F.struct(base.alias("base"), F.regexp_replace(base, r"(kan|an|i)$", "").alias("inner")))
+    forms = F.transform(pair, lambda x: F.array(F.when(x["base"] != word, x["base"]), F.when((x["inner"] != x["base"]) & (F.length(x["inner"]) >= 4), x["inner"])))
+    return F.array_compact(F.flatten(forms))
+
+
+def stems(word: Column) -> Column:
+    """Array of the word and what may be its stems, each once: without
+    suffixes, without one prefix of each family, with each letter that the
+    beginning may have swallowed; of four letters or more. Null for null."""
+
+    def rooted(form: Column) -> list[Column]:
+        """For each family, an array of at most one (form, root)."""
+        found = []
+        for family in PREFIXES:
+            size = F.coalesce(*(F.when(F.startswith(form, F.lit(p)), len(p)) for p in family))
+            fits = F.length(form) - size >= 4
+            found.append(F.when(fits, F.array(F.struct(form.alias("form"), F.substring(form, size + 1, F.length(form)).alias("root")))).otherwise(F.expr("array()")))
+        return found
+
+    forms = F.concat(F.array(word), suffix_stripped(word))
+    roots = F.flatten(F.transform(forms, lambda form: F.concat(*rooted(form))))
+    swallowed = lambda x: [F.when(F.startswith(x["form"], F.lit(p)), F.concat(F.lit(letter), x["root"])) for p, letter in SWALLOWED]
+    of_roots = F.transform(roots, lambda x: F.concat(F.array_compact(F.array(x["root"], *swallowed(x))), suffix_stripped(x["root"])))
+    every = F.concat(F.array(word), F.flatten(of_roots))
+    return F.array_distinct(F.filter(every, lambda v: F.length(v) >= 4))
+
+
+def parse(questions: DataFrame, profile: Profile = INDONESIAN_LAW, qid: str = "qid", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(questions, terms) of a table of questions, by columns alone and without
+    a shuffle. questions: (qid, article, law, year, titles, old, words), a row
+    for every row given. terms: (qid, kind, place, members, weight) with kind
+    group, phrase or intent; weight is given for intents.
+
+    A null text asks nothing. Questions with one id keep their rows, so ids
+    should be their own. Columns other than the two don't matter.
+    """
+    synonyms = F.create_map(*(x for word, others in profile.synonyms.items() for x in (F.lit(word), F.array(*map(F.lit, others))))) if profile.synonyms else F.expr("map('', array(''))")
+    stop, generic = F.array(*map(F.lit, profile.stopwords)), F.array(*map(F.lit, profile.generic_parts))
+    significant = lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w)
+    others = lambda w: F.coalesce(synonyms[w], F.expr("cast(array() as array<string>)"))
+    parts = lambda o: F.when(F.contains(o, F.lit(" ")), F.filter(F.split(o, " "), lambda p: significant(p) & ~F.array_contains(generic, p))).otherwise(F.array(o))
+    expanded = lambda w: F.flatten(F.transform(others(w), parts))
+    spoken = lambda w: F.filter(others(w), lambda o: F.contains(o, F.lit(" ")))
+    group = lambda pattern, i: F.nullif(F.regexp_extract("low_", pattern, i), F.lit(""))
+    law = r"\b(?:uu|undang[\s-]?undang)\s*(?:no\.?\s*|nomor\s*)?(\d+)\s*(?:tahun\s*(\d{4}))?"
+    fitting = lambda rows: F.array_compact(F.array(*(F.when(F.rlike("low_", F.lit(p)), value) for p, value in rows)))
+
+    low = questions.select(F.col(qid).alias("qid"), F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" ")).alias("low_"))
+    tokens = low.withColumn("tokens_", F.filter(F.split(F.regexp_replace("low_", r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+"), lambda w: w != ""))
+    pairs = F.filter(F.arrays_zip(F.slice("tokens_", 1, F.greatest(F.size("tokens_") - 1, F.lit(0))).alias("a"), F.slice("tokens_", 2, F.greatest(F.size("tokens_") - 1, F.lit(0))).alias("b")), lambda x: x["b"].isNotNull())
+    cut = tokens.select(
+        "qid", "low_", F.filter("tokens_", significant).alias("words_"),
+        F.transform(pairs, lambda x: F.struct(F.concat_ws(" ", x["a"], x["b"]).alias("pair"), (significant(x["a"]) & significant(x["b"])).alias("both"))).alias("pairs_"),
     )
+    asked = cut.select(
+        "qid", group(r"\bpasal\s+(\d+[a-z]?)\b", 1).alias("article"), group(law, 1).alias("law"), group(law, 2).alias("year"),
+        fitting([(q, F.lit(t)) for q, t in profile.aliases]).alias("titles") if profile.aliases else F.expr("cast(array() as array<string>)").alias("titles"),
+        F.rlike("low_", F.lit(r"\blama\b|wetboek|\bwvs\b|\b1946\b")).alias("old"), F.col("words_").alias("words"),
+    )
+    of_word = F.transform("words_", lambda w: F.array_distinct(F.concat(stems(F.when(F.length(w) > 0, w)), expanded(w))))
+    of_pair = F.transform("pairs_", lambda x: F.array_distinct(expanded(x["pair"])))
+    groups = F.filter(F.concat(of_word, of_pair), lambda g: F.size(g) > 0)
+    phrases = F.concat(F.flatten(F.transform("words_", spoken)), F.flatten(F.transform("pairs_", lambda x: F.concat(spoken(x["pair"]), F.when(x["both"], F.array(x["pair"])).otherwise(F.expr("cast(array() as array<string>)"))))))
+    intents = fitting([(p, F.struct(F.array(*map(F.lit, markers)).alias("members"), F.lit(float(w)).alias("weight"))) for p, markers, w in profile.intents]) if profile.intents else F.expr("cast(array() as array<struct<members:array<string>,weight:double>>)")
+    term = lambda kind, members, weight: F.struct(F.lit(kind).alias("kind"), members.alias("members"), weight.alias("weight"))
+    none = F.lit(None).cast("double")
+    kinds = (
+        F.transform(groups, lambda g: term("group", g, none)), F.transform(phrases, lambda p: term("phrase", F.array(p), none)),
+        F.transform(intents, lambda x: term("intent", x["members"], x["weight"])),
+    )
+    placed = F.concat(*(F.transform(k, lambda t, i: F.struct(t["kind"].alias("kind"), i.alias("place"), t["members"].alias("members"), t["weight"].alias("weight"))) for k in kinds))
+    return asked, cut.select("qid", F.inline(placed))
+
+
+def frames(spark: SparkSession, questions: dict[int, str], profile: Profile = INDONESIAN_LAW) -> tuple[DataFrame, DataFrame]:
+    """parse of a few stated questions."""
+    rows = spark.createDataFrame(list(questions.items()), "qid int, text string")
+    return parse(rows, profile)
 
 
 def valid_question(text: Column, top_k: Column) -> Column:

@@ -2,20 +2,77 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache, reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.profile import INDONESIAN_LAW, Profile
+from docquery.storage import stored
 
 RARE_SHARE = 0.05
 
 
-def term_matches(chunks: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
-    """(qid, kind, place, weight, key) of the chunks whose lower-case text
-    contains a member of the term. terms is the small side of the stated
-    questions: broadcast, and met by each text in the task that reads it."""
+@lru_cache(4)
+def _automaton(patterns: tuple[tuple[str, tuple[int, ...]], ...]) -> ahocorasick.Automaton:
+    """Finds all patterns in one walk over a text; a worker process keeps it."""
+    built = ahocorasick.Automaton()
+    for pattern, terms in patterns:
+        built.add_word(pattern, terms)
+    built.make_automaton()
+    return built
+
+
+def _one_pass(chunks: DataFrame, stated: list, key: str, text: str) -> DataFrame:
+    """Matches of stated terms (qid, kind, place, weight, members)."""
+    spark = chunks.sparkSession
+    members: dict[str, list[int]] = {}
+    for i, term in enumerate(stated):
+        for m in set(term.members or ()):
+            members.setdefault(m, []).append(i)
+    always = frozenset(members.pop("", ()))
+    sent = spark.sparkContext.broadcast(tuple((m, tuple(at)) for m, at in sorted(members.items())))
+    kind = dict(chunks.dtypes)[key]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = _automaton(sent.value).iter if sent.value else lambda _: ()
+        for batch in batches:
+            row, found = [], []
+            for i, low in enumerate(batch.column(1)):
+                terms = always.union(*{at for _, at in walk(low.as_py())})
+                row += [i] * len(terms)
+                found += terms
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(found, pa.int32())], [key, "term"])
+
     low = chunks.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("low_"))
-    return low.join(F.broadcast(terms), F.exists("members", lambda m: F.contains(F.col("low_"), m))).select("qid", "kind", "place", "weight", key)
+    found = low.mapInArrow(find, f"`{key}` {kind}, term int")
+    terms = [(i, t.qid, t.kind, t.place, t.weight) for i, t in enumerate(stated)]
+    known = spark.createDataFrame(terms, f"term int, qid {stated[0].qkind}, kind string, place int, weight double")
+    return found.join(F.broadcast(known), "term").select("qid", "kind", "place", "weight", key)
+
+
+def term_matches(chunks: DataFrame, terms: DataFrame, key: str, text: str, at_once: int = 20_000) -> DataFrame:
+    """(qid, kind, place, weight, key) of the chunks whose lower-case text
+    contains a member of the term, written once: what is computed from them
+    doesn't read the texts again.
+
+    One automaton holds the members of all terms of all questions, so a text is
+    walked once, however many there are. Of more than at_once terms the rest
+    follow in further passes, each with that many, by the hash of the terms; no
+    more are on the driver at once. A null text is an empty one; the empty
+    member is in every text; a term without members, or an empty table, matches
+    nothing; repeated rows match each.
+    """
+    kinds = dict(terms.dtypes)
+    stated = terms.select("qid", "kind", F.col("place").cast("int").alias("place"), F.col("weight").cast("double").alias("weight"), "members", F.lit(kinds["qid"]).alias("qkind"))
+    parts = max(1, -(-terms.count() // at_once)) if terms.limit(at_once + 1).count() > at_once else 1
+    part = F.pmod(F.xxhash64("qid", "kind", "place"), F.lit(parts))
+    passes = [_one_pass(chunks, rows, key, text) for i in range(parts) if (rows := (stated.where(part == i) if parts > 1 else stated).collect())]
+    none = terms.sparkSession.createDataFrame([], f"qid {kinds['qid']}, kind string, place int, weight double, `{key}` {dict(chunks.dtypes)[key]}")
+    return stored(reduce(DataFrame.unionByName, passes, none) if len(passes) != 1 else passes[0])
 
 
 def document_frequencies(matches: DataFrame, terms: DataFrame) -> DataFrame:
@@ -35,12 +92,12 @@ def phrase_weight(df: Column, n: Column) -> Column:
     return F.least(F.lit(0.7), 1.4 * idf(df, n))
 
 
-def term_weights(matches: DataFrame, terms: DataFrame, n: int) -> DataFrame:
-    """(qid, kind, place, df, weight). All intents of a question weigh as its
-    first."""
+def term_weights(matches: DataFrame, terms: DataFrame, n: int | Column) -> DataFrame:
+    """(qid, kind, place, df, weight) where n chunks were searched. All intents
+    of a question weigh as its first."""
     rows = document_frequencies(matches, terms).join(terms.select("qid", "kind", "place", F.col("weight").alias("given")), ["qid", "kind", "place"])
     first = F.first("given").over(Window.partitionBy("qid", "kind").orderBy("place"))
-    size = F.lit(float(n))
+    size = F.lit(n).cast("double")
     weight = F.when(F.col("kind") == "group", idf(F.col("df"), size)).when(F.col("kind") == "phrase", phrase_weight(F.col("df"), size)).otherwise(first)
     return rows.select("qid", "kind", "place", "df", weight.alias("weight"))
 

@@ -50,7 +50,7 @@ def _matched(spark, sf_dir):
 
 
 def _weights(docs, terms, matches):
-    return ranking.term_weights(matches, terms, docs.count())
+    return ranking.term_weights(matches, terms, docs.agg(F.count(F.lit(1))).scalar())
 
 
 @query(_SQL + " SELECT qid, kind, place, df FROM f")
@@ -135,8 +135,10 @@ def _hybrid(spark, sf_dir):
     docs, asked, terms, matches = _matched(spark, sf_dir)
     lexical = ranking.lexical_scores(matches, _weights(docs, terms, matches), "doc_id").where("qid = 1").select("doc_id", "lexical")
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("vector")).join(asked.where("qid = 1"))
-    rows = _chunks(spark, sf_dir).join(e, F.col("doc_id") == F.col("vec_id")).join(F.broadcast(q)).join(lexical, "doc_id", "left")
+    vector = e.where("vec_id = 0").select("embedding").scalar()
+    named = asked.where("qid = 1").select(F.struct("*")).scalar()
+    rows = _chunks(spark, sf_dir).join(e, F.col("doc_id") == F.col("vec_id")).join(lexical, "doc_id", "left")
+    rows = rows.withColumns({"vector": vector, "asked": named}).select("*", "asked.*")
     scored = rows.withColumn("dense", v.dot(F.col("embedding"), F.col("vector")))
     return scored.withColumn("score", ranking.total_score(F.col("dense"), _boost(), F.col("lexical"), F.col("section").isNotNull()))
 
@@ -152,6 +154,62 @@ def uncertain_answer(spark, sf_dir):
     return _hybrid(spark, sf_dir).select("doc_id", answers.uncertain(F.col("score"), F.col("lexical")).alias("uncertain"))
 
 
+#: The parse of every user's turn as rows: the rules of GENERIC in SQL.
+_ASKED = """
+WITH t AS (SELECT conv_id, turn, ' ' || lower(coalesce(text, '')) || ' ' AS low FROM conversations WHERE role = 'user'),
+k AS (SELECT conv_id, turn, low, list_filter(regexp_split_to_array(regexp_replace(low, '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '') AS tokens FROM t),
+w AS (SELECT conv_id, turn, low, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS i FROM k),
+g AS (SELECT *, length(word) > 3 AND word NOT IN ({stop}) AS good FROM w)"""
+_STEMS = """,
+d AS (SELECT DISTINCT word FROM g WHERE good),
+b AS (SELECT word, regexp_replace(word, '(nya|lah|kah|pun)$', '') AS base FROM d),
+f AS (SELECT word, word AS form FROM d UNION SELECT word, base FROM b
+  UNION SELECT word, regexp_replace(base, '(kan|an|i)$', '') FROM b WHERE length(regexp_replace(base, '(kan|an|i)$', '')) >= 4),
+p(family, o, prefix) AS (VALUES (1,1,'meng'),(1,2,'meny'),(1,3,'men'),(1,4,'mem'),(1,5,'me'),(2,1,'peng'),(2,2,'peny'),(2,3,'pen'),(2,4,'pem'),(2,5,'pe'),
+  (3,1,'ber'),(3,2,'be'),(3,3,'bel'),(4,1,'ter'),(4,2,'te'),(4,3,'tel'),(5,1,'di'),(5,2,'ke'),(5,3,'per'),(5,4,'pel')),
+l(prefix, letter) AS (VALUES ('meny','s'),('mem','p'),('pem','p'),('meng','k'),('peng','k'),('men','t'),('pen','t')),
+c AS (SELECT word, form, family, arg_min(prefix, o) AS prefix FROM f JOIN p ON starts_with(form, prefix) GROUP BY ALL),
+r AS (SELECT word, form, substr(form, length(prefix) + 1) AS root FROM c WHERE length(form) - length(prefix) >= 4),
+rb AS (SELECT word, regexp_replace(root, '(nya|lah|kah|pun)$', '') AS base FROM r),
+v AS (SELECT word, word AS member FROM d UNION SELECT word, root FROM r UNION SELECT word, letter || root FROM r JOIN l ON starts_with(form, prefix)
+  UNION SELECT word, base FROM rb UNION SELECT word, regexp_replace(base, '(kan|an|i)$', '') FROM rb),
+s(word, member) AS (VALUES {synonyms}),
+m AS (SELECT word, list_sort(list(DISTINCT member)) AS members FROM (SELECT * FROM v WHERE length(member) >= 4 UNION SELECT s.word, s.member FROM s JOIN d USING (word)) GROUP BY word)"""
+_ASKED = _ASKED.format(stop=", ".join(f"'{w}'" for w in GENERIC.stopwords))
+_STEMS = _STEMS.format(synonyms=", ".join(f"('{w}', '{o}')" for w, others in GENERIC.synonyms.items() for o in others))
+
+
+def _user_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.select(F.struct("conv_id", "turn").alias("qid"), "text")
+
+
+@query(_ASKED + r"""
+SELECT t.conv_id, t.turn, nullif(regexp_extract(t.low, '\bpasal\s+(\d+[a-z]?)\b', 1), '') AS article,
+  nullif(regexp_extract(t.low, '\b(?:uu|undang[\s-]?undang)\s*(?:no\.?\s*|nomor\s*)?(\d+)\s*(?:tahun\s*(\d{4}))?', 1), '') AS law,
+  (CASE WHEN contains(t.low, 'source zero') THEN ['src0\b'] ELSE [] END) || (CASE WHEN contains(t.low, 'source one') THEN ['src1\b'] ELSE [] END) AS titles,
+  coalesce((SELECT list(g.word ORDER BY g.i) FROM g WHERE g.conv_id = t.conv_id AND g.turn = t.turn AND good), []) AS words
+FROM t""")
+def question_references(spark, sf_dir):
+    """What every user's turn names."""
+    asked, _ = questions.parse(_user_turns(spark, sf_dir), GENERIC)
+    return asked.select("qid.conv_id", "qid.turn", "article", "law", "titles", "words")
+
+
+@query(_ASKED + _STEMS + """,
+a AS (SELECT conv_id, turn, i, word, good, lead(word) OVER o AS next, lead(good) OVER o AS next_good FROM g WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i)),
+e AS (
+  SELECT conv_id, turn, 'group' AS kind, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS INTEGER) AS place, members FROM g JOIN m USING (word) WHERE good
+  UNION ALL SELECT conv_id, turn, 'phrase', CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS INTEGER), [word || ' ' || next] FROM a WHERE good AND next_good
+  UNION ALL SELECT conv_id, turn, 'intent', 0, ['people', 'person'] FROM t WHERE regexp_matches(low, 'who|person')
+  UNION ALL SELECT conv_id, turn, 'intent', CASE WHEN regexp_matches(low, 'who|person') THEN 1 ELSE 0 END, ['rent', 'thing'] FROM t WHERE regexp_matches(low, 'rent|thing'))
+SELECT * FROM e""")
+def question_terms(spark, sf_dir):
+    """Groups of alternatives, phrases and intents of every user's turn."""
+    _, terms = questions.parse(_user_turns(spark, sf_dir), GENERIC)
+    return terms.select("qid.conv_id", "qid.turn", "kind", "place", F.array_sort("members").alias("members"))
+
+
 @query()
 def best_sentence(spark, sf_dir):
     """The best quote of each document for a stated question, by hashed words."""
