@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docquery.operators import ivf
+from docquery.operators import embedder, ivf
 from docquery.operators import vectors as v
 from docquery.plans.registry import query, table
 from docquery.storage import stored
@@ -106,3 +106,23 @@ def ivf_topk_exact(spark, sf_dir):
     index = ivf.build(e, n_probe=1)
     found = ivf.search(index, _asked(e), e, 5, n_probe=len(index.centroids))
     return found.select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query()
+def semantic_topk(spark, sf_dir):
+    """The stated queries are the documents whose ids 20 divides: their nearest
+    by a model fitted to all documents, through the index."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = stored(embedder.embed(docs, embedder.fit(docs)))
+    q = found.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), "vector")
+    near = ivf.search(ivf.build(found, "doc_id", "vector"), q, found, 3, vector="vector")
+    return near.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""
+SELECT doc_id, text, CASE WHEN length(trim(source)) > 0 THEN source || E'\n\n' || text ELSE text END AS embed_text, coalesce(length(trim(source)) > 0, false) AS enhanced FROM documents""")
+def enhanced_texts(spark, sf_dir):
+    """What is embedded beside what is stored; the source stands for a model's description."""
+    docs = table(spark, sf_dir, "documents")
+    enhanced = F.coalesce(F.length(F.trim("source")) > 0, F.lit(False))
+    return docs.select("doc_id", "text", embedder.embed_text(F.col("source"), F.col("text")).alias("embed_text"), enhanced.alias("enhanced"))
