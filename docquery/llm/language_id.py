@@ -50,18 +50,20 @@ UNDETERMINED = "und"
 
 class Tables(NamedTuple):
     letter: np.ndarray  # by code point: letters and their marks
+    mark: np.ndarray  # by code point: marks alone
     lower: np.ndarray  # by code point: the lower case, where it is one character
 
 
 @lru_cache(1)
 def _tables() -> Tables:
     n = 0x110000
-    letter = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(n)), bool, n)
+    kinds = [unicodedata.category(chr(i))[0] for i in range(n)]
+    letter, mark = (np.fromiter((k in own for k in kinds), bool, n) for own in ("LM", "M"))
     lower = np.arange(n, dtype=np.uint32)
     for i in np.flatnonzero(letter):
         if len(low := chr(i).lower()) == 1:
             lower[i] = ord(low)
-    return Tables(letter, lower)
+    return Tables(letter, mark, lower)
 
 
 class Block(NamedTuple):
@@ -80,7 +82,10 @@ def block_of(texts: list[str]) -> Block:
     joined = "\n".join(["", *texts, ""])
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.cumsum([1, *(len(x) + 1 for x in texts)])
-    letter = t.letter[raw]
+    letter, mark = t.letter[raw], t.mark[raw]
+    if mark.any():  # marks belong to a word only behind a letter
+        places = np.arange(len(raw))
+        letter &= np.maximum.accumulate(np.where(letter & ~mark, places, 0)) > np.maximum.accumulate(np.where(letter, 0, places))
     low = np.where(letter, t.lower[raw], 32).astype(np.uint64)
     at = np.flatnonzero(letter)
     mixed = (low[at - 1] * np.uint64(0x9E3779B97F4A7C15) ^ low[at] * np.uint64(0xC2B2AE3D27D4EB4F)) + low[at + 1] * np.uint64(0x165667B19E3779F9)

@@ -118,3 +118,11 @@ def test_registered_query_on_held_out_documents(spark, tmp_path):
     assert len(judged) > 200 and sum(got[r.doc_id].lang_pred == r.lang for r in judged) > 0.98 * len(judged)
     docs.withColumn("lang", F.when(li.held_out(F.col("doc_id")), "xx").otherwise(F.col("lang"))).write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r for r in op9_language_id(spark, str(tmp_path)).collect()} == got
+
+
+def test_marks_belong_to_letters_only(spark):
+    model = li.train(spark.createDataFrame([(" ".join(EN), "en"), (" ".join(DE), "de")], "text string, lang string"))
+    texts = ["\u0301\u0301", "\u0301 12 \u0302\n\u0301", "the\u0301 and", "\u0301the \u0302and", "the and"]
+    got = {r.doc_id: r for r in li.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()}
+    assert [got[i].lang_pred for i in range(5)] == ["und", "und", "en", "en", "en"] and got[0].score == got[1].score == 0
+    assert got[3].score == got[4].score
