@@ -12,6 +12,7 @@ from docquery.operators import summaries as sm
 from docquery.plans.registry import query, table
 from docquery.sources import files
 from docquery.storage import shared_dir
+from docquery.streaming import versions as changes
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha256 FROM documents")
@@ -207,3 +208,22 @@ SELECT 'v1' AS version, 64 AS dim, 'hash' AS model, 'uu-' || nomor_uu || '-2001'
 def export_manifest(spark, sf_dir):
     m = store.export_manifest(_payloads(spark, sf_dir), "v1", 64, "hash")
     return m.select("version", "dim", "model", "key", "file", "chunks")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, length(text) // 2) ELSE text END AS text FROM documents WHERE doc_id % 3 <> 1 OR doc_id % 7 <> 0),
+s AS (SELECT doc_id, string_split(text, E'\n') AS lines FROM d)
+SELECT doc_id, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS position, unnest(lines) AS text FROM s""")
+def versioned_documents(spark, sf_dir):
+    """Lines of all documents after three batches of changes: a third of the
+    documents comes again at half its length, some go, a third comes late."""
+    path = f"{shared_dir(spark)}/docquery-{spark.sparkContext.applicationId}/versions-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    third = F.col("doc_id") % 3
+    lines = lambda df: df.select("doc", F.posexplode(F.split("text", "\n")).alias("position", "text"))
+    half = docs.where(third == 0).select("doc_id", F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")).alias("text"), F.lit(False).alias("gone"))
+    gone = docs.where((third == 1) & (F.col("doc_id") % 7 == 0)).withColumn("gone", F.lit(True))
+    changes.apply_changes(docs.where(third != 2), path, 1, lines)
+    changes.apply_changes(half.unionByName(gone), path, 3, lines, gone="gone")
+    changes.apply_changes(docs.where(third == 2), path, 5, lines)
+    return changes.current(spark, path).withColumnRenamed("doc", "doc_id")
