@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docquery.functions.text import flatten_space, mask_line
-from docquery.operators import answers, chunking, cleaning, ocr
+from docquery.operators import affixes, answers, chunking, cleaning, ocr
 from docquery.operators import summaries as sm
 from docquery.plans.registry import query, table
 from docquery.profile import GENERIC
@@ -183,6 +183,60 @@ def edit1_unique(spark, sf_dir):
     return ocr.unique_edit_one(words, d)
 
 
+#: Affixes of invented prose; stems of even length take prefixes too.
+AFFIXES = (
+    affixes.Affix("S", "suffix", "", "s", "[^s]$"), affixes.Affix("S", "suffix", "", "ing", "[^e]$"), affixes.Affix("S", "suffix", "e", "ing", "e$"), affixes.Affix("S", "suffix", "", "ed", "[^e]$"),
+    affixes.Affix("S", "suffix", "", "ly"), affixes.Affix("S", "suffix", "", "tion"), affixes.Affix("S", "suffix", "", "ble", "[^b]$"), affixes.Affix("S", "suffix", "", "ment"),
+    affixes.Affix("P", "prefix", "", "in"), affixes.Affix("P", "prefix", "", "re", "^[^r]"), affixes.Affix("P", "prefix", "th", "the", "^th"), affixes.Affix("P", "prefix", "", "ver"),
+)
+_STEMMED = r"""
+, r(flag, kind, strip, add, condition) AS (VALUES {rules}),
+stems AS (SELECT word, CASE WHEN length(word) % 2 = 0 THEN ['S', 'P'] ELSE ['S'] END AS flags FROM d WHERE length(word) >= 4),
+w0 AS (SELECT token, lower(token) AS stem, CAST([] AS VARCHAR[]) AS needs FROM v),
+w1 AS (SELECT token, stem, needs FROM w0 UNION ALL
+  SELECT token, left(stem, length(stem) - length(add)) || strip, [flag] FROM w0 JOIN r ON kind = 'suffix' AND length(stem) - length(add) >= 2 AND ends_with(stem, add)
+  WHERE regexp_matches(left(stem, length(stem) - length(add)) || strip, condition)),
+w2 AS (SELECT token, stem, needs FROM w1 UNION ALL
+  SELECT token, strip || substr(stem, length(add) + 1), list_append(needs, flag) FROM w1 JOIN r ON kind = 'prefix' AND length(stem) - length(add) >= 2 AND starts_with(stem, add)
+  WHERE regexp_matches(strip || substr(stem, length(add) + 1), condition)),
+made AS (SELECT token, arg_min(stem, (-length(stem), stem)) AS stem FROM w2 JOIN stems ON stem = word WHERE list_has_all(flags, needs) GROUP BY token)"""
+_STEMMED = _STEMMED.format(rules=", ".join("('" + "', '".join(rule) + "')" for rule in AFFIXES))
+
+
+def _stems(d):
+    return d.where(F.length("word") >= 4).select("word", F.when(F.length("word") % 2 == 0, F.array(F.lit("S"), F.lit("P"))).otherwise(F.array(F.lit("S"))).alias("flags"))
+
+
+@query(_TOKENS + _STEMMED + " SELECT token, stem FROM made")
+def inflected_tokens(spark, sf_dir):
+    """The stem of every token that a dictionary of stems and affix rules make."""
+    v, d = _words(spark, sf_dir)
+    return affixes.inflected(v, _stems(d), AFFIXES)
+
+
+@query(_TOKENS + _STEMMED + """
+SELECT token FROM v WHERE NOT regexp_matches(lower(token), '^[ivxlcdm]+$') AND lower(token) NOT IN (SELECT word FROM stems) AND token NOT IN (SELECT token FROM made)""")
+def oov_inflected(spark, sf_dir):
+    v, d = _words(spark, sf_dir)
+    return affixes.unknown_inflected(v.select("token"), _stems(d), AFFIXES)
+
+
+@query(_TOKENS + _EDIT1 + r"""
+, keys(c, y, x) AS (SELECT substr(line, i, 1), y, i - 1 + y / 2 FROM (SELECT line, y, unnest(range(1, length(line) + 1)) AS i FROM (VALUES ('qwertyuiop', 0), ('asdfghjkl', 1), ('zxcvbnm', 2)) AS k(line, y))),
+near AS (SELECT a.c AS a, b.c AS b FROM keys a JOIN keys b ON a.c <> b.c AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+pairs AS (SELECT token, w, word, length(w) - length(word) AS longer,
+  list_max(list_transform(range(0, least(length(w), length(word)) + 1), lambda i: CASE WHEN substr(w, 1, i) = substr(word, 1, i) THEN i ELSE 0 END)) + 1 AS place FROM e JOIN (SELECT token, lower(token) AS w FROM c) USING (token)),
+cost AS (SELECT token, word, CASE WHEN longer = 0 AND EXISTS (SELECT 1 FROM near WHERE a = substr(w, place, 1) AND b = substr(word, place, 1)) THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END AS cost FROM pairs),
+least_of AS (SELECT token, min(cost) AS cost FROM cost GROUP BY token)
+SELECT token, min(word) AS fix, min(cost) AS cost FROM cost JOIN least_of USING (token, cost) GROUP BY token HAVING count(*) = 1""")
+def likeliest_edits(spark, sf_dir):
+    """The word at edit distance one that a slip on the keyboard explains best;
+    letters only, so the glyphs of the table of costs don't occur."""
+    v, d = _words(spark, sf_dir)
+    words = ocr.correctable(ocr.unknown_tokens(v.select("token"), d)).where(F.length("token") >= 5)
+    return affixes.likeliest_edit_one(words, d)
+
+
 @query(_TOKENS + " SELECT token, reverse(lower(token)) AS fix FROM v WHERE length(token) >= 4 AND reverse(lower(token)) IN (SELECT word FROM d)")
 def mirrored_words(spark, sf_dir):
     v, d = _words(spark, sf_dir)
