@@ -18,10 +18,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docquery.llm.common import slices, written
+from docquery.llm.common import slices, text_blocks, written
 
 #: First code point of each range and its script; letters elsewhere are "other".
 SCRIPTS = (
@@ -43,6 +44,8 @@ BITS = 16
 #: A language has a script if so much of its training letters are in it.
 SCRIPT_SHARE = 0.001
 BLOCK_CHARS = 300_000
+#: Bytes of text that are put in order together.
+SORTED_BYTES = 4_000_000
 #: Letters times languages whose log probabilities a task holds at once.
 CELLS_AT_ONCE = 4_000_000
 UNDETERMINED = "und"
@@ -245,6 +248,12 @@ def label_words(model: Model, b: Block, penalty: float) -> np.ndarray:
     return out
 
 
+def _sorted(column: int):
+    """Rows in the order of their texts' lengths: the texts of a block, which
+    are labelled word by word side by side, then end at about the same time."""
+    return lambda batch: batch.take(pc.sort_indices(pc.fill_null(pc.binary_length(batch.column(column)), 0)))
+
+
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start, size = 0, 0
     for i, t in enumerate(texts):
@@ -314,7 +323,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
+        for batch in map(_sorted(1), text_blocks(batches, 1, SORTED_BYTES)):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, z in _blocks(texts):
                 found = judge(texts[a:z])
@@ -339,7 +348,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in slices(batches, 500):
+        for batch in map(_sorted(at), text_blocks(batches, at, SORTED_BYTES)):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             for a, z in _blocks(texts):
                 letters, _ = tally(m, texts[a:z], penalty, False)
