@@ -248,10 +248,10 @@ def label_words(model: Model, b: Block, penalty: float) -> np.ndarray:
     return out
 
 
-def _sorted(column: int):
-    """Rows in the order of their texts' lengths: the texts of a block, which
+def _by_length(texts: pa.Array) -> pa.Array:
+    """Places of texts in the order of their lengths: the texts of a block, which
     are labelled word by word side by side, then end at about the same time."""
-    return lambda batch: batch.take(pc.sort_indices(pc.fill_null(pc.binary_length(batch.column(column)), 0)))
+    return pc.sort_indices(pc.fill_null(pc.binary_length(texts), 0))
 
 
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -323,7 +323,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in map(_sorted(1), text_blocks(batches, 1, SORTED_BYTES)):
+        for batch in text_blocks(batches, 1, SORTED_BYTES):
+            batch = batch.take(_by_length(batch.column(1)))
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, z in _blocks(texts):
                 found = judge(texts[a:z])
@@ -348,12 +349,14 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in map(_sorted(at), text_blocks(batches, at, SORTED_BYTES)):
-            texts = [t or "" for t in batch.column(at).to_pylist()]
+        for batch in text_blocks(batches, at, SORTED_BYTES):
+            order = _by_length(batch.column(at))
+            texts = [t or "" for t in batch.column(at).take(order).to_pylist()]
+            keep = np.zeros(len(texts), bool)
             for a, z in _blocks(texts):
                 letters, _ = tally(m, texts[a:z], penalty, False)
-                keep = (letters.max(axis=1) >= least * letters.sum(axis=1)) & (letters.sum(axis=1) > 0)
-                yield batch.slice(a, z - a).filter(pa.array(keep))
+                keep[order.to_numpy()[a:z]] = (letters.max(axis=1) >= least * letters.sum(axis=1)) & (letters.sum(axis=1) > 0)
+            yield batch.filter(pa.array(keep))  # in their own order: long texts don't come to the next stage all at once
 
     return docs.mapInArrow(run, docs.schema)
 
