@@ -72,12 +72,24 @@ def chunk_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", pr
     return split_long(rows, "body", profile).select(doc, "position", "label", "section", "paragraph", "body")
 
 
-def parse_model_chunks(answers: DataFrame, doc: str, answer: str) -> DataFrame:
+def parse_model_chunks(answers: DataFrame, doc: str, answer: str, metadata: Column | None = None) -> DataFrame:
     """(doc, position, source, structure, label, body) of a model's answer that
-    has blocks between boundaries, each with an optional head between dashes."""
+    has blocks between boundaries, each with an optional head between dashes.
+    With metadata (a map of the document's own fields) also a column metadata:
+    these fields, over which the head's `sumber`, `struktur` and `pasal` go
+    where it names them; it can change no other."""
     blocks = F.filter(F.transform(F.split(answer, BOUNDARY), strip), lambda b: b != "")
-    head = r"(?s)^---\s*\n(.*?)\n---\s*\n?(.*)$"
+    head = r"(?s)^-{3,}\s*\n(.*?)\n-{3,}\s*(?:\n(.*)|)$"
     field = lambda name: strip(F.regexp_extract("head", rf"(?m)^{name}:[ \t]*(.*)$", 1))
-    rows = answers.select(doc, F.posexplode(blocks).alias("position", "block"))
+    own = [metadata.alias("own_")] if metadata is not None else []
+    rows = answers.select(doc, *own, F.posexplode(blocks).alias("position", "block"))
     rows = rows.withColumn("head", F.regexp_extract("block", head, 1)).withColumn("body", F.when(F.col("block").rlike(head), strip(F.regexp_extract("block", head, 2))).otherwise(F.col("block")))
-    return rows.select(doc, "position", field("Sumber").alias("source"), field("Struktur").alias("structure"), F.regexp_extract("head", r"Struktur:.*?Pasal (\S+)", 1).alias("label"), "body")
+    rows = rows.withColumns({"source": field("Sumber"), "structure": field("Struktur"), "label": F.regexp_extract("head", r"Struktur:.*?Pasal\s+(\S+)", 1)})
+    if metadata is not None:
+        said = {"sumber": F.col("head").rlike(r"(?m)^Sumber:"), "struktur": F.col("head").rlike(r"(?m)^Struktur:"), "pasal": F.col("label") != ""}
+        values = {"sumber": "source", "struktur": "structure", "pasal": "label"}
+        pairs = F.filter(F.array(*(F.when(is_said, F.struct(F.lit(k).alias("k"), F.col(values[k]).alias("v"))) for k, is_said in said.items())), lambda p: p.isNotNull())
+        from_head = F.map_from_entries(pairs)
+        kept = F.map_filter(F.coalesce("own_", F.map_from_entries(F.filter(pairs, lambda p: F.lit(False)))), lambda k, v: ~F.map_contains_key(from_head, k))
+        rows = rows.withColumn("metadata", F.map_concat(kept, from_head))
+    return rows.select(doc, "position", "source", "structure", "label", "body", *(["metadata"] if metadata is not None else []))

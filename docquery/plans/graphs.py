@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from docquery.operators import graph, store
 from docquery.plans.registry import query, table
-from docquery.storage import stored
+from docquery.sources import files
+from docquery.sources.optional import side_input
+from docquery.storage import shared_dir, stored
 
 #: A document cites a benchmark item when it contains its text.
 _EDGES = """
@@ -113,3 +117,18 @@ def summary_sources(spark, sf_dir):
     """Texts that summaries are made from; every fifth turn is an explanation."""
     c = table(spark, sf_dir, "conversations").withColumn("paragraph", (F.col("turn") % 3).cast("int")).withColumn("section", F.when(F.col("turn") % 5 == 4, "Penjelasan"))
     return graph.summary_texts(c, "conv_id", "role", "turn", "text", most=1500)
+
+
+@query(_EDGES + """
+SELECT src, dst, kind, 'fresh' AS state FROM e UNION ALL SELECT src, dst, kind, 'kept' FROM e""")
+def optional_graph(spark, sf_dir):
+    """The edges as a side input: written as a graph and read, then read once
+    more when what lies there is no graph."""
+    path = f"{shared_dir(spark)}/docquery-{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex}"
+    edges = stored(_edges(spark, sf_dir))
+    files.write_graph(edges, graph.nodes(edges), f"{path}/good")
+    for part in ("nodes", "edges"):
+        edges.select(F.concat(F.lit("{broken "), "src").alias("value")).write.text(f"{path}/bad/{part}")
+    read = lambda which: side_input(spark, lambda: files.read_graph(spark, f"{path}/{which}")[0], f"{path}/kept")
+    got = [read("good"), read("bad")]
+    return got[0].rows.withColumn("state", F.lit(got[0].state)).unionByName(got[1].rows.withColumn("state", F.lit(got[1].state)))

@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docquery.operators import store, vectors
+from docquery.operators import calls, store, vectors
 from docquery.operators import stats as st
 from docquery.operators import summaries as sm
 from docquery.plans.registry import query, table
-from docquery.sources import files
+from docquery.sources import artifacts, files
 from docquery.storage import shared_dir
 from docquery.streaming import versions as changes
 
@@ -178,7 +178,7 @@ WITH c AS (SELECT replace(source, 'src', '') AS nomor_uu, '2001' AS tahun_uu, so
 s AS (SELECT nomor_uu, max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))) / 127 AS vec_scale FROM c GROUP BY nomor_uu)"""
 
 
-def _payloads(spark, sf_dir):
+def _chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
     i = F.col("doc_id")
     chunks = d.select(
@@ -186,7 +186,11 @@ def _payloads(spark, sf_dir):
         F.concat(F.lit("id-"), i.cast("string")).alias("id"), (i % 40).cast("string").alias("pasal"), F.when(i % 2 == 0, i % 6).cast("int").alias("ayat"),
         F.when(i % 11 == 0, "PENJELASAN").alias("bab"), "text", "embedding",
     )
-    return store.export_payloads(store.checked_export(chunks, "embedding", 64))
+    return store.checked_export(chunks, "embedding", 64)
+
+
+def _payloads(spark, sf_dir):
+    return store.export_payloads(_chunks(spark, sf_dir))
 
 
 @query(_CHUNKS + """
@@ -227,3 +231,58 @@ def versioned_documents(spark, sf_dir):
     changes.apply_changes(half.unionByName(gone), path, 3, lines, gone="gone")
     changes.apply_changes(docs.where(third == 2), path, 5, lines)
     return changes.current(spark, path).withColumnRenamed("doc", "doc_id")
+
+
+_FILES = """
+WITH c AS (SELECT replace(source, 'src', '') AS nomor_uu, source AS tentang, doc_id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
+s AS (SELECT nomor_uu, max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))) / 127 AS vec_scale FROM c GROUP BY nomor_uu),
+p AS (SELECT nomor_uu, tentang, vec_scale, doc_id,
+    list_aggregate(list_transform(embedding, lambda x: printf('%02X', (CAST(greatest(-127, least(127, round_even(x::DOUBLE / vec_scale, 0))) AS INTEGER) + 256) % 256)), 'string_agg', '') AS codes,
+    '{"id": "id-' || doc_id || '", "pasal": "' || (doc_id % 40) || '", "ayat": ' || CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 6 AS VARCHAR) ELSE 'null' END
+      || ', "bab": ' || CASE WHEN doc_id % 11 = 0 THEN '"PENJELASAN"' ELSE 'null' END || ', "text": ' || CAST(to_json(text) AS VARCHAR) || '}' AS chunk
+  FROM c JOIN s USING (nomor_uu)),
+f AS (SELECT nomor_uu, CAST(count(*) AS INTEGER) AS chunks, '{"nomor_uu": "' || nomor_uu || '", "tahun_uu": "2001", "tentang": "' || min(tentang) || '", "vec_scale": ' || CAST(min(vec_scale) AS VARCHAR)
+    || ', "vec_b64": "' || to_base64(unhex(string_agg(codes, '' ORDER BY doc_id))) || '", "chunks": [' || string_agg(chunk, ', ' ORDER BY doc_id) || ']}' AS payload FROM p GROUP BY nomor_uu)
+SELECT 'v1' AS version, 64 AS dim, 'hash' AS model, 'uu-' || nomor_uu || '-2001' AS key, 'uu-' || nomor_uu || '-2001.json' AS file, chunks, CAST(strlen(payload) AS BIGINT) AS bytes, sha256(payload) AS sha256, sha256(payload) AS sha256_of_file FROM f"""
+
+
+@query(_FILES)
+def export_files(spark, sf_dir):
+    """Chunks and vectors in one file per source: what the manifest says of
+    each, and the digest of the file as it lies there."""
+    path = f"{shared_dir(spark)}/docquery-{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
+    artifacts.write_export_files(_chunks(spark, sf_dir), path, "v1", 64, "hash")
+    there = files.binary_files(spark, path, "uu-*.json").select(F.substring_index("path", "/", -1).alias("file"), F.sha2("content", 256).alias("sha256_of_file"))
+    return files.read_manifest(spark, f"{path}/manifest.json").join(there, "file")
+
+
+@query(_CHUNKS + """
+SELECT 'uu-' || nomor_uu || '-2001' AS key, CAST(row_number() OVER (PARTITION BY nomor_uu ORDER BY doc_id) - 1 AS INTEGER) AS position, 'id-' || doc_id AS id, text FROM c""")
+def export_files_read(spark, sf_dir):
+    """The chunks of all files, as they are read again."""
+    path = f"{shared_dir(spark)}/docquery-{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
+    artifacts.write_export_files(_chunks(spark, sf_dir), path, "v1", 64, "hash")
+    return files.read_exports(spark, path).select(F.concat_ws("-", F.lit("uu"), "nomor_uu", "tahun_uu").alias("key"), "position", "id", "text")
+
+
+@query("""
+SELECT doc_id, CAST(CASE WHEN length(text) > 2000 THEN 2 ELSE 1 END AS INTEGER) AS batch, CAST(1 AS INTEGER) AS tries,
+  length(text) || ' huruf, sidik ' || md5(text) AS answer FROM documents""")
+def resumed_answers(spark, sf_dir):
+    """Every text put to a model that refuses long ones, then what failed to
+    another; the answers' label goes."""
+    import hashlib
+
+    def long(text: str) -> str:
+        return f" Penjelasan: {len(text)} huruf, sidik {hashlib.md5(text.encode()).hexdigest()}\n"
+
+    def short(text: str) -> str:
+        if len(text) > 2000:
+            raise ValueError("too long")
+        return long(text)
+
+    path = f"{shared_dir(spark)}/docquery-{spark.sparkContext.applicationId}/answers-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for model in (short, long):
+        calls.add_answers(docs, path, "doc_id", "text", model, sm.tidy_model_summary, tries=1)
+    return calls.last_answers(spark, path, "doc_id").select("doc_id", "batch", "tries", "answer")

@@ -27,6 +27,11 @@ MANIFEST = T.StructType([
     ]))),
 ])
 
+GRAPH = T.StructType([
+    T.StructField("version", T.StringType()), T.StructField("nodes", T.ArrayType(T.StringType())),
+    T.StructField("edges", T.ArrayType(T.StructType([T.StructField("from", T.StringType()), T.StructField("to", T.StringType()), T.StructField("kind", T.StringType())]))),
+])
+
 
 def binary_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     """(path, content) of the files of a folder."""
@@ -100,8 +105,17 @@ def write_graph(edges: DataFrame, nodes: DataFrame, path: str) -> None:
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes) of write_graph."""
-    return spark.read.schema("src string, dst string, kind string").json(f"{path}/edges"), spark.read.schema("node string").json(f"{path}/nodes")
+    """(edges, nodes) of write_graph. A malformed line stops the job."""
+    reader = spark.read.option("mode", "FAILFAST")
+    return reader.schema("src string, dst string, kind string").json(f"{path}/edges"), reader.schema("node string").json(f"{path}/nodes")
+
+
+def read_graph_object(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of a file that is one object with a list of nodes and a
+    list of edges from one to another. A malformed file stops the job."""
+    both = spark.read.schema(GRAPH).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    edge = F.explode("edges").alias("e")
+    return both.select(edge).select(F.col("e.from").alias("src"), F.col("e.to").alias("dst"), "e.kind"), both.select(F.explode("nodes").alias("node"))
 
 
 def add_summaries(planned: DataFrame, path: str, make: Callable[[DataFrame], DataFrame], key: str = "node") -> None:
