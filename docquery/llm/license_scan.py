@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import random
 from functools import lru_cache
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.llm.license_texts import HELD_OUT, TEMPLATES, UNLIKE
+from docquery.llm.license_texts import BODIES, HELD_OUT, NAMES, TEMPLATES, UNLIKE
 
 UNKNOWN = "unknown"
 N_GRAM = 3
@@ -102,9 +103,13 @@ class Samples(NamedTuple):
         return np.add.reduceat(w[self.feature], self.begins, axis=0)
 
 
-def _lines() -> list[tuple[int, str]]:
+def _templates(families: tuple[str, ...]) -> dict[str, str]:
+    return {f: t for f, t in TEMPLATES.items() if f in families}
+
+
+def _lines(families: tuple[str, ...]) -> list[tuple[int, str]]:
     """(class, text) of the texts that the model is fitted to."""
-    groups = [*TEMPLATES.values(), UNLIKE]
+    groups = [*_templates(families).values(), UNLIKE]
     return [(k, x) for k, g in enumerate(groups) for x in g.strip().split("\n")]
 
 
@@ -137,13 +142,14 @@ def _training(rng: random.Random, lines: list[tuple[int, str]], unknown: int, va
 
 
 @lru_cache(2)
-def fit(variations: int = 24, rounds: int = 150, rate: float = 8.0, sparsity: float = 5e-5, precision: float = 0.98, seed: int = 7) -> Model:
-    """Fits to variations of the fixed texts, some 4,000 short paragraphs. Texts
+def fit(variations: int = 24, rounds: int = 150, rate: float = 8.0, sparsity: float = 5e-5, precision: float = 0.98, seed: int = 7, without: tuple[str, ...] = ()) -> Model:
+    """Fits to variations of the fixed texts, some 7,000 short paragraphs, but
+    for the families of `without`, which are unknown to the model then. Texts
     of their own, none of which is fitted to, calibrate: a temperature (least
     log loss), then the lowest probability above which `precision` of what is
     called a license is one, of the right family."""
-    families = (*TEMPLATES, UNKNOWN)
-    rows, at, cues = _training(random.Random(seed), _lines(), len(TEMPLATES), variations)
+    families = (*(f for f in TEMPLATES if f not in without), UNKNOWN)
+    rows, at, cues = _training(random.Random(seed), _lines(families), len(families) - 1, variations)
     w = np.round(_descend(rows, at, len(families), rounds, rate, sparsity).astype(float), 4)
     kept = [i for i in range(len(at)) if w[i].any()]
     grams = list(at)
@@ -166,7 +172,7 @@ def held_out_scores(m: Model) -> tuple[np.ndarray, np.ndarray]:
     """(scores, classes) of the held-out texts, before the temperature."""
     lines = [x.split("|", 1) for x in HELD_OUT.strip().split("\n")]
     at = {g: i for i, g in enumerate(m.grams)}
-    s = Samples.of([(grams_of(words_of(x)), m.families.index(f)) for f, x in lines], at)
+    s = Samples.of([(grams_of(words_of(x)), m.families.index(f if f in m.families else UNKNOWN)) for f, x in lines], at)
     return s.scores(np.vstack([m.weights, m.bias])), s.y
 
 
@@ -180,23 +186,34 @@ def _tables(spark: SparkSession, m: Model) -> tuple[DataFrame, DataFrame]:
     of three words per template line. Both are as large as the fixed texts
     (some thousand and 120 rows)."""
     quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    triples = {g for t in TEMPLATES.values() for x in t.strip().split("\n") for g in _triples(words_of(x))}
+    texts = _templates(m.families)
+    triples = {g for t in texts.values() for x in t.strip().split("\n") for g in _triples(words_of(x))}
     own = list(zip(m.grams, m.weights)) + [(g, np.zeros(len(m.families))) for g in sorted(triples - set(m.grams))]
     rows = ", ".join(f"({quoted(g)}, '{' '.join(f'{x:g}' for x in r) if r.any() else ''}')" for g, r in own)
     weights = spark.sql(f"SELECT gram, IF(w = '', array_repeat(0D, {len(m.families)}), transform(split(w, ' '), x -> double(x))) AS w FROM VALUES {rows} AS t(gram, w)")
     joined = lambda x: quoted("|".join(sorted(x)))
-    sure = own_triples()
+    sure = own_triples(m.families)
     lines = ", ".join(
-        f"({quoted(f)}, {quoted(x)}, {joined(_triples(words_of(x)))}, {joined(_triples(words_of(x)) & sure[f])})" for f, t in TEMPLATES.items() for x in t.strip().split("\n")
+        f"({quoted(f)}, {quoted(x)}, {joined(_triples(words_of(x)))}, {joined(_triples(words_of(x)) & sure[f])})" for f, t in texts.items() for x in t.strip().split("\n")
     )
     cut = "split({0}, '[|]') AS {0}"
     return weights, spark.sql(f"SELECT family, template, {cut.format('triples')}, {cut.format('sure')} FROM VALUES {lines} AS t(family, template, triples, sure)")
 
 
-def own_triples() -> dict[str, set[str]]:
-    """Word triples that the templates of one family only have."""
-    all_ = {f: {g for x in t.strip().split("\n") for g in _triples(words_of(x))} for f, t in TEMPLATES.items()}
-    return {f: own.difference(*(x for k, x in all_.items() if k != f)) for f, own in all_.items()}
+def body(name: str) -> str:
+    """A whole license text."""
+    return (Path(__file__).parent / "license_bodies" / f"{name}.txt").read_text("utf-8", "replace")
+
+
+@lru_cache(4)
+def own_triples(families: tuple[str, ...] = (*TEMPLATES, UNKNOWN)) -> dict[str, set[str]]:
+    """Word triples of a family's templates that neither the templates nor the
+    whole texts of other families have; in whole texts those that name the
+    family may stand."""
+    all_ = {f: {g for x in t.strip().split("\n") for g in _triples(words_of(x))} for f, t in _templates(families).items()}
+    bodies = [(f, _triples(words_of(body(name)))) for name, f in BODIES.items() if f in families]
+    named = {f: {g for g in own if any(f" {name} " in f" {g} " for name in NAMES.get(f, ()))} for f, own in all_.items()}
+    return {f: own.difference(*(x for k, x in all_.items() if k != f), *(x - named[f] for k, x in bodies if k != f)) for f, own in all_.items()}
 
 
 def _triples(words: list[str]) -> set[str]:
@@ -214,11 +231,13 @@ def scan_licenses(
     """(id, licenses, passages) for every row of docs; licenses: array of (paragraph,
     family, probability, template, likeness, confirmed), by paragraph (the
     number of the \\n-separated line, from 0), for the paragraphs whose most
-    probable family reaches the model's threshold. likeness is the share of a
-    template's word triples that the paragraph has, or, if it has least_triples
-    or more and one that only templates of this family have, the share of its
-    own that the template has, whichever is greater, for the family's template that is most alike; at `likeness` or more it
-    confirms the prediction. (So a line of a wrapped paragraph is confirmed.)
+    probable family reaches the model's threshold. likeness is 0 unless the paragraph has one of
+    own_triples (what the whole texts of other families say too proves nothing);
+    then the share of a template's word triples that the paragraph has or, if it
+    has least_triples or more, the share of its own that the template has,
+    whichever is greater, for the family's template that is most alike; at
+    `likeness` or more it confirms the prediction. (So a line of a wrapped
+    paragraph is confirmed.)
     passages: the same of the confirmed passages (runs of several lines that
     have a word of the license texts each, joined; paragraph is the number of
     the first) whose family no line of the text confirms.
@@ -266,7 +285,7 @@ def scan_licenses(
         .withColumn("family", F.when(F.col("called"), F.col("family")))
     )
     both = F.size(F.array_intersect(F.col("s.triples"), F.col("t.triples")))
-    alike = F.greatest(both / F.size(F.col("t.triples")), F.when((F.col("n_own") >= least_triples) & F.arrays_overlap("s.triples", "t.sure"), both / F.col("n_own")))
+    alike = F.when(F.arrays_overlap("s.triples", "t.sure"), F.greatest(both / F.size(F.col("t.triples")), F.when(F.col("n_own") >= least_triples, both / F.col("n_own"))))
     compared = (
         scored.select("id", "row", "joined", "paragraph", "family", "probability", "triples", "n_own").alias("s")
         .join(F.broadcast(templates.alias("t")), F.col("s.family") == F.col("t.family"), "left")

@@ -121,6 +121,9 @@ Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
 In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.
 The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.
 CC0 1.0 Universal
+Licensed under the Unlicense.
+SPDX-License-Identifier: Unlicense
+For more information, please refer to <http://unlicense.org/>
 """,
     "isc": """
 Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
@@ -145,14 +148,136 @@ European Union Public Licence v. 1.2
 SPDX-License-Identifier: EUPL-1.2
 """,
     "proprietary": """
-All rights reserved.
 All rights reserved. Unauthorized copying, distribution or use of this material is prohibited.
 No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher.
 This software is proprietary and confidential; unauthorized copying of this file is strictly prohibited.
+""",
+    "artistic": """
+Licensed under the Artistic License 2.0.
+You may use this file under the terms of the Artistic License.
+This is free software; you can redistribute it and/or modify it under the same terms as Perl itself.
+This program is distributed under the terms of the Artistic License.
+SPDX-License-Identifier: Artistic-2.0
+The Artistic License
+The intent of this document is to state the conditions under which a Package may be copied, such that the Copyright Holder maintains some semblance of artistic control over the development of the package, while giving the users of the package the right to use and distribute the Package in a more-or-less customary fashion, plus the right to make reasonable modifications.
+You may otherwise modify your copy of this Package in any way, provided that you insert a prominent notice in each changed file stating how and when you changed that file.
+""",
+    "gfdl": """
+This document is licensed under the GNU Free Documentation License, version 1.3.
+Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation; with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts.
+A copy of the license is included in the section entitled "GNU Free Documentation License".
+Text is available under the GFDL.
+SPDX-License-Identifier: GFDL-1.3-or-later
+GNU Free Documentation License Version 1.3, 3 November 2008
+The purpose of this License is to make a manual, textbook, or other functional and useful document "free" in the sense of freedom: to assure everyone the effective freedom to copy and redistribute it, with or without modifying it, either commercially or noncommercially.
+""",
+    "epl": """
+Licensed under the Eclipse Public License, version 2.0.
+This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html
+This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/
+Released under the EPL 1.0.
+SPDX-License-Identifier: EPL-2.0
+Eclipse Public License - v 2.0
+THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.
+""",
+    "boost": """
+Distributed under the Boost Software License, Version 1.0.
+Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)
+SPDX-License-Identifier: BSL-1.0
+Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so
+unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+""",
+    "postgresql": """
+Released under the PostgreSQL License.
+Licensed under the PostgreSQL License, a liberal open source license.
+SPDX-License-Identifier: PostgreSQL
+The PostgreSQL License
+Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies.
+""",
+    "ms-pl": """
+Licensed under the Microsoft Public License.
+This source code is subject to the Microsoft Public License (Ms-PL).
+Released under the MS-PL.
+SPDX-License-Identifier: MS-PL
+Microsoft Public License (MS-PL)
+This license governs use of the accompanying software. If you use the software, you accept this license. If you do not accept the license, do not use the software.
+""",
+    "cddl": """
+Licensed under the Common Development and Distribution License, version 1.0.
+The contents of this file are subject to the terms of the Common Development and Distribution License (the "License"). You may not use this file except in compliance with the License.
+Released under the CDDL 1.1.
+SPDX-License-Identifier: CDDL-1.0
+COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0
+When distributing Covered Code, include this CDDL HEADER in each file and include the License file.
+""",
+    "wtfpl": """
+Licensed under the WTFPL, version 2.
+SPDX-License-Identifier: WTFPL
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE Version 2, December 2004
+You just DO WHAT THE FUCK YOU WANT TO.
+""",
+    "ofl": """
+This Font Software is licensed under the SIL Open Font License, Version 1.1.
+Licensed under the SIL Open Font License.
+SPDX-License-Identifier: OFL-1.1
+SIL OPEN FONT LICENSE Version 1.1 - 26 February 2007
+The OFL allows the licensed fonts to be used, studied, modified and redistributed freely as long as they are not sold by themselves.
+""",
+    "python": """
+Licensed under the Python Software Foundation License.
+Released under the PSF license, version 2.
+SPDX-License-Identifier: Python-2.0
+PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2
+This LICENSE AGREEMENT is between the Python Software Foundation ("PSF"), and the Individual or Organization ("Licensee") accessing and otherwise using this software ("Python") in source or binary form and its associated documentation.
+""",
+    "odbl": """
+Licensed under the Open Database License.
+This database is made available under the Open Database License: http://opendatacommons.org/licenses/odbl/1.0/.
+Any rights in individual contents of the database are licensed under the Database Contents License.
+SPDX-License-Identifier: ODbL-1.0
+Open Data Commons Open Database License (ODbL) v1.0
+""",
+    "ncsa": """
+Licensed under the University of Illinois/NCSA Open Source License.
+This file is distributed under the University of Illinois Open Source License. See LICENSE.TXT for details.
+SPDX-License-Identifier: NCSA
+University of Illinois/NCSA Open Source License
+""",
+    "cecill": """
+Licensed under the CeCILL license, version 2.1.
+This software is governed by the CeCILL license under French law and abiding by the rules of distribution of free software.
+You can use, modify and/or redistribute the software under the terms of the CeCILL license as circulated by CEA, CNRS and INRIA.
+SPDX-License-Identifier: CECILL-2.1
+""",
+    "osl": """
+Licensed under the Open Software License version 3.0.
+Licensed under the Academic Free License version 3.0.
+This source file is subject to the Open Software License (OSL 3.0) that is bundled with this package.
+SPDX-License-Identifier: OSL-3.0
+SPDX-License-Identifier: AFL-3.0
 """,
 }
 
+#: Words, or runs of them, that name a family: three words with one of them speak for it
+#: wherever it stands, since it is said of that family (as a text of the GPL
+#: speaks of the Affero GPL).
+NAMES = {
+    "apache-2.0": ("apache",), "mit": ("mit",), "gpl": ("gpl", "gnu general public", "the gnu general"), "lgpl": ("lgpl", "lesser"), "agpl": ("agpl", "affero"), "bsd": ("bsd",), "mpl": ("mpl", "mozilla"),
+    "cc-by": ("cc", "commons"), "cc-by-sa": ("sharealike",), "cc-by-nc": ("noncommercial",), "public-domain": ("cc0", "unlicense", "unencumbered"), "isc": ("isc",), "zlib": ("zlib",), "eupl": ("eupl",),
+    "artistic": ("artistic", "perl"), "gfdl": ("gfdl",), "epl": ("epl", "eclipse"), "boost": ("boost",), "postgresql": ("postgresql",), "ms-pl": ("ms", "microsoft"),
+    "cddl": ("cddl",), "wtfpl": ("wtfpl",), "ofl": ("ofl", "sil"), "python": ("psf", "python"), "odbl": ("odbl",), "ncsa": ("ncsa",), "cecill": ("cecill",), "osl": ("osl", "afl"),
+}
+
+#: Whole texts (in license_bodies) by family. What the body of another family
+#: says too proves nothing.
+BODIES = {
+    "Apache-2.0": "apache-2.0", "Artistic": "artistic", "BSD": "bsd", "CC0-1.0": "public-domain", "GFDL-1.3": "gfdl", "GPL-1": "gpl", "GPL-2": "gpl", "GPL-3": "gpl",
+    "LGPL-2.1": "lgpl", "LGPL-3": "lgpl", "MPL-1.1": "mpl", "MPL-2.0": "mpl",
+}
+
 UNLIKE = """
+All rights reserved.
 The driver showed a valid license and the police let the car pass.
 A fishing license costs twenty dollars in most states.
 He was released from prison under strict conditions.
@@ -233,7 +358,7 @@ zlib|Permission is granted to anyone to use this software for any purpose and to
 zlib|The origin of this software must not be misrepresented.
 eupl|Available under the European Union Public Licence v. 1.2.
 eupl|Licensed under the EUPL 1.2 or later.
-proprietary|Copyright 2020 Some Company. All rights reserved.
+unknown|Copyright 2020 Some Company. All rights reserved.
 proprietary|This document is confidential; copying without written permission of the publisher is prohibited.
 unknown|He holds a pilot license and a degree from MIT.
 unknown|The new version is released next week in all shops.
@@ -253,4 +378,34 @@ unknown|A driver must keep the notice in the car.
 unknown|The foundation supports free schools in the union.
 unknown|You may obtain the book in any library.
 unknown|Damages of this kind are not covered by the insurance.
+artistic|Released under the Artistic License, see the file Artistic.
+artistic|This module may be distributed under the same terms as Perl itself.
+gfdl|This manual is published under the GNU Free Documentation License 1.2.
+gfdl|Permission to copy this article under the GFDL, version 1.2 or later.
+epl|The plug-in is available under the Eclipse Public License 1.0.
+epl|Distributed under EPL 2.0
+boost|This header is under the Boost Software License 1.0.
+boost|Boost Software License, see LICENSE_1_0.txt
+postgresql|Available under the PostgreSQL License, see COPYRIGHT.
+ms-pl|This sample is licensed under the Microsoft Public License (MS-PL).
+cddl|The container is under the Common Development and Distribution License 1.0.
+cddl|License: CDDL 1.0
+wtfpl|This script is under the WTFPL.
+ofl|The fonts are available under the SIL Open Font License 1.1.
+ofl|Font licensed under the OFL.
+python|Distributed under the Python Software Foundation License version 2.
+odbl|The map data are available under the Open Database License.
+ncsa|LLVM was released under the University of Illinois/NCSA Open Source License.
+cecill|Ce logiciel: governed by the CeCILL license under French law.
+osl|The module is subject to the Open Software License (OSL 3.0).
+public-domain|The author released it under the Unlicense.
+unknown|The eclipse was seen in all of the public parks.
+unknown|Boost the engine only when the fonts of the display are lit.
+unknown|The database is open to the members of the university of the state.
+unknown|The python was released into the woods by its owner.
+unknown|An artistic portrait of the general hangs in the library.
+unknown|Microsoft opened a public school in the city.
+unknown|He studied French law and the rules of free trade.
+unknown|Licensed under the Harbour Licence, version 1.0.
+unknown|The common development of the two towns was agreed upon.
 """
