@@ -234,35 +234,41 @@ def versioned_documents(spark, sf_dir):
 
 
 _FILES = """
-WITH c AS (SELECT replace(source, 'src', '') AS nomor_uu, source AS tentang, doc_id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
-s AS (SELECT nomor_uu, max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))) / 127 AS vec_scale FROM c GROUP BY nomor_uu),
-p AS (SELECT nomor_uu, tentang, vec_scale, doc_id,
+WITH c AS (SELECT replace(source, 'src', '') AS nomor_uu, CAST(1900 + doc_id % 97 AS VARCHAR) AS tahun_uu, source AS tentang, doc_id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
+s AS (SELECT nomor_uu, tahun_uu, max(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))) / 127 AS vec_scale FROM c GROUP BY nomor_uu, tahun_uu),
+p AS (SELECT nomor_uu, tahun_uu, tentang, vec_scale, doc_id,
     list_aggregate(list_transform(embedding, lambda x: printf('%02X', (CAST(greatest(-127, least(127, round_even(x::DOUBLE / vec_scale, 0))) AS INTEGER) + 256) % 256)), 'string_agg', '') AS codes,
     '{"id": "id-' || doc_id || '", "pasal": "' || (doc_id % 40) || '", "ayat": ' || CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 6 AS VARCHAR) ELSE 'null' END
       || ', "bab": ' || CASE WHEN doc_id % 11 = 0 THEN '"PENJELASAN"' ELSE 'null' END || ', "text": ' || CAST(to_json(text) AS VARCHAR) || '}' AS chunk
-  FROM c JOIN s USING (nomor_uu)),
-f AS (SELECT nomor_uu, CAST(count(*) AS INTEGER) AS chunks, '{"nomor_uu": "' || nomor_uu || '", "tahun_uu": "2001", "tentang": "' || min(tentang) || '", "vec_scale": ' || CAST(min(vec_scale) AS VARCHAR)
-    || ', "vec_b64": "' || to_base64(unhex(string_agg(codes, '' ORDER BY doc_id))) || '", "chunks": [' || string_agg(chunk, ', ' ORDER BY doc_id) || ']}' AS payload FROM p GROUP BY nomor_uu)
-SELECT 'v1' AS version, 64 AS dim, 'hash' AS model, 'uu-' || nomor_uu || '-2001' AS key, 'uu-' || nomor_uu || '-2001.json' AS file, chunks, CAST(strlen(payload) AS BIGINT) AS bytes, sha256(payload) AS sha256, sha256(payload) AS sha256_of_file FROM f"""
+  FROM c JOIN s USING (nomor_uu, tahun_uu)),
+f AS (SELECT nomor_uu, tahun_uu, CAST(count(*) AS INTEGER) AS chunks, '{"nomor_uu": "' || nomor_uu || '", "tahun_uu": "' || tahun_uu || '", "tentang": "' || min(tentang) || '", "vec_scale": ' || CAST(min(vec_scale) AS VARCHAR)
+    || ', "vec_b64": "' || to_base64(unhex(string_agg(codes, '' ORDER BY doc_id))) || '", "chunks": [' || string_agg(chunk, ', ' ORDER BY doc_id) || ']}' AS payload FROM p GROUP BY nomor_uu, tahun_uu)
+SELECT 'v1' AS version, 64 AS dim, 'hash' AS model, 'uu-' || nomor_uu || '-' || tahun_uu AS key, 'uu-' || nomor_uu || '-' || tahun_uu || '.json' AS file, chunks, CAST(strlen(payload) AS BIGINT) AS bytes, sha256(payload) AS sha256, sha256(payload) AS sha256_of_file FROM f"""
+
+
+def _written_files(spark, sf_dir):
+    """A file for every source and remainder of the ids."""
+    path = f"{shared_dir(spark)}/docquery-{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
+    chunks = _chunks(spark, sf_dir).withColumn("tahun_uu", (1900 + F.col("position") % 97).cast("string"))
+    artifacts.write_export_files(chunks, path, "v1", 64, "hash")
+    return path
 
 
 @query(_FILES)
 def export_files(spark, sf_dir):
-    """Chunks and vectors in one file per source: what the manifest says of
-    each, and the digest of the file as it lies there."""
-    path = f"{shared_dir(spark)}/docquery-{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
-    artifacts.write_export_files(_chunks(spark, sf_dir), path, "v1", 64, "hash")
+    """Chunks and vectors in files: what the manifest says of each, and the
+    digest of the file as it lies there."""
+    path = _written_files(spark, sf_dir)
     there = files.binary_files(spark, path, "uu-*.json").select(F.substring_index("path", "/", -1).alias("file"), F.sha2("content", 256).alias("sha256_of_file"))
     return files.read_manifest(spark, f"{path}/manifest.json").join(there, "file")
 
 
-@query(_CHUNKS + """
-SELECT 'uu-' || nomor_uu || '-2001' AS key, CAST(row_number() OVER (PARTITION BY nomor_uu ORDER BY doc_id) - 1 AS INTEGER) AS position, 'id-' || doc_id AS id, text FROM c""")
+@query("""
+SELECT 'uu-' || replace(source, 'src', '') || '-' || (1900 + doc_id % 97) AS key, CAST(row_number() OVER (PARTITION BY source, doc_id % 97 ORDER BY doc_id) - 1 AS INTEGER) AS position,
+  'id-' || doc_id AS id, text FROM documents JOIN embeddings ON doc_id = vec_id""")
 def export_files_read(spark, sf_dir):
     """The chunks of all files, as they are read again."""
-    path = f"{shared_dir(spark)}/docquery-{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
-    artifacts.write_export_files(_chunks(spark, sf_dir), path, "v1", 64, "hash")
-    return files.read_exports(spark, path).select(F.concat_ws("-", F.lit("uu"), "nomor_uu", "tahun_uu").alias("key"), "position", "id", "text")
+    return files.read_exports(spark, _written_files(spark, sf_dir)).select(F.concat_ws("-", F.lit("uu"), "nomor_uu", "tahun_uu").alias("key"), "position", "id", "text")
 
 
 @query("""
