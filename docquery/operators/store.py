@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from docquery.operators.vectors import quantize, to_base64
 
+#: Positions of a document that go into one part of its export.
+SPAN = 1024
+
 
 def chunk_id(number: Column, year: Column, label: Column, position: Column) -> Column:
     return F.format_string("%s-%s-pasal-%s-%d", number, year, label, position.cast("long"))
@@ -28,32 +31,44 @@ def export_documents(chunks: DataFrame, doc: list[str], order: str, fields: list
     return chunks.groupBy(*doc).agg(rows.alias("chunks"), F.count("*").alias("n_chunks"))
 
 
-def export_payloads(chunks: DataFrame, vector: str = "embedding") -> DataFrame:
-    """(key, nomor_uu, tahun_uu, n_chunks, payload): the exported file of each
-    document as JSON text. chunks: nomor_uu, tahun_uu, tentang, position, id,
-    pasal, ayat, bab, text and the vector. A document has one scale (its largest
-    absolute component / 127, 1 where that is 0) and one base64 text of all its
-    8-bit vectors in the order of its chunks. One document is one row."""
+def export_payloads(chunks: DataFrame, vector: str = "embedding", span: int = SPAN) -> DataFrame:
+    """(key, nomor_uu, tahun_uu, start, n_chunks, payload): each document as JSON
+    texts, its parts. chunks: nomor_uu, tahun_uu, tentang, position, id, pasal,
+    ayat, bab, text and the vector. A document has one scale (its largest
+    absolute component / 127, 1 where that is 0). A part has the chunks of span
+    successive positions, the number of those before it (start) and one base64
+    text of their 8-bit vectors, so that no row holds more than that of a
+    document. A null number or year is an empty text."""
+    doc, part = ["nomor_uu", "tahun_uu"], ["nomor_uu", "tahun_uu", "part"]
+    rows = chunks.withColumns({c: F.coalesce(c, F.lit("")) for c in doc}).withColumn("part", F.coalesce(F.floor(F.col("position") / span), F.lit(-1)))
+    top = F.max(F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double")))))
+    heads = rows.groupBy(*part).agg(F.count("*").alias("n"), top.alias("top"), F.min_by("tentang", "position").alias("tentang"))
+    all_, before = Window.partitionBy(*doc), Window.partitionBy(*doc).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(
+        *part, F.col("n").cast("int").alias("n_chunks"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.max("top").over(all_).alias("top"), F.min_by("tentang", "part").over(all_).alias("tentang")
+    )
     fields = [F.col(c) for c in ("id", "pasal", "ayat", "bab", "text")]
-    rows = F.sort_array(F.collect_list(F.struct("position", F.struct(*fields).alias("chunk"), F.col(vector).alias("v"))))
-    docs = chunks.groupBy("nomor_uu", "tahun_uu").agg(F.min_by("tentang", "position").alias("tentang"), rows.alias("rows"))
+    bodies = rows.groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("position", F.struct(*fields).alias("chunk"), F.col(vector).alias("v")))).alias("rows"))
+    docs = bodies.join(heads, part).withColumn("vec_scale", F.when(F.col("top") > 0, F.col("top") / 127).otherwise(1.0))
     flat = F.flatten(F.transform("rows", lambda r: r["v"]))
-    docs = docs.withColumn("flat", flat).withColumn("top", F.array_max(F.transform("flat", lambda x: F.abs(x.cast("double")))))
-    docs = docs.withColumn("vec_scale", F.when(F.col("top") > 0, F.col("top") / 127).otherwise(1.0))
     out = docs.select(
-        "nomor_uu", "tahun_uu", "tentang", "vec_scale", to_base64(quantize(F.col("flat"), F.col("vec_scale"))).alias("vec_b64"), F.transform("rows", lambda r: r["chunk"]).alias("chunks")
+        *doc, "tentang", "start", "n_chunks", "vec_scale", to_base64(quantize(flat, F.col("vec_scale"))).alias("vec_b64"), F.transform("rows", lambda r: r["chunk"]).alias("chunks")
     )
-    payload = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
-    return out.select(F.concat_ws("-", F.lit("uu"), "nomor_uu", "tahun_uu").alias("key"), "nomor_uu", "tahun_uu", F.size("chunks").alias("n_chunks"), payload.alias("payload"))
+    payload = F.to_json(F.struct(*doc, "tentang", "vec_scale", "start", "vec_b64", "chunks"), {"ignoreNullFields": "false"})
+    return out.select(F.concat_ws("-", F.lit("uu"), *doc).alias("key"), *doc, "start", "n_chunks", payload.alias("payload"))
 
 
 def export_manifest(payloads: DataFrame, version: str, dim: int, model: str) -> DataFrame:
-    """(version, dim, model, key, file, chunks, bytes, sha256), a row per file."""
-    rows = payloads.withColumn("file", F.concat("key", F.lit(".json")))
+    """(version, dim, model, key, file, chunks, bytes, sha256), a row per
+    document. The digest of a document of several parts is that of their
+    digests, one after the other."""
+    digests = F.transform(F.sort_array(F.collect_list(F.struct("start", F.sha2(F.col("payload").cast("binary"), 256).alias("sha256")))), lambda p: p["sha256"])
+    bytes_ = F.sum(F.octet_length("payload").cast("long"))
+    rows = payloads.groupBy("key").agg(F.sum("n_chunks").cast("int").alias("chunks"), bytes_.alias("bytes"), digests.alias("digests"))
+    sha256 = F.when(F.size("digests") == 1, F.element_at("digests", 1)).otherwise(F.sha2(F.array_join("digests", "").cast("binary"), 256))
     return rows.select(
-        F.lit(version).alias("version"), F.lit(dim).alias("dim"), F.lit(model).alias("model"), "key", "file", F.col("n_chunks").alias("chunks"),
-        F.octet_length("payload").cast("long").alias("bytes"), F.sha2(F.col("payload").cast("binary"), 256).alias("sha256"),
-    )
+        F.lit(version).alias("version"), F.lit(dim).alias("dim"), F.lit(model).alias("model"), "key", F.concat("key", F.lit(".json")).alias("file"), "chunks", "bytes", sha256.alias("sha256")
+    )
 
 
 def checked_export(chunks: DataFrame, vector: str, dim: int) -> DataFrame:

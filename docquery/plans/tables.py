@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docquery.operators import calls, store, vectors
+from docquery.operators import calls, store
 from docquery.operators import stats as st
 from docquery.operators import summaries as sm
 from docquery.plans.registry import query, table
@@ -202,8 +202,8 @@ def export_round_trip(spark, sf_dir):
     """Chunks and vectors, written as exported files and read again."""
     path = f"{shared_dir(spark)}/docquery-{spark.sparkContext.applicationId}/exports-{uuid.uuid4().hex}"
     files.write_exports(_payloads(spark, sf_dir), path)
-    back = files.read_exports(spark, path, lines=True)
-    first = F.element_at(vectors.from_base64(F.col("vec_b64")), F.col("position") * 64 + 1)
+    back = files.read_exports(spark, path, lines=True, dim=64)
+    first = F.element_at("codes", 1)
     return back.select("nomor_uu", "tahun_uu", "tentang", "position", "id", "pasal", "ayat", "bab", "text", F.round("vec_scale", 9).alias("vec_scale"), first.alias("first"))
 
 

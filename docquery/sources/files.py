@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docquery.operators.vectors import signed_bytes
 from docquery.profile import INDONESIAN_LAW, Profile
 
 CHUNK = T.StructType([
@@ -18,6 +19,7 @@ CHUNK = T.StructType([
 EXPORT = T.StructType([
     T.StructField("nomor_uu", T.StringType()), T.StructField("tahun_uu", T.StringType()), T.StructField("tentang", T.StringType()),
     T.StructField("vec_scale", T.DoubleType()), T.StructField("vec_b64", T.StringType()), T.StructField("chunks", T.ArrayType(CHUNK)),
+    T.StructField("start", T.LongType()),
 ])
 MANIFEST = T.StructType([
     T.StructField("version", T.StringType()), T.StructField("dim", T.IntegerType()), T.StructField("model", T.StringType()),
@@ -65,20 +67,28 @@ def file_metadata(path: Column, profile: Profile = INDONESIAN_LAW) -> list[Colum
     return [part(1).alias("number"), part(2).alias("year"), F.when(fits, F.trim(F.translate(part(3), "-_", "  "))).otherwise(stem).alias("title")]
 
 
-def read_exports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_exports(spark: SparkSession, path: str, lines: bool = False, dim: int | None = None) -> DataFrame:
     """One row per chunk of the exported files, with the document's fields: a
-    file per document, or with lines a line per document (see write_exports)."""
+    file per document, or with lines a line per part of one (see write_exports).
+    vec_b64 is of all chunks of the file or line; with dim, codes takes its
+    place: the dim 8-bit components of the chunk itself."""
     reader = spark.read.schema(EXPORT)
     docs = reader.json(path) if lines else reader.option("multiLine", True).option("pathGlobFilter", "uu-*.json").json(path)
-    rows = docs.select("nomor_uu", "tahun_uu", "tentang", "vec_scale", "vec_b64", F.posexplode("chunks").alias("position", "c"))
-    return rows.select("nomor_uu", "tahun_uu", "tentang", "vec_scale", "vec_b64", "position", "c.*")
+    fields = ["nomor_uu", "tahun_uu", "tentang", "vec_scale", *([] if dim else ["vec_b64"])]
+    position = (F.coalesce("start", F.lit(0)) + F.col("i")).cast("int").alias("position")
+    if dim is None:
+        return docs.select(*fields, "start", F.posexplode("chunks").alias("i", "c")).select(*fields, position, "c.*")
+    own = lambda raw: F.transform("chunks", lambda c, i: F.struct(c.alias("c"), F.substring(raw, i * dim + 1, F.lit(dim)).alias("raw")))
+    rows = docs.select(*fields, "start", F.posexplode(F.transform(F.array(F.unbase64("vec_b64")), own)[0]).alias("i", "e"))
+    return rows.select(*fields, position, "e.c.*", signed_bytes(F.col("e.raw")).alias("codes"))
 
 
 def write_exports(documents: DataFrame, path: str) -> None:
-    """One JSON line per document, by year and number; what was there before
-    goes. documents: payloads (see store.export_payloads), or any rows."""
+    """One JSON line per part of a document, by year, number and start; what was
+    there before goes. documents: payloads (see store.export_payloads), or any rows."""
     if "payload" in documents.columns:
-        documents.orderBy("tahun_uu", "nomor_uu").select("payload").write.mode("overwrite").text(path)
+        order = [c for c in ("tahun_uu", "nomor_uu", "start") if c in documents.columns]
+        documents.orderBy(*order).select("payload").write.mode("overwrite").text(path)
     else:
         documents.write.mode("overwrite").json(path)
 

@@ -244,3 +244,20 @@ def test_quotes_and_search_take_all_documents(spark, tmp_path, monkeypatch):
         units.setdefault(r.doc_id, []).append((-round(float(embed(r.unit) @ asked), 9), r.unit_no))
     assert set(quotes) == set(units) and len(quotes) > 80
     assert all(quotes[i][0] == min(u)[1] and abs(quotes[i][1] + min(u)[0]) < 1e-5 for i, u in units.items())
+
+
+def test_exports_in_parts(spark, tmp_path):
+    """A document of several parts reads back as one, with every chunk's own vector."""
+    rows = [("1", "2000", "t", p, f"id-{p}", "1", None, None, f"text {p}", [float(p % 5), -100.0 if p == 9 else 1.0]) for p in range(20)] + [(None, "2000", "u", 3, "x", None, 2, "b", None, [0.0, 0.0])]
+    chunks = spark.createDataFrame(rows, "nomor_uu string, tahun_uu string, tentang string, position long, id string, pasal string, ayat int, bab string, text string, embedding array<double>")
+    parts = store.export_payloads(chunks, span=8)
+    assert sorted((r.key, r.start, r.n_chunks) for r in parts.collect()) == [("uu--2000", 0, 1), ("uu-1-2000", 0, 8), ("uu-1-2000", 8, 8), ("uu-1-2000", 16, 4)]
+    files.write_exports(parts, str(tmp_path / "lines"))
+    back = files.read_exports(spark, str(tmp_path / "lines"), lines=True, dim=2).collect()
+    scale = 100 / 127
+    want = [("1", p, f"text {p}", [round(p % 5 / scale), -127 if p == 9 else round(1 / scale)]) for p in range(20)]
+    assert sorted((r.nomor_uu, r.position, r.text, r.codes) for r in back) == sorted([("", 0, None, [0, 0]), *want], key=lambda x: x[:2])
+    m = {r.key: r for r in store.export_manifest(parts, "v1", 2, "hash").collect()}
+    lines = (tmp_path / "lines").glob("part-*")
+    assert m["uu-1-2000"].chunks == 20 and m["uu--2000"].chunks == 1
+    assert m["uu-1-2000"].bytes + m["uu--2000"].bytes == sum(len(x) for f in lines for x in f.read_bytes().splitlines())
