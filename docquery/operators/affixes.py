@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.operators.ocr import edit_one, unknown_tokens
+from docquery.operators.ocr import beside, edit_one, unknown_tokens
 from docquery.profile import GLYPHS
 
 
@@ -80,7 +80,7 @@ def inflected(tokens: DataFrame, stems: DataFrame, rules: tuple[Affix, ...] = IN
     and flags match nothing; empty tables give an empty result.
     """
     tried = stripped(tokens.where("token IS NOT NULL").select("token").distinct(), rules)
-    known = tried.join(stems.select(F.col("word").alias("stem"), "flags"), "stem").where(F.size(F.array_except("needs", "flags")) == 0)
+    known = tried.join(beside(stems.select(F.col("word").alias("stem"), "flags")), "stem").where(F.size(F.array_except("needs", "flags")) == 0)
     return known.groupBy("token").agg(F.min(F.struct((-F.length("stem")).alias("size"), "stem")).alias("best")).select("token", "best.stem")
 
 
@@ -88,7 +88,7 @@ def unknown_inflected(tokens: DataFrame, stems: DataFrame, rules: tuple[Affix, .
     """unknown_tokens for a dictionary of stems: tokens that are neither known as
     they are nor made from a stem."""
     plain = unknown_tokens(tokens, stems.select("word"), terms)
-    return plain.join(inflected(plain, stems, rules).select("token"), "token", "left_anti")
+    return plain.join(beside(inflected(plain, stems, rules).select("token")), "token", "left_anti")
 
 
 def typing_costs(near: float = 0.4, alike: float = 0.3) -> list[tuple[str, str, float]]:

@@ -28,6 +28,13 @@ def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.explode(tokens_of(F.col(text))).alias("token")).groupBy("token").agg(F.count("*").alias("times"))
 
 
+def beside(rows: DataFrame) -> DataFrame:
+    """One side of a join that grows with the vocabulary: both are sorted by
+    their words, and none is sent whole through the driver, however small its
+    files look. Several such joins run at once."""
+    return rows.hint("merge")
+
+
 def unknown_tokens(tokens: DataFrame, dictionary: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     """tokens that no form (lower case, as written, capitalised) nor a special
     term knows and that aren't Roman numerals."""
@@ -36,8 +43,8 @@ def unknown_tokens(tokens: DataFrame, dictionary: DataFrame, terms: DataFrame |
         known = known.unionByName(terms.select(F.col("word").alias("form")))
     known = known.distinct()
     forms = F.array_distinct(F.array(F.lower("token"), F.col("token"), F.initcap("token")))
-    recognised = tokens.select("token", F.explode(forms).alias("form")).join(known, "form", "left_semi").select("token").distinct()
-    return tokens.where(~F.lower("token").rlike(ROMAN)).join(recognised, "token", "left_anti")
+    recognised = tokens.select("token", F.explode(forms).alias("form")).join(beside(known), "form", "left_semi").select("token").distinct()
+    return tokens.where(~F.lower("token").rlike(ROMAN)).join(beside(recognised), "token", "left_anti")
 
 
 def correctable(tokens: DataFrame) -> DataFrame:
@@ -57,7 +64,7 @@ def edit_one(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     compared with all of the other."""
     left = words.where(F.length("token") > 0).select("token", F.explode(_deletions(F.lower("token"))).alias("form"))
     right = dictionary.where(F.length("word") > 0).select(F.col("word").alias("suggestion"), F.explode(_deletions(F.col("word"))).alias("form"))
-    return left.join(right, "form").where(F.levenshtein(F.lower("token"), F.col("suggestion")) == 1).select("token", "suggestion").distinct()
+    return left.join(beside(right), "form").where(F.levenshtein(F.lower("token"), F.col("suggestion")) == 1).select("token", "suggestion").distinct()
 
 
 def unique_edit_one(words: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -68,7 +75,7 @@ def unique_edit_one(words: DataFrame, dictionary: DataFrame) -> DataFrame:
 def mirrored(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(token, fix) where a token of four letters or more is a word backwards."""
     back = words.where(F.length("token") >= 4).select("token", F.reverse(F.lower("token")).alias("word"))
-    return back.join(dictionary.select("word").distinct(), "word", "left_semi").select("token", F.col("word").alias("fix"))
+    return back.join(beside(dictionary.select("word").distinct()), "word", "left_semi").select("token", F.col("word").alias("fix"))
 
 
 def substituted(words: DataFrame, dictionary: DataFrame, pairs: dict[str, list[str]] = PAIRS) -> DataFrame:
@@ -81,7 +88,7 @@ def substituted(words: DataFrame, dictionary: DataFrame, pairs: dict[str, list[s
     rows = rows.where(F.contains(low, F.col("a")))
     rows = rows.withColumn("place", F.explode(F.filter(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i, F.length("a")) == F.col("a"))))
     made = F.concat(F.substring(low, F.lit(1), F.col("place") - 1), F.col("b"), F.substring(low, F.col("place") + F.length("a"), F.length(low)))
-    known = rows.withColumn("word", made).join(dictionary.select("word").distinct(), "word", "left_semi")
+    known = rows.withColumn("word", made).join(beside(dictionary.select("word").distinct()), "word", "left_semi")
     return known.groupBy("token").agg(F.min_by("word", F.struct("place", "pair")).alias("fix"))
 
 
@@ -91,7 +98,7 @@ def split_merged(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     low, known = F.lower("token"), dictionary.select("word").distinct()
     cuts = words.where(F.length("token") >= 9).select("token", F.explode(F.sequence(F.lit(4), F.length("token") - 4)).alias("cut"))
     cuts = cuts.withColumn("left", F.substring(low, F.lit(1), F.col("cut"))).withColumn("right", F.substring(low, F.col("cut") + 1, F.length(low)))
-    both = cuts.join(known.withColumnRenamed("word", "left"), "left", "left_semi").join(known.withColumnRenamed("word", "right"), "right", "left_semi")
+    both = cuts.join(beside(known.withColumnRenamed("word", "left")), "left", "left_semi").join(beside(known.withColumnRenamed("word", "right")), "right", "left_semi")
     return both.groupBy("token").agg(F.min_by(F.concat_ws(" ", "left", "right"), "cut").alias("fix"))
 
 
@@ -136,11 +143,11 @@ def corrections(tokens: DataFrame, dictionary: DataFrame, curated: DataFrame | N
 def apply_corrections(docs: DataFrame, fixes: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the tokens of text replaced. A document's own corrections
     travel to it as one map, bounded by its distinct tokens."""
-    own = docs.select(doc, F.explode(F.array_distinct(tokens_of(F.col(text)))).alias("token")).join(fixes, "token")
+    own = docs.select(doc, F.explode(F.array_distinct(tokens_of(F.col(text)))).alias("token")).join(beside(fixes), "token")
     maps = own.groupBy(doc).agg(F.map_from_entries(F.collect_set(F.struct("token", "fix"))).alias("fixes_"))
     marked = F.split(F.regexp_replace(F.translate(text, "\u0001", ""), f"({TOKEN})", "\u0001$1\u0001"), "\u0001")
     put = F.array_join(F.transform(marked, lambda p, i: F.when(i % 2 == 1, F.coalesce(F.element_at("fixes_", p), p)).otherwise(p)), "")
-    return docs.join(maps, doc, "left").withColumn(text, F.when(F.col("fixes_").isNotNull(), put).otherwise(F.col(text))).drop("fixes_")
+    return docs.join(beside(maps), doc, "left").withColumn(text, F.when(F.col("fixes_").isNotNull(), put).otherwise(F.col(text))).drop("fixes_")
 
 
 def _rejoined(docs: DataFrame, known: DataFrame, doc: str, text: str, pattern: str, piece: int) -> DataFrame:
@@ -151,10 +158,10 @@ def _rejoined(docs: DataFrame, known: DataFrame, doc: str, text: str, pattern: s
     own = own.withColumn("word", F.lower(F.regexp_replace("pair", r"(?U)\s+", "")))
     parts = F.split("pair", r"(?U)\s+")
     own = own.withColumn("piece", F.lower(F.element_at(parts, 2 if piece == 2 else 1)))
-    good = own.join(known, "word", "left_semi").join(known.withColumnRenamed("word", "piece"), "piece", "left_anti")
+    good = own.join(beside(known), "word", "left_semi").join(beside(known.withColumnRenamed("word", "piece")), "piece", "left_anti")
     lists = good.groupBy(doc).agg(F.collect_set("pair").alias("pairs_"))
     joined = replace_matches(F.col(text), pattern, lambda m: F.when(F.array_contains("pairs_", m), F.regexp_replace(m, r"(?U)\s+", "")).otherwise(m))
-    return docs.join(lists, doc, "left").withColumn(text, F.when(F.col("pairs_").isNotNull(), joined).otherwise(F.col(text))).drop("pairs_")
+    return docs.join(beside(lists), doc, "left").withColumn(text, F.when(F.col("pairs_").isNotNull(), joined).otherwise(F.col(text))).drop("pairs_")
 
 
 def rejoin_letters(docs: DataFrame, dictionary: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -78,3 +78,11 @@ def test_the_lists_of_statutes(spark):
     fixes = ocr.corrections(frame(spark, ["Unhrk", "DALARN", "tersangka", "hurufa", "abc"]), frame(spark, DICTIONARY, "word"), ocr.curated_words(spark), ocr.special_terms(spark))
     assert {r.token: r.fix for r in fixes.collect()} == {"Unhrk": "Untuk", "DALARN": "DALAM", "hurufa": "huruf a"}
     assert ocr.unknown_tokens(frame(spark, ["Tersangka", "hoc"]), frame(spark, DICTIONARY, "word"), ocr.special_terms(spark)).count() == 0
+
+
+def test_no_words_pass_through_the_driver(spark):
+    """Joins with words broadcast neither side, small as they are here."""
+    docs = spark.createDataFrame([(1, "tbe water rents"), (2, "the water")], "doc_id long, text string")
+    fixed = ocr.apply_corrections(docs, ocr.corrections(ocr.vocabulary(docs), spark.createDataFrame([("the",), ("water",), ("rents",)], "word string")))
+    assert [r.text for r in fixed.orderBy("doc_id").collect()] == ["tbe water rents", "the water"]
+    assert "Broadcast" not in fixed._jdf.queryExecution().executedPlan().toString()
