@@ -45,10 +45,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of every text."""
+    """The three best segmentations of every text, each with its score, and the
+    piece ids of the best one."""
     ship(spark)
-    best = F.col("segmentations")[0]
-    return encode(docs, n_best=1).select("doc_id", F.size(best["ids"]).cast("long").alias("n_pieces"), best["score"].alias("score"), best["ids"].alias("ids"))
+    best = F.col("segmentations")[0]["ids"]
+    return encode(docs, n_best=3).select("doc_id", F.size(best).cast("long").alias("n_pieces"), "segmentations", best.alias("ids"))
 
 
 STAGES = [

@@ -80,3 +80,14 @@ def test_stages_against_plain_python(spark, tmp_path):
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pieces_are_the_three_best(spark):
+    docs = spark.createDataFrame([(1, " ".join(EN)), (2, None)], "doc_id long, text string")
+    whole, none = cp.pieces(spark, docs, "").orderBy("doc_id").collect()
+    lat = lattice(load())
+    assert len(whole.segmentations) == 3 and len({tuple(s.ids) for s in whole.segmentations}) == 3
+    assert all(lat.decode(s.ids) == " ".join(EN) for s in whole.segmentations)
+    assert [s.score for s in whole.segmentations] == sorted((s.score for s in whole.segmentations), reverse=True)
+    assert whole.ids == whole.segmentations[0].ids and whole.n_pieces == len(whole.ids)
+    assert none.n_pieces == 0 and none.ids == []
