@@ -3,10 +3,12 @@ sentences broken by pages, page numbers, watermarks, misread numbers."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquery.functions.text import delete_all, mask_line, replace_matches, roman_value, strip
+from docquery.functions.text import delete_all, mask_line, named, replace_matches, roman_value, strip
 from docquery.profile import INDONESIAN_LAW, Profile
 
 ZONE_LINES = 3
@@ -16,7 +18,7 @@ def split_pages(docs: DataFrame, doc: str = "doc_id", text: str = "text", profil
     """(doc, page, text), page from 1. A text without marks is one page; what
     lies before the first mark is left out."""
     parts = F.split(F.coalesce(text, F.lit("")), profile.page_mark)
-    pages = F.when(F.size(parts) > 1, F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
+    pages = named(parts, lambda x: F.when(F.size(x) > 1, F.slice(x, F.lit(2), F.size(x))).otherwise(x))
     return docs.select(doc, F.posexplode(pages).alias("page", "text")).withColumn("page", F.col("page") + 1)
 
 
@@ -93,8 +95,18 @@ def strip_page_numbers(c: Column) -> Column:
     return F.regexp_replace(c, r"(?m)^\s*-?\s*\d+\s*-?\s*$", "")
 
 
+def _any(patterns: tuple[str, ...]) -> str:
+    """Matches where one of the patterns does: a text is walked once to see
+    whether it has any of them. What they share, the start of a line, is looked
+    for once."""
+    lead = re.compile(r"\(\?m(s?)\)\^")
+    if all(lead.match(p) for p in patterns):
+        return "(?m)^(?:" + "|".join(f"(?{m[1]}:{p[m.end():]})" for p in patterns if (m := lead.match(p))) + ")"
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
 def strip_headers(c: Column, profile: Profile = INDONESIAN_LAW) -> Column:
-    return delete_all(c, profile.headers)
+    return named(c, lambda x: F.when(x.rlike(_any(profile.headers)), delete_all(x, profile.headers)).otherwise(x)) if profile.headers else c
 
 
 def strip_watermarks(c: Column, profile: Profile = INDONESIAN_LAW) -> Column:

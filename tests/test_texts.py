@@ -6,8 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from docquery.functions.text import flatten_space, mask_line, pieces_at, replace_matches, roman_value, strip
+from docquery.functions.text import delete_all, flatten_space, mask_line, pieces_at, replace_matches, roman_value, strip
 from docquery.operators import chunking, cleaning
+from docquery.profile import INDONESIAN_LAW
 
 
 def one(spark, of, text):
@@ -153,3 +154,25 @@ def test_sentence_split_keeps_long_units(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r.doc_id, r.unit_no, len(r.unit)) for r in sentence_split(spark, str(tmp_path)).collect())
     assert got == [(0, 0, 900), (1, 0, 2004), (1, 1, 69), (2, 0, len(texts[2]))]
+
+
+def plan(spark, c):
+    """What Spark computes for a column over one that it can't fold."""
+    rows = spark.range(1).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("t")).repartition(2)
+    return rows.select(c(F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_searched_once_per_replacement(spark):
+    nested = lambda c: replace_matches(replace_matches(c, "[b-d]", lambda m: F.concat(m, m)), "[e-g]", F.upper)
+    assert plan(spark, nested).count("[b-d]") == 1 and one(spark, nested, "abeb") == "abbEbb"
+
+
+def test_texts_are_searched_once_for_stretches(spark):
+    assert plan(spark, lambda c: pieces_at(c, "[b-d]", 0)).count("[b-d]") == 1
+
+
+def test_headers_go_wherever_one_is(spark):
+    for text in ("a\nPRESIDEN\nb", "a\n  ttd.\n\nJOKO WIDODO\nb", "flat text, no lines", "x PRESIDEN", ""):
+        plainly = one(spark, lambda c: delete_all(c, INDONESIAN_LAW.headers), text)
+        assert one(spark, cleaning.strip_headers, text) == plainly
+    assert plan(spark, cleaning.strip_headers).count("CASE WHEN") == 1
