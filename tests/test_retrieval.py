@@ -261,3 +261,32 @@ def test_exports_in_parts(spark, tmp_path):
     lines = (tmp_path / "lines").glob("part-*")
     assert m["uu-1-2000"].chunks == 20 and m["uu--2000"].chunks == 1
     assert m["uu-1-2000"].bytes + m["uu--2000"].bytes == sum(len(x) for f in lines for x in f.read_bytes().splitlines())
+
+
+def test_words_are_hashed_and_counted_in_one_pass(spark):
+    """No pass over the words per component; the zero vector and null stay."""
+    df = spark.createDataFrame([("a b a",), ("",), (None,)], "t string").select(vectors.hash_embedding(F.col("t"), 8).alias("v"))
+    assert "array_remove" not in df._jdf.queryExecution().optimizedPlan().toString()
+    some, *none = (r.v for r in df.collect())
+    assert abs(sum(x * x for x in some) - 1) < 1e-6 and none == [[0.0] * 8] * 2
+
+
+def test_a_task_keeps_its_best(spark):
+    """The best of several batches, and of few rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(i, [float(i * 37 % 50), 1.0]) for i in range(50)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+        q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "qid long, vector array<double>")
+        got = vectors.dense_top_k(q, df, 3)
+        found = sorted((r.qid, r["rank"], r.score) for r in got.collect())
+        assert found == [(1, 1, 49.0), (1, 2, 48.0), (1, 3, 47.0), (2, 1, 0.0), (2, 2, -1.0), (2, 3, -2.0)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_units_are_joined_without_copies(spark):
+    text = "Short. " + "x" * 70 + ". And short. More. " + "y" * 60 + "."
+    df = spark.createDataFrame([(text,), ("",), ("Short. Again.",)], "t string").select(sm.sentence_units(F.col("t")).alias("u"))
+    assert "array_append" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.u for r in df.collect()] == [["x" * 70 + ". And short. More.", "y" * 60 + "."], [], []]
