@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docquery.functions.text import delete_all, pieces_at, strip
+from docquery.functions.text import delete_all, named, pieces_at, strip
 from docquery.profile import INDONESIAN_LAW, Profile
 
 BOUNDARY = "===CHUNK_BOUNDARY==="
@@ -18,10 +18,8 @@ def split_by_heading(docs: DataFrame, doc: str = "doc_id", text: str = "text", h
     return docs.select(doc, F.posexplode(found).alias("position", "p")).select(doc, "position", F.col("p.key").alias("label"), F.col("p.start").alias("start"), F.col("p.body").alias("body"))
 
 
-def structure_marks(docs: DataFrame, doc: str = "doc_id", text: str = "text", profile: Profile = INDONESIAN_LAW) -> DataFrame:
-    """(doc, start, label) of the marks above articles. A title counts if it is
-    in capitals and has 80 characters at most; a mark that follows a kept one
-    within 200 characters replaces it if its label is longer, else it goes."""
+def _kept_marks(text: str, profile: Profile) -> Column:
+    """See structure_marks."""
     found = pieces_at(F.coalesce(text, F.lit("")), profile.structure, 0)
     part = lambda x, g: strip(F.regexp_extract(x, profile.structure, g))
     titled = lambda t: (t != "") & (t == F.upper(t)) & (F.length(t) <= 80) & (F.lower(t) != t)
@@ -32,14 +30,20 @@ def structure_marks(docs: DataFrame, doc: str = "doc_id", text: str = "text", pr
         return F.when(titled(inline), F.concat_ws(" ", head, inline)).when((inline == "") & titled(below), F.concat_ws(" ", head, below)).otherwise(head)
 
     labelled = F.transform(found, lambda p: F.struct(p["start"].alias("start"), label(p["key"]).alias("label")))
-    kept = F.aggregate(
+    return F.aggregate(
         labelled,
         F.array().cast("array<struct<start:int,label:string>>"),
         lambda a, m: F.when((F.size(a) == 0) | (m["start"] - F.element_at(a, -1)["start"] >= 200), F.array_append(a, m))
         .when(F.length(m["label"]) > F.length(F.element_at(a, -1)["label"]), F.array_append(F.slice(a, F.lit(1), F.size(a) - 1), m))
         .otherwise(a),
     )
-    return docs.select(doc, F.explode(kept).alias("m")).select(doc, "m.start", "m.label")
+
+
+def structure_marks(docs: DataFrame, doc: str = "doc_id", text: str = "text", profile: Profile = INDONESIAN_LAW) -> DataFrame:
+    """(doc, start, label) of the marks above articles. A title counts if it is
+    in capitals and has 80 characters at most; a mark that follows a kept one
+    within 200 characters replaces it if its label is longer, else it goes."""
+    return docs.select(doc, F.explode(_kept_marks(text, profile)).alias("m")).select(doc, "m.start", "m.label")
 
 
 def as_of(rows: DataFrame, marks: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
@@ -67,8 +71,12 @@ def split_long(chunks: DataFrame, body: str = "body", profile: Profile = INDONES
 def chunk_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", profile: Profile = INDONESIAN_LAW) -> DataFrame:
     """(doc, position, label, section, paragraph, body): all of the above, then
     the lines of structure taken out of the bodies; empty chunks go."""
-    rows = as_of(split_by_heading(docs, doc, text, None, profile), structure_marks(docs, doc, text, profile).withColumnRenamed("label", "section"), [doc], "start", "section")
-    rows = rows.withColumn("body", strip(delete_all(F.col("body"), profile.structure_lines))).where("body <> ''")
+    # Marks are 200 characters apart, so a row finds its own among the few of its document.
+    last = lambda marks, p: F.try_element_at(F.filter(marks, lambda m: m["start"] < p["start"]), F.lit(-1))["label"]
+    own = lambda body: strip(delete_all(body, profile.structure_lines))
+    found = pieces_at(F.coalesce(text, F.lit("")), profile.heading, 1)
+    placed = named(_kept_marks(text, profile), lambda marks: F.transform(found, lambda p, i: F.struct(i.alias("position"), p["key"].alias("label"), last(marks, p).alias("section"), own(p["body"]).alias("body"))))
+    rows = docs.select(doc, F.explode(F.filter(placed, lambda p: p["body"] != "")).alias("p")).select(doc, "p.*")
     return split_long(rows, "body", profile).select(doc, "position", "label", "section", "paragraph", "body")
 
 
