@@ -23,6 +23,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
+import pyarrow as pa
 
 SPACE = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -92,6 +93,7 @@ class Lattice:
                 inner.update(piece)
         self.automaton.make_automaton()
         self.singles = frozenset(p for p, _, _ in vocabulary.pieces if len(p) == 1)
+        self.inner = frozenset(inner)
         inner.discard(SPACE)
         word = f"[{''.join(map(re.escape, sorted(inner)))}]" if inner else "(?!)"
         self.chunks = re.compile(f"{SPACE}+{word}*|{word}+|[^{SPACE}]").findall
@@ -99,6 +101,7 @@ class Lattice:
         self.raw |= {i: bytes([b]) for b, i in enumerate(vocabulary.byte_ids)}
         self.raw.setdefault(vocabulary.unknown_id, " ⁇ ".encode())
         self.raw = [self.raw.get(i, b"") for i in range(max(self.raw) + 1)]
+        self.spelt = pa.array(self.raw, pa.large_binary())
 
     def edges(self, chunk: str):
         """(start, end, score, id) in the order of the ends, longer pieces

@@ -12,17 +12,23 @@ from __future__ import annotations
 import hashlib
 import heapq
 from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain, count, islice
 from math import inf
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docquery.llm.common import text_blocks
 from docquery.llm.pieces import DEFAULT_MODEL, SPACE, Lattice, Memo, Vocabulary, lattice, load, normalized
 from docquery.llm.token_counts import MEMORY
 
+#: Bytes of text whose chunks are looked up together.
+BLOCK = 1 << 20
+
 
 def n_best_paths(lat: Lattice, chunk: str, n: int) -> list[tuple[float, list[int]]]:
     """Up to n (score, ids), best first. The first is the one that Viterbi
@@ -86,19 +92,164 @@ def best_path(lat: Lattice, chunk: str) -> tuple[float, float | None, bytes]:
     return best[size], None if second[size] == -inf else best[size] - second[size], array("i", ids).tobytes()
 
 
+class Steps:
+    """The pieces as a table of steps from node to node, by which the forward
+    pass of best_path goes through many chunks at once.
+
+    Node 0 is the start; nodes that go on have a row of next nodes by character
+    (0: none). Characters are numbered from 1, those of most steps first, as many
+    as CELLS and 16 bits allow; chunks with another one, or one that is no piece,
+    aren't taken."""
+
+    CELLS = 1 << 24
+
+    def __init__(self, lat: Lattice):
+        next_: list[dict[str, int]] = [{}]
+        ends: dict[int, tuple[int, float, int]] = {}
+        for piece, i, score in lat.v.pieces:
+            if len(piece) > 1 or piece in lat.inner:
+                at = 0
+                for c in piece:
+                    if (to := next_[at].get(c)) is None:
+                        to = next_[at][c] = len(next_)
+                        next_.append({})
+                    at = to
+                ends[at] = (len(piece), score, i)
+        known = Counter(c for of in next_ for c in of if c in lat.singles)
+        self.going = sum(map(bool, next_[1:])) + 1
+        self.width = 1 + min(len(known), max(1, self.CELLS // self.going - 1), (1 << 16) - 1)
+        number = {c: k for k, (c, _) in enumerate(known.most_common(self.width - 1), 1)}
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in number]] = list(number.values())
+        # nodes that go on come first, so that only they need rows
+        order = sorted(range(len(next_)), key=lambda k: k > 0 and not next_[k])
+        place = np.empty(len(next_), np.int32)
+        place[order] = np.arange(len(next_))
+        self.to = np.zeros(self.going * self.width, np.uint16 if len(next_) < 1 << 16 else np.int32)
+        for k in order[: self.going]:
+            for c, to in next_[k].items():
+                if c in number:
+                    self.to[place[k] * self.width + number[c]] = place[to]
+        self.size, self.score, self.id = np.zeros(len(next_), np.int32), np.zeros(len(next_)), np.zeros(len(next_), np.int32)
+        for k, of in ends.items():
+            self.size[place[k]], self.score[place[k]], self.id[place[k]] = of
+
+    def numbers(self, chunks: list[str]) -> np.ndarray:
+        """The characters' numbers, chunk after chunk; 0 for what isn't taken."""
+        return self.number[np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")]
+
+    def best_paths(self, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What best_path finds for chunks of these sizes (at least 1), whose
+        characters' numbers follow each other: scores, losses (infinite: no
+        second one), numbers of ids, and the ids one after the other."""
+        n, longest = len(sizes), int(sizes.max())
+        order = np.argsort(-sizes, kind="stable")  # chunks that go on to a place are the first ones
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        at = np.repeat(rank, sizes)
+        chars = np.zeros((longest, n), np.uint16)
+        chars[np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes), at] = numbers
+        best, second = np.full((longest + 1, n), -inf), np.full((longest + 1, n), -inf)
+        back = np.zeros((longest + 1, n), np.int32)
+        best[0] = 0
+        for a in range(longest):
+            rows = np.arange(np.count_nonzero(sizes > a))
+            node = np.zeros(len(rows), np.int64)
+            for b in range(a, longest):
+                node = self.to[node * self.width + chars[b, rows]].astype(np.int64)
+                on = np.flatnonzero(node)
+                rows, node = rows[on], node[on]
+                if not len(rows):
+                    break
+                hit = np.flatnonzero(self.size[node])
+                if len(hit):
+                    r, end = rows[hit], node[hit]
+                    score = self.score[end]
+                    total, old = best[a, r] + score, best[b + 1, r]
+                    second[b + 1, r] = np.maximum(np.maximum(second[b + 1, r], second[a, r] + score), np.minimum(total, old))
+                    best[b + 1, r] = np.maximum(total, old)
+                    better = np.flatnonzero(total > old)  # longer pieces come first
+                    back[b + 1, r[better]] = end[better]
+                on = np.flatnonzero(node < self.going)
+                rows, node = rows[on], node[on]
+        ordered, every = sizes[order], np.arange(n)
+        scores, seconds = best[ordered, every][rank], second[ordered, every][rank]
+        steps, left, rows = [], ordered.copy(), every
+        while len(rows):
+            end = back[left[rows], rows]
+            steps.append((rows, self.id[end]))
+            left[rows] -= self.size[end]
+            rows = rows[left[rows] > 0]
+        counts = np.bincount(np.concatenate([r for r, _ in steps]), minlength=n)[rank]
+        last = (np.cumsum(counts) - 1)[order]
+        ids = np.empty(counts.sum(), np.int32)
+        for k, (rows, of) in enumerate(steps):
+            ids[last[rows] - k] = of
+        return scores, scores - seconds, counts, ids
+
+
+@lru_cache(2)
+def steps_of(vocabulary: Vocabulary) -> Steps:
+    """Built once per worker process."""
+    return Steps(lattice(vocabulary))
+
+
 class Paths:
-    """What is remembered of chunks: their best paths, and the n best of those
-    that took part in a choice."""
+    """What is remembered of chunks: their best paths, in arrays by the number
+    that a chunk has in the order of appearance, and the n best of those that
+    took part in a choice. Once chunks of CHARS characters are known, all are
+    forgotten."""
+
+    CHARS, LONG = 10 * MEMORY, 64
 
     def __init__(self, lat: Lattice, n: int):
-        self.lat, self.n = lat, n
-        self.best = Memo(lambda c: best_path(lat, c), MEMORY // 2)
+        self.lat, self.n, self.steps = lat, n, steps_of(lat.v)
         self.several = Memo(self._several, MEMORY // 20)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.chars = 0
+        self.score, self.loss = array("d"), array("d")
+        self.starts, self.ids = array("q", [0]), array("i")  # ids of chunk k: starts[k] to starts[k + 1]
 
     def _several(self, chunk: str) -> list[tuple[float, bytes]]:
         found = n_best_paths(self.lat, chunk, self.n)
         return [(found[0][0] - s, array("i", ids).tobytes()) for s, ids in found]
 
+    def of(self, chunks: list[str]) -> np.ndarray:
+        """The numbers of chunks, valid until the next call."""
+        if self.chars > self.CHARS or len(self.number) >= len(self.starts):  # or a call broke off
+            self._forget()
+        known = len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, chunks), np.int64, len(chunks))
+        if len(self.number) > known:
+            self._learn(list(islice(self.number, known, None)))
+        return out
+
+    def _learn(self, chunks: list[str]) -> None:
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        numbers = self.steps.numbers(chunks)
+        taken = (np.minimum.reduceat(numbers, np.cumsum(sizes) - sizes) > 0) & (sizes < self.LONG)
+        score, loss, counts = np.empty(len(chunks)), np.empty(len(chunks)), np.empty(len(chunks), np.int64)
+        if taken.any():
+            score[taken], loss[taken], counts[taken], ids = self.steps.best_paths(sizes[taken], numbers[np.repeat(taken, sizes)])
+        others = {}
+        for k in np.flatnonzero(~taken).tolist():
+            score[k], other, others[k] = best_path(self.lat, chunks[k])
+            loss[k], counts[k] = inf if other is None else other, len(others[k]) // 4
+        if others:
+            whole = np.empty(counts.sum(), np.int32)
+            if taken.any():
+                whole[np.repeat(taken, counts)] = ids
+            whole[np.repeat(~taken, counts)] = np.frombuffer(b"".join(others.values()), np.int32)
+            ids = whole
+        self.chars += int(sizes.sum())
+        self.score.frombytes(score.tobytes())
+        self.loss.frombytes(loss.tobytes())
+        self.starts.frombytes((np.cumsum(counts) + len(self.ids)).tobytes())
+        self.ids.frombytes(ids.tobytes())
+
 
 @lru_cache(2)
 def paths_of(vocabulary: Vocabulary, n: int) -> Paths:
@@ -134,24 +285,79 @@ def n_best_choices(losses: Sequence[Sequence[float]], n: int) -> list[tuple[floa
     return found
 
 
-def segment(paths: Paths, text: str | None) -> list[tuple[float, bytes]]:
-    """The n best (score, ids) of a text, best first. Only the n - 1 chunks
+def segment_all(paths: Paths, texts: Sequence[str | None]) -> list[list[tuple[float, bytes]]]:
+    """Per text its n best (score, ids), best first. Only the n - 1 chunks
     whose second-best segmentations lose least can differ, so only these are
     searched for more."""
-    chunks = paths.lat.chunks(normalized(text))
-    own = list(map(paths.best.__getitem__, chunks))
-    ids = [p[2] for p in own]
-    top = sum([p[0] for p in own])
-    out = [(top, b"".join(ids))]
-    if paths.n > 1:
-        near = heapq.nsmallest(paths.n - 1, [(p[1], k) for k, p in enumerate(own) if p[1] is not None])
-        several = [paths.several[chunks[k]] for _, k in near]
-        for loss, changed in n_best_choices([[x for x, _ in s] for s in several], paths.n)[1:]:
-            for j, turn in changed.items():
-                ids[near[j][1]] = several[j][turn][1]
-            out.append((top - loss, b"".join(ids)))
-            for j in changed:
-                ids[near[j][1]] = own[near[j][1]][2]
+    split = [paths.lat.chunks(normalized(t)) for t in texts]
+    of = paths.of(list(chain.from_iterable(split)))
+    starts = np.frombuffer(paths.starts, np.int64)
+    first, counts = starts[of], starts[of + 1] - starts[of]
+    at = np.concatenate([[0], np.cumsum(counts)])  # where the ids of chunks begin, in all texts
+    ids = _taken(np.frombuffer(paths.ids, np.int32), first, counts)
+    score, loss = np.frombuffer(paths.score)[of], np.frombuffer(paths.loss)[of]
+    out, a = [], 0
+    for chunks in split:
+        b = a + len(chunks)
+        top, begin, end = sum(score[a:b].tolist()), 4 * int(at[a]), 4 * int(at[b])
+        found = [(top, ids[begin:end])]
+        if paths.n > 1 and chunks:
+            near = _least(loss[a:b], paths.n - 1)
+            several = [paths.several[chunks[k]] for k in near]
+            for lost, changed in n_best_choices([[x for x, _ in s] for s in several], paths.n)[1:]:
+                parts, done = [], begin
+                for j, turn in sorted(changed.items(), key=lambda x: near[x[0]]):
+                    k = a + near[j]
+                    parts += [ids[done : 4 * int(at[k])], several[j][turn][1]]
+                    done = 4 * int(at[k + 1])
+                found.append((top - lost, b"".join([*parts, ids[done:end]])))
+        out.append(found)
+        a = b
+    return out
+
+
+def _taken(values: np.ndarray, first: np.ndarray, counts: np.ndarray, step: int = 1 << 18) -> bytes:
+    """Stretches of values, one after the other; the places of `step` stretches
+    are in memory at once."""
+    out = []
+    for k in range(0, len(first), step):
+        f, c = first[k : k + step], counts[k : k + step]
+        ends = np.cumsum(c)
+        out.append(values[np.repeat(f - ends + c, c) + np.arange(ends[-1])].tobytes())
+    return b"".join(out)
+
+
+def _least(loss: np.ndarray, n: int) -> list[int]:
+    """Places of the n least finite losses, least first, among equals the first."""
+    if n < len(loss):
+        near = np.flatnonzero(loss <= np.partition(loss, n - 1)[n - 1])
+    else:
+        near = np.arange(len(loss))
+    near = near[np.argsort(loss[near], kind="stable")][:n]
+    return near[loss[near] < inf].tolist()
+
+
+def segment(paths: Paths, text: str | None) -> list[tuple[float, bytes]]:
+    """segment_all of one text."""
+    return segment_all(paths, [text])[0]
+
+
+def all_decode(lat: Lattice, texts: Sequence[str | None], found: Sequence[Sequence[tuple[float, bytes]]]) -> list[bool]:
+    """Per text, whether all of its segmentations decode to it. The ids of all
+    texts are looked up together; what isn't the text's bytes is decoded by itself."""
+    out = [True] * len(texts)
+    wanted = [normalized(t).replace(SPACE, " ").encode() for t in texts]
+    for turn in range(max(map(len, found), default=0)):
+        rows = [k for k, x in enumerate(found) if len(x) > turn]
+        ids = [found[k][turn][1] for k in rows]
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        spelt = lat.spelt.take(pa.array(flat))
+        starts = np.frombuffer(spelt.buffers()[1], np.int64) if len(flat) else np.zeros(1, np.int64)
+        ends = starts[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
+        data = bytes(spelt.buffers()[2] or b"")
+        for k, i, a, b in zip(rows, ids, ends, ends[1:]):
+            if data[a:b] != wanted[k]:
+                out[k] &= lat.decode(np.frombuffer(i, "<i4").tolist()) == (texts[k] or "").replace(SPACE, " ")
     return out
 
 
@@ -176,11 +382,9 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = Paths(lattice(vocabulary.value), n_best)  # let go after the task: other operators may follow in this process
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                rows = [segment(paths, t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), _packed(rows, item)], [id_col, "segmentations"])
+        for batch in text_blocks(batches, 1, BLOCK):
+            rows = segment_all(paths, batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _packed(rows, item)], [id_col, "segmentations"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, segmentations array<struct<score: double, ids: array<int>>>")
@@ -198,14 +402,12 @@ def survey(docs: DataFrame, n_best: int, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = paths_of(vocabulary.value, n_best)
-        for batch in batches:
+        for batch in text_blocks(batches, 1, BLOCK):
+            texts = batch.column(1).to_pylist()
             rows = []
-            for text in batch.column(1).to_pylist():
-                found = segment(paths, text)
-                plain = (text or "").replace(SPACE, " ")
-                sums = [hashlib.sha256(i).hexdigest() for _, i in found]
-                back = all(paths.lat.decode(np.frombuffer(i, "<i4").tolist()) == plain for _, i in found)
-                rows.append((len(found[0][1]) // 4, [s for s, _ in found], sums, back))
+            found = segment_all(paths, texts)
+            for of, back in zip(found, all_decode(paths.lat, texts, found)):
+                rows.append((len(of[0][1]) // 4, [s for s, _ in of], [hashlib.sha256(i).hexdigest() for _, i in of], back))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [id_col, *names])
 
     kind = docs.schema[id_col].dataType.simpleString()

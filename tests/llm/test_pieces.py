@@ -12,7 +12,8 @@ from sentencepiece import sentencepiece_model_pb2 as proto
 
 from docquery.llm.pieces import DEFAULT_MODEL, SPACE, Lattice, Vocabulary, lattice, load, normalized
 from docquery.llm.queries import op1_token_counts, op3_segmentation
-from docquery.llm.segmentation import Paths, best_path, decode, encode, n_best_choices, n_best_paths, segment, survey
+from docquery.llm import segmentation
+from docquery.llm.segmentation import Paths, Steps, all_decode, best_path, decode, encode, n_best_choices, n_best_paths, segment, segment_all, survey
 from docquery.llm.token_counts import best_count, count_tokens, counts as counts_of
 
 DATA = "/root/testdata/sf0.01"
@@ -69,6 +70,66 @@ def test_choices_are_the_least_sums(losses, n):
     assert len({tuple(sorted(c.items())) for _, c in got}) == len(got)
 
 
+def check_steps(lat, steps, chunks):
+    """best_paths, for all that is taken, equals best_path one by one."""
+    taken = [c for c in chunks if steps.numbers([c]).all()]
+    if taken:
+        scores, losses, counts, ids = steps.best_paths(np.array(list(map(len, taken))), steps.numbers(taken))
+        ends = np.cumsum(counts)
+        assert ends[-1] == len(ids)
+        got = [(s, None if x == np.inf else x, ids[e - n : e].astype("<i4").tobytes()) for s, x, n, e in zip(scores, losses, counts, ends)]
+        assert got == [best_path(lat, c) for c in taken]
+    return taken
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab▁éz"), min_size=1, max_size=9), max_size=30), st.sampled_from([1, 14, 1 << 24]))
+def test_paths_of_many_chunks_equal_those_of_each(chunks, cells):
+    lat = lattice(small())
+    steps = type("Narrow", (Steps,), {"CELLS": cells})(lat)
+    taken = check_steps(lat, steps, chunks)
+    assert cells < 100 or {c for c in chunks if set(c) <= set("ab▁")} == set(taken)
+
+
+def test_ordinary_words_are_taken_many_at_once(monkeypatch):
+    """Only characters that no piece or no longer piece has are searched one by one."""
+    lat = lattice(load())
+    rng = random.Random(3)
+    chunks = [SPACE + "".join(rng.choices("etaonrishdlufcmgypwbvkéüçñ-", k=rng.randrange(16))) for _ in range(3000)]
+    want = {c: best_path(lat, c) for c in chunks}
+    assert len(check_steps(lat, Steps(lat), chunks)) > 2000
+    alone = []
+    monkeypatch.setattr(segmentation, "best_path", lambda _, c: alone.append(c) or best_path(lat, c))
+    words = [c for c in want if c[1:].isalpha() and lat.chunks(c) == [c]]
+    found = segment_all(Paths(lat, 1), [c[1:] for c in words])
+    assert not alone and len(words) > 1000 and [f[0] for f in found] == [(want[c][0], want[c][2]) for c in words]
+
+
+def test_blocks_and_forgetting_change_nothing():
+    """Texts together or one by one, with all or few chunks remembered."""
+    lat, some = lattice(load()), [*texts(), None, "x" * 700, "ab " * 500]
+    small_memory = type("Forgetful", (Paths,), {"CHARS": 200})(lat, 3)
+    whole = segment_all(Paths(lat, 3), some)
+    assert whole == [segment(small_memory, t) for t in some] == segment_all(small_memory, some)
+    assert all_decode(lat, some, whole) == [True] * len(some)
+    assert segment_all(Paths(lat, 3), [None, ""]) == [[(0, b"")]] * 2 and all_decode(lat, [None, ""], [[(0, b"")]] * 2) == [True] * 2
+    assert segment_all(Paths(lat, 3), []) == [] == all_decode(lat, [], [])
+    swapped = [whole[k] for k in (5, *range(1, 5), 4)]
+    assert all_decode(lat, some[:6], swapped) == [False, True, True, True, True, False]
+    assert all_decode(lat, ["hello"], [[segment(Paths(lat, 1), "hello")[0], segment(Paths(lat, 1), "hellO")[0]]]) == [False]
+    assert all_decode(lat, [""], [segment(Paths(lat, 1), "a")]) == [False]
+
+
+def test_a_call_that_broke_off_is_forgotten(monkeypatch):
+    paths = Paths(lattice(load()), 2)
+    want = segment(Paths(lattice(load()), 2), "some words")
+    monkeypatch.setattr(Paths, "_learn", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        segment(paths, "some words")
+    monkeypatch.undo()
+    assert segment(paths, "some words") == want
+
+
 @pytest.fixture(scope="module")
 def library():
     """The same file with the model type changed to unigram and the placeholder
