@@ -27,7 +27,7 @@ from docquery.llm.pieces import DEFAULT_MODEL, SPACE, Lattice, Memo, Vocabulary,
 from docquery.llm.token_counts import MEMORY
 
 #: Bytes of text whose chunks are looked up together.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def n_best_paths(lat: Lattice, chunk: str, n: int) -> list[tuple[float, list[int]]]:
@@ -200,7 +200,7 @@ class Paths:
     took part in a choice. Once chunks of CHARS characters are known, all are
     forgotten."""
 
-    CHARS, LONG = 10 * MEMORY, 64
+    CHARS, LONG = 4 * MEMORY, 64
 
     def __init__(self, lat: Lattice, n: int):
         self.lat, self.n, self.steps = lat, n, steps_of(lat.v)
