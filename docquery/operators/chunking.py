@@ -11,17 +11,24 @@ from docquery.profile import INDONESIAN_LAW, Profile
 BOUNDARY = "===CHUNK_BOUNDARY==="
 
 
+def _by_line(pattern: str) -> str:
+    """The pattern with lines that end at line feeds only, as in Python; Java
+    also ends them at U+0085, U+2028 and U+2029."""
+    return f"(?d){pattern}"
+
+
 def split_by_heading(docs: DataFrame, doc: str = "doc_id", text: str = "text", heading: str | None = None, profile: Profile = INDONESIAN_LAW) -> DataFrame:
     """(doc, position, label, start, body): a stretch per heading, with it; the
     label is the heading's first group. What lies before the first is left out."""
-    found = pieces_at(F.coalesce(text, F.lit("")), heading or profile.heading, 1)
+    found = pieces_at(F.coalesce(text, F.lit("")), _by_line(heading or profile.heading), 1)
     return docs.select(doc, F.posexplode(found).alias("position", "p")).select(doc, "position", F.col("p.key").alias("label"), F.col("p.start").alias("start"), F.col("p.body").alias("body"))
 
 
 def _kept_marks(text: str, profile: Profile) -> Column:
     """See structure_marks."""
-    found = pieces_at(F.coalesce(text, F.lit("")), profile.structure, 0)
-    part = lambda x, g: strip(F.regexp_extract(x, profile.structure, g))
+    structure = _by_line(profile.structure)
+    found = pieces_at(F.coalesce(text, F.lit("")), structure, 0)
+    part = lambda x, g: strip(F.regexp_extract(x, structure, g))
     titled = lambda t: (t != "") & (t == F.upper(t)) & (F.length(t) <= 80) & (F.lower(t) != t)
 
     def label(key: Column) -> Column:
@@ -59,7 +66,7 @@ def split_long(chunks: DataFrame, body: str = "body", profile: Profile = INDONES
     one chunk per paragraph, each after the text before the first; paragraph is
     its number in order. Other chunks stay, without one."""
     words = F.size(F.split(strip(F.col(body)), r"(?U)\s+"))
-    pieces = pieces_at(F.col(body), part or profile.paragraph, 0)
+    pieces = pieces_at(F.col(body), _by_line(part or profile.paragraph), 0)
     chunks = chunks.withColumn("pieces_", F.when(words > profile.max_words, pieces))
     head = strip(F.substring(F.col(body), F.lit(1), F.element_at("pieces_", 1)["start"]))
     parts = F.transform("pieces_", lambda p, i: F.struct((i + 1).alias("paragraph"), F.concat_ws("\n", F.when(head != "", head), strip(p["body"])).alias("body")))
@@ -73,8 +80,8 @@ def chunk_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", pr
     the lines of structure taken out of the bodies; empty chunks go."""
     # Marks are 200 characters apart, so a row finds its own among the few of its document.
     last = lambda marks, p: F.try_element_at(F.filter(marks, lambda m: m["start"] < p["start"]), F.lit(-1))["label"]
-    own = lambda body: strip(delete_all(body, profile.structure_lines))
-    found = pieces_at(F.coalesce(text, F.lit("")), profile.heading, 1)
+    own = lambda body: strip(delete_all(body, [_by_line(p) for p in profile.structure_lines]))
+    found = pieces_at(F.coalesce(text, F.lit("")), _by_line(profile.heading), 1)
     placed = named(_kept_marks(text, profile), lambda marks: F.transform(found, lambda p, i: F.struct(i.alias("position"), p["key"].alias("label"), last(marks, p).alias("section"), own(p["body"]).alias("body"))))
     rows = docs.select(doc, F.explode(F.filter(placed, lambda p: p["body"] != "")).alias("p")).select(doc, "p.*")
     return split_long(rows, "body", profile).select(doc, "position", "label", "section", "paragraph", "body")

@@ -176,3 +176,31 @@ def test_headers_go_wherever_one_is(spark):
         plainly = one(spark, lambda c: delete_all(c, INDONESIAN_LAW.headers), text)
         assert one(spark, cleaning.strip_headers, text) == plainly
     assert plan(spark, cleaning.strip_headers).count("CASE WHEN") == 1
+
+
+def test_statutes_hold_any_text(spark, tmp_path):
+    """What a document begins with, its white space and control characters, an
+    empty text and a null one, as the SQL of the query has them."""
+    import duckdb
+
+    from docquery.plans import contract
+
+    long = "word " * 900
+    texts = [
+        "Plain. Text.", None, "", " \n\t ", "(1) " + long, "x\n(1) " + long, "a\x85(2) " + long, "BAB I UMUM", "Pasal 9", "Ayat", "Bagian II\nUMUM\nx", "PENJELASAN",
+        "a\u2028BAB I\u2028Pasal 3\u2028b", "\x0bPasal 4\x0b", "a\x01b\x02c\x1c\x1f", "\xa0a\xa0 \u2003b\xa0", "\U0001f600" * 60, "x" * 49 + " y", "$1 \\ $0", "a\ufdd2", "a\rPasal 3\rb",
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    columns = ["doc_id", "position", "label", "section", "paragraph", "body"]
+    got = contract.queries()["chunk_statutes"](spark, str(tmp_path)).select(columns).collect()
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = db.execute(f"select {', '.join(columns)} from ({contract.oracle_sql()['chunk_statutes']})").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(want) == 2 * len(texts)
+
+
+def test_lines_of_statutes_end_at_line_feeds(spark):
+    """As in the original program; Java also ends lines at U+2028 and U+0085."""
+    text = "Pasal 1\na\u2028Pasal 2\u2028b\x01\x85BAB I\nc\nPasal 3\nd"
+    got = chunking.chunk_documents(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("position").collect()
+    assert [(r.label, r.section, r.body) for r in got] == [("1", None, "Pasal 1\na\u2028Pasal 2\u2028b\x01\x85BAB I\nc"), ("3", None, "Pasal 3\nd")]
