@@ -290,3 +290,16 @@ def test_units_are_joined_without_copies(spark):
     df = spark.createDataFrame([(text,), ("",), ("Short. Again.",)], "t string").select(sm.sentence_units(F.col("t")).alias("u"))
     assert "array_append" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert [r.u for r in df.collect()] == [["x" * 70 + ". And short. More.", "y" * 60 + "."], [], []]
+
+
+def test_long_units_are_quoted(spark, tmp_path):
+    """A unit of more than 800 characters can be the best quote, or the only one."""
+    from docquery.plans import rankings
+
+    poor, best = "Water and trash and zero and more words that nobody has asked for.", "The thing that rents " * 50 + "."
+    texts = [poor + " " + best, best, "w" * 900, poor, best + " " + poor + " " + best, "Short.", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.unit_no, r.long, r.score > 0.99) for r in rankings.best_sentence(spark, str(tmp_path)).collect()}
+    assert got == {0: (1, True, True), 1: (0, True, True), 2: (0, True, False), 3: (0, False, False), 4: (0, True, True)}
+    units = sm.explode_units(spark.read.parquet(str(tmp_path / "documents.parquet")), ["doc_id"], "text")
+    assert units.columns == ["doc_id", "unit_no", "unit"] and units.count() == 8
